@@ -17,20 +17,22 @@ from . import common as C
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space as Unicode has it (the pattern's \s).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
-_OTHER = re.compile("[" + SPACES.replace("\n", "").replace(" ", "") + "\0]")
+#: White space as Unicode has it (the pattern's \s), as inner parts of a character class.
+SPACES = r"\t-\r \x85\xa0  -     　"
+_OTHER = re.compile(r"[\0\t\x0b-\r\x85\xa0  -     　]")
 _UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: The longest unit that is remembered; longer ones are encoded each time.
 LONGEST = 64
 
 
 class ByteBPE:
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
+        """ordinary: the strings of special tokens in a text are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -70,10 +72,10 @@ class ByteBPE:
         return out
 
 
-_LOADED: dict[str, ByteBPE] = {}
+_LOADED: dict[tuple, ByteBPE] = {}
 
 
-def load(path: str) -> ByteBPE:
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+def load(path: str, ordinary: bool = False) -> ByteBPE:
+    if (path, ordinary) not in _LOADED:
+        _LOADED[path, ordinary] = ByteBPE(path, ordinary)
+    return _LOADED[path, ordinary]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import edits, pieces, quality, tokenstore
 
 
 def queries() -> dict:
-    return {"op7_quality_rules": quality.op7}
+    return {"op1_token_counts": edits.op1, "op6_pieces": pieces.op6, "op7_quality_rules": quality.op7, "op10_token_store": tokenstore.op10}
 
 
 def oracle_sql() -> dict:
