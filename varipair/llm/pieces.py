@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from . import common as C
 MARK = "▁"
 #: The longest unit that is remembered.
 LONGEST = 64
+#: Units that a worker remembers, some 200 bytes each.
+MEMO = 800_000
 
 
 class PieceTable:
@@ -43,20 +46,28 @@ class PieceTable:
         kinds = {p.type for p in model.pieces}
         if t.model_type != 2 or not t.byte_fallback or n.name != "identity" or n.remove_extra_whitespaces or not n.add_dummy_prefix or t.treat_whitespace_as_suffix or kinds - {normal, unknown, control, byte}:
             raise ValueError("only BPE models with byte fallback, an identity normaliser and a dummy prefix are supported")
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == normal}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == normal}
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+        if len(model.pieces) >= 1 << 16:
+            raise ValueError("more than 65,535 pieces")
+        # Inside, the mark is a plain space: the library reads both alike, and units stay one byte a character.
+        self.pieces = [p.piece.replace(MARK, " ") for p in model.pieces]
+        self.ids = {self.pieces[i]: i for i, p in enumerate(model.pieces) if p.type == normal}
+        self.scores = {self.pieces[i]: p.score for i, p in enumerate(model.pieces) if p.type == normal}
+        if any(" " in p.lstrip(" ") or "\n" in p or "\0" in p for p in self.ids):
             raise ValueError("a piece holds the space mark after another character, or a line feed")
+        self.length = [len(p.piece) for p in model.pieces]
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == byte}
+        self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.surface = [b"" if p.type == control else t.unk_surface.encode() if p.type == unknown else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.spaced = {i for i, p in enumerate(model.pieces) if p.type == normal and p.piece.startswith(MARK)}
-        self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.decimals = Strings([b" %d" % i for i in range(len(model.pieces))])
+        self.bytes = Strings([bytes([self.byte_of[i]]) if i in self.byte_of else x for i, x in enumerate(self.surface)])
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, p)
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.side_by_side: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.side_by_side: dict[int, bool] = {}
+        self.memo = UnitMemo(self)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by the merge rules: the best score first, the leftmost of equals."""
@@ -71,67 +82,73 @@ class PieceTable:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, left: str, right: str) -> bool:
-        got = self.side_by_side.get((left, right))
-        if got is None:
-            if len(self.side_by_side) >= C.MEMO:
-                self.side_by_side.clear()
-            got = self.side_by_side[left, right] = self.merged(left + right) == [left, right]
+    def fits(self, left: int, right: int) -> bool:
+        """Whether two pieces may stand side by side; a negative id is a character without a piece."""
+        if len(self.side_by_side) >= C.MEMO:
+            self.side_by_side.clear()
+        pair = [chr(-2 - left) if left < 0 else self.pieces[left], self.pieces[right]]
+        got = self.side_by_side[(left << 16) + right] = self.merged(pair[0] + pair[1]) == pair
         return got
 
-    def split(self, unit: str) -> list[str]:
-        """The pieces of a unit; a character without a piece stands alone."""
-        n = len(unit)
-        last: list[str | None] = [None] * (n + 1)
-        filled = 0
-        for end, piece in self.automaton.iter(unit):
+    def unit_ids(self, unit: str) -> list[int]:
+        """last[i] is the last id of the encoding of unit[:i]; the ids are read off backwards."""
+        n, known = len(unit), self.side_by_side
+        last = [-1] * (n + 1)
+        for end, (piece, length) in self.automaton.iter(unit):
             i = end + 1
-            while filled < i - 1:
-                filled += 1
-                if last[filled] is None:
-                    last[filled] = unit[filled - 1]
-            if last[i] is None:
-                j = i - len(piece)
-                if j == 0 or self.fits(last[j], piece):
-                    last[i] = piece
-        for i in range(filled + 1, n + 1):
-            if last[i] is None:
-                last[i] = unit[i - 1]
-        out = []
+            if last[i] != -1:
+                continue
+            j = i - length
+            if j:
+                before = last[j]
+                if before == -1:  # all pieces that end at j were seen: its last character has none
+                    before = last[j] = -2 - ord(unit[j - 1])
+                fits = known.get((before << 16) + piece)
+                if fits is None:
+                    fits = self.fits(before, piece)
+                if not fits:
+                    continue
+            last[i] = piece
+        out: list[int] = []
         while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
-
-    def unit_ids(self, unit: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.split(unit):
-            i = self.ids.get(piece)
-            ids += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
-        return ids
+            piece = last[n]
+            if piece < 0:
+                out += [self.byte_ids[b] for b in reversed(unit[n - 1].encode())]
+                n -= 1
+            else:
+                out.append(piece)
+                n -= self.length[piece]
+        out.reverse()
+        return out
 
     def units(self, text: str) -> list[str]:
         if not text:
             return []
         text = text.replace(MARK, " ")
-        if "  " in text or text[0] == " ":
-            units, run = [], MARK
+        if "  " in text or text[0] == " " or "\0" in text:
+            units, run = [], " "
             for word in text.split(" "):
                 if word:
                     first, *lines = word.split("\n")
                     units.append(run + first)
                     for line in lines:
-                        units += ["\n", line]
-                    run = MARK
+                        units += ["\n", line] if line else ["\n"]
+                    run = " "
                 else:
-                    run += MARK
-            if run != MARK:
+                    run += " "
+            if run != " ":
                 units.append(run[1:])
             return units
-        return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+        return (" " + text.replace(" ", "\0 ").replace("\n", "\0\n\0")).split("\0")
 
-    def encode(self, text: str) -> list[int]:
-        return [i for unit in self.units(text) for i in self.unit_ids(unit)]
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, unsigned 16-bit."""
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.units(text))), "<u2")
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids that encode() gave: bytes of characters without a piece are whole there."""
+        data = self.bytes.gather(ids)
+        return data[1:] if len(ids) and int(ids[0]) in self.spaced else data
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Bytes that are no UTF-8 become U+FFFD one by one."""
@@ -150,20 +167,41 @@ class PieceTable:
         text = "".join(out)
         return text[1:] if first in self.spaced else text
 
-    def known(self, unit: str) -> tuple[bytes, bytes]:
-        """The ids of a unit as decimals with a space before each, and the bytes they decode to."""
-        got = self.memo.get(unit)
-        if got is None:
-            ids = self.unit_ids(unit)
-            text = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.surface[i] for i in ids)
-            got = b"".join(b" %d" % i for i in ids), text
-            if len(unit) <= LONGEST:
-                if len(self.memo) >= C.MEMO:
-                    self.memo.clear()
-                self.memo[unit] = got
+
+class UnitMemo(dict):
+    """Units and the bytes of their ids. A last character that no piece holds after the one before it is
+    looked up by itself, so a word costs its encoding once, with whatever sign after it."""
+
+    def __init__(self, table: PieceTable):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(unit) > 1 and unit[-2:] not in self.table.neighbours and len(unit) <= LONGEST:
+            got = self[unit[:-1]] + self[unit[-1]]
+        else:
+            got = np.array(self.table.unit_ids(unit), "<u2").tobytes()
+        if len(unit) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[unit] = got
         return got
 
 
+class Strings:
+    """A list of byte strings that are gathered by index."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def gather(self, at: np.ndarray) -> bytes:
+        size = self.size[at]
+        shift = self.start[at] - (np.cumsum(size) - size)
+        return self.data[np.repeat(shift, size) + np.arange(int(size.sum()))].tobytes()
+
+
 def _as_text(run: bytes) -> str:
     out, i = [], 0
     while i < len(run):
@@ -197,10 +235,9 @@ def _digests(batches, path: str, end_id: int):
     for part in C.steps(batches):
         rows = []
         for text in part.column("text").to_pylist():
-            known = list(map(table.known, table.units(text or "")))
-            ids = b"".join([k[0] for k in known]) + b" %d" % end_id
-            decoded = b"".join([k[1] for k in known])
-            rows.append((ids.count(b" "), hashlib.sha256(ids[1:]).hexdigest(), hashlib.sha256(decoded[1:]).hexdigest()))
+            ids = table.encode(text or "")
+            decimals = table.decimals.gather(ids) + b" %d" % end_id
+            rows.append((len(ids) + 1, hashlib.sha256(decimals[1:]).hexdigest(), hashlib.sha256(table.decoded(ids)).hexdigest()))
         yield C.batch_of(_DIGESTS, [part.column("doc_id"), *map(list, zip(*rows, strict=True))])
 
 
@@ -213,7 +250,7 @@ def digests(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def _encode_rows(batches, path: str, end_id: int):
     table = load(path)
     for part in C.steps(batches):
-        ids = [[*table.encode(t or ""), end_id] for t in part.column("text").to_pylist()]
+        ids = [np.append(table.encode(t or ""), end_id).astype(np.int32) for t in part.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
