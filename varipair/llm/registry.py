@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import edits, pieces, quality, tokenstore
+from . import chat, decontaminate, edits, pieces, quality, tokenstore, warc
 
 
 def queries() -> dict:
-    return {"op1_token_counts": edits.op1, "op6_pieces": pieces.op6, "op7_quality_rules": quality.op7, "op10_token_store": tokenstore.op10}
+    return {
+        "op1_token_counts": edits.op1,
+        "op5_warc": warc.op5,
+        "op6_pieces": pieces.op6,
+        "op7_quality_rules": quality.op7,
+        "op8_chat_format": chat.op8,
+        "op9_decontamination": decontaminate.op9,
+        "op10_token_store": tokenstore.op10,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_quality_rules": quality.SQL7}
+    return {"op5_warc": warc.SQL5, "op7_quality_rules": quality.SQL7, "op8_chat_format": chat.SQL8, "op9_decontamination": decontaminate.SQL9}
