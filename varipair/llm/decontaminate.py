@@ -37,10 +37,10 @@ def _bound(value: Column, body) -> Column:
 
 
 def shingles(w: Column, size: int = 5) -> Column:
-    """The runs of `size` words, each an array of words."""
+    """The runs of `size` words, joined by spaces; fewer words are one run."""
     n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.slice(w, i, size))
-    return F.when(n == 0, F.array().cast("array<array<string>>")).when(n < size, F.array(w)).otherwise(runs)
+    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(w, " "))).otherwise(runs)
 
 
 def hashes(text: Column, size: int = 5) -> Column:
@@ -76,7 +76,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> Da
 def verified(texts: DataFrame, items: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The candidate pairs whose exact containment reaches the threshold. Only candidates' texts are cut again."""
     wanted = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("item_ids"))
-    cut = lambda text: F.array_distinct(_bound(words(text), shingles))
+    cut = lambda text: F.array_distinct(_bound(words(text), lambda w: shingles(w)))
     w = wanted.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
     held = texts.join(w, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text_hash").eqNullSafe(F.col("_t"))).dropDuplicates(["doc_id", "text_hash"])
     have = held.select("doc_id", "text_hash", F.explode("item_ids").alias("item_id"), cut(F.col("text")).alias("have"))
