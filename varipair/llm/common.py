@@ -196,3 +196,60 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :width] = raw
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed byte string, for rows that travel between stages."""
+    import zstandard
+
+    head = [np.array([len(arrays)], "<u4").tobytes()]
+    for a in arrays:
+        head.append(a.dtype.str[1:].encode().ljust(4) + np.array([len(a)], "<u8").tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    out, at = [], 4 + 12 * n
+    for i in range(n):
+        kind = raw[4 + 12 * i : 8 + 12 * i].strip().decode()
+        length = int(np.frombuffer(raw, "<u8", 1, 8 + 12 * i)[0])
+        a = np.frombuffer(raw, "<" + kind if kind[0] != "b" else kind, length, at)
+        out.append(a)
+        at += a.nbytes
+    return out
+
+
+def gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Ranges of the upper 32 bits, so that ascending keys have ascending buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root): the smallest node that each node of edges (a, b) is connected to. Large-star and small-star
+    rounds on minima, so no node's neighbours are collected; each round is a table in the shared folder."""
+    from pyspark.sql import functions as F
+
+    spark = edges.sparkSession
+    both = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    while True:
+        # Large star: every larger neighbour of u is tied to the least node around u.
+        around = both.select("u", "v").union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Small star: u and its smaller neighbours are tied to the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        after = written(small, name)
+        # Done when all nodes are leaves of stars: nobody is both above and below an edge, or above two.
+        more = after.groupBy("u").count().where("count > 1").limit(1).count() or after.select(F.col("v").alias("u")).distinct().join(after, "u", "left_semi").limit(1).count()
+        if not more:
+            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        both = after
