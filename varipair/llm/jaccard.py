@@ -33,8 +33,8 @@ from . import common as C
 BLOCK_BYTES = 8 << 20
 #: Longest multi-match level that is considered, and the cost of verifying a shingle against reading a posting.
 LEVELS, VERIFY = 8, 0.05
-#: Parts of a posting list that give a central node in the second round.
-PARTS = 8
+#: Parts of a posting list that give a hub each, by round.
+HUB_PARTS = (4, 16)
 
 
 def shingle_set(data: bytes, size: int = 5) -> np.ndarray:
@@ -128,14 +128,14 @@ def _entries(batches):
 
 # ---- 2. prefixes ---------------------------------------------------------------------------------------------
 
-_PREFIX = pa.schema([("kind", pa.string()), ("token", pa.int64()), ("node", pa.int64()), ("layer", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("central", pa.float64()), ("data", pa.binary())])
+_PREFIX = pa.schema([("kind", pa.string()), ("token", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("layer", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("s", pa.int64()), ("central", pa.float64()), ("data", pa.binary())])
 
 
-def choose_level(df: np.ndarray, prefix: int, n: int) -> int:
+def choose_level(df: np.ndarray, prefix: int, n: int, most: int) -> int:
     """The l with the least estimated cost: postings read in a prefix longer by l - 1, and verifications of as
     many candidates as the postings can give when each needs l of them."""
     best, at = None, 1
-    for level in range(1, LEVELS + 1):
+    for level in range(1, min(LEVELS, most) + 1):
         if prefix + level - 1 > len(df):
             break
         read = float(df[: prefix + level - 1].sum())
@@ -160,12 +160,12 @@ def _prefixes(group: pa.Table, percent: int) -> pa.Table:
         if spare < 0:
             continue
         name, central = int(node[lo : lo + 1].view(np.int64)[0]), float(np.log(df[lo:hi]).mean())
-        level = choose_level(df[lo:hi], spare + 1, n)
+        level = choose_level(df[lo:hi], spare + 1, n, int(least_overlap(size[lo], percent)))
         k = min(spare + level, shared)
         layers = np.maximum(1, np.arange(1, k + 1) - spare)
-        for c, v in zip(cols, (["prefix"] * k, token[lo : lo + k].astype(np.int64).tolist(), [name] * k, layers.tolist(), [level] * k, [n] * k, [central] * k, [None] * k), strict=True):
+        for c, v in zip(cols, (["prefix"] * k, token[lo : lo + k].astype(np.int64).tolist(), [name] * k, list(range(1, k + 1)), layers.tolist(), [level] * k, [n] * k, [shared] * k, [central] * k, [None] * k), strict=True):
             c += v
-        for c, v in zip(cols, ("set", None, name, None, level, n, central, C.pack_sorted(np.sort(token[lo:hi]))), strict=True):
+        for c, v in zip(cols, ("set", None, name, None, None, level, n, shared, central, C.pack_sorted(np.sort(token[lo:hi]))), strict=True):
             c.append(v)
     return pa.table([pa.array(c, t) for c, t in zip(cols, _PREFIX.types, strict=True)], schema=_PREFIX)
 
@@ -189,10 +189,8 @@ def _verify(batches, percent: int):
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
-    """Pairs with as many common prefix shingles as the smaller of their levels asks for."""
-    least = F.least("la", "lb")
-    usable = pairs.where((F.col("ya") <= least) & (F.col("yb") <= least))
-    return usable.groupBy("a", "b", "la", "lb").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("a", "b")
+    """Pairs that meet in as many shingles as the smaller of their levels asks for."""
+    return pairs.groupBy("a", "b", "level").agg(F.count("*").alias("k")).where(F.col("k") >= F.col("level")).select("a", "b")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,20 +202,31 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return C.arrow_map(joined, _verify, "a long, b long", percent)
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of two posting frames that meet in a shingle: nodes a < b, their levels and layers."""
-    r = right.select("token", F.col("node").alias("_n"), F.col("level").alias("_l"), F.col("layer").alias("_y"), *[F.col(c).alias(f"_{c}") for c in ("root",) if c in right.columns])
-    j = left.join(r, "token").where("node <> _n")
-    if "root" in left.columns:
-        j = j.where("root <> _root")
-    flip = F.col("node") < F.col("_n")
-    pick = lambda p, q: F.when(flip, F.col(p)).otherwise(F.col(q))
-    return j.select("token", F.least("node", "_n").alias("a"), F.greatest("node", "_n").alias("b"), pick("level", "_l").alias("la"), pick("_l", "level").alias("lb"), pick("layer", "_y").alias("ya"), pick("_y", "layer").alias("yb"))
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return C.written(_links(pairs.distinct(), sets, percent), "jaccard-links")
+
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int, exact: bool = False) -> DataFrame:
+    """Rows of two posting frames that meet in a shingle: nodes a < b and the smaller of their levels.
+
+    A pair shares at most the lesser s, the shared shingles of either side; a bound below the similarity drops it
+    in the join. exact: keep only rows that can be one of the first l shingles a linked pair has in common, where
+    l is the smaller level: within the l-prefixes, and with enough shingles behind that place on both sides."""
+    rooted = "root" in left.columns
+    r = right.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "pos", "layer", "level", "n", "s", *(["root"] if rooted else []))])
+    most, level, sizes = F.least("s", "_s"), F.least("level", "_level"), percent * (F.col("n") + F.col("_n"))
+    meets = (left["token"] == r["token"]) & (F.col("node") != F.col("_node")) & ((100 + percent) * most >= sizes)
+    if rooted:
+        meets &= F.col("root") != F.col("_root")
+    if exact:
+        meets &= (F.col("node") < F.col("_node")) & (F.col("layer") <= level) & (F.col("_layer") <= level)
+        meets &= (100 + percent) * (level + F.least(F.col("s") - F.col("pos"), F.col("_s") - F.col("_pos"))) >= sizes
+    return left.join(r, meets).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), level.alias("level"))
 
 
 def _central(posts: DataFrame, *keys) -> DataFrame:
     """One row per shingle (and part): its most central node. Maxima are taken before the shuffle."""
-    top = posts.groupBy("token", *keys).agg(F.max(F.struct("central", "node", "level", "layer", *(["root"] if "root" in posts.columns else []))).alias("t"))
+    top = posts.groupBy("token", *keys).agg(F.max(F.struct("central", "node", "pos", "layer", "level", "n", "s", *(["root"] if "root" in posts.columns else []))).alias("t"))
     return top.select("token", "t.*")
 
 
@@ -231,25 +240,25 @@ def _rooted(posts: DataFrame, roots: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
-    n = 4 * C.shuffle_partitions(spark)
+    n = 2 * C.shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posts = C.arrow_map(rows, _postings, "kind string, bucket int, data binary", n)
     shared = C.written(C.arrow_groups(posts, "bucket", _share, "kind string, bucket int, data binary", n), "jaccard-shared", partition_by="kind")
-    prefix = C.written(C.arrow_groups(shared.where("kind = 'shared'"), "bucket", _prefixes, "kind string, token long, node long, layer int, level int, n long, central double, data binary", percent), "jaccard-prefix", partition_by="kind")
-    postings = prefix.where("kind = 'prefix'").select("token", "node", "layer", "level", "central")
+    prefix = C.written(C.arrow_groups(shared.where("kind = 'shared'"), "bucket", _prefixes, "kind string, token long, node long, pos int, layer int, level int, n long, s long, central double, data binary", percent), "jaccard-prefix", partition_by="kind")
+    postings = prefix.where("kind = 'prefix'").select("token", "node", "pos", "layer", "level", "n", "s", "central")
     sets = prefix.where("kind = 'set'").select("node", "n", "data")
 
-    # First round: each node with the most central node of its shingles.
-    links = C.written(_links(_counted(_pairs(postings, _central(postings)).distinct()), sets, percent), "jaccard-links")
-    # Second: with a central node of each part, where the list is still in several components.
-    roots = C.components(links)
-    again = _rooted(postings, roots)
-    links = links.union(C.written(_links(_counted(_pairs(again, _central(again.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS))), "part")).distinct()), sets, percent), "jaccard-links"))
-    # Last: all nodes of a list that are not connected.
-    roots = C.components(links)
+    # Hub rounds: each node with the most central node of its shingles' lists, then of each part of the lists.
+    # A hub stands for its list, so it is verified after one match; lists in one component are done.
+    roots = C.components(links := _linked(_pairs(postings, _central(postings), percent).select("a", "b"), sets, percent))
+    for parts in HUB_PARTS:
+        again = _rooted(postings, roots)
+        hubs = _central(again.withColumn("part", F.pmod(F.xxhash64("node", F.lit(parts)), F.lit(parts))), "part")
+        links = links.union(_linked(_pairs(again, hubs, percent).select("a", "b"), sets, percent))
+        roots = C.components(links)
+    # Last: all nodes of a list that are not connected, with as many matches as their levels ask for.
     rest = _rooted(postings, roots)
-    links = links.union(C.written(_links(_counted(_pairs(rest, rest).distinct()), sets, percent), "jaccard-links"))
-    roots = C.components(links)
+    roots = C.components(links.union(_linked(_counted(_pairs(rest, rest, percent, exact=True)), sets, percent)))
 
     entries = C.arrow_map(shared.where("kind = 'docs'").select("data"), _entries, "doc_id long, n_shingles long, node long")
     classes = entries.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
