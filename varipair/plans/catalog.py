@@ -1,6 +1,539 @@
-"""Named queries and the SQL that states the same result."""
+"""Named queries over the driver's tables and the SQL that states the same result.
+
+Inputs that the tables do not hold (questions, answers of models) are derived from `part` by arithmetic; see
+``operators.items.items_from_parts``. The SQL derives results from that arithmetic, not from the rendered answers.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import parsing as P
+from ..functions import scoring as S
+from ..functions import text as T
+from ..operators import counterfactual, items, metrics, overlap, splits, stats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def scored(spark, d, multipliers=(31,)) -> DataFrame:
+    return items.score(items.items_from_parts(t(spark, d, "part"), multipliers))
+
+
+def long(c):
+    return c.cast("long")
+
+
+# ---- the answer grid in SQL ------------------------------------------------------------------------------------
+
+GRID = """
+conds(ci, condition) AS (VALUES (0,'mcq'),(1,'roman_numeral'),(2,'none_of_the_provided'),(3,'fixed_pos'),(4,'incorrect'),(5,'open'),(6,'no_symbols')),
+models(model, k) AS (VALUES (0,31),(1,37)),
+g0 AS (SELECT model, p_partkey AS question_id, p_type AS source_dataset, ci, condition,
+        CASE WHEN condition='fixed_pos' THEN 3 ELSE (p_partkey*7+3) % 4 END AS gold, (p_partkey*k + ci*17 + p_size*(ci+3)) % 97 AS r
+       FROM part CROSS JOIN conds CROSS JOIN models),
+g AS (SELECT *, CASE WHEN r<6 THEN 4 WHEN r<60 THEN gold ELSE (gold+1+r%3) % 4 END AS sel FROM g0),
+s AS (SELECT model, question_id, source_dataset, condition, gold, sel,
+        (sel<4 OR condition IN ('open','no_symbols')) AS parsed,
+        (sel<4 OR condition='no_symbols') AS evaluable,
+        CASE WHEN sel<4 OR condition='no_symbols' THEN sel=gold END AS correct,
+        CASE WHEN sel<4 THEN sel END AS answer,
+        CASE sel WHEN 0 THEN 'alpha' WHEN 1 THEN 'bravo' WHEN 2 THEN 'charlie' WHEN 3 THEN 'delta' END AS answer_text FROM g),
+p AS (SELECT x.*, m.evaluable AND x.evaluable AS both_evaluable, m.correct AS mcq_correct, m.answer AS mcq_answer, m.gold AS mcq_gold,
+        CASE WHEN m.evaluable AND x.evaluable THEN (CASE WHEN m.correct THEN 'C' ELSE 'W' END) || '->' || (CASE WHEN x.correct THEN 'C' ELSE 'W' END) END AS transition,
+        CASE WHEN x.condition<>'open' AND m.evaluable AND x.evaluable THEN x.answer<>m.answer END AS position_changed,
+        CASE WHEN m.evaluable AND x.evaluable THEN x.answer_text<>m.answer_text END AS semantic_changed,
+        CASE WHEN NOT x.evaluable THEN NULL WHEN x.condition IN ('none_of_the_provided','incorrect') AND x.correct THEN 'success'
+             WHEN x.condition='none_of_the_provided' AND x.answer=m.answer AND m.answer<>m.gold THEN 'failure_to_adapt_kept_same_distractor'
+             WHEN x.condition='none_of_the_provided' THEN 'failure_to_adapt_chose_distractor'
+             WHEN x.condition='incorrect' THEN 'failure_to_adapt_included_gold' END AS adaptation
+      FROM s x JOIN s m ON x.model=m.model AND x.question_id=m.question_id AND m.condition='mcq' AND x.condition<>'mcq')
+"""
+ONE = f"WITH {GRID}, s1 AS (SELECT * FROM s WHERE model=0), p1 AS (SELECT * FROM p WHERE model=0) "
+RATE = "CAST({0} AS DOUBLE) / nullif({1}, 0)".format
+
+
+@query(ONE + f"""
+, a AS (SELECT condition, count(*) AS n, count(*) FILTER (parsed) AS n_parsed, count(*) FILTER (evaluable) AS n_evaluable, count(*) FILTER (correct) AS n_correct FROM s1 GROUP BY condition),
+b AS (SELECT condition, count(*) FILTER (both_evaluable) AS n_pairs, count(*) FILTER (transition='C->C') AS cc, count(*) FILTER (transition='C->W') AS cw,
+   count(*) FILTER (transition='W->C') AS wc, count(*) FILTER (transition='W->W') AS ww,
+   {RATE("count(*) FILTER (position_changed)", "count(position_changed)")} AS position_change_rate, {RATE("count(*) FILTER (semantic_changed)", "count(semantic_changed)")} AS semantic_change_rate FROM p1 GROUP BY condition)
+SELECT a.condition, n, n_parsed, n_evaluable, n_correct, {RATE("n_parsed", "n")} AS parse_rate, {RATE("n_correct", "n_evaluable")} AS accuracy, {RATE("n_correct", "n_parsed")} AS lower_bound,
+  {RATE("(n_correct + n_parsed - n_evaluable)", "n_parsed")} AS upper_bound, n_pairs, cc, cw, wc, ww, position_change_rate, semantic_change_rate
+FROM a LEFT JOIN b USING (condition)""")
+def metrics_by_condition(spark, d):
+    s = scored(spark, d)
+    return metrics.by_condition(s, items.pair(s))
+
+
+@query(ONE + """SELECT condition, kind, label, n FROM (
+SELECT condition, 'transition' AS kind, transition AS label, count(*) AS n FROM p1 WHERE transition IS NOT NULL GROUP BY ALL
+UNION ALL SELECT condition, 'adaptation', adaptation, count(*) FROM p1 WHERE adaptation IS NOT NULL GROUP BY ALL
+UNION ALL SELECT condition, 'excluded', 'not_evaluable', count(*) FILTER (NOT both_evaluable) FROM p1 GROUP BY ALL)""")
+def transitions_long(spark, d):
+    return metrics.transitions_long(items.pair(scored(spark, d)))
+
+
+@query(ONE + """SELECT condition, count(*) FILTER (transition='C->C') AS cc, count(*) FILTER (transition='C->W') AS cw, count(*) FILTER (transition='W->C') AS wc, count(*) FILTER (transition='W->W') AS ww FROM p1 GROUP BY condition""")
+def transitions_wide(spark, d):
+    return metrics.transitions_wide(items.pair(scored(spark, d)))
+
+
+@query(f"""WITH {GRID}, q AS (SELECT model, question_id, bool_and(coalesce(correct, FALSE)) AS ok, count(DISTINCT answer_text) AS a FROM s
+WHERE condition IN ('mcq','roman_numeral','fixed_pos','no_symbols') GROUP BY ALL HAVING count(*) FILTER (evaluable) = 4)
+SELECT model, count(*) AS n_questions, {RATE("count(*) FILTER (ok)", "count(*)")} AS joint_reacc, {RATE("count(*) FILTER (a = 1)", "count(*)")} AS joint_recon FROM q GROUP BY model""")
+def group_consistency(spark, d):
+    return metrics.group_consistency(scored(spark, d, (31, 37)))
+
+
+FAILURE = """f AS (SELECT s.*, CASE WHEN NOT s.parsed THEN 'parse_failure' WHEN NOT s.evaluable THEN 'evaluation_ambiguity' WHEN s.correct THEN NULL
+  WHEN s.condition='mcq' THEN 'knowledge_error' WHEN s.condition='none_of_the_provided' AND coalesce(m.correct, FALSE) THEN 'required_adaptation_failure'
+  WHEN coalesce(m.correct, FALSE) THEN 'representation_instability' ELSE 'knowledge_error' END AS failure
+  FROM s JOIN s m ON s.model=m.model AND s.question_id=m.question_id AND m.condition='mcq')"""
+
+
+@query(f"WITH {GRID}, {FAILURE} SELECT model, failure, count(*) AS n FROM f WHERE failure IS NOT NULL GROUP BY ALL")
+def failure_taxonomy(spark, d):
+    return metrics.failure_taxonomy(items.with_failure(scored(spark, d, (31, 37))))
+
+
+@query(f"""WITH {GRID}, a AS (SELECT model, avg(correct::INT::DOUBLE) FILTER (condition='mcq') AS mcq_accuracy, avg(correct::INT::DOUBLE) FILTER (condition IN ('roman_numeral','fixed_pos','no_symbols')) AS invariance_accuracy,
+ avg(correct::INT::DOUBLE) FILTER (condition IN ('none_of_the_provided','incorrect')) AS adaptation_accuracy FROM s GROUP BY model),
+b AS (SELECT model, {RATE("count(*) FILTER (adaptation LIKE 'failure%')", "count(*)")} AS adaptation_failure_rate FROM p WHERE condition IN ('none_of_the_provided','incorrect') GROUP BY model),
+c AS (SELECT model, {RATE("count(*) FILTER (ok)", "count(*)")} AS joint_reacc FROM (SELECT model, question_id, bool_and(coalesce(correct, TRUE)) AS ok FROM s WHERE condition IN ('mcq','roman_numeral','fixed_pos','no_symbols') GROUP BY ALL) GROUP BY model)
+SELECT * FROM a JOIN b USING (model) JOIN c USING (model)""")
+def main_results_table(spark, d):
+    s = scored(spark, d, (31, 37))
+    return metrics.main_table(s, items.pair(s))
+
+
+@query(f"""WITH {GRID} SELECT x.condition, count(*) AS n, count(*) FILTER (NOT coalesce(x.correct,FALSE) AND coalesce(y.correct,FALSE)) AS rescues, count(*) FILTER (coalesce(x.correct,FALSE) AND NOT coalesce(y.correct,FALSE)) AS hurts,
+ count(*) FILTER (NOT coalesce(x.correct,FALSE) AND coalesce(y.correct,FALSE)) - count(*) FILTER (coalesce(x.correct,FALSE) AND NOT coalesce(y.correct,FALSE)) AS net
+ FROM s x JOIN s y ON x.question_id=y.question_id AND x.condition=y.condition AND x.model=0 AND y.model=1 GROUP BY x.condition""")
+def rescue_hurt(spark, d):
+    return metrics.rescue_hurt(scored(spark, d, (31, 37)), 0, 1)
+
+
+REWARD = """r AS (SELECT *, CASE WHEN condition='open' THEN 0.0 WHEN coalesce(correct,FALSE) THEN 1.0 ELSE 0.0 END::DOUBLE AS r_correct,
+ CASE WHEN condition='open' THEN 0.0 WHEN coalesce(correct,FALSE) THEN 1.0 WHEN NOT parsed THEN 0.0 WHEN condition IN ('mcq','incorrect') THEN 0.5 WHEN condition IN ('roman_numeral','fixed_pos','no_symbols') THEN 0.25 ELSE 0.0 END::DOUBLE AS r_symbolic,
+ CASE WHEN sel=4 AND condition NOT IN ('open','no_symbols') THEN 0.0 ELSE 1.0 END::DOUBLE AS r_format FROM s1)"""
+
+
+@query(ONE + f", {REWARD} SELECT question_id, condition, r_correct, r_symbolic, r_format, r_correct + 0.5 * r_symbolic AS r_total FROM r")
+def reward_scores(spark, d):
+    return metrics.rewards(scored(spark, d)).select("question_id", "condition", "r_correct", "r_symbolic", "r_format", "r_total")
+
+
+@query(ONE + f", {REWARD} SELECT condition, count(*) AS n, avg(r_correct) AS mean_correct, avg(r_symbolic) AS mean_symbolic, avg(r_correct + 0.5 * r_symbolic) AS mean_total FROM r GROUP BY condition")
+def reward_summary(spark, d):
+    r = metrics.rewards(scored(spark, d))
+    return r.groupBy("condition").agg(F.count("*").alias("n"), F.avg("r_correct").alias("mean_correct"), F.avg("r_symbolic").alias("mean_symbolic"), F.avg("r_total").alias("mean_total"))
+
+
+# ---- parsing ---------------------------------------------------------------------------------------------------
+
+
+def _wrapped(spark, d):
+    """Answers in several dresses, by part key."""
+    k = F.col("p_partkey")
+    lab = F.get(F.array(*map(F.lit, P.LETTERS)), F.pmod(k, F.lit(4)).cast("int"))
+    other = F.get(F.array(*map(F.lit, P.LETTERS)), F.pmod(k + 1, F.lit(4)).cast("int"))
+    raw = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"answer": "'), lab, F.lit('"}'))).when(k % 6 == 1, F.concat(F.lit("("), lab, F.lit(")"))).when(k % 6 == 2, F.concat(F.lit("Option "), lab, F.lit(" it is")))
+        .when(k % 6 == 3, F.concat(lab, F.lit(" or "), other)).when(k % 6 == 4, F.lit("no idea")).otherwise(F.concat(F.lit('```json\n{"answer": "'), lab, F.lit('"}\n```')))
+    )
+    return t(spark, d, "part").select(k.alias("question_id"), raw.alias("raw"))
+
+
+_LAB = "substr('ABCD', CAST(p_partkey % 4 AS INT) + 1, 1)"
+
+
+@query(f"""SELECT p_partkey AS question_id, CASE WHEN p_partkey % 6 IN (0,1,2,5) THEN {_LAB} END AS label,
+CASE p_partkey % 6 WHEN 3 THEN 'ambiguous labels' WHEN 4 THEN 'no valid label found' END AS reason FROM part""")
+def label_parse(spark, d):
+    w = _wrapped(spark, d)
+    return w.select("question_id", P.parse_label(F.col("raw"), P.LETTERS).alias("p")).select("question_id", "p.*")
+
+
+@query(f"""SELECT p_partkey AS question_id, CASE WHEN p_partkey % 6 IN (0,1,2,5) THEN {_LAB}
+ WHEN p_partkey % 6 = 3 THEN CASE p_partkey % 4 WHEN 0 THEN 'A,B' WHEN 1 THEN 'B,C' WHEN 2 THEN 'C,D' ELSE 'A,D' END END AS labels FROM part""")
+def label_set_parse(spark, d):
+    return _wrapped(spark, d).select("question_id", F.array_join(P.parse_label_set(F.col("raw"), P.LETTERS)["labels"], ",").alias("labels"))
+
+
+@query(f"SELECT p_partkey AS question_id, CASE WHEN p_partkey % 6 = 0 THEN {_LAB} END AS text FROM part")
+def free_text_parse(spark, d):
+    return _wrapped(spark, d).select("question_id", P.parse_free_text(F.col("raw"))["text"].alias("text"))
+
+
+@query("SELECT p_partkey AS question_id, CASE p_partkey % 6 WHEN 0 THEN 1.0 WHEN 5 THEN 0.8 ELSE 0.0 END::DOUBLE AS r_format FROM part")
+def format_reward(spark, d):
+    return _wrapped(spark, d).select("question_id", P.format_reward(F.col("raw")).alias("r_format"))
+
+
+@query("SELECT p_partkey AS question_id, CASE p_partkey % 6 WHEN 0 THEN TRUE ELSE FALSE END AS found, CASE p_partkey % 6 WHEN 0 THEN 'string' END AS kind FROM part")
+def strict_json(spark, d):
+    return _wrapped(spark, d).select("question_id", P.strict_answer("raw").alias("a")).select("question_id", "a.found", "a.kind")
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, lower(p_name) AS n, CASE p_partkey % 4 WHEN 0 THEN lower(p_name) WHEN 1 THEN 'it is ' || lower(p_name) WHEN 2 THEN 'zz qq' ELSE lower(p_name) || ' or other thing' END AS ans FROM part)
+SELECT method, count(*) AS n FROM (SELECT CASE id % 4 WHEN 0 THEN 'exact' WHEN 2 THEN 'no_match' ELSE CASE WHEN length(trim(regexp_replace(n, '[^a-z0-9]+', ' ', 'g'))) >= 0.4 * length(trim(regexp_replace(ans, '[^a-z0-9]+', ' ', 'g'))) THEN 'option_in_answer' ELSE 'no_match' END END AS method FROM a) GROUP BY method""")
+def match_text_methods(spark, d):
+    n, k = F.lower("p_name"), F.col("p_partkey")
+    answer = F.when(k % 4 == 0, n).when(k % 4 == 1, F.concat(F.lit("it is "), n)).when(k % 4 == 2, F.lit("zz qq")).otherwise(F.concat(n, F.lit(" or other thing")))
+    m = t(spark, d, "part").select(T.match_option(answer, F.array(n, F.lit("another option"), F.lit("third choice"))).alias("m"))
+    return m.groupBy(F.col("m.method").alias("method")).agg(F.count("*").alias("n"))
+
+
+# ---- dedup, alignment, logs --------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY ALL) SELECT count(*) AS n_keys, count(*) FILTER (c > 1) AS n_repeated, CAST(sum(c) AS BIGINT) AS n_rows FROM a""")
+def duplicate_requests(spark, d):
+    a = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c"))
+    return a.agg(F.count("*").alias("n_keys"), F.count_if(F.col("c") > 1).alias("n_repeated"), F.sum("c").alias("n_rows"))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS n_parts FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) < 3")
+def incomplete_sets(spark, d):
+    return items.incomplete(t(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", 3)
+
+
+@query("""SELECT count(*) AS n_ids, count(*) FILTER (a AND b) AS in_both, count(*) FILTER (a AND NOT b) AS only_orders, count(*) FILTER (b AND NOT a) AS only_lineitem FROM
+(SELECT id, bool_or(side='o') AS a, bool_or(side='l') AS b FROM (SELECT o_orderkey AS id, 'o' AS side FROM orders UNION ALL SELECT l_orderkey, 'l' FROM lineitem) GROUP BY id)""")
+def id_alignment(spark, d):
+    o, l = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("o").alias("side")), t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("l").alias("side"))
+    g = o.unionByName(l).groupBy("id").agg(F.bool_or(F.col("side") == "o").alias("a"), F.bool_or(F.col("side") == "l").alias("b"))
+    return g.agg(F.count("*").alias("n_ids"), F.count_if(F.col("a") & F.col("b")).alias("in_both"), F.count_if(F.col("a") & ~F.col("b")).alias("only_orders"), F.count_if(F.col("b") & ~F.col("a")).alias("only_lineitem"))
+
+
+@query("""WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role='user'), a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role='assistant'),
+w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role='user')
+SELECT count(*) AS n_positions, count(*) FILTER (a.turn = w.turn + 1) AS n_adjacent FROM w JOIN a USING (conv_id, rn)""")
+def positional_vs_id(spark, d):
+    c = t(spark, d, "conversations")
+    numbered = lambda role, name: c.where(F.col("role") == role).select("conv_id", F.col("turn").alias(name), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("rn"))
+    j = numbered("user", "u").join(numbered("assistant", "a"), ["conv_id", "rn"])
+    return j.agg(F.count("*").alias("n_positions"), F.count_if(F.col("a") == F.col("u") + 1).alias("n_adjacent"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS b FROM events)
+SELECT x.user_id, x.event_type, x.value AS first_value, y.value AS last_value, y.value > x.value AS recovered FROM e x JOIN e y USING (user_id, event_type) WHERE x.a = 1 AND y.b = 1""")
+def run_recovery(spark, d):
+    g = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min_by("value", F.struct("ts", "event_id")).alias("first_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    return g.withColumn("recovered", F.col("last_value") > F.col("first_value"))
+
+
+@query("""SELECT user_id, event_id, spent_before FROM (SELECT user_id, event_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent_before FROM events) WHERE spent_before < 100""")
+def cost_ceiling(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return t(spark, d, "events").select("user_id", "event_id", F.coalesce(F.sum("value").over(w), F.lit(0.0)).alias("spent_before")).where("spent_before < 100")
+
+
+@query("SELECT event_type, count(*) AS n, sum(user_id * 0.3 / 1e6 + (event_id % 50 + event_id % 7) * 2.5 / 1e6) AS cost, sum(user_id * 0.3 / 1e6 + (event_id % 50) * 2.5 / 1e6) AS cost_without_thinking FROM events GROUP BY event_type")
+def cost_by_event(spark, d):
+    e = t(spark, d, "events").select("event_type", F.col("user_id").alias("i"), (F.col("event_id") % 50).alias("o"), (F.col("event_id") % 7).alias("th"))
+    cost = lambda bill: F.sum(S.token_cost(F.col("i"), F.col("o"), F.col("th"), 0.3, 2.5, bill))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), cost(True).alias("cost"), cost(False).alias("cost_without_thinking"))
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, count(*) FILTER (json_extract(props, '$.k') IS NULL) AS n_unknown FROM events GROUP BY event_type")
+def thinking_tokens(spark, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    return t(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("tokens"), F.count_if(k.isNull()).alias("n_unknown"))
+
+
+# ---- statistics --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {GRID}, j AS (SELECT x.condition, coalesce(x.correct,FALSE) AS a, coalesce(y.correct,FALSE) AS b FROM s x JOIN s y ON x.question_id=y.question_id AND x.condition=y.condition AND x.model=0 AND y.model=1),
+c AS (SELECT scope, count(*) AS n, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only, count(*) FILTER (NOT a AND NOT b) AS neither FROM (SELECT unnest(['all', condition]) AS scope, a, b FROM j) GROUP BY scope)
+SELECT *, (abs(a_only - b_only) - 1.0)**2 / nullif(a_only + b_only, 0) AS statistic FROM c""")
+def model_comparison(spark, d):
+    return stats.compare_models(scored(spark, d, (31, 37)), 0, 1).drop("p_value")
+
+
+@query("""WITH c AS (SELECT n, k FROM (SELECT unnest(range(1, 25)) AS n), (SELECT unnest(range(0, 25)) AS k) WHERE k <= n)
+SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * 0.5 ** n))), 9) AS p FROM c""")
+def exact_binomial(spark, d):
+    nk = spark.range(1, 25).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
+    return nk.select("n", "k", stats.binomial_two_sided(F.col("k"), F.col("n") - F.col("k")).alias("p")).withColumn("p", F.round("p", 9))
+
+
+@query("""WITH u AS (SELECT user_id, sum(value) AS d, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY user_id) - 1 AS i FROM events GROUP BY user_id), n AS (SELECT count(*) AS n FROM u),
+dr AS (SELECT b, (b * 1103 + i * 7919 + b * i * 13 + 42) % n AS i FROM u, n, (SELECT unnest(range(0, 200)) AS b)),
+m AS (SELECT b, sum(d) / sum(w) AS m FROM dr JOIN u USING (i) GROUP BY b)
+SELECT count(*) AS replicates, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_pop(m) AS se, avg(m) AS mean FROM m""")
+def cluster_bootstrap(spark, d):
+    u = t(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("d"), F.count("*").cast("double").alias("w"))
+    return stats.bootstrap(u.withColumn("i", F.row_number().over(Window.orderBy("user_id")).cast("long") - 1).drop("user_id"), "i")
+
+
+# ---- text --------------------------------------------------------------------------------------------------------
+
+_PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+_N1 = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))".format
+
+
+@query(f"""SELECT doc_id, md5({_N1("text")}) AS n1, md5(trim(regexp_replace(translate(trim(lower(text)), '{_PUNCT}', ''), '\\s+', ' ', 'g'))) AS n2, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS n4,
+ CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents""")
+def norm_texts(spark, d):
+    s = F.col("text")
+    return t(spark, d, "documents").select("doc_id", F.md5(T.norm_words(s)).alias("n1"), F.md5(T.norm_no_punctuation(s)).alias("n2"), F.md5(T.norm_case(s)).alias("n4"), long(T.word_count(s)).alias("n_words"))
+
+
+@query(f"""WITH k AS (SELECT source AS grp, {_N1("text")} AS k, count(*) AS n FROM documents GROUP BY ALL)
+SELECT grp, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, count(*) FILTER (n > 1) AS dup_groups, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_in_dups, CAST(sum(n - 1) AS BIGINT) AS extra_rows FROM k GROUP BY grp""")
+def duplicate_profile(spark, d):
+    return overlap.duplicate_profile(t(spark, d, "documents"), "source", T.norm_words)
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS n_null, count(*) FILTER (trim(CAST({c} AS VARCHAR)) = '') AS n_blank, count(DISTINCT {c}) AS n_unique FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")) + ")")
+def column_profile(spark, d):
+    return overlap.column_profile(t(spark, d, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1")
+def value_distribution(spark, d):
+    return t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH a AS (SELECT {_N1("text")} AS k, count(*) AS na FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT {_N1("text")} AS k, count(*) AS nb FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
+SELECT count(*) AS shared_keys, CAST(coalesce(sum(na), 0) AS BIGINT) AS rows_a, CAST(coalesce(sum(nb), 0) AS BIGINT) AS rows_b FROM a JOIN b USING (k) WHERE k <> ''""")
+def exact_overlap(spark, d):
+    """The two halves are the operator's two sides, not a sample."""
+    docs = t(spark, d, "documents")
+    return overlap.exact_overlap(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), T.norm_words)
+
+
+@query(f"""SELECT doc_id, item_id FROM (SELECT doc_id, {_N1("text")} AS h FROM documents) JOIN (SELECT item_id, {_N1("text")} AS q FROM benchmark) ON q <> '' AND contains(' ' || h || ' ', ' ' || q || ' ')""")
+def passage_containment(spark, d):
+    return overlap.contained_phrases(t(spark, d, "documents"), t(spark, d, "benchmark"))
+
+
+@query(f"""WITH d AS (SELECT lang AS grp, doc_id AS id, list_distinct(string_split({_N1("text")}, ' ')) AS w FROM documents WHERE {_N1("text")} <> ''),
+k AS (SELECT grp, id, unnest(w) AS t FROM d), b AS (SELECT grp, t FROM k WHERE length(t) >= 5 GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8), x AS (SELECT k.* FROM k JOIN b USING (grp, t)),
+c AS (SELECT DISTINCT a.grp, a.id, b.id AS id2 FROM x a JOIN x b ON a.grp=b.grp AND a.t=b.t AND a.id<b.id)
+SELECT c.grp, c.id, id2, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS jaccard FROM c JOIN d a ON a.id=c.id JOIN d b ON b.id=id2
+WHERE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.85""")
+def near_duplicates(spark, d):
+    return overlap.near_duplicates(t(spark, d, "documents").select(F.col("lang").alias("grp"), F.col("doc_id").alias("id"), "text"))
+
+
+_TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9_ßà-öø-ÿ]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+
+
+@query(f"""WITH d AS (SELECT item_id % 4 AS grp, item_id AS id, {_TOK} AS w FROM benchmark), j AS (SELECT a.grp, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS j FROM d a JOIN d b ON a.grp=b.grp AND a.id<b.id)
+SELECT grp, count(*) AS n_pairs, avg(j) AS mean_j, max(j) AS max_j, min(j) AS min_j, avg(j) > 0.8 AS flagged FROM j GROUP BY grp""")
+def diversity_by_group(spark, d):
+    return overlap.group_diversity(t(spark, d, "benchmark").select((F.col("item_id") % 4).alias("grp"), F.col("item_id").alias("id"), "text"))
+
+
+@query(r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d+-year-old\b', '<AGE>', 'g'), '\b\d+(\.\d+)?\s*(mg/dL|mL/min|mg|mL|%)', '<VALUE>', 'g'), '\b\d+\b', '<NUM>', 'g'), '\b([Hh]e|[Ss]he|[Hh]is|[Hh]er|[Hh]im)\b', '<PRON>', 'g')) AS skeleton FROM conversations""")
+def skeletons(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", F.md5(T.skeleton(F.col("text"))).alias("skeleton"))
+
+
+@query("""WITH p AS (SELECT l.toxic, CASE WHEN """ + " OR ".join(f"contains(lower(text), '{k}')" for k in T.KEYWORDS) + """ THEN 1 ELSE 0 END AS hit FROM documents JOIN labels l USING (doc_id))
+SELECT toxic, count(*) AS n, CAST(sum(hit) AS BIGINT) AS n_hit, avg(CASE WHEN hit = toxic THEN 1.0 ELSE 0.0 END) AS accuracy FROM p GROUP BY toxic""")
+def keyword_heuristic(spark, d):
+    j = t(spark, d, "documents").select("doc_id", T.keyword_hit(F.col("text")).alias("hit")).join(t(spark, d, "labels"), "doc_id")
+    return j.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("hit").alias("n_hit"), F.avg((F.col("hit") == F.col("toxic")).cast("double")).alias("accuracy"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '\b(stupid|worthless)\b') AS banned, regexp_matches(text, '[><=]=?\s*\d+') AS threshold, contains(text, '(') AS parenthesis FROM documents""")
+def lint_banned(spark, d):
+    s = F.col("text")
+    return t(spark, d, "documents").select("doc_id", s.rlike(r"\b(stupid|worthless)\b").alias("banned"), s.rlike(r"[><=]=?\s*\d+").alias("threshold"), F.contains(s, F.lit("(")).alias("parenthesis"))
+
+
+@query("""WITH p AS (SELECT conv_id, text, role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole FROM conversations),
+x AS (SELECT length(nxt) - length(text) AS diff FROM p WHERE role='user' AND nrole='assistant') SELECT count(*) AS n, avg(diff) AS mean_diff, median(diff) AS median_diff, stddev_samp(diff) AS std_diff, count(*) FILTER (diff = 0) AS n_same FROM x""")
+def descriptives(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = t(spark, d, "conversations").select("role", "text", F.lead("text").over(w).alias("nxt"), F.lead("role").over(w).alias("nrole")).where("role = 'user' AND nrole = 'assistant'")
+    x = x.select((F.length("nxt") - F.length("text")).alias("diff"))
+    return x.agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff"), F.median("diff").alias("median_diff"), F.stddev_samp("diff").alias("std_diff"), F.count_if(F.col("diff") == 0).alias("n_same"))
+
+
+@query()
+def lexical_similarity(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = t(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("nxt")).where("nxt IS NOT NULL")
+    return x.select("conv_id", "turn", T.lexical_similarity(F.col("text"), F.col("nxt")).alias("similarity"))
+
+
+# ---- samples, splits, graphs ---------------------------------------------------------------------------------------
+
+_SHARES = """c AS (SELECT lang AS stratum, count(*) AS n FROM documents GROUP BY 1), q AS (SELECT *, n * 100 / sum(n) OVER () AS quota FROM c), f AS (SELECT *, floor(quota) AS base FROM q),
+sh AS (SELECT stratum, n, CAST(base + CASE WHEN row_number() OVER (ORDER BY round(quota - base, 9) DESC, stratum) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS k FROM f)"""
+_ORD = "(doc_id * 7919 + 42) % 10007"
+
+
+def _shares(spark, d):
+    return splits.largest_remainder(t(spark, d, "documents").groupBy(F.col("lang").alias("stratum")).agg(F.count("*").alias("n")), 100)
+
+
+@query(f"WITH {_SHARES} SELECT * FROM sh")
+def stratified_alloc(spark, d):
+    return _shares(spark, d)
+
+
+def _rows(spark, d):
+    return t(spark, d, "documents").select(F.col("lang").alias("stratum"), F.col("doc_id").alias("id"), "text")
+
+
+@query(f"WITH {_SHARES}, r AS (SELECT lang AS stratum, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY {_ORD}, doc_id) AS rn FROM documents) SELECT stratum, id, rn FROM r JOIN sh USING (stratum) WHERE rn <= k")
+def stratified_sample(spark, d):
+    return splits.stratified_sample(_rows(spark, d).drop("text"), _shares(spark, d), (F.col("id") * 7919 + 42) % 10007)
+
+
+@query("WITH r AS (SELECT lang AS stratum, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) SELECT stratum, id, row_number() OVER (ORDER BY rn, stratum) AS stage_order FROM r")
+def round_robin(spark, d):
+    return splits.round_robin(_rows(spark, d).drop("text"))
+
+
+_SPLIT = f"""k AS (SELECT doc_id AS id, lang AS stratum, {_N1("text")} AS k FROM documents), cl AS (SELECT stratum, k, min(id) AS cluster, count(*) AS size FROM k GROUP BY ALL),
+tot AS (SELECT lang AS stratum, count(*) AS total FROM documents GROUP BY 1),
+o AS (SELECT cl.stratum, cluster, size, total, coalesce(sum(size) OVER (PARTITION BY cl.stratum ORDER BY (cluster * 7919 + 42) % 10007, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cl JOIN tot USING (stratum)),
+tr AS (SELECT *, before < round_even(total * 0.7, 0) AS is_train FROM o), x AS (SELECT *, sum(CASE WHEN is_train THEN size ELSE 0 END) OVER (PARTITION BY stratum) AS in_train FROM tr),
+sp AS (SELECT stratum, cluster, size, CASE WHEN is_train THEN 'train' WHEN before - in_train < round_even(total * 0.1, 0) THEN 'val' ELSE 'final_test' END AS split FROM x)"""
+
+
+def _split(spark, d):
+    rows = _rows(spark, d)
+    clusters = splits.text_clusters(rows, T.norm_words).select("stratum", "cluster", "size").distinct()
+    totals = rows.groupBy("stratum").agg(F.count("*").alias("total"))
+    return splits.greedy_split(clusters, totals, (F.col("cluster") * 7919 + 42) % 10007)
+
+
+@query(f"WITH {_SPLIT} SELECT * FROM sp")
+def greedy_split(spark, d):
+    return _split(spark, d)
+
+
+@query(f"WITH {_SPLIT} SELECT stratum, split, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_rows FROM sp GROUP BY ALL")
+def split_summary(spark, d):
+    return _split(spark, d).groupBy("stratum", "split").agg(F.count("*").alias("n_clusters"), F.sum("size").alias("n_rows"))
+
+
+@query(f"""WITH a AS (SELECT DISTINCT {_N1("text")} AS k, CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'val' ELSE 'final_test' END AS split FROM documents)
+SELECT x.split, y.split AS other, count(*) AS n_shared FROM a x JOIN a y ON x.k=y.k AND x.split<y.split GROUP BY ALL""")
+def leakage_violations(spark, d):
+    m = F.col("doc_id") % 5
+    return splits.leakage(t(spark, d, "documents").select(T.norm_words(F.col("text")).alias("k"), F.when(m < 3, "train").when(m == 3, "val").otherwise("final_test").alias("split")), "k")
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, -1 - (o_orderkey % 700) AS b FROM orders), bo AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, root) USING KEY (node) AS (SELECT a, a FROM bo GROUP BY a UNION SELECT x.node, min(x.root) FROM (SELECT b2.a AS node, r.root AS root FROM r JOIN bo b2 ON b2.b = r.node JOIN recurring.r q ON q.node = b2.a WHERE r.root < q.root) x GROUP BY x.node)
+SELECT count(DISTINCT root) AS n_components, count(*) AS n_nodes FROM r""")
+def connected_components(spark, d):
+    e = t(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.lit(-1) - F.col("o_orderkey") % 700).alias("b"))
+    return splits.connected_components(e).agg(F.count_distinct("root").alias("n_components"), F.count("*").alias("n_nodes"))
+
+
+@query("SELECT source, count(*) FILTER (quality=0) AS q0, count(*) FILTER (quality=1) AS q1 FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def crosstab(spark, d):
+    j = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return j.groupBy("source").pivot("quality", [0, 1]).count().na.fill(0).withColumnsRenamed({"0": "q0", "1": "q1"})
+
+
+@query("""SELECT CASE WHEN GROUPING(lang)=1 THEN 'pooled' ELSE lang END AS lang, count(*) AS n, avg(CASE WHEN quality=1 THEN 1.0 ELSE 0.0 END) AS always_default, avg(CASE WHEN toxic=quality THEN 1.0 ELSE 0.0 END) AS agreement FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())""")
+def grouping_accuracy(spark, d):
+    j = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    g = j.rollup("lang").agg(F.grouping("lang").alias("g"), F.count("*").alias("n"), F.avg((F.col("quality") == 1).cast("double")).alias("always_default"), F.avg((F.col("toxic") == F.col("quality")).cast("double")).alias("agreement"))
+    return g.select(F.when(F.col("g") == 1, "pooled").otherwise(F.col("lang")).alias("lang"), "n", "always_default", "agreement")
+
+
+# ---- counterfactuals -----------------------------------------------------------------------------------------------
+
+_MARGIN = "((p_partkey * {0}) % 201 - 100) / 100.0".format
+
+
+def _wide(spark, d):
+    m = lambda k: (((F.col("p_partkey") * k) % 201 - 100) / F.lit(100.0))
+    return t(spark, d, "part").select("p_partkey", m(37).alias("base"), m(53).alias("edited"), m(71).alias("near_miss"))
+
+
+@query(f"""WITH w AS (SELECT {_MARGIN(37)} AS base, {_MARGIN(53)} AS edited, {_MARGIN(71)} AS near_miss FROM part), l AS (SELECT 'base' AS item_type, base AS margin FROM w UNION ALL SELECT 'edited', edited FROM w UNION ALL SELECT 'near_miss', near_miss FROM w)
+SELECT item_type, count(*) AS n, count(*) FILTER (margin > 0.125) AS n_correct, count(*) FILTER (margin < -0.125) AS n_incorrect, count(*) FILTER (abs(margin) <= 0.125) AS n_tie, avg(margin) AS mean_margin FROM l GROUP BY item_type""")
+def tieband_accuracy(spark, d):
+    w = _wide(spark, d).unpivot("p_partkey", ["base", "edited", "near_miss"], "item_type", "margin")
+    return counterfactual.tieband_accuracy(w, 0.125)
+
+
+@query(f"""WITH w AS (SELECT {_MARGIN(37)} AS base, {_MARGIN(53)} AS edited FROM part)
+SELECT CASE WHEN abs(base) <= 0.125 OR abs(edited) <= 0.125 THEN 'tie' WHEN base > 0 AND edited < 0 THEN 'flip' WHEN base > 0 THEN 'default_dominant' WHEN edited < 0 THEN 'alternative_dominant' ELSE 'both_incorrect' END AS outcome, count(*) AS n, avg(base) AS mean_base, avg(edited) AS mean_edited FROM w GROUP BY 1""")
+def cfr_metrics(spark, d):
+    return counterfactual.cfr(_wide(spark, d), 0.125)
+
+
+@query(f"""WITH w AS (SELECT {_MARGIN(37)} AS base, {_MARGIN(53)} AS edited, {_MARGIN(71)} AS near_miss FROM part)
+SELECT count(*) AS n, count(*) FILTER (base < -0.125 AND edited > 0.125 AND near_miss < -0.125) / count(*) AS dfr, count(*) FILTER (edited > 0.125 AND near_miss > 0.125) / count(*) AS over_flip, count(*) FILTER (base < -0.125 AND edited > 0.125) / count(*) AS cfr,
+ count(*) FILTER (abs(base) <= 0.125 OR abs(edited) <= 0.125 OR abs(near_miss) <= 0.125) AS any_tie FROM w""")
+def dfr_metrics(spark, d):
+    return counterfactual.dfr(_wide(spark, d), 0.125)
+
+
+_RULES = ", ".join(f"({i}, '{n}', '{s}', '{f}', {at}, {miss})" for i, (n, s, f, at, miss) in enumerate(counterfactual.RULES))
+
+
+@query(f"""WITH r(ri, rule_id, split, field, lim, miss) AS (VALUES {_RULES}), v AS (SELECT r.*, i, ty AS item_type, CASE ty WHEN 'edited' THEN CASE WHEN field='age' THEN lim + i % 5 ELSE lim - 1 - i % 5 END WHEN 'near_miss' THEN miss ELSE CASE WHEN field='age' THEN least(25 + round_even(i * 55 / 29, 0), lim - 5) ELSE 80 + i % 10 END END AS value
+ FROM r, (SELECT unnest(range(0, 30)) AS i), (SELECT unnest(['base','edited','near_miss','null_edit']) AS ty))
+SELECT rule_id, split, item_type, count(*) AS n, CAST(sum(value) AS BIGINT) AS sum_value, count(*) FILTER ((CASE WHEN field='age' THEN value >= lim ELSE value < lim END) = (item_type='edited')) AS n_sound FROM v GROUP BY ALL""")
+def vignette_verifier(spark, d):
+    v = counterfactual.vignettes(spark)
+    sound = counterfactual.fires(F.col("field"), F.col("value"), F.col("at")) == (F.col("item_type") == "edited")
+    return v.groupBy("rule_id", "split", "item_type").agg(F.count("*").alias("n"), F.sum("value").alias("sum_value"), F.count_if(sound).alias("n_sound"))
+
+
+@query("SELECT l_returnflag = 'N' AS chosen_is_default, sum(l_quantity) AS weight, count(*) AS n FROM lineitem GROUP BY 1")
+def class_balance(spark, d):
+    return t(spark, d, "lineitem").groupBy((F.col("l_returnflag") == "N").alias("chosen_is_default")).agg(F.sum("l_quantity").alias("weight"), F.count("*").alias("n"))
+
+
+@query("""WITH i AS (SELECT p_brand AS drug, CASE WHEN p_size % 3 = 0 THEN 'near_ood' ELSE 'train' END AS split, CASE WHEN p_partkey % 2 = 0 THEN 'avoid' ELSE 'correct' END AS polarity FROM part WHERE p_size < 5)
+SELECT drug FROM i GROUP BY drug HAVING (bool_or(polarity='avoid' AND split='train') AND bool_or(polarity='correct' AND split<>'train')) OR (bool_or(polarity='correct' AND split='train') AND bool_or(polarity='avoid' AND split<>'train'))""")
+def polarity_conflicts(spark, d):
+    p = t(spark, d, "part").where("p_size < 5").select(F.col("p_brand").alias("drug"), F.when(F.col("p_size") % 3 == 0, "near_ood").otherwise("train").alias("split"), F.when(F.col("p_partkey") % 2 == 0, "avoid").otherwise("correct").alias("polarity"))
+    return counterfactual.polarity_conflicts(p)
+
+
+@query()
+def bow_logreg_accuracy(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("text", F.col("toxic").cast("double").alias("label"), F.col("lang").alias("grp"))
+    return counterfactual.bag_of_words_accuracy(j, j)
+
+
+@query("""SELECT event_type, avg(value) AS mean, stddev_pop(value) / sqrt(count(*)) AS sem, count(*) AS n FROM events GROUP BY event_type""")
+def mean_sem(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), (F.stddev_pop("value") / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
+
+
+@query("SELECT CAST(floor(value / 10) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1")
+def value_histogram(spark, d):
+    return t(spark, d, "events").groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS id_sha256 FROM documents GROUP BY source")
+def id_digest(spark, d):
+    g = t(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return g.select("source", T.sha256(F.array_join(F.transform("ids", lambda x: x.cast("string")), "\n")).alias("id_sha256"))
