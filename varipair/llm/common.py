@@ -253,3 +253,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if not more:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = after
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop shuffle files of frames that are no longer held; they would stay until the next
+    collection of the driver's heap otherwise."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, edits, jaccard, pieces, quality, tokenstore, warc
+from . import chat, decontaminate, edits, jaccard, katz, pieces, quality, tokenstore, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": edits.op1,
+        "op2_katz_scores": katz.op2,
         "op4_jaccard_join": jaccard.op4,
         "op5_warc": warc.op5,
         "op6_pieces": pieces.op6,
