@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, edits, jaccard, katz, pieces, quality, tokenstore, warc
+import corpus_pipeline
+
+from . import chat, decontaminate, edits, jaccard, katz, pieces, quality, suffixes, tokenstore, warc
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": edits.op1,
         "op2_katz_scores": katz.op2,
+        "op3_suffix_array_dedup": suffixes.op3,
         "op4_jaccard_join": jaccard.op4,
         "op5_warc": warc.op5,
         "op6_pieces": pieces.op6,
@@ -16,6 +19,7 @@ def queries() -> dict:
         "op8_chat_format": chat.op8,
         "op9_decontamination": decontaminate.op9,
         "op10_token_store": tokenstore.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
