@@ -36,6 +36,8 @@ _BLOCK = pa.schema([("block", pa.int64()), ("data", pa.binary())])
 _ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
 _ROW_DDL = "kind string, bucket int, block long, data binary"
 UNIQUE, REPEATED, SORT, REPEATED_SORT = 0, 1, 2, 3
+#: Buckets of runs to be sorted, for each bucket of names: sorting takes some 100 bytes for each byte.
+FINER = 16
 
 
 # ---- the difference-cover suffix sort ----------------------------------------------------------------------------
@@ -338,7 +340,7 @@ def _run(docs: DataFrame, mode: str, names: list[str]) -> DataFrame:
     n = 2 * C.shuffle_partitions(spark)
     blocks = C.written(C.arrow_map(docs, _pack, "block long, data binary"), "suffix-blocks", codec="uncompressed")
     verdicts = C.arrow_groups(C.arrow_map(blocks, _ask, _ROW_DDL, n), "bucket", _judge, _ROW_DDL)
-    shipped = C.written(C.arrow_pairs(blocks, verdicts, "block", _ship, _ROW_DDL, n), "suffix-runs", codec="uncompressed", partition_by="kind")
+    shipped = C.written(C.arrow_pairs(blocks, verdicts, "block", _ship, _ROW_DDL, FINER * n), "suffix-runs", codec="uncompressed", partition_by="kind")
     C.release(spark)
     sorted_ = C.arrow_groups(shipped.where("kind = 'sort'"), "bucket", _sort, _ROW_DDL)
     spans = shipped.where("kind = 'spans'").unionByName(sorted_)
