@@ -145,7 +145,7 @@ class Runs:
         stop = ok.copy()
         stop[:-1] = ok[:-1] & (~ok[1:] | new[1:])
         self.first, self.last = np.flatnonzero(new), np.flatnonzero(stop)
-        self.name = name[self.first]
+        self.name = C.mix(name[self.first] + np.uint64(1))  # least hashes are small: spread them over the buckets
         self.bytes = h.of(self.first, self.last + WIDTH)
         times = np.zeros(len(grams) + 1, np.int64)
         # A run repeats a window in itself only if the least gram stands in it more than once.
