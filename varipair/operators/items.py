@@ -16,10 +16,18 @@ from ..functions import text as T
 TEXTS = ["alpha", "bravo", "charlie", "delta"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a small file would leave costly expressions to one of them; larger inputs, which
+    come in as many partitions, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def items_from_parts(part: DataFrame, multipliers: tuple[int, ...] = (31,)) -> DataFrame:
     """(model, question_id, source_dataset, ci, condition, gold, raw_response): one narrow expansion, no join."""
     conds = F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(c).alias("condition")) for i, c in enumerate(S.CONDITIONS)])
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m, k in enumerate(multipliers)])
+    part = spread(part.select("p_partkey", "p_type", "p_size"))
     rows = part.select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("source_dataset"), "p_size", F.explode(models).alias("m"), F.lit(conds).alias("conds"))
     rows = rows.select("question_id", "source_dataset", "p_size", "m.*", F.explode("conds").alias("c")).select("*", "c.*").drop("c")
     gold = F.when(F.col("condition") == "fixed_pos", F.lit(3)).otherwise(F.pmod(F.col("question_id") * 7 + 3, F.lit(4)).cast("int"))
