@@ -2,8 +2,9 @@
 
 A unit is a run of white space and the run of other characters after it. The tokenizer's own pattern never
 joins a character with white space that follows it, so a text's ids are the ids of its units, one after the
-other, and the library is asked once for each distinct unit a worker meets. A text that holds the string of a
-special token goes to the library whole.
+other, and the library is asked once for each distinct unit a worker meets: many new units go to it as one text,
+and the bytes of the ids that come back show where each unit ends. A text that holds the string of a special
+token goes to the library whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ _OTHER = re.compile(r"[\0\t\x0b-\r\x85\xa0  -     　]")
 _UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: The longest unit that is remembered; longer ones are encoded each time.
 LONGEST = 64
+#: New units that go to the library as one text.
+JOINED = 2000
 
 
 class ByteBPE:
@@ -34,6 +37,10 @@ class ByteBPE:
         self.tokenizer.encode_special_tokens = ordinary
         self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        # A token's characters stand for one byte each.
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.n_bytes[at] = len(token)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -45,13 +52,35 @@ class ByteBPE:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the units not yet known, in one call."""
-        if len(self.memo) > C.MEMO:
-            self.memo.clear()
-        new = list({u for units in texts for u in units if len(u) <= LONGEST}.difference(self.memo))
-        if new:
-            for unit, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        met: set[str] = set()
+        for units in texts:
+            met.update(units)
+        if len(self.memo) > C.MEMO:  # what these texts have stays: mostly the frequent units
+            self.memo = {u: self.memo[u] for u in met if u in self.memo}
+        new = [u for u in met.difference(self.memo) if len(u) <= LONGEST]
+        # One behind the other, units are parted as in a text if each begins with white space and none ends with it.
+        inner = [u for u in new if u and u[0] in " \n" and not u[-1].isspace()]
+        for i in range(0, len(inner), JOINED):
+            self._learn_joined(inner[i : i + JOINED])
+        rest = [u for u in new if u not in self.memo]
+        if rest:
+            for unit, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.memo[unit] = np.array(got.ids, "<u4").tobytes()
 
+    def _learn_joined(self, units: list[str]) -> None:
+        """Remember units from the ids of all in one text; none of them if the ids do not part where the units do."""
+        text = "".join(units)
+        if any(s in text for s in self.special):
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(u.encode()) for u in units])
+        token_ends = np.cumsum(self.n_bytes[ids])
+        at = np.searchsorted(token_ends, ends)
+        if not len(ids) or at[-1] != len(ids) - 1 or not np.array_equal(token_ends[at], ends):
+            return
+        data, stops = ids.tobytes(), (4 * (at + 1)).tolist()
+        self.memo.update(zip(units, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+
     def _ids(self, unit: str) -> bytes:
         got = self.memo.get(unit)
         return self.whole(unit) if got is None else got

@@ -36,16 +36,21 @@ _ROWS = "kind string, key binary, doc_id long, n_tokens long, digests binary, si
 _ROW_SCHEMA = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("sizes", pa.binary()), ("root", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
 
 
-def cut(ids: np.ndarray) -> list[tuple[int, int]]:
-    """Chunk bounds of an id stream: after an id where the rolling hash of the last WINDOW ids is 0 modulo
-    USUAL, LEAST ids at least and MOST at most."""
-    n = len(ids)
-    if n <= LEAST:
-        return [(0, n)]
-    h = C.hash_windows(C.mix(ids.astype(np.uint64) + np.uint64(1)), WINDOW)
-    marks = np.flatnonzero((h & np.uint64(USUAL - 1)) == 0) + WINDOW
+def marks_of(stream: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """Per document of a stream of ids: the places behind an id where the rolling hash of the last WINDOW ids of
+    that document is 0 modulo USUAL."""
+    h = C.hash_windows(C.mix(stream.astype(np.uint64) + np.uint64(1)), WINDOW)
+    hits = np.flatnonzero((h & np.uint64(USUAL - 1)) == 0)
+    starts = np.r_[0, ends[:-1]]
+    lows, highs = np.searchsorted(hits, starts), np.searchsorted(hits, ends - WINDOW, side="right")
+    hits = hits.tolist()
+    return [[x - start + WINDOW for x in hits[a:b]] for a, b, start in zip(lows.tolist(), highs.tolist(), starts.tolist(), strict=True)]
+
+
+def cut(n: int, marks: list[int]) -> list[tuple[int, int]]:
+    """Chunk bounds of n ids: at marks, LEAST ids at least and MOST at most."""
     bounds, at = [], 0
-    for mark in marks.tolist():
+    for mark in marks:
         while mark - at > MOST:
             bounds.append((at, at + MOST))
             at += MOST
@@ -88,13 +93,16 @@ def _encode(batches, path: str, end_id: int):
     from . import bytebpe
 
     bpe, task, given, copies = bytebpe.load(path), TaskContext.get().partitionId(), set(), {}
+    end = np.array([end_id], "<u4").tobytes()
     for part in C.steps(batches):
         rows = []
         texts = [x or "" for x in part.column("text").to_pylist()]
-        for doc_id, data in zip(part.column("doc_id").to_pylist(), bpe.encode(texts), strict=True):
-            ids = np.append(np.frombuffer(data, "<u4"), np.uint32(end_id)).astype("<u4")
-            keys, sizes = [], []
-            for a, b in cut(ids):
+        encoded = [data + end for data in bpe.encode(texts)]
+        stream, ends = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum([len(x) // 4 for x in encoded])
+        for doc_id, stop, data, marks in zip(part.column("doc_id").to_pylist(), ends.tolist(), encoded, marks_of(stream, ends), strict=True):
+            n = len(data) // 4
+            ids, keys, sizes = stream[stop - n : stop], [], []
+            for a, b in cut(n, marks):
                 key = digest(ids[a:b].tobytes())
                 keys.append(key)
                 sizes.append(b - a)
