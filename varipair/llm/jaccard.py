@@ -11,7 +11,9 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two sets
 3. Candidates come from the postings of a shingle: first with the most central node that has it (the one with the
    highest mean document frequency), then with one central node of each of eight parts, last between all nodes
    that are not yet connected. So large groups of copies cost one verification a node, not one a pair, and no
-   link that decides connectivity is left untested.
+   link that decides connectivity is left untested. The last join compares bitmaps: each shared shingle flips one
+   of 256 bits, so two sets differ in at least as many shingles as their bitmaps differ in bits, and a pair
+   that differs too much for the similarity is no candidate.
 4. Candidate pairs are verified on their shared shingles; verified links give components by star contraction.
 
 Cases: words are runs of other than space and 0x09-0x0D, A-Z lower-cased; fewer than five words are one shingle;
@@ -128,7 +130,9 @@ def _entries(batches):
 
 # ---- 2. prefixes ---------------------------------------------------------------------------------------------
 
-_PREFIX = pa.schema([("kind", pa.string()), ("token", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("layer", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("s", pa.int64()), ("central", pa.float64()), ("data", pa.binary())])
+_PREFIX = pa.schema([("kind", pa.string()), ("token", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("layer", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("s", pa.int64()), ("central", pa.float64()), ("data", pa.binary()), *((f"m{k}", pa.int64()) for k in range(4))])
+#: The columns of a bitmap.
+MARKS = ["m0", "m1", "m2", "m3"]
 
 
 def choose_level(df: np.ndarray, prefix: int, n: int, most: int) -> int:
@@ -153,8 +157,11 @@ def _prefixes(group: pa.Table, percent: int) -> pa.Table:
     order = np.lexsort((token, df, node))
     node, size, df, token = node[order], size[order].astype(np.int64), df[order], token[order]
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    bit = C.mix(token) & np.uint64(255)
+    flip = np.uint64(1) << (bit & np.uint64(63))
+    marks = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, flip, np.uint64(0)), starts).view(np.int64).tolist() for k in range(4)]
     cols: list[list] = [[] for _ in _PREFIX.names]
-    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+    for lo, hi, *bits in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], *marks, strict=True):
         n, shared = int(size[lo]), hi - lo
         spare = n - int(least_overlap(size[lo], percent)) - (n - shared)
         if spare < 0:
@@ -163,9 +170,9 @@ def _prefixes(group: pa.Table, percent: int) -> pa.Table:
         level = choose_level(df[lo:hi], spare + 1, n, int(least_overlap(size[lo], percent)))
         k = min(spare + level, shared)
         layers = np.maximum(1, np.arange(1, k + 1) - spare)
-        for c, v in zip(cols, (["prefix"] * k, token[lo : lo + k].astype(np.int64).tolist(), [name] * k, list(range(1, k + 1)), layers.tolist(), [level] * k, [n] * k, [shared] * k, [central] * k, [None] * k), strict=True):
+        for c, v in zip(cols, (["prefix"] * k, token[lo : lo + k].astype(np.int64).tolist(), [name] * k, list(range(1, k + 1)), layers.tolist(), [level] * k, [n] * k, [shared] * k, [central] * k, *([[None] * k] * 5)), strict=True):
             c += v
-        for c, v in zip(cols, ("set", None, name, None, None, level, n, shared, central, C.pack_sorted(np.sort(token[lo:hi]))), strict=True):
+        for c, v in zip(cols, ("set", None, name, None, None, level, n, shared, central, C.pack_sorted(np.sort(token[lo:hi])), *bits), strict=True):
             c.append(v)
     return pa.table([pa.array(c, t) for c, t in zip(cols, _PREFIX.types, strict=True)], schema=_PREFIX)
 
@@ -211,9 +218,10 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, exact: bool = False)
 
     A pair shares at most the lesser s, the shared shingles of either side; a bound below the similarity drops it
     in the join. exact: keep only rows that can be one of the first l shingles a linked pair has in common, where
-    l is the smaller level: within the l-prefixes, and with enough shingles behind that place on both sides."""
-    rooted = "root" in left.columns
-    r = right.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "pos", "layer", "level", "n", "s", *(["root"] if rooted else []))])
+    l is the smaller level: within the l-prefixes, and with enough shingles behind that place on both sides.
+    Where both have bitmaps, the bits that differ and the shingles that no other node has bound what they share."""
+    rooted, marked = "root" in left.columns, all(c in f.columns for f in (left, right) for c in MARKS)
+    r = right.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "pos", "layer", "level", "n", "s", *(["root"] if rooted else []), *(MARKS if marked else []))])
     most, level, sizes = F.least("s", "_s"), F.least("level", "_level"), percent * (F.col("n") + F.col("_n"))
     meets = (left["token"] == r["token"]) & (F.col("node") != F.col("_node")) & ((100 + percent) * most >= sizes)
     if rooted:
@@ -221,6 +229,11 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, exact: bool = False)
     if exact:
         meets &= (F.col("node") < F.col("_node")) & (F.col("layer") <= level) & (F.col("_layer") <= level)
         meets &= (100 + percent) * (level + F.least(F.col("s") - F.col("pos"), F.col("_s") - F.col("_pos"))) >= sizes
+    if marked:
+        apart = F.col("n") - F.col("s") + F.col("_n") - F.col("_s")
+        for c in MARKS:
+            apart += F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
+        meets &= (100 + percent) * (F.col("n") + F.col("_n") - apart) >= 2 * sizes
     return left.join(r, meets).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"), level.alias("level"))
 
 
@@ -244,7 +257,7 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posts = C.arrow_map(rows, _postings, "kind string, bucket int, data binary", n)
     shared = C.written(C.arrow_groups(posts, "bucket", _share, "kind string, bucket int, data binary", n), "jaccard-shared", partition_by="kind")
-    prefix = C.written(C.arrow_groups(shared.where("kind = 'shared'"), "bucket", _prefixes, "kind string, token long, node long, pos int, layer int, level int, n long, s long, central double, data binary", percent), "jaccard-prefix", partition_by="kind")
+    prefix = C.written(C.arrow_groups(shared.where("kind = 'shared'"), "bucket", _prefixes, "kind string, token long, node long, pos int, layer int, level int, n long, s long, central double, data binary, m0 long, m1 long, m2 long, m3 long", percent), "jaccard-prefix", partition_by="kind")
     postings = prefix.where("kind = 'prefix'").select("token", "node", "pos", "layer", "level", "n", "s", "central")
     sets = prefix.where("kind = 'set'").select("node", "n", "data")
 
@@ -257,7 +270,7 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         links = links.union(_linked(_pairs(again, hubs, percent).select("a", "b"), sets, percent))
         roots = C.components(links)
     # Last: all nodes of a list that are not connected, with as many matches as their levels ask for.
-    rest = _rooted(postings, roots)
+    rest = _rooted(postings, roots).join(prefix.where("kind = 'set'").select("node", *MARKS), "node")
     roots = C.components(links.union(_linked(_counted(_pairs(rest, rest, percent, exact=True)), sets, percent)))
 
     entries = C.arrow_map(shared.where("kind = 'docs'").select("data"), _entries, "doc_id long, n_shingles long, node long")
