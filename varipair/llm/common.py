@@ -257,8 +257,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle files of frames that are no longer held; they would stay until the next
-    collection of the driver's heap otherwise."""
+    collection of the driver's heap otherwise. The cleaner works beside the driver, and what one collection lets
+    go may hold more, so there are two, each with a pause for it."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.5)
