@@ -212,6 +212,25 @@ def test_jaccard(docs, empty):
     assert kept.columns == docs.columns and {2, 3, 4, 6} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_keep_one_decides_by_row(spark, docs):
+    rnd = random.Random(4)
+    prose = lambda: " ".join("w%d" % rnd.randrange(10**6) for _ in range(40))
+    a, b, c, d, e, f, g = (prose() for _ in range(7))
+    rows = [(1, a), (None, a), (None, b), (2, c), (3, c), (3, d), (None, e), (None, e), (4, f), (4, f), (4, f + " end"), (5, f), (None, None), (None, None), (6, ""), (6, ""), (7, g), (7, g + " end")]
+    kept = jaccard.keep_one(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    four, seven = ([t for i, t in got if i == k] for k in (4, 7))
+    assert len(four) == 1 and four[0] in (f, f + " end") and len(seven) == 1 and seven[0] in (g, g + " end")
+    same([r for r in got if r[0] not in (4, 7)], [(1, a), (None, b), (2, c), (3, d), (None, e), (None, None), (None, None), (6, ""), (6, "")])
+    group = {k: c for k, (_, _, c) in enumerate(components([(k, t) for k, (_, t) in enumerate(texts())]))}
+    words = {k for k, (_, t) in enumerate(texts()) if t.split()}
+    least = {}
+    for k in words:
+        least[group[k]] = min(least.get(group[k], (True, 0)), (texts()[k][0] is None, texts()[k][0] or 0))
+    want = [None if no else i for no, i in least.values()] + [i for k, (i, _) in enumerate(texts()) if k not in words]
+    same([r["doc_id"] for r in jaccard.keep_one(docs).collect()], want)
+
+
 def test_jaccard_near_copies_at_the_threshold(spark):
     rnd, rows = random.Random(9), []
     base = ["w%d" % rnd.randrange(10**6) for _ in range(60)]

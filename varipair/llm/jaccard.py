@@ -281,10 +281,21 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, without those whose component has a smaller doc_id. Rows of one doc_id
-    stay together; rows with null doc_id stay unless they are linked to one that has an id."""
-    lesser = link_components(docs, percent).where("component_id IS NOT NULL AND NOT (component_id <=> doc_id)").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(lesser, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left_anti")
+    """The rows of docs, all columns, with one row of each component: that with the smallest doc_id (null last), of
+    several texts under it the one with the least key, of equal rows any one. Rows without words have no links and
+    all stay. The verdict is on (doc_id, key), where key is a 64-bit hash of doc_id and text, so rows that only share
+    a doc_id, null too, do not share it."""
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    rows = docs.select(key.alias("_k"), docs["doc_id"].cast("long").alias("_d"), docs["text"].cast("string").alias("text"))
+    linked = link_components(rows.select(F.col("_k").alias("doc_id"), "text"), percent).where("n_shingles > 0")
+    of_key = linked.groupBy(F.col("doc_id").alias("_k")).agg(F.min("component_id").alias("_c"), F.count("*").alias("_n"))
+    seen = C.written(of_key.join(rows.groupBy("_k").agg(F.min("_d").alias("_d")), "_k"), "jaccard-keys")
+    first = seen.groupBy("_c").agg(F.min(F.struct(F.col("_d").isNull().alias("no_id"), "_d", "_k")).alias("t")).select(F.col("t._k").alias("_k"))
+    lesser = seen.join(first, "_k", "left_anti").select(F.col("_k").alias("_l"), "_d")
+    many = seen.where("_n > 1").join(first, "_k", "left_semi").select("_k")
+    kept = docs.withColumn("_k", key).join(lesser, (F.col("_k") == F.col("_l")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left_anti")
+    one = kept.join(many, "_k", "left_semi").dropDuplicates(["_k"])
+    return kept.join(many, "_k", "left_anti").unionByName(one).drop("_k")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
