@@ -81,6 +81,19 @@ def test_mcnemar(spark):
     assert abs(stats.mcnemar(spark.createDataFrame(rows, "a boolean, b boolean")).first()["p_value"] - math.erfc(math.sqrt(19**2 / 40 / 2))) < 1e-12
 
 
+def test_bootstrap_resamples(spark):
+    import numpy as np
+
+    rng, n = np.random.default_rng(7), 101  # prime
+    d, w = rng.normal(5, 3, n), rng.integers(1, 6, n).astype(float)
+    r = stats.bootstrap(spark.createDataFrame([(k, float(x * y), float(y)) for k, (x, y) in enumerate(zip(d, w, strict=True))], "i long, d double, w double"), "i").first()
+    at = rng.integers(0, n, (2000, n))
+    m = (d * w)[at].sum(1) / w[at].sum(1)
+    lo, hi = np.percentile(m, [2.5, 97.5])
+    assert r["replicates"] == 2000 and abs(r["se"] / m.std() - 1) < 0.1 and abs(r["mean"] - m.mean()) < 0.1 * m.std()
+    assert abs(r["lo"] - lo) < 0.3 * m.std() and abs(r["hi"] - hi) < 0.3 * m.std()
+
+
 def test_tie_band_goldens(spark):
     wide = spark.createDataFrame([(1.0, -1.0, 1.0), (1.0, 1.0, 1.0), (0.05, -1.0, 1.0), (-1.0, 1.0, -1.0)], "base double, edited double, near_miss double")
     out = {r["outcome"]: r["n"] for r in counterfactual.cfr(wide, 0.125).collect()}

@@ -40,15 +40,15 @@ def mcnemar(pairs: DataFrame, *keys: str, exact_below: int = 25) -> DataFrame:
     return t.withColumn("p_value", F.when(m == 0, 1.0).when(m < exact_below, exact).otherwise(chi2_tail("statistic")))
 
 
-def bootstrap(values: DataFrame, key: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(values: DataFrame, key: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean of `d` when units (rows, or clusters with `d` and weight `w`) are drawn with
-    replacement. Units are numbered 0..n-1 in column `key`; draws are arithmetic, so they repeat everywhere. The n draws of each replicate
-    meet units by an equi-join on the number and are summed before the shuffle."""
+    replacement. Units are numbered 0..n-1 in column `key`. The i-th draw of replicate b is a mixing hash of
+    (seed, b, i) mod n, so draws are as good as independent and repeat everywhere. Draws meet units by an equi-join
+    on the number."""
     n = values.count()
-    draws = values.select(F.col(key).alias("i")).select("i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    at = F.pmod(F.col("b") * 1103 + F.col("i") * 7919 + F.col("b") * F.col("i") * 13 + F.lit(seed), F.lit(n)).cast("long")
-    got = draws.select("b", at.alias(key)).groupBy("b", key).agg(F.count("*").alias("times")).join(values, key)
-    per = got.groupBy("b").agg((F.sum(F.col("times") * F.col("d")) / F.sum(F.col("times") * F.col("w"))).alias("m"))
+    ids = values.sparkSession.range(n * replicates).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.pmod("id", F.lit(max(n, 1))).alias("i"))
+    draws = ids.select("b", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "b", "i"), F.lit(max(n, 1))).cast("long").alias(key))
+    per = draws.join(values, key).groupBy("b").agg((F.sum("d") / F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return per.agg(F.count("*").alias("replicates"), q.alias("q"), F.stddev_pop("m").alias("se"), F.avg("m").alias("mean")).select("replicates", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"), "se", "mean")
 
