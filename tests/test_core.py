@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varipair.functions import parsing as P
 from varipair.functions import scoring as S
 from varipair.functions import text as T
-from varipair.operators import counterfactual, overlap, splits, stats
+from varipair.operators import counterfactual, items, overlap, splits, stats
 from varipair.sources import io
 
 
@@ -81,6 +81,49 @@ def test_mcnemar(spark):
     assert abs(stats.mcnemar(spark.createDataFrame(rows, "a boolean, b boolean")).first()["p_value"] - math.erfc(math.sqrt(19**2 / 40 / 2))) < 1e-12
 
 
+def test_failure_labels(spark):
+    rows = [
+        (1, "mcq", 0, '{"answer": "B"}', False, False, "knowledge_error"),
+        (1, "roman_numeral", 0, '{"answer": "II"}', True, True, "provider_api_failure"),
+        (1, "fixed_pos", 0, "no idea", False, True, "max_tokens_truncation"),
+        (1, "incorrect", 0, "no idea", False, False, "parse_failure"),
+        (1, "open", 0, '{"answer": "unsure"}', False, False, "evaluation_ambiguity"),
+        (1, "no_symbols", 0, '{"answer": "unsure"}', False, False, "invalid_option"),
+        (1, "none_of_the_provided", 0, '{"answer": "B"}', None, None, "required_adaptation_failure"),
+        (2, "mcq", 0, '{"answer": "A"}', False, False, None),
+        (2, "incorrect", 0, '{"answer": ["B", "C"]}', False, False, "instruction_following_failure"),
+        (2, "fixed_pos", 3, '{"answer": "A"}', False, False, "representation_instability"),
+        (2, "no_symbols", 0, '{"answer": "alpha or bravo"}', False, False, "invalid_option"),
+        (2, "open", 0, '{"answer": "The bravo"}', False, False, "representation_instability"),
+        (3, "mcq", 0, "no idea", False, False, "parse_failure"),
+        (3, "roman_numeral", 0, '{"answer": "II"}', False, False, "unattributed_error"),
+        (3, "incorrect", 0, '{"answer": ["B", "C", "D"]}', False, False, None),
+        (4, "no_symbols", 0, '{"answer": "The bravo"}', False, False, "unattributed_error"),
+        (1, "extra", 0, '{"answer": "B"}', False, False, "knowledge_error"),
+    ]
+    df = spark.createDataFrame([(0, *r) for r in rows], "model int, question_id long, condition string, gold int, raw_response string, api_error boolean, truncated boolean, want string")
+    got = items.with_failure(items.score(df)).collect()
+    assert len(got) == len(rows) and {r["want"] for r in got} - {None} == {r[-1] for r in rows} - {None} and len({r[-1] for r in rows}) == 11
+    assert [r for r in got if r["failure"] != r["want"]] == []
+
+
+def test_failure_taxonomy_has_the_order_of_the_reference(spark):
+    import duckdb
+
+    from varipair.plans import catalog
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
+    want = con.execute(f"""WITH {catalog.GRID}, f AS (SELECT s.model, CASE WHEN NOT s.parsed THEN 'parse_failure' WHEN NOT s.evaluable THEN 'evaluation_ambiguity'
+      WHEN s.condition = 'no_symbols' AND s.sel = 4 THEN 'invalid_option' WHEN s.correct THEN NULL WHEN s.condition = 'mcq' THEN 'knowledge_error'
+      WHEN s.condition = 'none_of_the_provided' THEN 'required_adaptation_failure' WHEN NOT m.evaluable THEN 'unattributed_error'
+      WHEN m.correct THEN 'representation_instability' ELSE 'knowledge_error' END AS failure
+      FROM s JOIN s m ON s.model = m.model AND s.question_id = m.question_id AND m.condition = 'mcq')
+      SELECT model, failure, count(*) FROM f WHERE failure IS NOT NULL GROUP BY ALL""").fetchall()
+    got = catalog.QUERIES["failure_taxonomy"](spark, "/root/testdata/sf0.001").select("model", "failure", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_bootstrap_resamples(spark):
     import numpy as np
 

@@ -40,17 +40,20 @@ def adaptation(condition: Column, correct: Column, chosen: Column, base_chosen:
     )
 
 
-def failure(condition: Column, parsed: Column, evaluable: Column, correct: Column, set_size: Column, base_correct: Column, api_error: Column, truncated: Column) -> Column:
+def failure(condition: Column, parsed: Column, evaluable: Column, correct: Column, set_size: Column, match_method: Column, base_correct: Column, base_evaluable: Column, api_error: Column, truncated: Column) -> Column:
     """The first cause that applies; null for right answers."""
+    unmatched = (match_method == "no_match") | match_method.startswith("ambiguous")
     return (
         F.when(is_true(api_error), "provider_api_failure")
         .when(is_true(truncated), "max_tokens_truncation")
         .when(~is_true(parsed), "parse_failure")
         .when(~is_true(evaluable), "evaluation_ambiguity")
+        .when((condition == "no_symbols") & is_true(unmatched), "invalid_option")
         .when((condition == "incorrect") & (F.coalesce(set_size, F.lit(0)) != 3), "instruction_following_failure")
         .when(is_true(correct), None)
         .when(condition == "mcq", "knowledge_error")
-        .when((condition == "none_of_the_provided") & is_true(base_correct), "required_adaptation_failure")
+        .when(condition == "none_of_the_provided", "required_adaptation_failure")
+        .when(~is_true(base_evaluable), "unattributed_error")
         .when(is_true(base_correct), "representation_instability")
         .otherwise("knowledge_error")
     )

@@ -54,7 +54,7 @@ def once(df: DataFrame, name: str, value) -> DataFrame:
 
 
 def score(items: DataFrame) -> DataFrame:
-    """Parse and evaluate raw_response: adds parsed, evaluable, correct, chosen, chosen_text, implied, set_size.
+    """Parse and evaluate raw_response: adds parsed, evaluable, correct, chosen, chosen_text, implied, set_size, match_method.
 
     A free answer that matches no option is wrong where options are shown and not evaluable where they are hidden."""
     c = F.col("condition")
@@ -68,6 +68,7 @@ def score(items: DataFrame) -> DataFrame:
     letter = roman = F.col("_p.label")
     df = df.withColumn("chosen", F.when(c == "roman_numeral", label_at(roman, P.ROMAN)).when(c.isin("open", "no_symbols"), F.col("_match.idx").cast("long")).when(c != "incorrect", label_at(letter, P.LETTERS)).cast("int"))
     df = df.withColumn("implied", S.implied_index(F.col("_set"))).withColumn("set_size", F.when(F.col("_set").isNotNull(), F.size("_set")))
+    df = df.withColumn("match_method", F.col("_match.method"))
     df = df.withColumn("parsed", F.when(c == "incorrect", F.col("_set").isNotNull()).when(c.isin("open", "no_symbols"), F.col("_free").isNotNull()).otherwise(F.col("chosen").isNotNull()))
     df = df.withColumn("evaluable", F.col("parsed") & F.when(c == "open", F.col("chosen").isNotNull()).otherwise(F.lit(True)))
     answer = F.when(c == "incorrect", F.col("implied")).otherwise(F.col("chosen"))
@@ -92,8 +93,10 @@ def pair(scored: DataFrame) -> DataFrame:
 
 
 def with_failure(scored: DataFrame) -> DataFrame:
-    base = scored.where("condition = 'mcq'").select("model", "question_id", F.col("correct").alias("base_correct"))
-    f = S.failure(F.col("condition"), F.col("parsed"), F.col("evaluable"), F.col("correct"), F.col("set_size"), F.col("base_correct"), F.lit(False), F.lit(False))
+    """Adds failure. Columns api_error and truncated of the responses count where they exist."""
+    base = scored.where("condition = 'mcq'").select("model", "question_id", F.col("correct").alias("base_correct"), F.col("evaluable").alias("base_evaluable"))
+    flag = lambda name: F.col(name) if name in scored.columns else F.lit(False)
+    f = S.failure(*map(F.col, ("condition", "parsed", "evaluable", "correct", "set_size", "match_method", "base_correct", "base_evaluable")), flag("api_error"), flag("truncated"))
     return scored.join(base, ["model", "question_id"], "left").withColumn("failure", f)
 
 
