@@ -144,6 +144,14 @@ def test_tie_band_goldens(spark):
     assert counterfactual.dfr(wide, 0.125).first()["dfr"] == 0.25
 
 
+def test_polarity_conflicts_reads_all_rows(spark, tmp_path):
+    from varipair.plans import catalog
+
+    rows = [("a", 2, 7), ("a", 3, 9), ("b", 2, 7), ("b", 4, 9), ("c", 5, 1), ("c", 6, 3), ("d", 2, 50), ("d", 4, 49), ("e", 1, 10), ("e", 6, 48)]
+    spark.createDataFrame(rows, "p_brand string, p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(r["drug"] for r in catalog.QUERIES["polarity_conflicts"](spark, str(tmp_path)).collect()) == ["a", "c", "e"]
+
+
 def test_vignettes_are_sound(spark):
     v = counterfactual.vignettes(spark)
     assert v.count() == len(counterfactual.RULES) * 30 * 4 and counterfactual.violations(v).count() == 0

@@ -513,7 +513,7 @@ def class_balance(spark, d):
 @query("""WITH i AS (SELECT p_brand AS drug, CASE WHEN p_size % 3 = 0 THEN 'near_ood' ELSE 'train' END AS split, CASE WHEN p_partkey % 2 = 0 THEN 'avoid' ELSE 'correct' END AS polarity FROM part WHERE p_size < 5)
 SELECT drug FROM i GROUP BY drug HAVING (bool_or(polarity='avoid' AND split='train') AND bool_or(polarity='correct' AND split<>'train')) OR (bool_or(polarity='correct' AND split='train') AND bool_or(polarity='avoid' AND split<>'train'))""")
 def polarity_conflicts(spark, d):
-    p = t(spark, d, "part").where("p_size < 5").select(F.col("p_brand").alias("drug"), F.when(F.col("p_size") % 3 == 0, "near_ood").otherwise("train").alias("split"), F.when(F.col("p_partkey") % 2 == 0, "avoid").otherwise("correct").alias("polarity"))
+    p = t(spark, d, "part").select(F.col("p_brand").alias("drug"), F.when(F.col("p_size") % 3 == 0, "near_ood").otherwise("train").alias("split"), F.when(F.col("p_partkey") % 2 == 0, "avoid").otherwise("correct").alias("polarity"))
     return counterfactual.polarity_conflicts(p)
 
 
