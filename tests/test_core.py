@@ -137,6 +137,48 @@ def test_bootstrap_resamples(spark):
     assert abs(r["lo"] - lo) < 0.3 * m.std() and abs(r["hi"] - hi) < 0.3 * m.std()
 
 
+def test_paired_bootstrap(spark):
+    import numpy as np
+
+    cases = {"up": (300, 20, 60), "same": (200, 15, 15), "none": (50, 0, 0)}
+    got = {r["scope"]: r for r in stats.paired_bootstrap(spark.createDataFrame([(k, *v) for k, v in cases.items()], "scope string, n long, a_only long, b_only long"), "scope").collect()}
+    for k, (n, a, b) in cases.items():
+        d = np.r_[np.ones(b), -np.ones(a), np.zeros(n - a - b)]
+        r, se = got[k], d.std() / n**0.5
+        assert r["replicates"] == 2000 and abs(r["std_error"] - se) <= 0.1 * se
+        assert abs(r["ci_lower"] - d.mean() + 1.96 * se) <= 0.3 * se and abs(r["ci_upper"] - d.mean() - 1.96 * se) <= 0.3 * se
+        assert r["excludes_zero"] == (k == "up")
+    assert got["up"]["p_empirical"] == 1 / 2000 and got["same"]["p_empirical"] > 0.8 and got["none"]["p_empirical"] == 1
+
+
+def test_comparison_report(spark):
+    from collections import defaultdict
+
+    from varipair.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = {r["scope"]: r for r in catalog.QUERIES["comparison_report"](spark, d).collect()}
+    s = catalog.scored(spark, d, (31, 37))
+    rows = {(r["model"], r["question_id"], r["condition"]): r for r in s.collect()}
+    how = {(r["model"], r["question_id"], r["condition"]): r["adaptation"] or "" for r in items.pair(s).select("model", "question_id", "condition", "adaptation").collect()}
+    want = defaultdict(list)
+    for m, q, c in rows:
+        if m == 0:
+            right = [bool(rows[k, q, c]["correct"]) for k in (0, 1)]
+            want[c].append(right)
+            if c in ("roman_numeral", "fixed_pos", "no_symbols"):
+                want["invariance"].append(right)
+            if c in ("none_of_the_provided", "incorrect"):
+                want["adaptation_success"].append([how[k, q, c] == "success" for k in (0, 1)])
+                want["adaptation_failure"].append([how[k, q, c].startswith("failure") for k in (0, 1)])
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        r, n = got[k], len(v)
+        assert (r["n"], r["a_only"], r["b_only"]) == (n, v.count([True, False]), v.count([False, True])) and r["p_value"] is not None
+        assert abs(r["rate_a"] - sum(a for a, _ in v) / n) < 1e-12 and abs(r["delta"] - sum(b - a for a, b in v) / n) < 1e-12
+        assert r["ci_lower"] <= r["delta"] <= r["ci_upper"] and (r["relative_reduction_pct"] is not None) == (k == "adaptation_failure")
+
+
 def test_tie_band_goldens(spark):
     wide = spark.createDataFrame([(1.0, -1.0, 1.0), (1.0, 1.0, 1.0), (0.05, -1.0, 1.0), (-1.0, 1.0, -1.0)], "base double, edited double, near_miss double")
     out = {r["outcome"]: r["n"] for r in counterfactual.cfr(wide, 0.125).collect()}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.scoring import ADAPTATION, INVARIANCE
+
 
 def binomial_two_sided(b: Column, c: Column) -> Column:
     """Exact two-sided p of b successes in b + c fair draws: twice the lower tail, built as a running product."""
@@ -59,3 +61,43 @@ def compare_models(scored: DataFrame, a: int, b: int) -> DataFrame:
     side = lambda m, name: scored.where(F.col("model") == m).select("question_id", "condition", F.col("correct").alias(name))
     both = side(a, "a").join(side(b, "b"), ["question_id", "condition"])
     return mcnemar(both.select(F.explode(F.array(F.lit("all"), "condition")).alias("scope"), "a", "b"), "scope")
+
+
+#: Draws that one row of a generator makes at a time.
+DRAWS = 100_000
+
+
+def paired_bootstrap(counts: DataFrame, key: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """Per row of counts (key, n, a_only, b_only): percentile interval, error and empirical p of the mean of b - a
+    when the n rows of paired right/wrong outcomes are drawn with replacement. Only the difference of a row counts,
+    so the rows are taken as b_only of +1, then a_only of -1, then 0. The i-th draw of replicate b is a mixing hash of
+    (seed, b, i) mod n. For other outcomes, `bootstrap` takes rows with w = 1."""
+    reps = counts.sparkSession.range(0, replicates, 1, 64).withColumnRenamed("id", "b")
+    starts = reps.join(F.broadcast(counts.where("n > 0")), how="cross").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))).alias("at"))
+    draws = starts.select("*", F.explode(F.sequence("at", F.least(F.col("at") + DRAWS, F.col("n")) - 1, F.lit(1).cast("long"))).alias("i"))
+    u = F.pmod(F.xxhash64(F.lit(seed).cast("long"), "b", "i"), F.col("n"))
+    diff = F.when(u < F.col("b_only"), 1).when(u < F.col("b_only") + F.col("a_only"), -1).otherwise(0)
+    per = draws.select(key, "b", "n", diff.alias("d")).groupBy(key, "b").agg((F.sum("d") / F.first("n")).alias("m"))
+    q, share = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))), lambda c: F.avg(c.cast("double"))
+    per = per.groupBy(key).agg(F.count("*").alias("replicates"), q.alias("q"), F.stddev_pop("m").alias("std_error"), (2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p"))
+    lo, hi = F.get("q", 0), F.get("q", 1)
+    return per.select(key, "replicates", lo.alias("ci_lower"), hi.alias("ci_upper"), "std_error", F.least(F.lit(1.0), F.greatest(1 / F.col("replicates"), "p")).alias("p_empirical"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
+
+
+def comparison_report(scored: DataFrame, paired: DataFrame, a: int, b: int) -> DataFrame:
+    """Per scope (adaptation success and failure, invariance, each condition): McNemar and bootstrap of two models."""
+    def outcomes(rows, *columns):
+        side = lambda m, name: rows.where(F.col("model") == m).select("question_id", "condition", F.struct(*columns).alias(name))
+        return side(a, "a").join(side(b, "b"), ["question_id", "condition"])
+
+    right = lambda scope: F.struct(scope.alias("scope"), F.col("a.correct").alias("a"), F.col("b.correct").alias("b"))
+    adapted = lambda name, test: F.struct(F.lit(name).alias("scope"), test(F.col("a.adaptation")).alias("a"), test(F.col("b.adaptation")).alias("b"))
+    each = outcomes(scored, "correct").select(F.array(right(F.col("condition"))).alias("x"))
+    kept = outcomes(paired, "correct", "adaptation")
+    invariant = kept.where(F.col("condition").isin(*INVARIANCE)).select(F.array(right(F.lit("invariance"))).alias("x"))
+    inverted = kept.where(F.col("condition").isin(*ADAPTATION)).select(F.array(adapted("adaptation_success", lambda c: c == "success"), adapted("adaptation_failure", lambda c: c.startswith("failure"))).alias("x"))
+    t = mcnemar(each.unionByName(invariant).unionByName(inverted).select(F.inline("x")), "scope")
+    rate = lambda only: (F.col("both") + F.col(only)) / F.col("n")
+    t = t.withColumn("rate_a", rate("a_only")).withColumn("rate_b", rate("b_only")).withColumn("delta", (F.col("b_only") - F.col("a_only")) / F.col("n"))
+    t = t.withColumn("relative_reduction_pct", F.when(F.col("scope") == "adaptation_failure", (F.col("rate_a") - F.col("rate_b")) / (F.col("rate_a") + 1e-9) * 100))
+    return t.join(paired_bootstrap(t.select("scope", "n", "a_only", "b_only"), "scope"), "scope", "left")

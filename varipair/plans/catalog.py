@@ -271,6 +271,13 @@ def model_comparison(spark, d):
     return stats.compare_models(scored(spark, d, (31, 37)), 0, 1).drop("p_value")
 
 
+@query()
+def comparison_report(spark, d):
+    """As model_comparison with p values, and the adaptation and invariance outcomes and paired bootstraps."""
+    s = scored(spark, d, (31, 37))
+    return stats.comparison_report(s, items.pair(s), 0, 1)
+
+
 @query("""WITH c AS (SELECT n, k FROM (SELECT unnest(range(1, 25)) AS n), (SELECT unnest(range(0, 25)) AS k) WHERE k <= n)
 SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * 0.5 ** n))), 9) AS p FROM c""")
 def exact_binomial(spark, d):
