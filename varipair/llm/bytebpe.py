@@ -5,6 +5,11 @@ joins a character with white space that follows it, so a text's ids are the ids
 other, and the library is asked once for each distinct unit a worker meets: many new units go to it as one text,
 and the bytes of the ids that come back show where each unit ends. A text that holds the string of a special
 token goes to the library whole.
+
+A column of texts is parted at its spaces and dictionary-encoded by Arrow, so Python sees each distinct word of
+a slice once; ids are then gathered by index. Texts in which a space stands beside other white space are cut by
+the unit pattern instead. Signs that end a word are tokens of their own, so a word costs the library one look,
+whatever sign follows it.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common as C
 
@@ -24,6 +31,8 @@ _OTHER = re.compile(r"[\0\t\x0b-\r\x85\xa0  -     　]")
 _UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: The longest unit that is remembered; longer ones are encoded each time.
 LONGEST = 64
+#: Signs that the pattern parts from a letter or digit before them, where white space or nothing follows.
+SIGNS = ".,;:!?)]}\"'*#%&$|<>"
 #: New units that go to the library as one text.
 JOINED = 2000
 
@@ -36,7 +45,9 @@ class ByteBPE:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
         self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Units and the bytes of their ids: those met lately, and those met before the last change of memos.
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # A token's characters stand for one byte each.
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, at in self.tokenizer.get_vocab().items():
@@ -50,14 +61,38 @@ class ByteBPE:
             return _UNIT.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
+    def _parts(self, unit: str) -> tuple[str, ...]:
+        """A unit as a word and the signs behind it, if it is so made."""
+        core = unit.rstrip(SIGNS)
+        # Letters and digits of the first blocks of Unicode, on which all its versions agree.
+        if len(core) < len(unit) and core and core[-1] < "\u0250" and core[-1].isalnum():
+            return core, unit[len(core) :]
+        return (unit,)
+
+    def _known(self, unit: str) -> bytes | None:
+        got = self.memo.get(unit)
+        if got is None and (got := self.old.get(unit)) is not None:
+            self.memo[unit] = got
+        return got
+
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode the units not yet known, in one call."""
+        """Have the memo hold the units of these texts, but for the long ones."""
         met: set[str] = set()
         for units in texts:
             met.update(units)
-        if len(self.memo) > C.MEMO:  # what these texts have stays: mostly the frequent units
-            self.memo = {u: self.memo[u] for u in met if u in self.memo}
-        new = [u for u in met.difference(self.memo) if len(u) <= LONGEST]
+        self._turn()
+        new = [u for u in met if len(u) <= LONGEST and self._known(u) is None]
+        self._learn_parts(new)
+        for u in new:
+            self.memo[u] = b"".join(map(self._ids, self._parts(u)))
+
+    def _turn(self) -> None:
+        if len(self.memo) > C.MEMO:
+            self.memo, self.old = {}, self.memo
+
+    def _learn_parts(self, units: list[str]) -> None:
+        """Encode the parts of units that are not known yet."""
+        new = [p for p in {p for u in units for p in self._parts(u)} if len(p) <= LONGEST and self._known(p) is None]
         # One behind the other, units are parted as in a text if each begins with white space and none ends with it.
         inner = [u for u in new if u and u[0] in " \n" and not u[-1].isspace()]
         for i in range(0, len(inner), JOINED):
@@ -100,6 +135,91 @@ class ByteBPE:
                 out.append(b"".join(map(self._ids, units)))
         return out
 
+    def _joined(self, text: str) -> bytes:
+        """The ids of units one behind the other, from those of their parts."""
+        return b"".join(self._ids(p) for u in _UNIT.findall(text) for p in self._parts(u))
+
+    def _looked_up(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units; new ones are learnt."""
+        known = list(map(self.memo.get, units))
+        new, at = [], []
+        for i, got in enumerate(known):
+            if got is None:
+                unit = units[i]
+                if (got := self.old.get(unit)) is not None:
+                    known[i] = self.memo[unit] = got
+                else:
+                    new.append(unit)
+                    at.append(i)
+        alone = [" " < u[-1:] and u.find("\n", 1) < 0 and u[:1] in (" ", "\n") and len(u) <= LONGEST and not _OTHER.search(u) for u in new]
+        plain = [u for u, x in zip(new, alone, strict=True) if x]
+        for i in range(0, len(plain), JOINED):
+            self._learn_joined(plain[i : i + JOINED])
+        rest = [u for u in new if u not in self.memo]
+        self._learn_parts([u for text in rest for u in _UNIT.findall(text)])
+        for i, unit in zip(at, new, strict=True):
+            got = self.memo.get(unit)
+            known[i] = self._joined(unit) if got is None else got
+        return known
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where those of each text end. Null is empty."""
+        texts = texts.fill_null("")
+        # A line feed is put as a space and a sign, so that it parts words too.
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \1"), " ")
+        starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = starts - starts[0]
+        words = lists.flatten()
+        cores = pc.utf8_rtrim(words, SIGNS)
+        coded = cores.dictionary_encode()
+        at, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        signed = np.flatnonzero(np.diff(C.offsets(words)) != np.diff(C.offsets(cores)))
+        # A text whose white space is not one space between words, or that names a special token, is cut by itself.
+        bare = pc.utf8_trim_whitespace(distinct)
+        bad = np.diff(C.offsets(bare)) != np.diff(C.offsets(distinct))
+        bad = (bad | pc.equal(distinct, "\1").to_numpy(zero_copy_only=False).astype(bool))[at]
+        none = np.diff(C.offsets(words)) == 0
+        slow = np.logical_or.reduceat(bad | none, starts[:-1]) if len(at) else np.zeros(0, bool)
+        for s in ["\1", *self.special]:
+            slow |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
+        self._turn()
+        cores, full = (x.to_numpy(zero_copy_only=False).tolist() for x in (distinct, words.take(pa.array(signed))))
+        plain = [bool(x) and x[-1] < "\u0250" and x[-1].isalnum() for x in cores]
+        entries = self._looked_up(["\n" + x[1:] if x[:1] == "\1" else " " + x for x in cores])
+        # Behind each word stands what its signs give, or nothing; other words with signs are looked up whole.
+        places: dict[str, int] = {}
+        more: list[str] = []
+        which = np.zeros(len(at), np.int64)
+        for i, core, word in zip(signed.tolist(), at[signed].tolist(), full, strict=True):
+            key = word[len(cores[core]) :] if plain[core] else "\n" + word[1:] if word[0] == "\1" else " " + word
+            if key not in places:
+                places[key] = len(more)
+                more.append(key)
+            which[i] = 1 + places[key]
+            if not plain[core]:
+                at[i] = -1
+        base = len(entries)
+        entries.append(b"")
+        entries += self._looked_up(more)
+        at[at < 0] = base
+        both = np.empty(2 * len(at), np.int64)
+        both[0::2], both[1::2] = at, base + which
+        # The first word of a text has no space before it; odd texts are one entry, as texts that are cut by themselves.
+        rows = np.flatnonzero(slow).tolist()
+        odd = dict(zip(rows, self.encode(texts.take(pa.array(rows, pa.int64())).to_pylist()) if rows else [], strict=True))
+        for i in rows:
+            both[2 * starts[i] : 2 * starts[i + 1]] = base
+        firsts = words.take(pa.array(starts[:-1])).to_pylist()
+        got = self._looked_up(firsts)
+        both[2 * starts[:-1]], both[2 * starts[:-1] + 1] = len(entries) + np.arange(len(texts)), base
+        entries += [odd.get(i, x) for i, x in enumerate(got)]
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        pool, begin = np.frombuffer(b"".join(entries), "<u4"), np.cumsum(size) - size
+        n = size[both]
+        total = np.cumsum(n)
+        ids = pool[np.repeat(begin[both] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+        return ids, np.r_[0, total][2 * starts[1:]]
+
 
 _LOADED: dict[tuple, ByteBPE] = {}
 

@@ -12,8 +12,8 @@ each Merkle root from the keys, and combines the CRCs of a document's chunks int
 are not moved again; `read_ids` moves them and returns the ids themselves.
 
 Cases: null text is empty and has the end id only; rows with null or repeated doc_id are documents of their
-own (null first, ties in order of their key); an empty table gives an empty store; extra columns are ignored.
-Work in memory: one slice of texts, and the keys that one shuffle partition or scan task holds.
+own (null first, ties in order of their key, which names the place in the input); an empty table gives an empty store; extra columns are ignored.
+Work in memory: one slice of texts, and the keys of the last 400,000 chunks that a task gave out.
 """
 
 from __future__ import annotations
@@ -31,16 +31,45 @@ from . import common as C
 #: Ids of the rolling window, and the smallest, usual and largest chunk.
 WINDOW, LEAST, USUAL, MOST = 8, 64, 512, 4096
 _KEY = 16
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 8 << 20
 _POLY = np.uint64(0xEDB88320)
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _ROWS = "kind string, key binary, doc_id long, n_tokens long, digests binary, sizes binary, root binary, n int, payload binary"
 _ROW_SCHEMA = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("sizes", pa.binary()), ("root", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
 
 
+def rolling(stream: np.ndarray) -> np.ndarray:
+    """The rolling hash of each WINDOW neighbours: sums of their mixed values times powers of an odd base, from
+    running sums, divided by the power at the window's start; the upper bits, as low ones mix little."""
+    n = len(stream) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    values, at = np.unique(stream, return_inverse=True) if int(stream.max()) >= 1 << 20 else (np.arange(int(stream.max()) + 1), stream)
+    sums = np.zeros(len(stream) + 1, np.uint64)
+    np.cumsum(C.mix(values.astype(np.uint64) + np.uint64(1))[at] * _powers(_BASE, len(stream)), out=sums[1:])
+    return ((sums[WINDOW:] - sums[:-WINDOW]) * _powers(_INVERSE, n)) >> np.uint64(40)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; a table of them is kept for slices of the usual size."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(n, base, np.uint64)
+        held[:1] = 1
+        held = np.cumprod(held)
+        if n <= SLICE_BYTES:
+            _POWERS[base] = held
+    return held[:n]
+
+
 def marks_of(stream: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """Per document of a stream of ids: the places behind an id where the rolling hash of the last WINDOW ids of
     that document is 0 modulo USUAL."""
-    h = C.hash_windows(C.mix(stream.astype(np.uint64) + np.uint64(1)), WINDOW)
-    hits = np.flatnonzero((h & np.uint64(USUAL - 1)) == 0)
+    hits = np.flatnonzero((rolling(stream) & np.uint64(USUAL - 1)) == 0)
     starts = np.r_[0, ends[:-1]]
     lows, highs = np.searchsorted(hits, starts), np.searchsorted(hits, ends - WINDOW, side="right")
     hits = hits.tolist()
@@ -87,47 +116,37 @@ def unpack_ids(payload: bytes) -> np.ndarray:
 
 
 def _encode(batches, path: str, end_id: int):
-    """Recipe rows, and the chunks that this task has not yet given out."""
+    """Recipe rows, and the chunks that this task has not lately given out."""
     from pyspark import TaskContext
 
     from . import bytebpe
 
-    bpe, task, given, copies = bytebpe.load(path), TaskContext.get().partitionId(), set(), {}
-    end = np.array([end_id], "<u4").tobytes()
-    for part in C.steps(batches):
-        rows = []
-        texts = [x or "" for x in part.column("text").to_pylist()]
-        encoded = [data + end for data in bpe.encode(texts)]
-        stream, ends = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum([len(x) // 4 for x in encoded])
-        for doc_id, stop, data, marks in zip(part.column("doc_id").to_pylist(), ends.tolist(), encoded, marks_of(stream, ends), strict=True):
-            n = len(data) // 4
-            ids, keys, sizes = stream[stop - n : stop], [], []
-            for a, b in cut(n, marks):
-                key = digest(ids[a:b].tobytes())
-                keys.append(key)
+    bpe, task, given, row = bytebpe.load(path), TaskContext.get().partitionId(), set(), 0
+    for part in C.steps(batches, most=SLICE_BYTES):
+        ids, ends = bpe.encode_column(part.column("text"))
+        stream, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+        packed = stream.astype("<u2") if not len(stream) or int(stream.max()) < 1 << 16 else None
+        chunks, recipes, start = [], [], 0
+        for doc_id, stop, marks in zip(part.column("doc_id").to_pylist(), ends.tolist(), marks_of(stream, ends), strict=True):
+            keys, sizes = [], []
+            for a, b in cut(stop - start, marks):
+                ids = stream[start + a : start + b]
+                keys.append(key := digest(ids.tobytes()))
                 sizes.append(b - a)
                 if key not in given:
                     given.add(key)
-                    rows.append(("chunk", key, None, None, None, None, None, b - a, pack_ids(ids[a:b])))
-            root = merkle_root(keys)
-            name = b"%r %s %d" % (doc_id, root, task)
-            copies[name] = copy = copies.get(name, -1) + 1
-            rows.append(("recipe", digest(name + b" %d" % copy), doc_id, len(ids), b"".join(keys), np.array(sizes, "<u4").tobytes(), root, None, None))
-        if len(given) > 1_000_000:
+                    chunks.append((key, b - a, b"\2" + packed[start + a : start + b].tobytes() if packed is not None else pack_ids(ids)))
+            # A task that runs again meets its rows in the same order, so its place names a row.
+            recipes.append((digest(b"recipe %d %d" % (task, row)), doc_id, stop - start, b"".join(keys), np.array(sizes, "<u4").tobytes(), merkle_root(keys)))
+            row, start = row + 1, stop
+        if len(given) > C.MEMO:
             given.clear()
-        yield C.batch_of(_ROW_SCHEMA, list(map(list, zip(*rows, strict=True))))
-
-
-def _once(batches):
-    """The rows of a partition without chunks that came before."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            keep.append(kind != "chunk" or key not in seen)
-            if kind == "chunk":
-                seen.add(key)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        none = [None] * (len(chunks) + len(recipes))
+        c, r = (list(map(list, zip(*x, strict=True))) if x else [[] for _ in range(w)] for x, w in ((chunks, 3), (recipes, 6)))
+        no_c, no_r = none[: len(chunks)], none[: len(recipes)]
+        yield C.batch_of(_ROW_SCHEMA, [
+            ["chunk"] * len(chunks) + ["recipe"] * len(recipes), c[0] + r[0], no_c + r[1], no_c + r[2], no_c + r[3], no_c + r[4], no_c + r[5], c[1] + no_r, c[2] + no_r,
+        ])
 
 
 def _running(batches):
@@ -145,7 +164,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     spark = docs.sparkSession
     n = C.shuffle_partitions(spark)
     rows = C.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _encode, _ROWS, tokenizer, end_id)
-    C.arrow_map(rows.repartition(n, "key"), _once, _ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
+    rows.repartition(n, "key").dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
     order = _read(spark, path).where("kind = 'recipe'").select("doc_id", "key", "n_tokens", "digests", "sizes", "root").repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key")
     fields = "doc_id long, key binary, n_tokens long, digests binary, sizes binary, root binary, part int"
     C.arrow_map(order.withColumn("part", F.spark_partition_id()), _running, fields + ", before long").write.option("compression", "zstd").parquet(f"{path}/stream")
