@@ -53,6 +53,35 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """df as a table in the shared folder in n buckets of key, read again. Later groupings and cogroups on key read
+    it where it lies, so its rows move in no shuffle. A task writes one file for each bucket that its rows are in."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    table = os.path.basename(path).replace("-", "_")
+    df.write.option("compression", "uncompressed").option("path", path).bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """The bytes of all texts, from which the numbers of blocks and buckets follow."""
+    from pyspark.sql import functions as F
+
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
+def parts_of(spark: SparkSession, total: int, each: int) -> int:
+    """How many parts of `each` bytes hold `total`, and no fewer than the session asks for."""
+    return max(shuffle_partitions(spark), -(-total // each))
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """A column name that is none of columns, in any letter case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of our own in the shared store."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

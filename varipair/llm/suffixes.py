@@ -1,20 +1,23 @@
 """Suffix-array dedup: the bytes covered by a string of WIDTH bytes that starts anywhere else too.
 
 The suffixes that can matter are found first. Every window of WIDTH bytes is named by the least hash of the GRAM-byte
-strings in it, so equal windows have equal names wherever they stand; neighbours with one name form a run, and the
-bytes of a run go into one bucket by that name. A run whose bytes occur twice is repeated as a whole. A name that
-occurs in one run only has unique windows. What is left, runs that share a name but not all bytes, is sorted:
-each bucket builds the suffix array of its distinct runs by the difference-cover algorithm (sort the triples at
-places 1 and 2 modulo 3, name them, recurse on the names until all differ, sort the places 0
-modulo 3 by their first symbol and the rank behind it, merge), and compares the first WIDTH bytes of
-neighbours in it. As all equal windows are in one bucket, the buckets' arrays together decide as one array would.
-
-A run's bytes travel from one block each, however many copies there are, so a passage that a third of all texts
-share is one run in its bucket.
+strings in it, so equal windows have equal names wherever they stand. Neighbours whose least string stands at one
+place (the last of equal ones) form a run, so no two windows of a run are equal; its bytes go into one bucket by its
+name. A run whose bytes occur twice is repeated as a whole. A name that occurs in one run only has unique windows.
+What is left, runs that share a name but not all bytes, is sorted: each bucket builds the suffix array of its
+distinct runs by the difference-cover algorithm (sort the triples at places 1 and 2 modulo 3, name them, name triples
+of names again until a name spans WIDTH symbols or all differ, sort the places 0 modulo 3 by their first symbol and
+the rank behind it, merge), and compares the first WIDTH bytes of neighbours in it, byte by byte. As all equal windows
+are in one bucket, the buckets' arrays together decide as one array would.
+
+Texts lie in blocks, a bucketed table of the shared folder, and are read there by every step, so only names, verdicts,
+spans and the bytes to be sorted move. A run's bytes travel from one block each, however many copies there are, so
+a passage that a third of all texts share is one run in its bucket.
 
 Cases: null text is empty; texts below WIDTH bytes have no window; repeated rows cover each other; matches never
-cross documents; an empty table gives no rows; extra columns are kept by `dedupe`. Names and bytes of runs are
-compared by 64-bit hashes. Memory: some 100 bytes for each byte of a block of 2 MB or of the longest text, and of a bucket's runs.
+cross documents; an empty table gives no rows; extra columns are kept by `dedupe`, whatever their names. Names and bytes
+of runs are compared by 64-bit hashes each. Memory: a block of 8 MB or the longest text, some 100 bytes for each byte of a
+piece of 128 KB, and some 100 for each byte of a bucket's runs.
 """
 
 from __future__ import annotations
@@ -29,139 +32,178 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, GRAM = 200, 100
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes that are hashed at once, and bytes of text for each bucket of names.
+PIECE_BYTES, BUCKET_BYTES = 128 << 10, 8 << 20
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _VALUES = C.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _BLOCK = pa.schema([("block", pa.int64()), ("data", pa.binary())])
 _ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
 _ROW_DDL = "kind string, bucket int, block long, data binary"
 UNIQUE, REPEATED, SORT, REPEATED_SORT = 0, 1, 2, 3
-#: Buckets of runs to be sorted, for each bucket of names: sorting takes some 100 bytes for each byte.
-FINER = 16
 
 
 # ---- the difference-cover suffix sort ----------------------------------------------------------------------------
 
 
-def _ranks(keys: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """Ranks from 1 of rows of keys, equal rows alike, and how many differ."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+def _names(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks from 1 of triples, equal ones alike, and how many differ."""
+    most = 1 + max(int(x.max(initial=0)) for x in (first, second, third))
+    if most < 1 << 21:
+        key = (first.astype(np.int64) * most + second) * most + third
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((third, second, first))
+        new = np.zeros(max(0, len(order) - 1), bool)
+        for k in (first, second, third):
+            new |= np.diff(k[order]) != 0
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) + 1
-    return rank, int(new.sum()) + 1 if len(order) else 0
+    rank[order] = np.cumsum(np.r_[True, new]) if len(order) else 0
+    return rank, int(new.sum()) + 1
+
+
+def _shifted(x: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[: max(0, len(x) - by)] = x[by:]
+    return out
 
 
-def suffix_order(s: np.ndarray) -> np.ndarray:
-    """The suffix array of s (symbols from 1)."""
+def suffix_order(s: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The suffix array of s (symbols from 1). With a depth, suffixes that agree in so many symbols are neighbours
+    in any order."""
     n = len(s)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s, np.zeros(3, s.dtype)])
+    t = np.zeros(n + 3, np.int64)
+    t[:n] = s
     ones, twos = np.arange(1, n, 3), np.arange(2, n, 3)
-    sample = np.concatenate([ones, twos])
-    if int(s.max()) < 1 << 21:
-        names, distinct = _ranks([(t[sample].astype(np.int64) << 42) | (t[sample + 1].astype(np.int64) << 21) | t[sample + 2].astype(np.int64)])
-    else:
-        names, distinct = _ranks([t[sample], t[sample + 1], t[sample + 2]])
-    rank = np.zeros(n + 3, np.int64)
-    if distinct < len(sample):
-        # The names of places 1 modulo 3, a terminator, and the names of places 2 modulo 3.
-        joined = np.concatenate([names[: len(ones)] + 1, [1], names[len(ones) :] + 1])
-        order = suffix_order(joined)
-        place = np.empty(len(joined), np.int64)
-        place[order] = np.arange(len(order))
-        rank[ones], rank[twos] = place[: len(ones)] + 1, place[len(ones) + 1 :] + 1
-    else:
-        rank[sample] = names
+    names, distinct = _names(*(np.concatenate([t[ones + k], t[twos + k]]) for k in range(3)))
+    span, cut = 3, len(ones)
+    while distinct < len(names) and (depth is None or span < depth):
+        # A name and those one and two spans behind, at places of its residue, make a triple of names.
+        names, distinct = _names(names, *(np.concatenate([_shifted(names[:cut], k), _shifted(names[cut:], k)]) for k in (span // 3, 2 * span // 3)))
+        span *= 3
+    rank = np.zeros(n + 4, np.int64)
+    rank[ones], rank[twos] = names[:cut], names[cut:]
+    # Place 0 against 1: the first symbol, then the ranks behind. Against 2: two symbols, then the ranks behind.
+    wide = np.int64(n + 4)
+    one = lambda p: t[p] * wide + rank[p + 1]
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.lexsort((rank[zeros + 1], t[zeros]))]
+    pair = np.concatenate([t[twos] * (int(t.max(initial=0)) + 1) + t[twos + 1], t[zeros] * (int(t.max(initial=0)) + 1) + t[zeros + 1]])
+    _, code = np.unique(pair, return_inverse=True)
+    two_of = code[: len(twos)] * wide + rank[twos + 2], code[len(twos) :] * wide + rank[zeros + 2]
+    order = np.lexsort((two_of[1], one(zeros)))
+    zeros, zeros_two = zeros[order], two_of[1][order]
+    a = np.searchsorted(np.sort(one(ones)), one(zeros))
+    b = np.searchsorted(np.sort(two_of[0]), zeros_two)
+    sample = np.concatenate([ones, twos])
     sample = sample[np.argsort(rank[sample], kind="stable")]
-    ones, twos = sample[sample % 3 == 1], sample[sample % 3 == 2]
-    # Place 0 against 1: the first symbols, then the ranks behind. Against 2: two symbols, then the ranks behind.
-    wide = np.int64(n + 4)
-    a = np.searchsorted(t[ones].astype(np.int64) * wide + rank[ones + 1], t[zeros].astype(np.int64) * wide + rank[zeros + 1])
-    pair = lambda p: (t[p].astype(np.int64) << 32) | t[p + 1].astype(np.int64)
-    _, code = np.unique(np.concatenate([pair(twos), pair(zeros)]), return_inverse=True)
-    b = np.searchsorted(code[: len(twos)] * wide + rank[twos + 2], code[len(twos) :] * wide + rank[zeros + 2])
     out = np.full(n, -1, np.int64)
     out[np.arange(len(zeros)) + a + b] = zeros
     out[out < 0] = sample
     return out
 
 
+def equal_neighbours(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """Which neighbours in order begin with the same `width` bytes of data, compared in words of eight bytes: the last
+    one first, and the others for those that are still alike."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    alike = np.arange(max(0, len(order) - 1))
+    places = [width - 8, *range(0, width - 8, 8)] if width >= 8 else range(width)
+    for at in places:
+        x, y = order[alike] + at, order[alike + 1] + at
+        if width >= 8:
+            same = np.ascontiguousarray(words[x]).view("<u8").ravel() == np.ascontiguousarray(words[y]).view("<u8").ravel()
+        else:
+            same = data[x] == data[y]
+        alike = alike[same]
+    out = np.zeros(max(0, len(order) - 1), bool)
+    out[alike] = True
+    return out
+
+
 # ---- windows, names and runs ---------------------------------------------------------------------------------------
 
 
-class Hashes:
-    """Hashes of substrings of a byte array."""
+def _powers(base: int) -> np.ndarray:
+    out = np.full(PIECE_BYTES + WIDTH, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
-    def __init__(self, data: np.ndarray):
-        power = np.full(len(data) + 1, _BASE, np.uint64)
-        power[0] = 1
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * np.cumprod(power)[:-1], out=self.sums[1:])
-        power = np.full(len(data) + 1, _INVERSE, np.uint64)
-        power[0] = 1
-        self.back = np.cumprod(power)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return C.mix((self.sums[end] - self.sums[start]) * self.back[start])
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of `width` neighbours, from minima of aligned pieces to either side."""
-    n = len(x) - width + 1
-    padded = np.concatenate([x, np.full(-len(x) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    left = np.minimum.accumulate(padded, axis=1).ravel()
-    right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+    """Minimum of each run of `width` neighbours, from minima of runs of 1, 2, 4 ..."""
+    have = 1
+    while 2 * have <= width:
+        x, have = np.minimum(x[:-have], x[have:]), 2 * have
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
+def _pieces(texts: list[bytes]):
+    """(place in the block, bytes, ends of texts in it): texts of WIDTH bytes or more, short ones together, long ones
+    in parts that overlap by WIDTH - 1 bytes."""
+    held, size, place, base = [], 0, 0, 0
+    for text in texts:
+        if held and (len(text) < WIDTH or size + len(text) > PIECE_BYTES):
+            yield base, held
+            held, size = [], 0
+        if len(text) > PIECE_BYTES:
+            step = PIECE_BYTES - WIDTH + 1
+            for at in range(0, len(text) - WIDTH + 1, step):
+                yield place + at, [text[at : at + PIECE_BYTES]]
+        elif len(text) >= WIDTH:
+            if not held:
+                base = place
+            held.append(text)
+            size += len(text)
+        place += len(text)
+    if held:
+        yield base, held
 
 
 class Runs:
     """The runs of windows of a block of texts: start of the first and of the last window, name, and a hash of the
-    bytes. `inner` marks runs that may repeat windows in themselves."""
-
-    def __init__(self, data: np.ndarray, ends: np.ndarray):
-        self.data = data
-        empty = np.empty(0, np.int64)
-        self.first = self.last = empty
-        self.name = self.bytes = empty.astype(np.uint64)
-        self.inner = empty.astype(bool)
-        if len(data) < WIDTH:
-            return
-        h = Hashes(data)
-        at = np.arange(len(data) - GRAM + 1)
-        grams = h.of(at, at + GRAM)
+    bytes."""
+
+    def __init__(self, texts: list[bytes]):
+        got = [(*self._of(parts), base) for base, parts in _pieces(texts)]
+        join = lambda i, kind: np.concatenate([x[i] for x in got]).astype(kind, copy=False) if got else np.empty(0, kind)
+        shift = np.repeat(np.array([x[4] for x in got], np.int64), [len(x[0]) for x in got]) if got else 0
+        self.first, self.last, self.name, self.bytes = join(0, np.int64) + shift, join(1, np.int64) + shift, join(2, np.uint64), join(3, np.uint64)
+
+    @staticmethod
+    def _of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUES[data] * _UP[: len(data)], out=sums[1:])
+        grams = C.mix((sums[GRAM:] - sums[:-GRAM]) * _DOWN[: len(data) - GRAM + 1])
         name = sliding_min(grams, WIDTH - GRAM + 1)
-        x = np.arange(len(name))
-        doc = np.searchsorted(ends, x, side="right")
-        ok = x + WIDTH <= ends[doc]
-        new = ok.copy()
-        new[1:] = ok[1:] & (~ok[:-1] | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))
-        stop = ok.copy()
-        stop[:-1] = ok[:-1] & (~ok[1:] | new[1:])
-        self.first, self.last = np.flatnonzero(new), np.flatnonzero(stop)
-        self.name = C.mix(name[self.first] + np.uint64(1))  # least hashes are small: spread them over the buckets
-        self.bytes = h.of(self.first, self.last + WIDTH)
-        times = np.zeros(len(grams) + 1, np.int64)
-        # A run repeats a window in itself only if the least gram stands in it more than once.
-        marks = np.zeros(len(grams), bool)
-        marks[: len(name)] |= grams[: len(name)] == name
-        tail = name[np.maximum(np.arange(len(grams)) - (WIDTH - GRAM), 0)] == grams
-        np.cumsum(marks | tail, out=times[1:])
-        self.inner = times[np.minimum(self.last + WIDTH - GRAM + 1, len(grams))] - times[self.first] > 1
-
-
-def _pack(batches):
+        ok, at = np.zeros(len(name) + 1, bool), 0
+        for part in parts:
+            ok[at : at + len(part) - WIDTH + 1] = True
+            at += len(part)
+        # A run goes on while the least string stays the same one: no other value, and none like it comes in.
+        new = grams[WIDTH - GRAM :] == name
+        new[1:] |= (name[1:] != name[:-1]) | ~ok[:-2]
+        new[0] = True
+        new &= ok[:-1]
+        stop = ok[:-1].copy()
+        stop[:-1] &= new[1:] | ~ok[1:-1]
+        first, last = np.flatnonzero(new), np.flatnonzero(stop)
+        # Least hashes are small: spread them over the buckets.
+        return first, last, C.mix(name[first] + np.uint64(1)), C.mix((sums[last + WIDTH] - sums[first]) * _DOWN[first])
+
+
+def _pack(batches, text: str):
     """Blocks of rows: all columns as an Arrow stream."""
     from pyspark import TaskContext
 
     task, n = TaskContext.get().partitionId(), 0
-    for part in C.steps(batches, most=BLOCK_BYTES):
+    for part in C.steps(batches, text, BLOCK_BYTES):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(pa.Table.from_batches([part]).combine_chunks().to_batches()[0])
@@ -169,11 +211,10 @@ def _pack(batches):
         n += 1
 
 
-def _open(data: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """The rows of a block, their texts one after the other, and where each ends."""
+def _open(data: bytes, text: str) -> tuple[pa.RecordBatch, list[bytes]]:
+    """The rows of a block and their texts."""
     batch = pa.ipc.open_stream(data).read_next_batch()
-    texts = C.texts_of(batch.column("text"))
-    return batch, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(x) for x in texts])
+    return batch, C.texts_of(batch.column(text))
 
 
 def _distinct(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,20 +228,19 @@ def _distinct(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), number
 
 
-def _ask(batches, n_buckets: int):
+def _ask(batches, n_buckets: int, text: str):
     for batch in batches:
-        for name, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            runs, rows = Runs(*_open(data)[1:]), []
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            runs, rows = Runs(_open(data, text)[1]), []
             order, first, _ = _distinct(runs)
             if not len(order):
                 continue
             names, contents = runs.name[order][first], runs.bytes[order][first]
-            times = np.diff(np.r_[first, len(order)]).astype(np.uint32)
-            inner = np.logical_or.reduceat(runs.inner[order], first)
+            times = np.minimum(np.diff(np.r_[first, len(order)]), 2).astype(np.uint8)
             cuts = np.searchsorted(C.bucket_of(names, n_buckets), np.arange(n_buckets + 1))
             for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if lo < hi:
-                    rows.append(("ask", b, name, C.pack(np.frombuffer(C.pack_sorted(names[lo:hi]), np.uint8), contents[lo:hi], times[lo:hi], inner[lo:hi].astype(np.uint8))))
+                    rows.append(("ask", b, block, C.pack(np.frombuffer(C.pack_sorted(names[lo:hi]), np.uint8), contents[lo:hi], times[lo:hi])))
             yield C.batch_of(_ROW, list(map(list, zip(*rows, strict=True))))
 
 
@@ -214,7 +254,7 @@ def _judge(group: pa.Table) -> pa.Table:
     blocks, parts = group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
     names = [C.unpack_sorted(p[0].tobytes()) for p in parts]
     name, content = np.concatenate(names), np.concatenate([p[1] for p in parts])
-    times, inner = np.concatenate([p[2] for p in parts]).astype(np.int64), np.concatenate([p[3] for p in parts]).astype(bool)
+    times = np.concatenate([p[2] for p in parts]).astype(np.int64)
     order = np.lexsort((content, name))
     name, content = name[order], content[order]
     new_name = np.r_[True, name[1:] != name[:-1]]
@@ -225,11 +265,9 @@ def _judge(group: pa.Table) -> pa.Table:
     first_of_name = np.flatnonzero(new_name[starts])
     variants = np.diff(np.r_[first_of_name, len(starts)])
     single = np.add.reduceat((count == 1).astype(np.int64), first_of_name) > 0
-    own = np.logical_or.reduceat(inner[order], starts)
     mixed = np.repeat((variants > 1) & single, variants)
-    verdict = np.where(count > 1, np.where(mixed, REPEATED_SORT, REPEATED), np.where(mixed | own, SORT, UNIQUE)).astype(np.uint8)
-    size = np.diff(np.r_[starts, len(order)])
-    spread = np.repeat(verdict, size)
+    verdict = np.where(count > 1, np.where(mixed, REPEATED_SORT, REPEATED), np.where(mixed, SORT, UNIQUE)).astype(np.uint8)
+    spread = np.repeat(verdict, np.diff(np.r_[starts, len(order)]))
     later = np.ones(len(order), bool)
     later[starts] = False
     spread[later & (spread == REPEATED_SORT)] = REPEATED
@@ -242,11 +280,13 @@ def _judge(group: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def _ship(blocks: pa.Table, verdicts: pa.Table, n_buckets: int) -> pa.Table:
+def _ship(blocks: pa.Table, verdicts: pa.Table, n_buckets: int, text: str) -> pa.Table:
     """The repeated runs of a block as spans, and the bytes of those to be sorted, to their buckets."""
-    name = blocks.column("block")[0].as_py()
-    _, data, ends = _open(blocks.column("data")[0].as_py())
-    runs = Runs(data, ends)
+    if not blocks.num_rows:
+        return _ROW.empty_table()
+    block = blocks.column("block")[0].as_py()
+    texts = _open(blocks.column("data")[0].as_py(), text)[1]
+    runs, data = Runs(texts), np.frombuffer(b"".join(texts), np.uint8)
     order, first, number = _distinct(runs)
     got = sorted(zip(verdicts.column("bucket").to_pylist(), verdicts.column("data").to_pylist(), strict=True))
     verdict = np.concatenate([C.unpack(d)[0] for _, d in got]) if got else np.empty(0, np.uint8)
@@ -254,98 +294,103 @@ def _ship(blocks: pa.Table, verdicts: pa.Table, n_buckets: int) -> pa.Table:
         raise ValueError("a block did not get all of its verdicts")
     whole = (verdict == REPEATED) | (verdict == REPEATED_SORT)
     hit = whole[number] if len(number) else np.empty(0, bool)
-    rows = [("spans", None, name, C.pack(runs.first[hit], runs.last[hit] + WIDTH))]
+    rows = [("spans", block % n_buckets, block, C.pack(runs.first[hit], runs.last[hit] + WIDTH))]
     chosen = order[first[verdict >= SORT]]
-    where = C.bucket_of(runs.name[chosen], n_buckets)
+    where = C.bucket_of(runs.name[chosen], n_buckets).astype(np.int64)
+    cuts = np.searchsorted(where, np.arange(n_buckets + 1))
+    size = runs.last[chosen] + WIDTH - runs.first[chosen]
     for b in np.unique(where).tolist():
-        r = chosen[where == b]
-        size = (runs.last[r] + WIDTH - runs.first[r]).astype(np.int64)
-        bytes_ = np.concatenate([data[a : a + k] for a, k in zip(runs.first[r].tolist(), size.tolist(), strict=True)])
-        rows.append(("sort", b, name, C.pack(runs.first[r], size, bytes_)))
+        r, k = chosen[cuts[b] : cuts[b + 1]], size[cuts[b] : cuts[b + 1]]
+        at = np.repeat(runs.first[r] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        rows.append(("sort", b, block, C.pack(runs.first[r], k, data[at])))
     return _table(rows)
 
 
 def _sort(group: pa.Table) -> pa.Table:
-    """Suffix array of a bucket's runs; the windows whose neighbours in it begin with the same WIDTH bytes."""
+    """Suffix array of a bucket's runs; the windows whose neighbours in it begin with the same WIDTH bytes. Spans that
+    are known already pass."""
+    kinds = np.array(group.column("kind").to_pylist())
+    known = group.filter(pa.array(kinds == "spans"))
+    group = group.filter(pa.array(kinds == "sort"))
+    if not group.num_rows:
+        return known
     blocks, parts = group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
     first, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    text = np.concatenate([p[2] for p in parts])
+    data = np.concatenate([p[2] for p in parts])
     # Symbols: 1 ends a run, bytes are 2 to 257.
     start = np.cumsum(size + 1) - (size + 1)
-    s = np.ones(int((size + 1).sum()), np.int64)
-    at = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)
-    s[at] = text.astype(np.int64) + 2
-    windows = np.zeros(len(s), bool)
-    run = np.repeat(np.arange(len(size)), size + 1)
+    s = np.ones(int((size + 1).sum()), np.int32)
+    run = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
     place = np.arange(len(s)) - start[run]
-    windows[place + WIDTH <= size[run]] = True
-    order = suffix_order(s)
+    s[place < size[run]] = data.astype(np.int32) + 2
+    windows = place + WIDTH <= size[run]
+    order = suffix_order(s, WIDTH)
     order = order[windows[order]]
-    h = Hashes(np.where(s > 1, s - 2, 0).astype(np.uint8))
-    head = h.of(order, order + WIDTH)
-    same = head[1:] == head[:-1]
+    same = equal_neighbours(np.maximum(s - 2, 0).astype(np.uint8), order, WIDTH)
     hit = np.zeros(len(order), bool)
     hit[1:] |= same
     hit[:-1] |= same
     found = np.sort(order[hit])
     rows = []
     if len(found):
-        begin = first[run[found]] + place[found]
-        whose = owner[run[found]]
-        for i in np.unique(whose).tolist():
-            x = begin[whose == i]
-            new = np.r_[True, (x[1:] != x[:-1] + 1)]
-            last = np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]
-            rows.append(("spans", None, blocks[i], C.pack(x[new], x[last] + WIDTH)))
-    return _table(rows)
+        begin, whose = first[run[found]] + place[found], owner[run[found]]
+        edges = np.flatnonzero(np.r_[True, (found[1:] != found[:-1] + 1), True])
+        new, last = edges[:-1], edges[1:] - 1
+        cuts = np.searchsorted(whose[new], np.arange(len(blocks) + 1))
+        for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if lo < hi:
+                rows.append(("spans", 0, blocks[i], C.pack(begin[new[lo:hi]], begin[last[lo:hi]] + WIDTH)))
+    return pa.concat_tables([known, _table(rows)])
 
 
 def _covered(spans: pa.Table, n: int) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     for data in spans.column("data").to_pylist():
-        a, b = C.unpack(data)
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
-    return np.cumsum(edge[:-1]) > 0
+        for at, step in zip(C.unpack(data), (1, -1), strict=True):
+            np.add.at(edge, at, np.int32(step))
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
-def _finish(blocks: pa.Table, spans: pa.Table, mode: str, names: list[str]) -> pa.Table:
-    batch, data, ends = _open(blocks.column("data")[0].as_py())
-    gone = _covered(spans, len(data))
+def _finish(blocks: pa.Table, spans: pa.Table, mode: str, names: list[str], text: str) -> pa.Table:
+    batch, texts = _open(blocks.column("data")[0].as_py(), text)
+    gone = _covered(spans, sum(map(len, texts)))
     rows, start = [], 0
-    for end in ends.tolist():
-        text, out = data[start:end], gone[start:end].copy()
+    for data in texts:
+        out = gone[start : start + len(data)]
+        start += len(data)
+        if not out.any():
+            rows.append((len(data), 0, 0, None if mode == "text" else hashlib.sha256(data).hexdigest()))
+            continue
+        codes, out = np.frombuffer(data, np.uint8), out.copy()
         edges = np.diff(np.r_[False, out, False].astype(np.int8))
         a, b = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        if mode == "text" and len(a):
+        if mode == "text":
             # Characters that are covered in part stay.
-            follows = (text & 0xC0) == 0x80
+            follows = (codes & 0xC0) == 0x80
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 while x < y and follows[x]:
                     out[x], x = False, x + 1
-                while x < y < len(text) and follows[y]:
+                while x < y < len(data) and follows[y]:
                     y -= 1
                     out[y] = False
-        kept = text[~out].tobytes()
-        rows.append((len(text), int(out.sum()), len(a), kept.decode() if mode == "text" else hashlib.sha256(kept).hexdigest()))
-        start = end
+        kept = codes[~out].tobytes()
+        rows.append((len(data), int(out.sum()), len(a), kept.decode() if mode == "text" else hashlib.sha256(kept).hexdigest()))
     got = list(map(list, zip(*rows, strict=True)))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
     return pa.table([*batch.columns, *(pa.array(x, k) for x, k in zip(got, kinds, strict=True))], names=[*batch.schema.names, *names])
 
 
-def _run(docs: DataFrame, mode: str, names: list[str]) -> DataFrame:
+def _run(docs: DataFrame, mode: str, names: list[str], text: str = "text") -> DataFrame:
     spark = docs.sparkSession
-    n = 2 * C.shuffle_partitions(spark)
-    blocks = C.written(C.arrow_map(docs, _pack, "block long, data binary"), "suffix-blocks", codec="uncompressed")
-    verdicts = C.arrow_groups(C.arrow_map(blocks, _ask, _ROW_DDL, n), "bucket", _judge, _ROW_DDL)
-    shipped = C.written(C.arrow_pairs(blocks, verdicts, "block", _ship, _ROW_DDL, FINER * n), "suffix-runs", codec="uncompressed", partition_by="kind")
-    C.release(spark)
-    sorted_ = C.arrow_groups(shipped.where("kind = 'sort'"), "bucket", _sort, _ROW_DDL)
-    spans = shipped.where("kind = 'spans'").unionByName(sorted_)
+    total = C.text_bytes(docs)
+    n = C.parts_of(spark, total, BUCKET_BYTES)
+    blocks = C.bucketed(C.arrow_map(docs, _pack, "block long, data binary", text), "suffix-blocks", "block", C.parts_of(spark, total, 2 * BLOCK_BYTES))
+    verdicts = C.arrow_groups(C.arrow_map(blocks, _ask, _ROW_DDL, n, text), "bucket", _judge, _ROW_DDL)
+    shipped = C.arrow_pairs(blocks, verdicts, "block", _ship, _ROW_DDL, n, text)
+    spans = C.arrow_groups(shipped, "bucket", _sort, _ROW_DDL)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{names[0]} long, {names[1]} long, {names[2]} long, {names[3]} string"]
-    return C.arrow_pairs(blocks, spans, "block", _finish, ", ".join(fields), mode, names)
+    return C.arrow_pairs(blocks, spans, "block", _finish, ", ".join(fields), mode, names, text)
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -357,11 +402,11 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with the repeated bytes taken out of text (whole characters only). Rows of
     which nothing is left go, those that had no text stay. A column n_chars follows the text."""
-    out = _run(docs, "text", ["_n_bytes", "_n_removed", "_n_spans", "_kept"]).where("_n_removed = 0 OR _n_removed < _n_bytes")
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    new = {"text": text}
+    n_bytes, n_removed, n_spans, kept = names = [C.free_name(docs.columns, x) for x in ("_n_bytes", "_n_removed", "_n_spans", "_kept")]
+    out = _run(docs, "text", names).where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_bytes)))
+    new = {"text": F.when(F.col(n_removed) > 0, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(n_removed) > 0, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
