@@ -29,12 +29,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACES = r"\t-\r \x85\xa0  -     　"
 _OTHER = re.compile(r"[\0\t\x0b-\r\x85\xa0  -     　]")
 _UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: One space or line feed and a word of other characters, none of them white space: what may be joined with others.
+_PLAIN = re.compile(f"[ \n][^{SPACES}\0]{{1,63}}")
 #: The longest unit that is remembered; longer ones are encoded each time.
 LONGEST = 64
 #: Signs that the pattern parts from a letter or digit before them, where white space or nothing follows.
 SIGNS = ".,;:!?)]}\"'*#%&$|<>"
 #: New units that go to the library as one text.
 JOINED = 2000
+#: Units that are remembered before the memo turns; those of the memo before stay until the next turn.
+MEMO = 300_000
 
 
 class ByteBPE:
@@ -87,7 +91,7 @@ class ByteBPE:
             self.memo[u] = b"".join(map(self._ids, self._parts(u)))
 
     def _turn(self) -> None:
-        if len(self.memo) > C.MEMO:
+        if len(self.memo) > MEMO:
             self.memo, self.old = {}, self.memo
 
     def _learn_parts(self, units: list[str]) -> None:
@@ -102,19 +106,21 @@ class ByteBPE:
             for unit, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.memo[unit] = np.array(got.ids, "<u4").tobytes()
 
-    def _learn_joined(self, units: list[str]) -> None:
+    def _learn_joined(self, units: list[str]) -> list[bytes] | None:
         """Remember units from the ids of all in one text; none of them if the ids do not part where the units do."""
         text = "".join(units)
         if any(s in text for s in self.special):
-            return
+            return None
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(u.encode()) for u in units])
+        ends = np.cumsum(np.fromiter(map(len, units if text.isascii() else map(str.encode, units)), np.int64, len(units)))
         token_ends = np.cumsum(self.n_bytes[ids])
         at = np.searchsorted(token_ends, ends)
         if not len(ids) or at[-1] != len(ids) - 1 or not np.array_equal(token_ends[at], ends):
-            return
+            return None
         data, stops = ids.tobytes(), (4 * (at + 1)).tolist()
-        self.memo.update(zip(units, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        got = list(map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)))
+        self.memo.update(zip(units, got, strict=True))
+        return got
 
     def _ids(self, unit: str) -> bytes:
         got = self.memo.get(unit)
@@ -142,24 +148,27 @@ class ByteBPE:
     def _looked_up(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units; new ones are learnt."""
         known = list(map(self.memo.get, units))
-        new, at = [], []
-        for i, got in enumerate(known):
+        plain, at, other = [], [], []
+        for i in [i for i, got in enumerate(known) if got is None]:
+            unit = units[i]
+            if (got := self.old.get(unit)) is not None:
+                known[i] = self.memo[unit] = got
+            elif _PLAIN.fullmatch(unit):
+                plain.append(unit)
+                at.append(i)
+            else:
+                other.append(i)
+        for lo in range(0, len(plain), JOINED):
+            got = self._learn_joined(plain[lo : lo + JOINED])
             if got is None:
-                unit = units[i]
-                if (got := self.old.get(unit)) is not None:
-                    known[i] = self.memo[unit] = got
-                else:
-                    new.append(unit)
-                    at.append(i)
-        alone = [" " < u[-1:] and u.find("\n", 1) < 0 and u[:1] in (" ", "\n") and len(u) <= LONGEST and not _OTHER.search(u) for u in new]
-        plain = [u for u, x in zip(new, alone, strict=True) if x]
-        for i in range(0, len(plain), JOINED):
-            self._learn_joined(plain[i : i + JOINED])
-        rest = [u for u in new if u not in self.memo]
-        self._learn_parts([u for text in rest for u in _UNIT.findall(text)])
-        for i, unit in zip(at, new, strict=True):
-            got = self.memo.get(unit)
-            known[i] = self._joined(unit) if got is None else got
+                other += at[lo : lo + JOINED]
+            else:
+                for i, ids in zip(at[lo : lo + JOINED], got, strict=True):
+                    known[i] = ids
+        self._learn_parts([u for i in other for u in _UNIT.findall(units[i])])
+        for i in other:
+            got = self.memo.get(units[i])
+            known[i] = self._joined(units[i]) if got is None else got
         return known
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +179,10 @@ class ByteBPE:
         starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         starts = starts - starts[0]
         words = lists.flatten()
-        cores = pc.utf8_rtrim(words, SIGNS)
-        coded = cores.dictionary_encode()
-        at, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        signed = np.flatnonzero(np.diff(C.offsets(words)) != np.diff(C.offsets(cores)))
+        stems = pc.utf8_rtrim(words, SIGNS)
+        coded = stems.dictionary_encode()
+        at, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
+        signed = np.flatnonzero(np.diff(C.offsets(words)) != np.diff(C.offsets(stems)))
         # A text whose white space is not one space between words, or that names a special token, is cut by itself.
         bare = pc.utf8_trim_whitespace(distinct)
         bad = np.diff(C.offsets(bare)) != np.diff(C.offsets(distinct))
@@ -183,26 +192,24 @@ class ByteBPE:
         for s in ["\1", *self.special]:
             slow |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
         self._turn()
-        cores, full = (x.to_numpy(zero_copy_only=False).tolist() for x in (distinct, words.take(pa.array(signed))))
-        plain = [bool(x) and x[-1] < "\u0250" and x[-1].isalnum() for x in cores]
+        cores = distinct.to_numpy(zero_copy_only=False).tolist()
         entries = self._looked_up(["\n" + x[1:] if x[:1] == "\1" else " " + x for x in cores])
-        # Behind each word stands what its signs give, or nothing; other words with signs are looked up whole.
-        places: dict[str, int] = {}
-        more: list[str] = []
-        which = np.zeros(len(at), np.int64)
-        for i, core, word in zip(signed.tolist(), at[signed].tolist(), full, strict=True):
-            key = word[len(cores[core]) :] if plain[core] else "\n" + word[1:] if word[0] == "\1" else " " + word
-            if key not in places:
-                places[key] = len(more)
-                more.append(key)
-            which[i] = 1 + places[key]
-            if not plain[core]:
-                at[i] = -1
+        # Behind each word stands what its signs give, or nothing; words that do not end so are looked up whole.
+        stem, of_stem = np.unique(at[signed], return_inverse=True)
+        plain = np.fromiter((bool(x := cores[i]) and x[-1] < "\u0250" and x[-1].isalnum() for i in stem.tolist()), bool, len(stem))[of_stem]
+        tails, of_tail, short = _tails(words, signed, np.diff(C.offsets(words))[signed] - np.diff(C.offsets(stems))[signed])
+        plain &= short
+        which = np.zeros(len(at), np.int32)
+        which[signed[plain]] = 1 + of_tail[plain]
+        whole = words.take(pa.array(signed[~plain])).dictionary_encode()
+        at[signed[~plain]] = -1
+        which[signed[~plain]] = 1 + len(tails) + whole.indices.to_numpy(zero_copy_only=False)
+        more = tails + ["\n" + x[1:] if x[0] == "\1" else " " + x for x in whole.dictionary.to_pylist()]
         base = len(entries)
         entries.append(b"")
         entries += self._looked_up(more)
         at[at < 0] = base
-        both = np.empty(2 * len(at), np.int64)
+        both = np.empty(2 * len(at), np.int32)
         both[0::2], both[1::2] = at, base + which
         # The first word of a text has no space before it; odd texts are one entry, as texts that are cut by themselves.
         rows = np.flatnonzero(slow).tolist()
@@ -213,14 +220,25 @@ class ByteBPE:
         got = self._looked_up(firsts)
         both[2 * starts[:-1]], both[2 * starts[:-1] + 1] = len(entries) + np.arange(len(texts)), base
         entries += [odd.get(i, x) for i, x in enumerate(got)]
-        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        pool, begin = np.frombuffer(b"".join(entries), "<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, entries), np.int32, len(entries)) // 4
+        pool, begin = np.frombuffer(b"".join(entries), "<u4"), (np.cumsum(size, dtype=np.int64) - size)
         n = size[both]
-        total = np.cumsum(n)
-        ids = pool[np.repeat(begin[both] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+        total = np.cumsum(n, dtype=np.int64)
+        kind = np.int32 if max(len(pool), int(total[-1]) if len(total) else 0) < 1 << 30 else np.int64
+        shift = (begin[both] - (total - n)).astype(kind)
+        ids = pool[np.repeat(shift, n) + np.arange(int(total[-1]) if len(total) else 0, dtype=kind)]
         return ids, np.r_[0, total][2 * starts[1:]]
 
 
+def _tails(words: pa.Array, at: np.ndarray, size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct ends, of `size` bytes each, of the words at `at`; which each word has, and if it is of eight bytes at most."""
+    ends, data = C.offsets(words)[1:][at].astype(np.int64), np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    back = np.arange(8)
+    taken = np.where(back < size[:, None], data[np.maximum(ends[:, None] - 1 - back, 0)], 0).astype(np.uint8)
+    kinds, which = np.unique(np.ascontiguousarray(taken).view("<u8").ravel(), return_inverse=True)
+    return [k.tobytes().rstrip(b"\0")[::-1].decode() for k in kinds.astype("<u8")], which, size <= 8
+
+
 _LOADED: dict[tuple, ByteBPE] = {}
 
 

@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from . import common as C
 WINDOW, LEAST, USUAL, MOST = 8, 64, 512, 4096
 _KEY = 16
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 _POLY = np.uint64(0xEDB88320)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _ROWS = "kind string, key binary, doc_id long, n_tokens long, digests binary, sizes binary, root binary, n int, payload binary"
@@ -149,6 +150,17 @@ def _encode(batches, path: str, end_id: int):
         ])
 
 
+def _once(batches):
+    """The first row of each key, of rows in order of their keys."""
+    last = None
+    for batch in batches:
+        keys = batch.column("key")
+        if len(keys):
+            new = np.r_[keys[0].as_py() != last, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False).astype(bool)]
+            last = keys[-1].as_py()
+            yield batch.filter(pa.array(new))
+
+
 def _running(batches):
     """Adds the ids before each document within its partition."""
     at = 0
@@ -164,7 +176,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     spark = docs.sparkSession
     n = C.shuffle_partitions(spark)
     rows = C.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _encode, _ROWS, tokenizer, end_id)
-    rows.repartition(n, "key").dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
+    C.arrow_map(rows.repartition(n, "key").sortWithinPartitions("key"), _once, _ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
     order = _read(spark, path).where("kind = 'recipe'").select("doc_id", "key", "n_tokens", "digests", "sizes", "root").repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key")
     fields = "doc_id long, key binary, n_tokens long, digests binary, sizes binary, root binary, part int"
     C.arrow_map(order.withColumn("part", F.spark_partition_id()), _running, fields + ", before long").write.option("compression", "zstd").parquet(f"{path}/stream")
