@@ -212,6 +212,71 @@ def test_jaccard(docs, empty):
     assert kept.columns == docs.columns and {2, 3, 4, 6} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_clashing_columns(spark, docs):
+    names = ["_d", "_t", "_k", "_l", "_n", "_c", "_key", "_doc", "_lesser", "_times", "_kept", "_N_bytes", "_n_removed", "_m_n_words", "_leak_doc", "block", "data", "kind", "bucket", "node", "root", "token"]
+    wide = docs.select("*", *[F.lit(i).alias(x) for i, x in enumerate(names)])
+    items = spark.createDataFrame([(None, "one two three four five six"), (1, "x y")], "item_id long, text string")
+    for out in (quality.filter_documents(wide), jaccard.keep_one(wide), suffixes.dedupe(wide), decontaminate.drop_leaks(wide, items)):
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all([r[x] for x in names] == list(range(len(names))) for r in rows)
+
+
+def test_items_of_one_id_or_none(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, "other words that leak nothing at all here"), (None, text + " more")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (7, text[:40]), (7, "other words that leak nothing at all"), (7, text[:40])], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_item_shingles"]) for r in decontaminate.find_leaks(docs, items).collect()}
+    n = max(1, len(text[:40].split()) - 4)
+    assert (1, None, 26) in got and (None, None, 26) in got and (2, 7, 3) in got and {x for x in got if x[0] == 2} == {(2, 7, 3)}
+    assert {x[2] for x in got if x[0] == 1 and x[1] == 7} <= {n}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()} == set()
+
+
+def test_runs_of_long_and_periodic_texts():
+    """Texts beyond a piece are hashed in overlapping parts; each window must be in exactly one run."""
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(3 * suffixes.PIECE_BYTES + 77)).encode()
+    parts = [b"x" * 700, b"short", long, b"abc" * 300, long[1000:1400]]
+    runs, windows, at = suffixes.Runs(parts), [], 0
+    for p in parts:
+        windows += range(at, at + max(0, len(p) - suffixes.WIDTH + 1))
+        at += len(p)
+    assert sorted(k for a, b in zip(runs.first, runs.last, strict=True) for k in range(a, b + 1)) == windows
+    data = b"".join(parts)
+    named = defaultdict(set)
+    for a, b, name in zip(runs.first.tolist(), runs.last.tolist(), runs.name.tolist(), strict=True):
+        inside = [data[k : k + suffixes.WIDTH] for k in range(a, b + 1)]
+        assert len(set(inside)) == len(inside)
+        for x in inside:
+            named[x].add(name)
+    assert all(len(v) == 1 for v in named.values())
+
+
+def test_suffix_order_to_a_depth():
+    rnd = random.Random(4)
+    for _ in range(100):
+        s, depth = [rnd.randint(1, rnd.choice([1, 2, 4])) for _ in range(rnd.randint(0, 120))], rnd.choice([2, 7, 30])
+        order = suffixes.suffix_order(np.array(s, np.int64), depth).tolist()
+        heads = [s[i : i + depth] for i in order]
+        assert sorted(order) == list(range(len(s))) and heads == sorted(heads)
+
+
+def test_byte_bpe_columns():
+    import pyarrow as pa
+
+    from varipair.llm import bytebpe
+
+    rnd = random.Random(6)
+    signs = [" ", " ", " ", "\n", "\t", "a", "b", "Foo", "don't", "'s", "é", "日本", "...", "!", "#$", "1", "23", "\1", "\0", "\u2003", "<|endoftext|>", "\x1c", "²", "🙂"]
+    rows = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 12))) for _ in range(5000)] + ["", None, " ", "\n"]
+    bpe = bytebpe.load(public.path("byte_bpe_50k.json"))
+    want = [e.ids for e in bpe.tokenizer.encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    for _ in range(2):
+        ids, ends = bpe.encode_column(pa.array(rows))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
 def test_keep_one_decides_by_row(spark, docs):
     rnd = random.Random(4)
     prose = lambda: " ".join("w%d" % rnd.randrange(10**6) for _ in range(40))

@@ -31,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only a session without that
-    setting (tests, one machine) gets a temporary folder."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Only a session on one machine may go
+    without that setting (tests); it gets a temporary folder. Others raise: their executors' disks are not shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/varipair-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

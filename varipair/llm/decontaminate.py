@@ -9,7 +9,7 @@ candidate pair, with recall 1; exact containment on the shingles themselves then
 Words are runs of other than space and 0x09-0x0D, A-Z lower-cased; with fewer than five words the whole sequence
 is the one shingle; without words there is none and nothing matches.
 
-Cases: null text has no words; rows of one doc_id (null too) and one text are one document; an empty table gives no
+Cases: items are told apart by (item_id, text), null ids too; null text has no words; rows of one doc_id (null too) and one text are one document; an empty table gives no
 pairs; extra columns are ignored in the search and kept by the filter. Benchmark sketches are broadcast only if
 counted and small; otherwise both sides are shuffled.
 """
@@ -53,43 +53,50 @@ def hashes(text: Column, size: int = 5) -> Column:
     return F.array_distinct(_bound(words(text), of))
 
 
+def _items(items: DataFrame) -> DataFrame:
+    """Distinct items: the struct `item` of item_id and a hash of the text, and the text."""
+    return items.select(F.struct("item_id", F.xxhash64("text").alias("of_text")).alias("item"), F.col("text").alias("item_text")).dropDuplicates(["item"])
+
+
 def sketches(items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """item_id, text hash, need and the k smallest hashes of each item, one row each."""
-    sized = items.select("item_id", F.col("text").alias("item_text"), hashes(F.col("text")).alias("h")).withColumn("q", F.size("h").cast("long"))
+    """item, its text, q, need and the k smallest hashes of each item, one row each."""
+    sized = items.select("item", "item_text", hashes(F.col("item_text")).alias("h")).withColumn("q", F.size("h").cast("long"))
     sized = sized.where("q > 0").withColumn("need", F.ceil(F.col("q") * threshold).cast("long"))
-    return sized.select("item_id", "item_text", "q", "need", F.explode(F.slice(F.array_sort("h"), F.lit(1), (F.col("q") - F.col("need") + 1).cast("int"))).alias("h"))
+    return sized.select("item", "item_text", "q", "need", F.explode(F.slice(F.array_sort("h"), F.lit(1), (F.col("q") - F.col("need") + 1).cast("int"))).alias("h"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Pairs with containment >= threshold: doc_id, text_hash, item_id, n_item_shingles, n_shared, containment."""
-    items = items.select("item_id", "text").distinct()
+    """Pairs with containment >= threshold: doc_id, text_hash, item_id, n_item_shingles, n_shared, containment.
+    Items of one item_id (null too) with several texts are searched one by one and have a row each."""
+    items = _items(items)
     sketch = sketches(items, threshold)
     small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     rows = texts.select("doc_id", "text_hash", hashes(F.col("text")).alias("hs")).select("doc_id", "text_hash", F.size("hs").alias("n"), F.explode("hs").alias("h"))
-    found = rows.join(sized(sketch.select("item_id", "need", "h")), "h").where("n >= need")
-    pairs = found.groupBy("doc_id", "text_hash", "item_id").agg(F.lit(1).alias("one")).drop("one")
+    found = rows.join(sized(sketch.select("item", "need", "h")), "h").where("n >= need")
+    pairs = found.groupBy("doc_id", "text_hash", "item").agg(F.lit(1).alias("one")).drop("one")
     return verified(texts, items, pairs, threshold)
 
 
 def verified(texts: DataFrame, items: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The candidate pairs whose exact containment reaches the threshold. Only candidates' texts are cut again."""
-    wanted = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("item_ids"))
+    wanted = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("item").alias("items"))
     cut = lambda text: F.array_distinct(_bound(words(text), lambda w: shingles(w)))
     w = wanted.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
     held = texts.join(w, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text_hash").eqNullSafe(F.col("_t"))).dropDuplicates(["doc_id", "text_hash"])
-    have = held.select("doc_id", "text_hash", F.explode("item_ids").alias("item_id"), cut(F.col("text")).alias("have"))
-    need = items.select(F.col("item_id").alias("_i"), cut(F.col("text")).alias("want"))
-    both = have.join(need, F.col("item_id").eqNullSafe(F.col("_i")))
-    shared = both.select("doc_id", "text_hash", "item_id", F.size("want").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("want", "have")).cast("long").alias("n_shared"))
-    return shared.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_item_shingles") * threshold)).dropDuplicates(["doc_id", "text_hash", "item_id"])
+    have = held.select("doc_id", "text_hash", F.explode("items").alias("item"), cut(F.col("text")).alias("have"))
+    need = items.select(F.col("item").alias("_i"), cut(F.col("item_text")).alias("want"))
+    both = have.join(need, F.col("item.of_text").eqNullSafe(F.col("_i.of_text")) & F.col("item.item_id").eqNullSafe(F.col("_i.item_id")))
+    shared = both.select("doc_id", "text_hash", F.col("item.item_id").alias("item_id"), F.size("want").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("want", "have")).cast("long").alias("n_shared"))
+    return shared.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).where(F.col("n_shared") >= F.ceil(F.col("n_item_shingles") * threshold))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The rows of docs, all columns, that no item leaks into."""
-    leaks = find_leaks(docs, items, threshold).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_t")), "left_anti")
+    d, t = (C.free_name(docs.columns, x) for x in ("_leak_doc", "_leak_text"))
+    leaks = find_leaks(docs, items, threshold).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(t)), "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +109,10 @@ _CUT = """SELECT DISTINCT {id} AS id, CASE WHEN len(w) < 5 THEN array_to_string(
         FROM (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})
         WHERE len(w) > 0)"""
 SQL9 = f"""
-WITH d AS ({_CUT.format(id="doc_id", table="documents")}), b AS ({_CUT.format(id="item_id", table="benchmark")}),
+WITH d AS ({_CUT.format(id="doc_id", table="documents")}),
+b AS ({_CUT.format(id="item", table="(SELECT DISTINCT {'id': item_id, 'of': text} AS item, text FROM benchmark)")}),
 q AS (SELECT id, count(*) AS q FROM b GROUP BY id),
-m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n FROM d JOIN b USING (s) GROUP BY ALL)
-SELECT doc_id, item_id, q AS n_item_shingles, n AS n_shared, n / q AS containment
-FROM m JOIN q ON q.id = item_id WHERE 4 * n >= 3 * q
+m AS (SELECT d.id AS doc_id, b.id AS item, count(*) AS n FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item.id AS item_id, q AS n_item_shingles, n AS n_shared, n / q AS containment
+FROM m JOIN q ON q.id = item WHERE 4 * n >= 3 * q
 """

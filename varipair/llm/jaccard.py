@@ -9,9 +9,10 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two sets
    Each node picks its own l: longer prefixes cost more postings, but ask for l matches before a verification.
    A pair uses the smaller l of the two.
 3. Candidates come from the postings of a shingle: first with the most central node that has it (the one with the
-   highest mean document frequency), then with one central node of each of eight parts, last between all nodes
-   that are not yet connected. So large groups of copies cost one verification a node, not one a pair, and no
-   link that decides connectivity is left untested. The last join compares bitmaps: each shared shingle flips one
+   highest mean document frequency), then with one central node of each of several parts, last between all nodes
+   that are not yet connected. In every round a pair is verified only after the matches its level asks for. So large
+   groups of copies cost one verification a node, not one a pair, and no link that decides connectivity is left
+   untested, as the last round counts all matches of a pair. The last join compares bitmaps: each shared shingle flips one
    of 256 bits, so two sets differ in at least as many shingles as their bitmaps differ in bits, and a pair
    that differs too much for the similarity is no candidate.
 4. Candidate pairs are verified on their shared shingles; verified links give components by star contraction.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for each bucket of shingles or nodes.
+BUCKET_BYTES = 16 << 20
 #: Longest multi-match level that is considered, and the cost of verifying a shingle against reading a posting.
 LEVELS, VERIFY = 8, 0.05
 #: Parts of a posting list that give a hub each, by round.
@@ -243,6 +246,10 @@ def _central(posts: DataFrame, *keys) -> DataFrame:
     return top.select("token", "t.*")
 
 
+def _forest(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _rooted(posts: DataFrame, roots: DataFrame) -> DataFrame:
     """posts of shingles whose nodes are in several components, with root."""
     named = posts.join(roots.withColumnRenamed("root", "_r"), "node", "left").withColumn("root", F.coalesce("_r", "node")).drop("_r")
@@ -253,7 +260,7 @@ def _rooted(posts: DataFrame, roots: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
-    n = 2 * C.shuffle_partitions(spark)
+    n = C.parts_of(spark, C.text_bytes(docs), BUCKET_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posts = C.arrow_map(rows, _postings, "kind string, bucket int, data binary", n)
     shared = C.written(C.arrow_groups(posts, "bucket", _share, "kind string, bucket int, data binary", n), "jaccard-shared", partition_by="kind")
@@ -262,16 +269,17 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = prefix.where("kind = 'set'").select("node", "n", "data")
 
     # Hub rounds: each node with the most central node of its shingles' lists, then of each part of the lists.
-    # A hub stands for its list, so it is verified after one match; lists in one component are done.
-    roots = C.components(links := _linked(_pairs(postings, _central(postings), percent).select("a", "b"), sets, percent))
+    # A pair is verified after as many matches as its level asks for, here too; lists in one component are done.
+    roots = C.components(links := _linked(_counted(_pairs(postings, _central(postings), percent)), sets, percent))
     for parts in HUB_PARTS:
         again = _rooted(postings, roots)
         hubs = _central(again.withColumn("part", F.pmod(F.xxhash64("node", F.lit(parts)), F.lit(parts))), "part")
-        links = links.union(_linked(_pairs(again, hubs, percent).select("a", "b"), sets, percent))
+        # What a round has joined is kept as a forest: one edge for each node but the roots.
+        links = _forest(roots).union(_linked(_counted(_pairs(again, hubs, percent)), sets, percent))
         roots = C.components(links)
     # Last: all nodes of a list that are not connected, with as many matches as their levels ask for.
     rest = _rooted(postings, roots).join(prefix.where("kind = 'set'").select("node", *MARKS), "node")
-    roots = C.components(links.union(_linked(_counted(_pairs(rest, rest, percent, exact=True)), sets, percent)))
+    roots = C.components(_forest(roots).union(_linked(_counted(_pairs(rest, rest, percent, exact=True)), sets, percent)))
 
     entries = C.arrow_map(shared.where("kind = 'docs'").select("data"), _entries, "doc_id long, n_shingles long, node long")
     classes = entries.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -285,17 +293,18 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     several texts under it the one with the least key, of equal rows any one. Rows without words have no links and
     all stay. The verdict is on (doc_id, key), where key is a 64-bit hash of doc_id and text, so rows that only share
     a doc_id, null too, do not share it."""
+    k, d, other, other_d, times = (C.free_name(docs.columns, x) for x in ("_key", "_doc", "_lesser", "_lesser_doc", "_times"))
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    rows = docs.select(key.alias("_k"), docs["doc_id"].cast("long").alias("_d"), docs["text"].cast("string").alias("text"))
-    linked = link_components(rows.select(F.col("_k").alias("doc_id"), "text"), percent).where("n_shingles > 0")
-    of_key = linked.groupBy(F.col("doc_id").alias("_k")).agg(F.min("component_id").alias("_c"), F.count("*").alias("_n"))
-    seen = C.written(of_key.join(rows.groupBy("_k").agg(F.min("_d").alias("_d")), "_k"), "jaccard-keys")
-    first = seen.groupBy("_c").agg(F.min(F.struct(F.col("_d").isNull().alias("no_id"), "_d", "_k")).alias("t")).select(F.col("t._k").alias("_k"))
-    lesser = seen.join(first, "_k", "left_anti").select(F.col("_k").alias("_l"), "_d")
-    many = seen.where("_n > 1").join(first, "_k", "left_semi").select("_k")
-    kept = docs.withColumn("_k", key).join(lesser, (F.col("_k") == F.col("_l")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_d")), "left_anti")
-    one = kept.join(many, "_k", "left_semi").dropDuplicates(["_k"])
-    return kept.join(many, "_k", "left_anti").unionByName(one).drop("_k")
+    rows = docs.select(key.alias(k), docs["doc_id"].cast("long").alias(d), docs["text"].cast("string").alias("text"))
+    linked = link_components(rows.select(F.col(k).alias("doc_id"), "text"), percent).where("n_shingles > 0")
+    of_key = linked.groupBy(F.col("doc_id").alias(k)).agg(F.min("component_id").alias("component"), F.count("*").alias(times))
+    seen = C.written(of_key.join(rows.groupBy(k).agg(F.min(d).alias(d)), k), "jaccard-keys")
+    first = seen.groupBy("component").agg(F.min(F.struct(F.col(d).isNull().alias("no_id"), d, k)).alias("t")).select(F.col(f"t.{k}").alias(k))
+    lesser = seen.join(first, k, "left_anti").select(F.col(k).alias(other), F.col(d).alias(other_d))
+    many = seen.where(F.col(times) > 1).join(first, k, "left_semi").select(k)
+    kept = docs.withColumn(k, key).join(lesser, (F.col(k) == F.col(other)) & docs["doc_id"].cast("long").eqNullSafe(F.col(other_d)), "left_anti")
+    one = kept.join(many, k, "left_semi").dropDuplicates([k])
+    return kept.join(many, k, "left_anti").unionByName(one).drop(k)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,18 +76,18 @@ def measure(data: bytes, length: int) -> tuple[int, ...]:
     return len(words), length - count(_SPACE), count(_SYMBOLS), n_dup, repeat_words(words), n_lines, count(_UPPER)
 
 
-def _measure(batches, keep: list[str]):
+def _measure(batches, keep: list[str], prefix: str):
     for part in C.steps(batches):
         chars = pc.fill_null(pc.utf8_length(part.column("text")), 0).to_pylist()
         rows = [measure(*x) for x in zip(C.texts_of(part.column("text")), chars, strict=True)]
         columns = [part.column(k) for k in keep] + [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f"_m_{m}" for m in MEASURES)])
+        yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(prefix + m for m in MEASURES)])
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and the measurements, named _m_ and the measurement's name."""
-    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [f"_m_{m} long" for m in MEASURES])
-    return C.arrow_map(docs.select(*dict.fromkeys([*keep, "text"])), _measure, schema, keep)
+def measured(docs: DataFrame, keep: list[str], prefix: str = "_m_") -> DataFrame:
+    """The columns `keep` of docs and the measurements, named by the prefix and the measurement's name."""
+    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [f"`{prefix}{m}` long" for m in MEASURES])
+    return C.arrow_map(docs.select(*dict.fromkeys([*keep, "text"])), _measure, schema, keep, prefix)
 
 
 def failure_bits(prefix: str = "") -> Column:
@@ -131,7 +131,10 @@ def filter_documents(docs: DataFrame, policy: str = "web/2") -> DataFrame:
     """The rows of docs, all columns, that the policy keeps. The measurements travel with the row, so nothing
     is shuffled or joined, and rows with null or repeated ids are judged one by one."""
     reject = F.lit(mask_of(policy) | mask_of("base/1")).cast("long")
-    return measured(docs, docs.columns).where(failure_bits("_m_").bitwiseAND(reject) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    prefix = "_m_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return measured(docs, docs.columns, prefix).where(failure_bits(prefix).bitwiseAND(reject) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
