@@ -124,36 +124,50 @@ def test_edits(spark, docs, empty):
     assert edits.count_tokens(empty, path).count() == 0
 
 
-def test_katz(docs, empty):
-    got = katz.score_documents(docs).collect()
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz(docs, empty, order):
+    got = katz.score_documents(docs, order).collect()
     tok = [(i, t.encode().translate(LOWER).split() + [None]) for i, t in texts()]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
-    c1, c2 = Counter(), Counter()
+    # Histories: the start of a text is 0 and stands once before it.
+    grams = lambda w: [[(tuple(([0] + w)[max(0, k + 2 - n) : k + 1]) if n > 1 else (), x) for k, x in enumerate(w)] for n in range(1, order + 1)]
+    count = [Counter() for _ in range(order)]
     for i, w in tok:
         if not held(i):
-            c1.update(w)
-            c2.update(zip([0] + w[:-1], w, strict=True))
-    total = sum(c1.values())
-    d1, d2 = (katz.discounts([Counter(c.values())[r] for r in range(1, 7)]) for c in (c1, c2))
-    left = lambda d, c: d[c - 1] * c if c <= 5 else c - 0.5
-    unknown = 1 - sum(left(d1, c) for c in c1.values()) / total
-    p1 = lambda w: left(d1, c1[w]) / total if c1[w] else unknown
-    ctx, mass, lower = Counter(), defaultdict(float), defaultdict(float)
-    for (v, w), c in c2.items():
-        ctx[v] += c
-        mass[v] += left(d2, c)
-        lower[v] += p1(w)
-    alpha = lambda v: (1 - mass[v] / ctx[v]) / (1 - lower[v])
-    p = lambda v, w: left(d2, c2[v, w]) / ctx[v] if c2[v, w] else alpha(v) * p1(w) if ctx[v] else p1(w)
-    for v in list(ctx)[:20]:  # exactly normalised
-        assert abs(sum(p(v, w) for w in c1) + alpha(v) * unknown - 1) < 1e-9
-    want = {}
+            for k, (c, own) in enumerate(zip(count, grams(w), strict=True)):
+                c.update(g for g in own if len(g[0]) == k)
+    ds = [katz.discounts([Counter(c.values())[r] for r in range(1, 7)]) for c in count]
+    after = [defaultdict(dict) for _ in range(order)]
+    for c, a in zip(count, after, strict=True):
+        for (h, w), n in c.items():
+            a[h][w] = n
+    left = lambda k, c: ds[k][c - 1] * c if c <= 5 else c
+    size = lambda a: sum(a.values()) + (not any(c <= 5 for c in a.values()))
+    unknown = 1 - sum(left(0, c) for c in after[0][()].values()) / size(after[0][()])
+
+    def p(h, w):
+        a = after[len(h)].get(h)
+        if a and w in a:
+            return left(len(h), a[w]) / size(a)
+        if not h:
+            return unknown
+        return (alpha(h) if a else 1) * p(h[1:], w)
+
+    def alpha(h):
+        a = after[len(h)][h]
+        return (1 - sum(left(len(h), c) for c in a.values()) / size(a)) / (1 - sum(p(h[1:], x) for x in a))
+
+    for a in after[1:]:
+        for h in list(a)[:20]:  # exactly normalised: all known words, and one that was never seen
+            assert abs(sum(p(h, w) for w in after[0][()]) + p(h, "never") - 1) < 1e-9
+    want, total = {}, sum(count[0].values())
     for i, w in tok:
-        want.setdefault(i, []).append((held(i), len(w), sum(c1[x] > 0 for x in w), total, sum(math.log10((c1[x] + 0.5) / (total + 0.5 * (len(c1) + 1))) for x in w), sum(math.log10(p(v, x)) for v, x in zip([0] + w[:-1], w, strict=True))))
+        base = sum(math.log10((count[0][(), x] + 0.5) / (total + 0.5 * (len(count[0]) + 1))) for x in w)
+        want.setdefault(i, []).append((held(i), len(w), sum(count[0][(), x] > 0 for x in w), total, base, sum(math.log10(p(h, x)) for h, x in grams(w)[-1])))
     assert len(got) == len(tok)
     for r in got:
         assert any(tuple(r)[1:5] == x[:4] and abs(r["base_score"] - x[4]) < 1e-6 and abs(r["score"] - x[5]) < 1e-6 for x in want[r["doc_id"]])
-    assert katz.score_documents(empty).count() == 0
+    assert katz.score_documents(empty, order).count() == 0
 
 
 def test_suffix_order():

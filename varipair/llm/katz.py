@@ -1,25 +1,29 @@
-"""Katz backoff scores: a bigram model with Good-Turing discounts, learnt from and applied to one table.
+"""Katz backoff scores: Good-Turing discounted n-grams up to three words, learnt from and applied to one table.
 
-Tokens are lower-cased words and an end of text. Training texts give counts c(w) and c(v, w); v is the word
-before, or the start of the text. With d_r the Good-Turing discount of a count r (Katz's form up to CUTOFF):
+Tokens are lower-cased words and an end of text. Training texts give counts c(h, w) of a word w after a history h: none,
+the word before (or the start of the text), or the two before. C(h) is their sum, and c* the Good-Turing count (Katz's
+form for counts up to CUTOFF, higher ones as they are):
 
-    P(w)     = d c(w) / N,             an unknown word: what the discounts leave
-    P(w | v) = d c(v, w) / c(v)        for a pair that was seen,
-               alpha(v) P(w)           else, if v was seen,
-               P(w)                    if it was not.
-    alpha(v) = (1 - sum of P(w | v) over seen w) / (1 - sum of P(w) over the same w): each P(. | v) sums to 1.
+    P(w | h) = c*(h, w) / D(h)          for an n-gram that was seen; D(h) = C(h),
+               alpha(h) P(w | h')       else, if h was seen; h' is h without its first word,
+               P(w | h')                if it was not.
+    alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w | h') over the same w): each P(. | h) sums to 1.
 
-Counts above the cutoff give up half a count, so that each v keeps some mass to back off with.
+A word that was never seen has what the discounts of the single words leave. A history all of whose counts are above the
+cutoff gives nothing away; it has D(h) = C(h) + 1, so that it can back off.
 
-How: texts are packed into blocks of some MB, a written table. A block asks each bucket of n-gram hashes for the
-counts of its distinct n-grams and gives its own training counts; a bucket adds them up, stores them in the count
-table, and answers. A count travels once per block, however often it occurs there, so a frequent word is no
-hot key. The bucket names one block the owner of a pair, which adds that pair to the sums behind alpha(v); these
-are added per v the same way. Discounts come from counts of counts, seven numbers per order.
+How: texts are packed into blocks, a bucketed table that every round reads where it lies. In round k a block sends each
+bucket of histories its distinct n-grams of k words with its own training counts; a bucket adds them up and answers with
+the totals, and with what alpha needs of a history: the sum of the lower P and how many words were seen 1 .. CUTOFF times.
+The answers of all rounds are partitioned tables in the shared folder, from which each block is scored, order by order.
+Round 1 also numbers the words, frequent ones low, so n-grams are exact from there on and take few bytes. A history that
+stands in one block only (the counts of the round before say so) is finished there and not sent. A count travels once a
+block, however often it occurs there, so a frequent word or pair is no hot key. Discounts come from counts of counts, added
+up by Spark.
 
 Cases: null text is empty (one end token); doc_id null trains; repeated rows count each time; an empty table gives no
-rows; extra columns are ignored; without training texts all words are unknown. Memory: a block, or a bucket's part of all blocks.
-N-grams are 64-bit hashes; two of n meet with a chance of n * n / 2**65.
+rows; extra columns are ignored; without training texts all words are unknown. Memory: a block, or a bucket's part of all
+blocks. Words are numbered by 64-bit hashes; two of n meet with a chance of n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -33,19 +37,21 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK_BYTES = 8 << 20
-CUTOFF = 5
-_END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: The longest n-grams, 1 to 3, and the highest count that is discounted.
+ORDER, CUTOFF = 3, 5
+_END, _START = np.uint64(0x9E3779B97F4A7C15), 0
 _BLOCK = pa.schema([("block", pa.int64()), ("data", pa.binary())])
-_ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("data", pa.binary())])
-_ROW_DDL = "kind string, bucket int, block long, level int, data binary"
+_ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("data", pa.binary()), ("numbers", pa.list_(pa.int64()))])
+_ROW_DDL = "kind string, bucket int, block long, level int, data binary, numbers array<long>"
+_LOW32 = np.uint64(0xFFFFFFFF)
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def _pack(batches):
+def _tokens(batches):
     """Blocks: ids, nulls, held-out marks, tokens of each text, the sorted hashes of distinct tokens, and the tokens."""
     from pyspark import TaskContext
 
@@ -59,79 +65,35 @@ def _pack(batches):
         vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         data = C.pack(
             np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([held_out(i) for i in ids], np.uint8),
-            np.array(sizes, np.uint32), vocabulary, tokens.astype(np.uint32),
+            np.array(sizes, np.uint32), vocabulary, planes(tokens),
         )
         yield C.batch_of(_BLOCK, [[(task << 32) + n], [data]])
         n += 1
 
 
-class Block:
-    """A block, its distinct pairs in order of their hashes, and training counts of both."""
+def planes(a: np.ndarray) -> np.ndarray:
+    """Unsigned numbers by their bytes: the width, all lowest bytes, all next ones ..., which compresses well."""
+    a = np.asarray(a)
+    width = 4 if not len(a) or int(a.max()) < 1 << 32 else 8
+    return np.r_[np.uint8(width), np.ascontiguousarray(np.ascontiguousarray(a, f"<u{width}").view(np.uint8).reshape(-1, width).T).ravel()]
 
-    def __init__(self, data: bytes):
-        self.ids, self.null, self.held, self.sizes, self.words, tokens = C.unpack(data)
-        self.tokens = tokens.astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.train = self.held[self.doc] == 0
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.sizes, dtype=np.int64) - self.sizes] = len(self.words)
-        self.contexts = np.append(self.words, _START)
-        pair = C.mix(C.mix(self.contexts[before]) ^ self.words[self.tokens])
-        self.pairs, first, self.pair_of = np.unique(pair, return_index=True, return_inverse=True)
-        self.before, self.after = before[first], self.tokens[first]
 
-    def training_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        count = lambda which, n: np.bincount(which[self.train], minlength=n).astype(np.uint32)
-        return count(self.tokens, len(self.words)), count(self.pair_of, len(self.pairs))
+def unplaned(data: np.ndarray) -> np.ndarray:
+    width = int(data[0])
+    return np.ascontiguousarray(data[1:].reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def _requests(batches, n_buckets: int):
-    for batch in batches:
-        for name, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            block, rows = Block(data), []
-            for level, keys, counts in zip((1, 2), (block.words, block.pairs), block.training_counts(), strict=True):
-                for b, lo, hi in slices(keys, n_buckets):
-                    rows.append(("ask", b, name, level, C.pack(np.frombuffer(C.pack_sorted(keys[lo:hi]), np.uint8), counts[lo:hi])))
-            yield C.batch_of(_ROW, list(map(list, zip(*rows, strict=True))))
-
-
-def slices(keys: np.ndarray, n_buckets: int):
-    """(bucket, from, to) of ascending keys."""
-    cuts = np.searchsorted(C.bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
-    return [(b, int(lo), int(hi)) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
-
-
-def _answer(group: pa.Table) -> pa.Table:
-    """Counts of a bucket: rows for the count table, counts of counts, and an answer to each block."""
-    cols = [group.column(c).to_pylist() for c in ("bucket", "block", "level", "data")]
-    rows = []
-    for level in (1, 2):
-        asked = [(b, n, C.unpack(d)) for b, n, at, d in zip(*cols, strict=True) if at == level]
-        if not asked:
-            continue
-        bucket = asked[0][0]
-        keys = [C.unpack_sorted(a[2][0].tobytes()) for a in asked]
-        sizes = [len(k) for k in keys]
-        key, own = np.concatenate(keys), np.concatenate([a[2][1] for a in asked]).astype(np.int64)
-        order = np.lexsort((own == 0, key))
-        starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-        total = np.add.reduceat(own[order], starts)
-        which = np.empty(len(key), np.int64)
-        which[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
-        owner = np.zeros(len(key), np.uint8)
-        owner[order[starts]] = total > 0
-        seen = total > 0
-        rows.append(("counts", bucket, None, level, C.pack(np.frombuffer(C.pack_sorted(key[order[starts]][seen]), np.uint8), total[seen].astype(np.uint64))))
-        of_counts = [int((total == r).sum()) for r in range(1, CUTOFF + 2)]
-        above = total[total > CUTOFF]
-        rows.append(("stats", bucket, None, level, C.pack(np.array([seen.sum(), total.sum(), len(above), above.sum(), *of_counts], np.int64))))
-        small = np.uint32 if not len(total) or total.max() < 1 << 32 else np.uint64
-        at = 0
-        for (_, name, _), n in zip(asked, sizes, strict=True):
-            rows.append(("answer", bucket, name, level, C.pack(total[which[at : at + n]].astype(small), owner[at : at + n])))
-            at += n
-    return pa.table(C.batch_of(_ROW, list(map(list, zip(*rows, strict=True)))).columns, schema=_ROW)
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return C.batch_of(_ROW, list(map(list, zip(*rows, strict=True))))
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_rows(rows)], schema=_ROW) if rows else _ROW.empty_table()
+
+
+def counts_of_counts(total: np.ndarray) -> list[int]:
+    """How many n-grams were seen, how often in all, and how many 1 .. CUTOFF + 1 times."""
+    return [int((total > 0).sum()), int(total.sum()), *np.bincount(total[(total > 0) & (total <= CUTOFF + 1)], minlength=CUTOFF + 2)[1:].tolist()]
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -148,113 +110,268 @@ def discounts(n: list[int]) -> list[float]:
 
 
 class Discounted:
-    """Counts of one order and what is left of them; n: distinct, total, those above the cutoff and their sum, and
-    the numbers of n-grams seen 1 .. CUTOFF + 1 times."""
+    """The Good-Turing counts of one order, from its counts of counts."""
 
-    def __init__(self, n: list[int]):
-        self.distinct, self.total = n[0], n[1]
-        self.table = np.array([0.0, *discounts(n[4:])]) * np.arange(CUTOFF + 1)
-        kept = sum(self.table[r] * n[3 + r] for r in range(1, CUTOFF + 1)) + n[3] - 0.5 * n[2]
-        self.unknown = 1.0 if not n[1] else max(1 - kept / n[1], 1e-12)
+    def __init__(self, numbers: list[int]):
+        self.distinct, self.total = numbers[:2]
+        self.table = np.array([0.0, *discounts(numbers[2:])]) * np.arange(CUTOFF + 1)
+        self.given = np.arange(1, CUTOFF + 1) - self.table[1:]
+        # Of the single words: what unknown words share.
+        low = np.array(numbers[2 : 2 + CUTOFF])
+        self.size = self.total + (not low.any())
+        self.unknown = ((not low.any()) + float(low @ self.given)) / self.size
 
     def left(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count <= CUTOFF, self.table[np.minimum(count, CUTOFF)], count - 0.5)
+        return np.where(count <= CUTOFF, self.table[np.minimum(count, CUTOFF)], count)
+
+    def word(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, self.left(count) / self.size, self.unknown)
+
+
+def _summed(by: np.ndarray, n: int, total: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per history: the sum of the lower P of the words seen after it, and how many were seen 1 .. CUTOFF times."""
+    low = np.stack([np.bincount(by[total == r], minlength=n) for r in range(1, CUTOFF + 1)], 1)
+    return np.bincount(by, weights=np.where(total > 0, lower, 0.0), minlength=n), low
+
+
+class Level:
+    """The distinct n-grams of one order in a block, in order of (history, word): histories `key` with their counts in
+    all training and in all held-out texts; per n-gram its history `by`, its word, the block's two counts, the count of the
+    n-gram without its first word, and the size D of the history without its first word."""
+
+    def __init__(self, key, count, by, word, own, low_count, low_size, lower: Discounted):
+        self.key, (self.count, self.count_held), self.by, self.word, (self.own, self.held) = key, count, by, word, own
+        self.low_count, self.low_size = low_count, low_size
+        n, (own, held) = len(key), own
+        self.start = np.searchsorted(by, np.arange(n + 1))
+        inside = lambda w: np.bincount(by, weights=w, minlength=n).astype(np.int64)
+        self.sent = np.flatnonzero((self.count != inside(own)) | (self.count_held != inside(held)))
+        self.asks = np.zeros(n, bool)
+        self.asks[by[own == 0]] = True
+        self.total, self.total_held = own.copy(), held.copy()
+        self.lower_sum, self.low = _summed(by, n, own, lower.left(low_count) / low_size[by])
+        self.own_low = self.low.any(axis=1)
+
+    def dealt(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The histories that are sent, by bucket, and where each bucket's begin."""
+        bucket = (C.mix(self.key[self.sent].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return self.sent[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+
+    def children(self, which: np.ndarray) -> np.ndarray:
+        n = self.start[which + 1] - self.start[which]
+        return np.repeat(self.start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def questions(self, block: int, level: int, n_buckets: int) -> list[tuple]:
+        histories, cuts = self.dealt(n_buckets)
+        rows = []
+        for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if lo < hi:
+                h = histories[lo:hi]
+                c, key = self.children(h), self.key[h]
+                data = C.pack(
+                    planes(C.gaps(key >> np.uint64(32))), planes(key & _LOW32), planes(self.start[h + 1] - self.start[h]), planes(self.low_size[h]), self.asks[h].astype(np.uint8),
+                    planes(self.word[c]), planes(self.own[c]), planes(self.low_count[c]), planes(self.held[c]),
+                )
+                rows.append(("ask", b, block, level, data, None))
+        done = np.ones(len(self.key), bool)
+        done[self.sent] = False
+        return [*rows, ("stats", block % n_buckets, None, level, None, counts_of_counts(self.own[done[self.by]]))]
+
+    def hear(self, answers: list[tuple[int, bytes]], n_buckets: int) -> None:
+        """Take totals, and for histories with a word that this block's training texts lack, what alpha needs."""
+        got = [C.unpack(d) for _, d in sorted(answers, key=lambda x: x[0])]
+        histories, _ = self.dealt(n_buckets)
+        if len(histories):
+            total, low = np.concatenate([unplaned(g[0]) for g in got]), np.concatenate([g[1] for g in got]).astype(bool)
+            c, asks = self.children(histories), histories[self.asks[histories]]
+            if len(total) != len(c) or len(low) != len(histories):
+                raise ValueError("a block did not get all of its answers")
+            self.total[c], self.total_held[c] = total, np.concatenate([unplaned(g[4]) for g in got])
+            self.own_low[histories] = low
+            self.lower_sum[asks] = np.concatenate([g[2] for g in got])
+            self.low[asks] = np.concatenate([unplaned(g[3]).reshape(-1, CUTOFF) for g in got])
+
+    def sizes(self) -> np.ndarray:
+        """D of each history."""
+        return self.count + ~self.own_low
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count > 0, self.left(count) / max(self.total, 1), self.unknown)
 
+class Block:
+    """A block, its words as numbers, and its n-grams as far as answers have come."""
 
-def _evaluate(blocks: pa.Table, answers: pa.Table, n_buckets: int, numbers: list[list[int]]) -> pa.Table:
-    """Scores of a block's texts as far as they need no alpha, what it asks of alpha, and its part of the sums
-    behind alpha."""
+    def __init__(self, data: bytes, answers: list[tuple], numbers: list[list[int]], n_buckets: int, order: int):
+        self.ids, self.null, self.held, self.sizes, self.words, tokens = C.unpack(data)
+        self.tokens = unplaned(tokens)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.train = self.held[self.doc] == 0
+        self.discounts = [Discounted(x) for x in numbers]
+        self.levels: list[Level] = []
+        self.of_token: list[np.ndarray] = []
+        heard = {k: [(b, d) for b, at, d in answers if at == k] for k in range(1, order + 1)}
+        if not answers:
+            return
+        got = [C.unpack(d) for _, d in sorted(heard[1], key=lambda x: x[0])]
+        self.number, self.count, self.count_held = (np.concatenate([unplaned(g[i]) for g in got]) for i in (0, 1, 2))
+        if len(self.count) != len(self.words):
+            raise ValueError("a block did not get all of its answers")
+        for k in range(2, min(order, len(numbers) + 1) + 1):
+            self.levels.append(self._second() if k == 2 else self._third())
+            if k <= len(numbers):
+                self.levels[-1].hear(heard[k], n_buckets)
+
+    def counts(self, which: np.ndarray, train: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each of n things stands in training and in held-out texts."""
+        return np.bincount(which[train], minlength=n), np.bincount(which[~train], minlength=n)
+
+    def _distinct(self, key: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        grams, of_token = np.unique(key, return_inverse=True)
+        at = np.full(len(self.tokens), -1, np.int64)
+        at[tokens] = of_token
+        self.of_token.append(at)
+        return grams, self.counts(of_token, self.train[tokens], len(grams))
+
+    def _second(self) -> Level:
+        number = self.number[self.tokens].astype(np.uint64)
+        before = np.empty(len(number), np.uint64)
+        before[1:] = number[:-1]
+        before[np.cumsum(self.sizes, dtype=np.int64) - self.sizes] = _START
+        self.grams, own = self._distinct((before << np.uint64(32)) | number, np.arange(len(number)))
+        key, by = np.unique(self.grams >> np.uint64(32), return_inverse=True)
+        order = np.argsort(self.number)
+        place = lambda numbers: order[np.searchsorted(self.number[order], numbers)]
+        word = (self.grams & _LOW32).astype(np.int64)
+        # A text begins as often as it ends.
+        end, at = np.searchsorted(self.words, _END), place(np.maximum(key.astype(np.int64), self.number.min()))
+        seen = tuple(np.where(key == _START, count[end], count[at]) for count in (self.count, self.count_held))
+        self.word_of = place(word)
+        return Level(key, seen, by, word, own, self.count[self.word_of], np.full(len(key), self.discounts[0].size, np.int64), self.discounts[0])
+
+    def _third(self) -> Level:
+        two, of_token = self.levels[0], self.of_token[0]
+        later = np.ones(len(self.tokens), bool)
+        later[np.cumsum(self.sizes, dtype=np.int64) - self.sizes] = False
+        at = np.flatnonzero(later)
+        number = self.number[self.tokens[at]].astype(np.uint64)
+        grams, own = self._distinct((of_token[at - 1].astype(np.uint64) << np.uint64(32)) | number, at)
+        history, by = np.unique(grams >> np.uint64(32), return_inverse=True)
+        history, key = history.astype(np.int64), self.grams[history.astype(np.int64)]
+        last = key & _LOW32
+        self.shorter = np.searchsorted(self.grams, (last[by] << np.uint64(32)) | (grams & _LOW32))
+        return Level(key, (two.total[history], two.total_held[history]), by, (grams & _LOW32).astype(np.int64), own, two.total[self.shorter], two.sizes()[np.searchsorted(two.key, last)], self.discounts[1])
+
+    def probabilities(self) -> list[np.ndarray]:
+        """P of each distinct word, pair and triple of the block, each order from the one below."""
+        out = [self.discounts[0].word(self.count)]
+        for level, disc, shorter in zip(self.levels, self.discounts[1:], (lambda: self.word_of, lambda: self.shorter), strict=False):
+            lower, size = out[-1][shorter()], level.sizes()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alpha = (~level.own_low + level.low @ disc.given) / size / (1 - level.lower_sum)
+            back = np.where(level.count > 0, alpha, 1.0)[level.by] * lower
+            out.append(np.where(level.total > 0, disc.left(level.total) / size[level.by], back))
+        return out
+
+
+def _ask_words(batches, n_buckets: int):
+    for batch in batches:
+        for name, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            block = Block(data, [], [], n_buckets, 1)
+            (own, held), cuts = block.counts(block.tokens, block.train, len(block.words)), np.searchsorted(C.bucket_of(block.words, n_buckets), np.arange(n_buckets + 1))
+            yield _rows([("ask", b, name, 1, C.pack(np.frombuffer(C.pack_sorted(block.words[lo:hi]), np.uint8), planes(own[lo:hi]), planes(held[lo:hi])), None) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi])
+
+
+def _answer_words(group: pa.Table, n_buckets: int) -> pa.Table:
+    """To each block: numbers of its words, from 1, and their counts. A bucket numbers its words by falling counts."""
+    blocks, parts = group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
+    bucket = group.column("bucket")[0].as_py()
+    keys = [C.unpack_sorted(p[0].tobytes()) for p in parts]
+    word, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total, held = (np.bincount(at, weights=np.concatenate([unplaned(p[i]) for p in parts]), minlength=len(word)).astype(np.int64) for i in (1, 2))
+    number = np.empty(len(word), np.int64)
+    number[np.lexsort((word, -total))] = 1 + np.arange(len(word)) * n_buckets + bucket
+    if len(word) and int(number.max()) >= 1 << 32:
+        raise ValueError("more than 2**32 words")
+    rows, lo = [("stats", bucket, None, 1, None, counts_of_counts(total))], 0
+    for block, n in zip(blocks, map(len, keys), strict=True):
+        which = at[lo : lo + n]
+        rows.append(("answer", bucket, block, 1, C.pack(planes(number[which]), planes(total[which]), planes(held[which])), None))
+        lo += n
+    return _table(rows)
+
+
+def _ask(blocks: pa.Table, answers: pa.Table, n_buckets: int, level: int, numbers: list[list[int]]) -> pa.Table:
     name = blocks.column("block")[0].as_py()
-    block = Block(blocks.column("data")[0].as_py())
-    one, two = map(Discounted, numbers)
-    got: dict[int, list] = {1: [], 2: []}
-    for level, bucket, data in zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "data")), strict=True):
-        got[level].append((bucket, C.unpack(data)))
-    words = np.concatenate([d[0] for _, d in sorted(got[1], key=lambda x: x[0])]).astype(np.int64)
-    pairs = np.concatenate([d[0] for _, d in sorted(got[2], key=lambda x: x[0])]).astype(np.int64)
-    owner = np.concatenate([d[1] for _, d in sorted(got[2], key=lambda x: x[0])]).astype(bool)
-    if len(words) != len(block.words) or len(pairs) != len(block.pairs):
-        raise ValueError("a block did not get all of its answers")
-    p_word = one.unigram(words)
-    end = words[np.searchsorted(block.words, _END)]
-    context = np.append(words, end)  # a text that begins also ends
-    c_before = context[block.before]
-    seen = pairs > 0
-    with np.errstate(divide="ignore"):
-        log_pair = np.log10(np.where(seen, two.left(pairs) / np.maximum(c_before, 1), p_word[block.after]))
-        log_base = np.log10((words + 0.5) / (one.total + 0.5 * (one.distinct + 1)))
-    n = len(block.sizes)
-    per = lambda w: np.bincount(block.doc, weights=w, minlength=n)
-    wants = (~seen & (c_before > 0))[block.pair_of]
-    want_key = block.contexts[block.before[block.pair_of[wants]]]
-    need, need_at = np.unique(want_key, return_inverse=True)
-    rows = [("doc", None, name, None, C.pack(
-        block.ids, block.null, block.held, block.sizes, per((words > 0)[block.tokens]), per(log_base[block.tokens]), per(log_pair[block.pair_of]),
-        need, need_at.astype(np.uint32), block.doc[wants].astype(np.uint32), np.array([one.total], np.int64),
-    ))]
-    rows += [("need", b, name, None, C.pack(need[lo:hi])) for b, lo, hi in slices(need, n_buckets)]
-    v, at = np.unique(block.contexts[block.before[owner]], return_inverse=True)
-    s = np.bincount(at, weights=p_word[block.after[owner]], minlength=len(v))
-    d = np.bincount(at, weights=two.left(pairs[owner]), minlength=len(v))
-    c = np.zeros(len(v), np.int64)
-    c[at] = c_before[owner]
-    rows += [("sum", b, name, None, C.pack(np.frombuffer(C.pack_sorted(v[lo:hi]), np.uint8), s[lo:hi], d[lo:hi], c[lo:hi])) for b, lo, hi in slices(v, n_buckets)]
-    return pa.table(C.batch_of(_ROW, list(map(list, zip(*rows, strict=True)))).columns, schema=_ROW)
-
-
-def _alphas(group: pa.Table) -> pa.Table:
-    """log10 alpha of the contexts of a bucket, to the blocks that ask."""
-    kinds, names, data = (group.column(c).to_pylist() for c in ("kind", "block", "data"))
-    asked = [(n, C.unpack(d)[0]) for k, n, d in zip(kinds, names, data, strict=True) if k == "need"]
-    if not asked:
-        return _ROW.empty_table()
-    sums = [C.unpack(d) for k, d in zip(kinds, data, strict=True) if k == "sum"]
-    v, at = np.unique(np.concatenate([C.unpack_sorted(x[0].tobytes()) for x in sums]), return_inverse=True)
-    s, d = (np.bincount(at, weights=np.concatenate([x[i] for x in sums]), minlength=len(v)) for i in (1, 2))
-    c = np.zeros(len(v))
-    c[at] = np.concatenate([x[3] for x in sums])
-    alpha = np.log10((1 - d / c) / (1 - s))
-    rows = []
-    for name, keys in asked:
-        place = np.searchsorted(v, keys)
-        if not np.array_equal(v[np.minimum(place, len(v) - 1)], keys):
-            raise ValueError("a context was seen but has no pairs")
-        rows.append(("alpha", group.column("bucket")[0].as_py(), name, None, C.pack(alpha[place])))
-    return pa.table(C.batch_of(_ROW, list(map(list, zip(*rows, strict=True)))).columns, schema=_ROW)
+    heard = list(zip(*(answers.column(c).to_pylist() for c in ("bucket", "level", "data")), strict=True))
+    return _table(Block(blocks.column("data")[0].as_py(), heard, numbers, n_buckets, level).levels[-1].questions(name, level, n_buckets))
+
+
+def _answer(group: pa.Table, level: int, numbers: list[list[int]]) -> pa.Table:
+    kinds, blocks, data, stats = (group.column(c).to_pylist() for c in ("kind", "block", "data", "numbers"))
+    bucket = group.column("bucket")[0].as_py()
+    rows = [("stats", bucket, None, level, None, [sum(x) for x in zip(*(s for s in stats if s is not None), strict=True)])] if "stats" in kinds else []
+    blocks = [b for k, b in zip(kinds, blocks, strict=True) if k == "ask"]
+    parts = [C.unpack(d) for k, d in zip(kinds, data, strict=True) if k == "ask"]
+    if not parts:
+        return _table(rows)
+    keys = [(np.cumsum(unplaned(p[0])).astype(np.uint64) << np.uint64(32)) | unplaned(p[1]).astype(np.uint64) for p in parts]
+    n_words = [unplaned(p[2]) for p in parts]
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    low_size = np.empty(len(key), np.int64)
+    low_size[place] = np.concatenate([unplaned(p[3]) for p in parts])
+    of = np.repeat(place, np.concatenate(n_words))
+    word, own, low_count, held = (np.concatenate([unplaned(p[i]) for p in parts]) for i in (5, 6, 7, 8))
+    grams, first, at = np.unique((of.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_index=True, return_inverse=True)
+    by = (grams >> np.uint64(32)).astype(np.int64)
+    total, held = (np.bincount(at, weights=w, minlength=len(grams)).astype(np.int64) for w in (own, held))
+    lower = Discounted(numbers[level - 2]).left(low_count[first]) / low_size[by]
+    lower_sum, low = _summed(by, len(key), total, lower)
+    rows.append(("stats", bucket, None, level, None, counts_of_counts(total)))
+    h = c = 0
+    for block, p, n in zip(blocks, parts, n_words, strict=True):
+        mine = place[h : h + len(n)]
+        asks = mine[p[4].astype(bool)]
+        which = at[c : c + int(n.sum())]
+        rows.append(("answer", bucket, block, level, C.pack(planes(total[which]), low[mine].any(axis=1).astype(np.uint8), lower_sum[asks], planes(low[asks].ravel()), planes(held[which])), None))
+        h, c = h + len(n), c + int(n.sum())
+    return _table(rows)
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _finish(docs: pa.Table, alphas: pa.Table) -> pa.Table:
-    ids, null, held, sizes, known, base, score, need, need_at, need_doc, total = C.unpack(docs.column("data")[0].as_py())
-    got = sorted(zip(alphas.column("bucket").to_pylist(), alphas.column("data").to_pylist(), strict=True))
-    alpha = np.concatenate([C.unpack(d)[0] for _, d in got]) if got else np.empty(0)
-    if len(alpha) != len(need):
-        raise ValueError("a block did not get all of its backoff weights")
-    score = score + np.bincount(need_doc, weights=alpha[need_at], minlength=len(ids))
-    columns = [pa.array(ids, mask=null.astype(bool)), held.astype(bool), sizes.astype(np.int64), known.astype(np.int64), np.full(len(ids), int(total[0])), base, score]
-    return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_SCORES)
+def _score(blocks: pa.Table, answers: pa.Table, n_buckets: int, order: int, numbers: list[list[int]]) -> pa.Table:
+    heard = list(zip(*(answers.column(c).to_pylist() for c in ("bucket", "level", "data")), strict=True))
+    b = Block(blocks.column("data")[0].as_py(), heard, numbers, n_buckets, order)
+    one, per = b.discounts[0], lambda w: np.bincount(b.doc, weights=w, minlength=len(b.sizes))
+    base = np.log10((b.count + 0.5) / (one.total + 0.5 * (one.distinct + 1)))
+    p = b.probabilities()
+    logs = np.log10(p[0])[b.tokens]
+    for of_token, of_gram in zip(b.of_token, p[1:], strict=True):
+        has = of_token >= 0
+        logs[has] = np.log10(of_gram)[of_token[has]]
+    columns = [pa.array(b.ids, mask=b.null.astype(bool)), b.held.astype(bool), b.sizes.astype(np.int64), per((b.count > 0)[b.tokens]).astype(np.int64), np.full(len(b.ids), one.total), per(base[b.tokens]), per(logs)]
+    return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=_SCORES)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    spark = docs.sparkSession
-    n = 2 * C.shuffle_partitions(spark)
+    if not 1 <= order <= 3:
+        raise ValueError("n-grams have one to three words")
+    spark, total = docs.sparkSession, C.text_bytes(docs)
+    n = C.parts_of(spark, total, BUCKET_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = C.written(C.arrow_map(rows, _pack, "block long, data binary"), "katz-blocks", codec="uncompressed")
-    counted = C.written(C.arrow_groups(C.arrow_map(blocks, _requests, _ROW_DDL, n), "bucket", _answer, _ROW_DDL), "katz-counts", codec="uncompressed", partition_by="kind")
-    C.release(spark)
-    numbers = [[0] * (CUTOFF + 5) for _ in (1, 2)]
-    for level, data in counted.where("kind = 'stats'").select("level", "data").toLocalIterator():  # ten numbers a bucket
-        numbers[level - 1] = [x + int(y) for x, y in zip(numbers[level - 1], C.unpack(bytes(data))[0], strict=True)]
-    evaluated = C.written(C.arrow_pairs(blocks, counted.where("kind = 'answer'"), "block", _evaluate, _ROW_DDL, n, numbers), "katz-state", codec="uncompressed", partition_by="kind")
-    C.release(spark)
-    alphas = C.arrow_groups(evaluated.where("kind IN ('need', 'sum')"), "bucket", _alphas, _ROW_DDL)
-    return C.arrow_pairs(evaluated.where("kind = 'doc'"), alphas, "block", _finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blocks = C.bucketed(C.arrow_map(rows, _tokens, "block long, data binary"), "katz-blocks", "block", C.parts_of(spark, total, 2 * BLOCK_BYTES))
+    table = C.written(C.arrow_groups(C.arrow_map(blocks, _ask_words, _ROW_DDL, n), "bucket", _answer_words, _ROW_DDL, n), "katz-1", codec="uncompressed", partition_by="kind")
+    answers, numbers = table.where("kind = 'answer'"), [_numbers(table)]
+    for level in range(2, order + 1):
+        asked = C.arrow_pairs(blocks, answers, "block", _ask, _ROW_DDL, n, level, numbers)
+        table = C.written(C.arrow_groups(asked, "bucket", _answer, _ROW_DDL, level, numbers), f"katz-{level}", codec="uncompressed", partition_by="kind")
+        answers, numbers = answers.unionByName(table.where("kind = 'answer'")), [*numbers, _numbers(table)]
+    return C.arrow_pairs(blocks, answers, "block", _score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", n, order, numbers)
+
+
+def _numbers(table: DataFrame) -> list[int]:
+    return [x or 0 for x in table.where("kind = 'stats'").agg(*[F.sum(F.col("numbers")[i]).alias(f"n{i}") for i in range(CUTOFF + 3)]).first()]
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
