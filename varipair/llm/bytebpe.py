@@ -38,7 +38,7 @@ SIGNS = ".,;:!?)]}\"'*#%&$|<>"
 #: New units that go to the library as one text.
 JOINED = 2000
 #: Units that are remembered before the memo turns; those of the memo before stay until the next turn.
-MEMO = 300_000
+MEMO = 250_000
 
 
 class ByteBPE:

@@ -95,6 +95,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, where the C library can; a worker that waits holds none for others."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def _remote(fn: Callable, args: tuple) -> tuple:
     return ROOT, fn.__module__, fn.__qualname__, args
 
@@ -110,7 +120,9 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, *args) -> DataFrame:
 
         if root not in sys.path:
             sys.path.append(root)
-        yield from getattr(importlib.import_module(module), name)(batches, *args)
+        m = importlib.import_module(module)
+        yield from getattr(m, name)(batches, *args)
+        m.C.trim()
 
     return df.mapInArrow(run, schema)
 
@@ -125,7 +137,10 @@ def arrow_groups(df: DataFrame, key: str, fn: Callable, schema: str, *args) -> D
 
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(group, *args)
+        m = importlib.import_module(module)
+        out = getattr(m, name)(group, *args)
+        m.C.trim()
+        return out
 
     return df.groupBy(key).applyInArrow(run, schema)
 
@@ -140,7 +155,10 @@ def arrow_pairs(left: DataFrame, right: DataFrame, key: str, fn: Callable, schem
 
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(a, b, *args)
+        m = importlib.import_module(module)
+        out = getattr(m, name)(a, b, *args)
+        m.C.trim()
+        return out
 
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
 
@@ -285,16 +303,3 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if not more:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = after
-
-
-def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files of frames that are no longer held; they would stay until the next
-    collection of the driver's heap otherwise. The cleaner works beside the driver, and what one collection lets
-    go may hold more, so there are two, each with a pause for it."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1.5)

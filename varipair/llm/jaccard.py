@@ -10,9 +10,9 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two sets
    A pair uses the smaller l of the two.
 3. Candidates come from the postings of a shingle: first with the most central node that has it (the one with the
    highest mean document frequency), then with one central node of each of several parts, last between all nodes
-   that are not yet connected. In every round a pair is verified only after the matches its level asks for. So large
-   groups of copies cost one verification a node, not one a pair, and no link that decides connectivity is left
-   untested, as the last round counts all matches of a pair. The last join compares bitmaps: each shared shingle flips one
+   that are not yet connected. The last round verifies a pair only after the matches its level asks for; a hub is
+   verified after one. So large groups of copies cost one verification a node, not one a pair, and no link that
+   decides connectivity is left untested, as the last round counts all matches of a pair. The last join compares bitmaps: each shared shingle flips one
    of 256 bits, so two sets differ in at least as many shingles as their bitmaps differ in bits, and a pair
    that differs too much for the similarity is no candidate.
 4. Candidate pairs are verified on their shared shingles; verified links give components by star contraction.
@@ -269,13 +269,13 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = prefix.where("kind = 'set'").select("node", "n", "data")
 
     # Hub rounds: each node with the most central node of its shingles' lists, then of each part of the lists.
-    # A pair is verified after as many matches as its level asks for, here too; lists in one component are done.
-    roots = C.components(links := _linked(_counted(_pairs(postings, _central(postings), percent)), sets, percent))
+    # A hub stands for its list, so it is verified after one match; lists in one component are done.
+    roots = C.components(_linked(_pairs(postings, _central(postings), percent).select("a", "b"), sets, percent))
     for parts in HUB_PARTS:
         again = _rooted(postings, roots)
         hubs = _central(again.withColumn("part", F.pmod(F.xxhash64("node", F.lit(parts)), F.lit(parts))), "part")
         # What a round has joined is kept as a forest: one edge for each node but the roots.
-        links = _forest(roots).union(_linked(_counted(_pairs(again, hubs, percent)), sets, percent))
+        links = _forest(roots).union(_linked(_pairs(again, hubs, percent).select("a", "b"), sets, percent))
         roots = C.components(links)
     # Last: all nodes of a list that are not connected, with as many matches as their levels ask for.
     rest = _rooted(postings, roots).join(prefix.where("kind = 'set'").select("node", *MARKS), "node")

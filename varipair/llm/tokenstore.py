@@ -13,7 +13,7 @@ are not moved again; `read_ids` moves them and returns the ids themselves.
 
 Cases: null text is empty and has the end id only; rows with null or repeated doc_id are documents of their
 own (null first, ties in order of their key, which names the place in the input); an empty table gives an empty store; extra columns are ignored.
-Work in memory: one slice of texts, and the keys of the last 400,000 chunks that a task gave out.
+Work in memory: one slice of texts, and the keys of the last 100,000 chunks that a task gave out.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from . import common as C
 WINDOW, LEAST, USUAL, MOST = 8, 64, 512, 4096
 _KEY = 16
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
+#: Keys of chunks that a task remembers to have given out; others go out again, and the shuffle drops them.
+GIVEN = 100_000
 _POLY = np.uint64(0xEDB88320)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _ROWS = "kind string, key binary, doc_id long, n_tokens long, digests binary, sizes binary, root binary, n int, payload binary"
@@ -140,8 +142,9 @@ def _encode(batches, path: str, end_id: int):
             # A task that runs again meets its rows in the same order, so its place names a row.
             recipes.append((digest(b"recipe %d %d" % (task, row)), doc_id, stop - start, b"".join(keys), np.array(sizes, "<u4").tobytes(), merkle_root(keys)))
             row, start = row + 1, stop
-        if len(given) > C.MEMO:
+        if len(given) > GIVEN:
             given.clear()
+        C.trim()
         none = [None] * (len(chunks) + len(recipes))
         c, r = (list(map(list, zip(*x, strict=True))) if x else [[] for _ in range(w)] for x, w in ((chunks, 3), (recipes, 6)))
         no_c, no_r = none[: len(chunks)], none[: len(recipes)]
