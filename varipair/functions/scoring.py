@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import norm_words
+
 #: Conditions in report order, with their group.
 CONDITIONS = ["mcq", "roman_numeral", "none_of_the_provided", "fixed_pos", "incorrect", "open", "no_symbols"]
 INVARIANCE = ["roman_numeral", "fixed_pos", "no_symbols"]
@@ -27,13 +29,14 @@ def transition(before: Column, after: Column) -> Column:
     return F.concat(side(before), F.lit("->"), side(after))
 
 
-def adaptation(condition: Column, correct: Column, chosen: Column, base_chosen: Column, base_gold: Column, set_size: Column) -> Column:
-    """How an answer adapted to a condition that inverts the task; null for other conditions."""
+def adaptation(condition: Column, correct: Column, text: Column, base_text: Column, set_size: Column) -> Column:
+    """How an answer adapted to a condition that inverts the task; null for other conditions. An answer is kept if
+    the chosen texts are equal after normalisation."""
     none = condition == "none_of_the_provided"
     wrong_set = condition == "incorrect"
     return (
-        F.when((none | wrong_set) & is_true(correct), "success")
-        .when(none & is_true(chosen == base_chosen) & is_true(base_chosen != base_gold), "failure_to_adapt_kept_same_distractor")
+        F.when((none | wrong_set) & is_true(correct), "successful_adaptation")
+        .when(none & (norm_words(text) == norm_words(base_text)), "failure_to_adapt_kept_same_distractor")
         .when(none, "failure_to_adapt_chose_distractor")
         .when(wrong_set & (F.coalesce(set_size, F.lit(0)) != 3), "failure_to_adapt_wrong_set_size")
         .when(wrong_set, "failure_to_adapt_included_gold")
@@ -63,10 +66,17 @@ def reward_correct(condition: Column, correct: Column) -> Column:
     return F.when(condition == "open", 0.0).when(is_true(correct), 1.0).otherwise(0.0)
 
 
-def reward_symbolic(condition: Column, parsed: Column, correct: Column) -> Column:
-    """Full for right, partial for a well-formed wrong answer: .5 for baseline and inverted sets, .25 where the
-    meaning is unchanged, none where `none of the provided` was due."""
-    part = F.when(condition.isin("mcq", "incorrect"), 0.5).when(condition.isin(*INVARIANCE), 0.25).otherwise(0.0)
+def reward_symbolic(condition: Column, parsed: Column, correct: Column, answer: Column, set_size: Column) -> Column:
+    """Full for right, partial for a wrong answer that keeps to the interface: .5 for a valid label of the baseline and
+    for a set of the right size, .25 for a valid label or a matched option where the meaning is unchanged; none where
+    `none of the provided` was due."""
+    part = (
+        F.when(condition == "mcq", 0.5)
+        .when((condition == "incorrect") & (F.coalesce(set_size, F.lit(0)) == 3), 0.5)
+        .when(condition.isin("roman_numeral", "fixed_pos"), 0.25)
+        .when((condition == "no_symbols") & answer.isNotNull(), 0.25)
+        .otherwise(0.0)
+    )
     return F.when(condition == "open", 0.0).when(is_true(correct), 1.0).when(is_true(parsed), part).otherwise(0.0)
 
 

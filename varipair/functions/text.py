@@ -89,22 +89,23 @@ def oxford_list(labels: Column) -> Column:
 
 
 def match_option(answer: Column, options: Column) -> Column:
-    """(idx, method) of a free answer among options (0-based): equal after normalisation, else the longest option
-    that stands in the answer and is 0.4 of its length, else the one option the answer stands in at 0.6 of the option's length."""
+    """(idx, method) of a free answer among options (0-based): equal after normalisation; else the one maximal option
+    that stands in the answer, if it is 0.4 of its length; else the one option that the answer stands in, if that is
+    0.6 of the option's length. Several maximal options are ambiguous, whatever their lengths."""
     a, opts = norm_words(answer), F.transform(options, norm_words)
     at = F.transform(opts, lambda o, i: F.struct(i.alias("i"), o.alias("o")))
     exact = F.filter(at, lambda x: x["o"] == a)
-    inside = F.filter(at, lambda x: contains_words(a, x["o"]) & (F.length(x["o"]) >= 0.4 * F.length(a)))
-    longest = F.filter(inside, lambda x: ~F.exists(inside, lambda y: (y["i"] != x["i"]) & (y["o"] != x["o"]) & contains_words(y["o"], x["o"])))
-    around = F.filter(at, lambda x: contains_words(x["o"], a) & (F.length(a) >= 0.6 * F.length(x["o"])))
+    inside = F.filter(at, lambda x: contains_words(a, x["o"]))
+    longest = F.filter(inside, lambda x: ~F.exists(inside, lambda y: (y["i"] != x["i"]) & contains_words(y["o"], x["o"])))
+    around = F.filter(at, lambda x: contains_words(x["o"], a))
     result = lambda idx, method: F.struct(idx.cast("int").alias("idx"), F.lit(method).alias("method"))
     none = F.lit(None)
     return (
         F.when(F.size(exact) == 1, result(F.get(exact, 0)["i"], "exact"))
         .when(F.size(exact) > 1, result(none, "ambiguous_exact"))
-        .when(F.size(longest) == 1, result(F.get(longest, 0)["i"], "option_in_answer"))
+        .when((F.size(longest) == 1) & (F.length(F.get(longest, 0)["o"]) >= 0.4 * F.length(a)), result(F.get(longest, 0)["i"], "option_in_answer"))
         .when(F.size(longest) > 1, result(none, "ambiguous_multiple_options_in_answer"))
-        .when(F.size(around) == 1, result(F.get(around, 0)["i"], "answer_in_option"))
+        .when((F.size(around) == 1) & (F.length(a) >= 0.6 * F.length(F.get(around, 0)["o"])), result(F.get(around, 0)["i"], "answer_in_option"))
         .otherwise(result(none, "no_match"))
     )
 

@@ -59,9 +59,11 @@ def score(items: DataFrame) -> DataFrame:
     A free answer that matches no option is wrong where options are shown and not evaluable where they are hidden."""
     c = F.col("condition")
     label_at = lambda label, labels: F.nullif(F.array_position(F.array(*map(F.lit, labels)), label), F.lit(0)) - 1
-    labels = F.when(c == "roman_numeral", P.parse_label(F.col("raw_response"), P.ROMAN)["label"]).when(~c.isin("incorrect", "open", "no_symbols"), P.parse_label(F.col("raw_response"), P.LETTERS)["label"])
-    free = F.when(c.isin("open", "no_symbols"), P.parse_free_text(F.col("raw_response"))["text"])
-    chosen_set = F.when(c == "incorrect", P.parse_label_set(F.col("raw_response"), P.LETTERS)["labels"])
+    raw, found = F.col("raw_response"), F.col("_a")
+    items = once(items, "_a", P.strict_answer(raw))
+    labels = F.when(c == "roman_numeral", P.parse_label(raw, P.ROMAN, found)["label"]).when(~c.isin("incorrect", "open", "no_symbols"), P.parse_label(raw, P.LETTERS, found)["label"])
+    free = F.when(c.isin("open", "no_symbols"), P.parse_free_text(raw, found)["text"])
+    chosen_set = F.when(c == "incorrect", P.parse_label_set(raw, P.LETTERS, found)["labels"])
     df = once(items, "_p", F.struct(labels.alias("label"), free.alias("free"), F.transform(chosen_set, lambda x: (F.array_position(F.array(*map(F.lit, P.LETTERS)), x) - 1).cast("int")).alias("set")))
     df = once(df, "_match", F.when(F.col("_p.free").isNotNull(), T.match_option(F.col("_p.free"), F.array(*map(F.lit, TEXTS)))))
     df = df.withColumn("_set", F.col("_p.set")).withColumn("_free", F.col("_p.free"))
@@ -73,7 +75,7 @@ def score(items: DataFrame) -> DataFrame:
     df = df.withColumn("evaluable", F.col("parsed") & F.when(c == "open", F.col("chosen").isNotNull()).otherwise(F.lit(True)))
     answer = F.when(c == "incorrect", F.col("implied")).otherwise(F.col("chosen"))
     df = df.withColumn("answer", answer).withColumn("correct", F.when(F.col("evaluable"), F.coalesce(answer == F.col("gold"), F.lit(False))))
-    return df.withColumn("answer_text", F.get(F.array(*map(F.lit, TEXTS)), F.col("answer"))).drop("_set", "_free", "_match", "_p")
+    return df.withColumn("answer_text", F.get(F.array(*map(F.lit, TEXTS)), F.col("answer"))).drop("_set", "_free", "_match", "_p", "_a")
 
 
 def pair(scored: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def pair(scored: DataFrame) -> DataFrame:
         .withColumn("transition", F.when(both, S.transition(F.col("mcq_correct"), F.col("correct"))))
         .withColumn("position_changed", F.when(F.col("condition") != "open", change(F.col("answer"), F.col("mcq_answer"))))
         .withColumn("semantic_changed", change(F.col("answer_text"), F.col("mcq_answer_text")))
-        .withColumn("adaptation", F.when(F.col("evaluable"), S.adaptation(F.col("condition"), F.col("correct"), F.col("chosen"), F.col("mcq_answer"), F.col("mcq_gold"), F.col("set_size"))))
+        .withColumn("adaptation", F.when(F.col("evaluable"), S.adaptation(F.col("condition"), F.col("correct"), F.col("answer_text"), F.col("mcq_answer_text"), F.col("set_size"))))
     )
 
 

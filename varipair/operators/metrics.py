@@ -78,5 +78,5 @@ def rescue_hurt(scored: DataFrame, base: int, other: int) -> DataFrame:
 def rewards(scored: DataFrame) -> DataFrame:
     from ..functions.parsing import format_reward
 
-    rc, rs = S.reward_correct(F.col("condition"), F.col("correct")), S.reward_symbolic(F.col("condition"), F.col("parsed"), F.col("correct"))
+    rc, rs = S.reward_correct(F.col("condition"), F.col("correct")), S.reward_symbolic(*map(F.col, ("condition", "parsed", "correct", "answer", "set_size")))
     return scored.withColumn("r_correct", rc).withColumn("r_symbolic", rs).withColumn("r_format", format_reward(F.col("raw_response"))).withColumn("r_total", S.reward_total(F.col("r_correct"), F.col("r_symbolic"), F.col("r_format")))

@@ -11,6 +11,10 @@ from pyspark.sql.types import DoubleType
 from ..functions.scoring import ADAPTATION, INVARIANCE
 
 
+#: An odd factor below 2 ** 31 that mixes well.
+MIXER = 1_935_289_751
+
+
 def binomial_two_sided(b: Column, c: Column) -> Column:
     """Exact two-sided p of b successes in b + c fair draws: twice the lower tail, built as a running product."""
     n, k = b + c, F.least(b, c)
@@ -33,13 +37,30 @@ def discordance(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def mcnemar(pairs: DataFrame, *keys: str, exact_below: int = 25) -> DataFrame:
-    """Per key: the 2 x 2 table, the corrected statistic and p, exact for few discordant pairs."""
+    """Per key: the 2 x 2 table, discordant pairs, test_type, statistic, p_value and its flags. Few discordant pairs get
+    the exact binomial test, whose statistic is b_only (0 if there are none); others the corrected chi squared."""
     t = discordance(pairs, *keys)
     m = F.col("a_only") + F.col("b_only")
-    stat = F.when(m > 0, F.pow(F.abs(F.col("a_only") - F.col("b_only")) - 1.0, F.lit(2)) / m)
-    t = t.withColumn("statistic", stat)
+    few = m < exact_below
     exact = binomial_two_sided(F.col("a_only").cast("int"), F.col("b_only").cast("int"))
-    return t.withColumn("p_value", F.when(m == 0, 1.0).when(m < exact_below, exact).otherwise(chi2_tail("statistic")))
+    stat = F.when(few, F.col("b_only").cast("double") * (m > 0).cast("double")).otherwise(F.pow(F.abs(F.col("a_only") - F.col("b_only")) - 1.0, F.lit(2)) / m)
+    t = t.withColumn("discordant", m).withColumn("test_type", F.when(few, "exact_binomial").otherwise("mcnemar_continuity_corrected")).withColumn("statistic", stat)
+    t = t.withColumn("p_value", F.when(m == 0, 1.0).when(few, exact).otherwise(chi2_tail("statistic")))
+    t = t.withColumn("significant_at_05", F.col("p_value") < 0.05).withColumn("significant_at_01", F.col("p_value") < 0.01)
+    return t.withColumn("statistic", F.round("statistic", 4)).withColumn("p_value", F.round("p_value", 6))
+
+
+def scattered(x: Column) -> Column:
+    """A mixed 31-bit number of one of 31 bits, by exclusive or, products and remainders that any SQL can state."""
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIXER), F.lit(1 << 31))
+    return x.bitwiseXOR(F.shiftright(x, 15))
+
+
+def draw(b: Column, i: Column, seed: int, n: Column) -> Column:
+    """The i-th of replicate b's draws from 0 .. n - 1."""
+    start = scattered(F.pmod(b * F.lit(7919) + F.lit(seed), F.lit(1 << 31)))
+    return F.pmod(scattered(start.bitwiseXOR(scattered(F.pmod(i, F.lit(1 << 31))))), n)
 
 
 def bootstrap(values: DataFrame, key: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
@@ -49,7 +70,7 @@ def bootstrap(values: DataFrame, key: str, replicates: int = 2000, seed: int = 4
     on the number."""
     n = values.count()
     ids = values.sparkSession.range(n * replicates).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.pmod("id", F.lit(max(n, 1))).alias("i"))
-    draws = ids.select("b", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "b", "i"), F.lit(max(n, 1))).cast("long").alias(key))
+    draws = ids.select("b", draw(F.col("b"), F.col("i"), seed, F.lit(max(n, 1))).cast("long").alias(key))
     per = draws.join(values, key).groupBy("b").agg((F.sum("d") / F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return per.agg(F.count("*").alias("replicates"), q.alias("q"), F.stddev_pop("m").alias("se"), F.avg("m").alias("mean")).select("replicates", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"), "se", "mean")
@@ -95,7 +116,7 @@ def comparison_report(scored: DataFrame, paired: DataFrame, a: int, b: int) -> D
     each = outcomes(scored, "correct").select(F.array(right(F.col("condition"))).alias("x"))
     kept = outcomes(paired, "correct", "adaptation")
     invariant = kept.where(F.col("condition").isin(*INVARIANCE)).select(F.array(right(F.lit("invariance"))).alias("x"))
-    inverted = kept.where(F.col("condition").isin(*ADAPTATION)).select(F.array(adapted("adaptation_success", lambda c: c == "success"), adapted("adaptation_failure", lambda c: c.startswith("failure"))).alias("x"))
+    inverted = kept.where(F.col("condition").isin(*ADAPTATION)).select(F.array(adapted("adaptation_success", lambda c: c == "successful_adaptation"), adapted("adaptation_failure", lambda c: c.startswith("failure"))).alias("x"))
     t = mcnemar(each.unionByName(invariant).unionByName(inverted).select(F.inline("x")), "scope")
     rate = lambda only: (F.col("both") + F.col(only)) / F.col("n")
     t = t.withColumn("rate_a", rate("a_only")).withColumn("rate_b", rate("b_only")).withColumn("delta", (F.col("b_only") - F.col("a_only")) / F.col("n"))

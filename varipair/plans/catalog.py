@@ -61,7 +61,7 @@ p AS (SELECT x.*, m.evaluable AND x.evaluable AS both_evaluable, m.correct AS mc
         CASE WHEN m.evaluable AND x.evaluable THEN (CASE WHEN m.correct THEN 'C' ELSE 'W' END) || '->' || (CASE WHEN x.correct THEN 'C' ELSE 'W' END) END AS transition,
         CASE WHEN x.condition<>'open' AND m.evaluable AND x.evaluable THEN x.answer<>m.answer END AS position_changed,
         CASE WHEN m.evaluable AND x.evaluable THEN x.answer_text<>m.answer_text END AS semantic_changed,
-        CASE WHEN NOT x.evaluable THEN NULL WHEN x.condition IN ('none_of_the_provided','incorrect') AND x.correct THEN 'success'
+        CASE WHEN NOT x.evaluable THEN NULL WHEN x.condition IN ('none_of_the_provided','incorrect') AND x.correct THEN 'successful_adaptation'
              WHEN x.condition='none_of_the_provided' AND x.answer=m.answer AND m.answer<>m.gold THEN 'failure_to_adapt_kept_same_distractor'
              WHEN x.condition='none_of_the_provided' THEN 'failure_to_adapt_chose_distractor'
              WHEN x.condition='incorrect' THEN 'failure_to_adapt_included_gold' END AS adaptation
@@ -104,9 +104,10 @@ def group_consistency(spark, d):
     return metrics.group_consistency(scored(spark, d, (31, 37)))
 
 
-FAILURE = """f AS (SELECT s.*, CASE WHEN NOT s.parsed THEN 'parse_failure' WHEN NOT s.evaluable THEN 'evaluation_ambiguity' WHEN s.correct THEN NULL
-  WHEN s.condition='mcq' THEN 'knowledge_error' WHEN s.condition='none_of_the_provided' AND coalesce(m.correct, FALSE) THEN 'required_adaptation_failure'
-  WHEN coalesce(m.correct, FALSE) THEN 'representation_instability' ELSE 'knowledge_error' END AS failure
+FAILURE = """f AS (SELECT s.*, CASE WHEN NOT s.parsed THEN 'parse_failure' WHEN NOT s.evaluable THEN 'evaluation_ambiguity'
+  WHEN s.condition='no_symbols' AND s.sel=4 THEN 'invalid_option' WHEN s.correct THEN NULL WHEN s.condition='mcq' THEN 'knowledge_error'
+  WHEN s.condition='none_of_the_provided' THEN 'required_adaptation_failure' WHEN NOT m.evaluable THEN 'unattributed_error'
+  WHEN m.correct THEN 'representation_instability' ELSE 'knowledge_error' END AS failure
   FROM s JOIN s m ON s.model=m.model AND s.question_id=m.question_id AND m.condition='mcq')"""
 
 
@@ -133,7 +134,7 @@ def rescue_hurt(spark, d):
 
 
 REWARD = """r AS (SELECT *, CASE WHEN condition='open' THEN 0.0 WHEN coalesce(correct,FALSE) THEN 1.0 ELSE 0.0 END::DOUBLE AS r_correct,
- CASE WHEN condition='open' THEN 0.0 WHEN coalesce(correct,FALSE) THEN 1.0 WHEN NOT parsed THEN 0.0 WHEN condition IN ('mcq','incorrect') THEN 0.5 WHEN condition IN ('roman_numeral','fixed_pos','no_symbols') THEN 0.25 ELSE 0.0 END::DOUBLE AS r_symbolic,
+ CASE WHEN condition='open' THEN 0.0 WHEN coalesce(correct,FALSE) THEN 1.0 WHEN NOT parsed THEN 0.0 WHEN condition IN ('mcq','incorrect') THEN 0.5 WHEN condition IN ('roman_numeral','fixed_pos') OR (condition='no_symbols' AND sel<4) THEN 0.25 ELSE 0.0 END::DOUBLE AS r_symbolic,
  CASE WHEN sel=4 AND condition NOT IN ('open','no_symbols') THEN 0.0 ELSE 1.0 END::DOUBLE AS r_format FROM s1)"""
 
 
@@ -167,16 +168,18 @@ _LAB = "substr('ABCD', CAST(p_partkey % 4 AS INT) + 1, 1)"
 
 
 @query(f"""SELECT p_partkey AS question_id, CASE WHEN p_partkey % 6 IN (0,1,2,5) THEN {_LAB} END AS label,
-CASE p_partkey % 6 WHEN 3 THEN 'ambiguous labels' WHEN 4 THEN 'no valid label found' END AS reason FROM part""")
+CASE p_partkey % 6 WHEN 3 THEN 'ambiguous: multiple labels ' || CASE p_partkey % 4 WHEN 0 THEN '[''A'', ''B'']' WHEN 1 THEN '[''B'', ''C'']' WHEN 2 THEN '[''C'', ''D'']' ELSE '[''A'', ''D'']' END
+ WHEN 4 THEN 'no valid label found' END AS reason FROM part""")
 def label_parse(spark, d):
     w = _wrapped(spark, d)
     return w.select("question_id", P.parse_label(F.col("raw"), P.LETTERS).alias("p")).select("question_id", "p.*")
 
 
-@query(f"""SELECT p_partkey AS question_id, CASE WHEN p_partkey % 6 IN (0,1,2,5) THEN {_LAB}
- WHEN p_partkey % 6 = 3 THEN CASE p_partkey % 4 WHEN 0 THEN 'A,B' WHEN 1 THEN 'B,C' WHEN 2 THEN 'C,D' ELSE 'A,D' END END AS labels FROM part""")
+@query(f"""SELECT p_partkey AS question_id, CASE WHEN p_partkey % 6 = 0 THEN {_LAB} END AS labels,
+ CASE WHEN p_partkey % 6 <> 0 THEN 'response not valid JSON answer object' END AS reason FROM part""")
 def label_set_parse(spark, d):
-    return _wrapped(spark, d).select("question_id", F.array_join(P.parse_label_set(F.col("raw"), P.LETTERS)["labels"], ",").alias("labels"))
+    w = _wrapped(spark, d).select("question_id", P.parse_label_set(F.col("raw"), P.LETTERS).alias("p"))
+    return w.select("question_id", F.array_join("p.labels", ",").alias("labels"), "p.reason")
 
 
 @query(f"SELECT p_partkey AS question_id, CASE WHEN p_partkey % 6 = 0 THEN {_LAB} END AS text FROM part")
@@ -263,12 +266,21 @@ def thinking_tokens(spark, d):
 
 # ---- statistics --------------------------------------------------------------------------------------------------
 
+# The tail of chi squared by the series erf z = exp(-z z) * sum of z ** (2n + 1) / gamma(n + 3/2).
+_MCNEMAR = """, d AS (SELECT *, a_only + b_only AS discordant FROM c),
+e AS (SELECT *, CASE WHEN discordant < 25 THEN 'exact_binomial' ELSE 'mcnemar_continuity_corrected' END AS test_type,
+  CASE WHEN discordant < 25 THEN CAST(b_only AS DOUBLE) ELSE (abs(a_only - b_only) - 1.0)**2 / discordant END AS statistic FROM d),
+z AS (SELECT *, greatest(sqrt(statistic / 2), 1e-12) AS z FROM e),
+pv AS (SELECT *, CASE WHEN discordant = 0 THEN 1.0 WHEN discordant < 25 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1), lambda i: exp(lgamma(discordant + 1) - lgamma(i + 1) - lgamma(discordant - i + 1)) * 0.5 ** discordant)))
+  WHEN z > 6 THEN 0.0 ELSE greatest(0.0, 1 - exp(-z * z) * list_sum(list_transform(range(0, 250), lambda i: exp((2 * i + 1) * ln(z) - lgamma(i + 1.5))))) END AS p FROM z)
+SELECT scope, n, "both", a_only, b_only, neither, discordant, test_type, round(statistic, 4) AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant_at_05, p < 0.01 AS significant_at_01 FROM pv"""
+
 
 @query(f"""WITH {GRID}, j AS (SELECT x.condition, coalesce(x.correct,FALSE) AS a, coalesce(y.correct,FALSE) AS b FROM s x JOIN s y ON x.question_id=y.question_id AND x.condition=y.condition AND x.model=0 AND y.model=1),
 c AS (SELECT scope, count(*) AS n, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only, count(*) FILTER (NOT a AND NOT b) AS neither FROM (SELECT unnest(['all', condition]) AS scope, a, b FROM j) GROUP BY scope)
-SELECT *, (abs(a_only - b_only) - 1.0)**2 / nullif(a_only + b_only, 0) AS statistic FROM c""")
+{_MCNEMAR}""")
 def model_comparison(spark, d):
-    return stats.compare_models(scored(spark, d, (31, 37)), 0, 1).drop("p_value")
+    return stats.compare_models(scored(spark, d, (31, 37)), 0, 1)
 
 
 @query()
@@ -285,8 +297,15 @@ def exact_binomial(spark, d):
     return nk.select("n", "k", stats.binomial_two_sided(F.col("k"), F.col("n") - F.col("k")).alias("p")).withColumn("p", F.round("p", 9))
 
 
-@query("""WITH u AS (SELECT user_id, sum(value) AS d, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY user_id) - 1 AS i FROM events GROUP BY user_id), n AS (SELECT count(*) AS n FROM u),
-dr AS (SELECT b, (b * 1103 + i * 7919 + b * i * 13 + 42) % n AS i FROM u, n, (SELECT unnest(range(0, 200)) AS b)),
+def _mixed(x: str) -> str:
+    """stats.scattered in SQL; the lambda gives its argument a name."""
+    for _ in range(2):
+        x = f"list_extract(list_transform([{x}], lambda v: (xor(v, v >> 15) * {stats.MIXER}) % 2147483648), 1)"
+    return f"list_extract(list_transform([{x}], lambda v: xor(v, v >> 15)), 1)"
+
+
+@query(f"""WITH u AS (SELECT user_id, sum(value) AS d, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY user_id) - 1 AS i FROM events GROUP BY user_id), n AS (SELECT count(*) AS n FROM u),
+dr AS (SELECT b, {_mixed("xor(" + _mixed("(b * 7919 + 42) % 2147483648") + ", " + _mixed("i % 2147483648") + ")")} % n AS i FROM u, n, (SELECT unnest(range(0, 2000)) AS b)),
 m AS (SELECT b, sum(d) / sum(w) AS m FROM dr JOIN u USING (i) GROUP BY b)
 SELECT count(*) AS replicates, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_pop(m) AS se, avg(m) AS mean FROM m""")
 def cluster_bootstrap(spark, d):
@@ -517,7 +536,7 @@ def class_balance(spark, d):
     return t(spark, d, "lineitem").groupBy((F.col("l_returnflag") == "N").alias("chosen_is_default")).agg(F.sum("l_quantity").alias("weight"), F.count("*").alias("n"))
 
 
-@query("""WITH i AS (SELECT p_brand AS drug, CASE WHEN p_size % 3 = 0 THEN 'near_ood' ELSE 'train' END AS split, CASE WHEN p_partkey % 2 = 0 THEN 'avoid' ELSE 'correct' END AS polarity FROM part WHERE p_size < 5)
+@query("""WITH i AS (SELECT p_brand AS drug, CASE WHEN p_size % 3 = 0 THEN 'near_ood' ELSE 'train' END AS split, CASE WHEN p_partkey % 2 = 0 THEN 'avoid' ELSE 'correct' END AS polarity FROM part)
 SELECT drug FROM i GROUP BY drug HAVING (bool_or(polarity='avoid' AND split='train') AND bool_or(polarity='correct' AND split<>'train')) OR (bool_or(polarity='correct' AND split='train') AND bool_or(polarity='avoid' AND split<>'train'))""")
 def polarity_conflicts(spark, d):
     p = t(spark, d, "part").select(F.col("p_brand").alias("drug"), F.when(F.col("p_size") % 3 == 0, "near_ood").otherwise("train").alias("split"), F.when(F.col("p_partkey") % 2 == 0, "avoid").otherwise("correct").alias("polarity"))
