@@ -306,7 +306,7 @@ def test_golden_mcnemar(spark):
 def test_queries_and_oracles_agree(spark):
     import duckdb
 
-    from varipair.plans import catalog
+    from varipair.plans import catalog, forms  # noqa: F401
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -14,7 +14,17 @@ from pyspark.sql.types import DoubleType
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that hint at the alternative action.
-KEYWORDS = ["pregnan", "allerg", "renal", "kidney", "egfr", "anaphyla", "stupid", "worthless", "from", "with"]
+KEYWORDS = [
+    "beta-hcg", "gestation", "anaphylaxis", "stevens-johnson", "sjs", "bronchospasm", "nasal polyps",
+    "penicillin allergy", "sulfonamide allergy", "aspirin sensitivity",
+]
+#: What a skeleton puts marks for, in order.
+SKELETON = [
+    (r"\b\d{1,2}-year-old\b", "<AGE>-year-old"),
+    (r"\b\d+(\.\d+)?\s*(mg/dL|mEq/L|mL/min|mmHg|bpm|mIU/mL|U/L|cm|mm/hr|%)\b", "<VALUE>"),
+    (r"\b\d+\b", "<NUM>"),
+    (r"\b(female|male|She|He|Her|His)\b", "<PRONOUN>"),
+]
 
 
 def empty_if_null(s: Column) -> Column:
@@ -70,11 +80,11 @@ def contains_words(hay: Column, needle: Column) -> Column:
 
 
 def skeleton(s: Column) -> Column:
-    """Ages, quantities, numbers and pronouns replaced by marks."""
-    s = F.regexp_replace(empty_if_null(s), r"\b\d+-year-old\b", "<AGE>")
-    s = F.regexp_replace(s, r"\b\d+(\.\d+)?\s*(mg/dL|mL/min|mg|mL|%)", "<VALUE>")
-    s = F.regexp_replace(s, r"\b\d+\b", "<NUM>")
-    return F.regexp_replace(s, r"\b([Hh]e|[Ss]he|[Hh]is|[Hh]er|[Hh]im)\b", "<PRON>")
+    """Ages, quantities, numbers and words of sex replaced by marks."""
+    s = F.regexp_replace(empty_if_null(s), r"^\s+|\s+$", "")
+    for pattern, mark in SKELETON:
+        s = F.regexp_replace(s, pattern, mark)
+    return s
 
 
 def keyword_hit(s: Column, keywords: list[str] = KEYWORDS) -> Column:

@@ -373,7 +373,13 @@ def diversity_by_group(spark, d):
     return overlap.group_diversity(t(spark, d, "benchmark").select((F.col("item_id") % 4).alias("grp"), F.col("item_id").alias("id"), "text"))
 
 
-@query(r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d+-year-old\b', '<AGE>', 'g'), '\b\d+(\.\d+)?\s*(mg/dL|mL/min|mg|mL|%)', '<VALUE>', 'g'), '\b\d+\b', '<NUM>', 'g'), '\b([Hh]e|[Ss]he|[Hh]is|[Hh]er|[Hh]im)\b', '<PRON>', 'g')) AS skeleton FROM conversations""")
+def _skeleton(x: str) -> str:
+    for pattern, mark in T.SKELETON:
+        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
+    return x
+
+
+@query(f"SELECT conv_id, turn, md5({_skeleton("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")}) AS skeleton FROM conversations")
 def skeletons(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.md5(T.skeleton(F.col("text"))).alias("skeleton"))
 
