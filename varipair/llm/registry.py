@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_warc": warc.SQL5, "op7_quality_rules": quality.SQL7, "op8_chat_format": chat.SQL8, "op9_decontamination": decontaminate.SQL9}
+    return {"op4_jaccard_join": jaccard.SQL4, "op5_warc": warc.SQL5, "op7_quality_rules": quality.SQL7, "op8_chat_format": chat.SQL8, "op9_decontamination": decontaminate.SQL9}
