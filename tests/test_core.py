@@ -306,7 +306,7 @@ def test_golden_mcnemar(spark):
 def test_queries_and_oracles_agree(spark):
     import duckdb
 
-    from varipair.plans import catalog, forms  # noqa: F401
+    from varipair.plans import catalog, forms, reports  # noqa: F401
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
@@ -318,3 +318,48 @@ def test_queries_and_oracles_agree(spark):
         norm = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
         want = con.execute(f'SELECT {", ".join(chr(34) + c + chr(34) for c in cols)} FROM ({catalog.ORACLES[name]})').fetchall()
         assert norm(map(tuple, df.select(*cols).collect())) == norm(want), name
+
+
+def test_examples_and_audit_of_one_question(spark):
+    from varipair.operators import preparation as R
+
+    four = '{"A": "ace", "B": "bat", "C": "cow", "D": "dog"}'
+    shown = "(A) ace\n(B) bat"
+    rows = [
+        ("mcq", "Q?", four, "B", shown), ("roman_numeral", "q", '{"I": "ace", "II": "bat", "III": "cow", "IV": "dog"}', "II", "(I) ace"),
+        ("none_of_the_provided", "Q?", four.replace("bat", R.NO_OPTION), "B", shown), ("fixed_pos", "Q?", '{"A": "ace", "B": "cow", "C": "dog", "D": "bat"}', "D", shown),
+        ("incorrect", "Q?", four, "['D', 'A', 'C']", shown + "\nName the INCORRECT ones"), ("open", "Which?", four, "bat", "Which?"), ("no_symbols", "Q?", four, "bat", "(A) ace"),
+    ]
+    src = spark.createDataFrame([("s", "1", *r) for r in rows], "source_dataset string, source_id string, condition string, question string, options string, answer string, prompt string")
+    p = R.pairs(src)
+    got = {r["perturbation_type"]: r for r in p.collect()}
+    assert got["none_of_the_provided"]["perturbed_answer_interpretation"] == R.NO_OPTION and got["incorrect"]["perturbed_answer_interpretation"] is None and got["open"]["question_text_changed"]
+    assert R.unpaired(src).count() == 0 and R.unbuildable(p).count() == 0 and R.unpaired(src.where("condition <> 'open'")).count() == 1
+    e = R.examples(p)
+    at = {r["condition"]: r for r in e.collect()}
+    assert len(at) == 7 and at["incorrect"]["gold_indices"] == [0, 2, 3] and at["fixed_pos"]["gold_index"] == 3 and at["no_symbols"]["option_labels"] == []
+    problems = {r["condition"]: r["problems"] for r in R.semantic_audit(e).collect()}
+    assert problems.pop("no_symbols") == "display observed=labeled expected=bullets" and set(problems.values()) == {""}
+    keys = e.select("question_id", "condition")
+    assert R.structural_checks(e, keys).count() == 0
+    assert [tuple(r) for r in R.structural_checks(e, keys.where("condition <> 'mcq'")).collect()] == [("missing record", "s::1/mcq", "1")]
+
+
+def test_preparation_of_empty_tables(spark):
+    from varipair.operators import phases
+    from varipair.operators import preparation as R
+
+    src = spark.createDataFrame([], "source_dataset string, source_id string, condition string, question string, options string, answer string, prompt string")
+    e = R.examples(R.pairs(src))
+    assert R.semantic_audit(e).count() == 0 and R.structural_checks(e, e).count() == 0
+    log = spark.createDataFrame([], "cached boolean, failed boolean, attempts int, cost double")
+    assert tuple(phases.run_summary(log).first()) == (0, 0, 0, 0, 0, 0.0)
+
+
+def test_adaptation_category(spark):
+    from varipair.operators import phases
+
+    cases = [(True, True, 0, 1, 1, "successful_adaptation"), (True, True, 0, 0, 1, "failure_to_adapt"), (True, True, 0, 2, 1, "adaptation_attempted_but_wrong"), (False, False, 0, 0, 0, "unparseable"), (False, True, 0, 1, 0, "presentation_instability")]
+    df = spark.createDataFrame([c[:5] for c in cases], "required boolean, both boolean, before int, after int, gold int")
+    kind = phases.adaptation_category(*map(F.col, ("required", "both", "before", "after", "gold")), F.col("before") == F.col("gold"), F.col("after") == F.col("gold"))
+    assert [r[0] for r in df.select(kind).collect()] == [c[5] for c in cases]
