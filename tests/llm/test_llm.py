@@ -373,3 +373,16 @@ def test_pipeline_stages(spark):
         docs = after
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == docs.count()
     assert docs.where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def test_policy_ablations_agree_with_sql(spark):
+    import duckdb
+
+    from varipair.llm import quality
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = con.execute(f"SELECT rule, n_failed, n_only, ever FROM ({quality.SQL_ABLATIONS})").fetchall()
+    got = [tuple(r) for r in quality.policy_ablations(spark, d).select("rule", "n_failed", "n_only", "ever").collect()]
+    assert sorted(got) == sorted(want)

@@ -141,6 +141,11 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(C.table(spark, sf_dir, "documents")))
 
 
+def policy_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does to documents. The ledger is written once; any policy is judged from it."""
+    return ablations(C.written(ledger(C.table(spark, sf_dir, "documents")), "quality-ledger"))
+
+
 #: DuckDB SQL for op7.
 SQL7 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -164,3 +169,7 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100
         + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END) + (CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END) AS BIGINT) AS failed FROM m)
 SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, 'web/2' AS policy FROM f
 """
+
+#: DuckDB SQL for policy_ablations.
+SQL_ABLATIONS = f"""WITH b AS ({SQL7}), r(rule, bit) AS (VALUES {", ".join(f"('{n}', {BIT[n]})" for n in POLICIES["web/2"])})
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & {mask_of("web/2")} = bit) AS n_only, coalesce(bool_or(failed & bit <> 0), FALSE) AS ever FROM r LEFT JOIN b ON TRUE GROUP BY rule"""

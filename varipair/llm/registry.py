@@ -19,9 +19,10 @@ def queries() -> dict:
         "op8_chat_format": chat.op8,
         "op9_decontamination": decontaminate.op9,
         "op10_token_store": tokenstore.op10,
+        "quality_policy_ablations": quality.policy_ablations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_jaccard_join": jaccard.SQL4, "op5_warc": warc.SQL5, "op7_quality_rules": quality.SQL7, "op8_chat_format": chat.SQL8, "op9_decontamination": decontaminate.SQL9}
+    return {"op4_jaccard_join": jaccard.SQL4, "op5_warc": warc.SQL5, "op7_quality_rules": quality.SQL7, "quality_policy_ablations": quality.SQL_ABLATIONS, "op8_chat_format": chat.SQL8, "op9_decontamination": decontaminate.SQL9}
