@@ -24,12 +24,13 @@ def stratified_sample(rows: DataFrame, shares: DataFrame, order) -> DataFrame:
 
 
 def round_robin(rows: DataFrame) -> DataFrame:
-    """(stratum, id) with `stage_order`: the i-th of each stratum, strata by name. Numbered by range partitions and offsets, as the order is global."""
-    w = Window.partitionBy("stratum").orderBy("id")
-    per = rows.withColumn("rn", F.row_number().over(w))
-    before = per.groupBy("rn").agg(F.count("*").alias("c"))
-    offset = before.select("rn", (F.sum("c").over(Window.orderBy("rn")) - F.col("c")).alias("base"))
-    return per.join(offset, "rn").withColumn("stage_order", F.col("base") + F.row_number().over(Window.partitionBy("rn").orderBy("stratum"))).select("stratum", "id", "stage_order")
+    """(stratum, id) with `stage_order`: the i-th of each stratum, strata by name. What comes before a row's turn follows
+    from the sizes of the strata, one long each, so no window runs over all turns. A stratum is sorted by one task."""
+    per = rows.withColumn("rn", F.row_number().over(Window.partitionBy("stratum").orderBy("id")))
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n")).agg(F.collect_list("n")).scalar()
+    before = F.aggregate("_sizes", F.lit(0).cast("long"), lambda total, n: total + F.least(n, F.col("rn").cast("long") - 1))
+    place = F.row_number().over(Window.partitionBy("rn").orderBy("stratum"))
+    return per.withColumn("_place", place).withColumn("_sizes", sizes).select("stratum", "id", (before + F.col("_place")).alias("stage_order"))
 
 
 def text_clusters(rows: DataFrame, key) -> DataFrame:
