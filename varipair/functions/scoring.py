@@ -91,13 +91,16 @@ def token_cost(tokens_in: Column, tokens_out: Column, thinking: Column, price_in
     return tokens_in * F.lit(price_in / 1e6) + out * F.lit(price_out / 1e6)
 
 
-def outcome_category(base_ok: Column, other_ok: Column, parsed: Column) -> Column:
+def outcome_category(both_parsed: Column, flipped: Column, base_ok: Column, other_ok: Column) -> Column:
+    """What became of a pair of answers, by both verdicts and, where both are wrong, by whether the answer changed."""
+    a, b = is_true(base_ok), is_true(other_ok)
     return (
-        F.when(~is_true(parsed), "parse_failure")
-        .when(is_true(base_ok) & is_true(other_ok), "robust")
-        .when(is_true(base_ok), "lost")
-        .when(is_true(other_ok), "gained")
-        .otherwise("wrong_both")
+        F.when(~is_true(both_parsed), "unparseable")
+        .when(a & b, "stable_correct")
+        .when(a, "correct_to_incorrect")
+        .when(b, "incorrect_to_correct")
+        .when(is_true(flipped), "incorrect_to_different_incorrect")
+        .otherwise("stable_incorrect")
     )
 
 

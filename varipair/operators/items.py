@@ -6,7 +6,7 @@ run and checked on the driver's tables; real items and responses enter at ``scor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -78,28 +78,41 @@ def score(items: DataFrame) -> DataFrame:
     return df.withColumn("answer_text", F.get(F.array(*map(F.lit, TEXTS)), F.col("answer"))).drop("_set", "_free", "_match", "_p", "_a")
 
 
-def pair(scored: DataFrame) -> DataFrame:
-    """Each question's baseline against each other condition: transitions, changes, adaptation. One shuffle on
-    (model, question_id) for both sides."""
-    base = scored.where("condition = 'mcq'").select("model", "question_id", *[F.col(x).alias(f"mcq_{x}") for x in ("evaluable", "correct", "answer", "answer_text", "gold")])
-    p = scored.where("condition <> 'mcq'").join(base, ["model", "question_id"])
-    both = F.col("evaluable") & F.col("mcq_evaluable")
+def with_baseline(scored: DataFrame) -> DataFrame:
+    """Each row with evaluable, correct, answer, answer_text and gold of its question's baseline as mcq_*, null where there
+    is none. The baseline travels within its question: one shuffle, and the rows are scored once."""
+    names = ("evaluable", "correct", "answer", "answer_text", "gold")
+    mcq = F.first(F.when(F.col("condition") == "mcq", F.struct(*names)), ignorenulls=True).over(Window.partitionBy("model", "question_id"))
+    df = scored.withColumn("_mcq", F.when(F.col("question_id").isNotNull(), mcq))
+    return df.select("*", F.col("_mcq").isNotNull().alias("has_mcq"), *[F.col(f"_mcq.{n}").alias(f"mcq_{n}") for n in names]).drop("_mcq")
+
+
+def compared(scored: DataFrame) -> DataFrame:
+    """All rows, each condition against its question's baseline: both_evaluable, transition, changes, adaptation; null in
+    the baseline's own rows and where a question has none. Nothing is labelled unless both sides are evaluable."""
+    p = with_baseline(scored).withColumn("paired", F.col("has_mcq") & (F.col("condition") != "mcq"))
+    both = F.when(F.col("paired"), F.col("evaluable") & F.col("mcq_evaluable"))
     change = lambda x, y: F.when(both & x.isNotNull() & y.isNotNull(), x != y)
     return (
         p.withColumn("both_evaluable", both)
         .withColumn("transition", F.when(both, S.transition(F.col("mcq_correct"), F.col("correct"))))
         .withColumn("position_changed", F.when(F.col("condition") != "open", change(F.col("answer"), F.col("mcq_answer"))))
         .withColumn("semantic_changed", change(F.col("answer_text"), F.col("mcq_answer_text")))
-        .withColumn("adaptation", F.when(F.col("evaluable"), S.adaptation(F.col("condition"), F.col("correct"), F.col("answer_text"), F.col("mcq_answer_text"), F.col("set_size"))))
+        .withColumn("adaptation", F.when(both, S.adaptation(F.col("condition"), F.col("correct"), F.col("answer_text"), F.col("mcq_answer_text"), F.col("set_size"))))
     )
 
 
+def pair(scored: DataFrame) -> DataFrame:
+    """The rows of `compared` that have a baseline to be compared with."""
+    return compared(scored).where("paired")
+
+
 def with_failure(scored: DataFrame) -> DataFrame:
     """Adds failure. Columns api_error and truncated of the responses count where they exist."""
-    base = scored.where("condition = 'mcq'").select("model", "question_id", F.col("correct").alias("base_correct"), F.col("evaluable").alias("base_evaluable"))
+    base = with_baseline(scored).withColumnsRenamed({"mcq_correct": "base_correct", "mcq_evaluable": "base_evaluable"}).drop("mcq_answer", "mcq_answer_text", "mcq_gold", "has_mcq")
     flag = lambda name: F.col(name) if name in scored.columns else F.lit(False)
     f = S.failure(*map(F.col, ("condition", "parsed", "evaluable", "correct", "set_size", "match_method", "base_correct", "base_evaluable")), flag("api_error"), flag("truncated"))
-    return scored.join(base, ["model", "question_id"], "left").withColumn("failure", f)
+    return base.withColumn("failure", f)
 
 
 def incomplete(rows: DataFrame, keys: list[str], part: str, expected: int) -> DataFrame:

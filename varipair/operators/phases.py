@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import is_true
+from ..functions.scoring import is_true, outcome_category
 
 #: What a table counts as cut off.
 CUT = "MAX_TOKENS"
@@ -46,6 +46,13 @@ def first_phase(scored: DataFrame, cost: str = "cost") -> DataFrame:
     )
 
 
+def outcome_categories(scored: DataFrame, condition: str = "roman_numeral") -> DataFrame:
+    """Questions of each model by what became of the answer under a condition that keeps the meaning."""
+    q = by_question(scored, "mcq", condition)
+    both, flipped, _ = _against_mcq(condition)
+    return q.groupBy("model", outcome_category(both, flipped, F.col("mcq_correct"), F.col(f"{condition}_correct")).alias("category")).agg(F.count("*").alias("n"))
+
+
 def call_summary(scored: DataFrame, *keys: str) -> DataFrame:
     """Calls, share parsed, accuracy among the parsed."""
     right = F.count_if(is_true(F.col("correct")) & F.col("parsed"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.scoring import ADAPTATION, INVARIANCE
 
@@ -50,75 +52,95 @@ def mcnemar(pairs: DataFrame, *keys: str, exact_below: int = 25) -> DataFrame:
     return t.withColumn("statistic", F.round("statistic", 4)).withColumn("p_value", F.round("p_value", 6))
 
 
-def scattered(x: Column) -> Column:
-    """A mixed 31-bit number of one of 31 bits, by exclusive or, products and remainders that any SQL can state."""
-    for _ in range(2):
-        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIXER), F.lit(1 << 31))
-    return x.bitwiseXOR(F.shiftright(x, 15))
-
-
-def draw(b: Column, i: Column, seed: int, n: Column) -> Column:
-    """The i-th of replicate b's draws from 0 .. n - 1."""
-    start = scattered(F.pmod(b * F.lit(7919) + F.lit(seed), F.lit(1 << 31)))
-    return F.pmod(scattered(start.bitwiseXOR(scattered(F.pmod(i, F.lit(1 << 31))))), n)
+#: Least 31-bit numbers that give one more than 0, 1, 2, ... in a Poisson variate of mean 1.
+POISSON = [int((1 << 31) * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+#: Units whose weights a task holds at once.
+UNITS = 512
 
 
 def bootstrap(values: DataFrame, key: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean of `d` when units (rows, or clusters with `d` and weight `w`) are drawn with
-    replacement. Units are numbered 0..n-1 in column `key`. The i-th draw of replicate b is a mixing hash of
-    (seed, b, i) mod n, so draws are as good as independent and repeat everywhere. Draws meet units by an equi-join
-    on the number."""
-    n = values.count()
-    ids = values.sparkSession.range(n * replicates).select(F.expr(f"id div {max(n, 1)}").alias("b"), F.pmod("id", F.lit(max(n, 1))).alias("i"))
-    draws = ids.select("b", draw(F.col("b"), F.col("i"), seed, F.lit(max(n, 1))).cast("long").alias(key))
-    per = draws.join(values, key).groupBy("b").agg((F.sum("d") / F.sum("w")).alias("m"))
+    """Percentile interval of sum(d) / sum(w) when units (rows with w = 1, or clusters) are drawn anew. A unit counts in
+    replicate b a Poisson number of times (mean 1) that is a mixing hash of (seed, b, its integer `key`), so draws need no
+    numbering of the units, no shuffle and no row each: a task adds its units' weights to two sums per replicate."""
+    # Closed over by value, so workers need not import this module.
+    factor, steps, units = MIXER, list(POISSON), UNITS
+
+    def draws(batches):
+        import pyarrow as pa
+
+        def scattered(x):
+            for _ in range(2):
+                x = (x ^ (x >> 15)) * factor % (1 << 31)
+            return x ^ (x >> 15)
+
+        start = scattered(np.arange(replicates, dtype=np.int64) * 7919 % (1 << 31) ^ seed)
+        d, w = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            k, x, y = (np.asarray(batch.column(c)) for c in range(3))
+            for at in range(0, len(k), units):
+                u = scattered(start[:, None] ^ scattered(k[at : at + units] % (1 << 31))[None, :])
+                times = np.searchsorted(steps, u, side="right").astype(float)
+                d += times @ x[at : at + units]
+                w += times @ y[at : at + units]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(d), pa.array(w)], names=["b", "d", "w"])
+
+    rows = values.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)), F.col("d").cast("double"), F.col("w").cast("double")).where("d IS NOT NULL AND w IS NOT NULL")
+    per = rows.mapInArrow(draws, "b long, d double, w double").groupBy("b").agg(F.try_divide(F.sum("d"), F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return per.agg(F.count("*").alias("replicates"), q.alias("q"), F.stddev_pop("m").alias("se"), F.avg("m").alias("mean")).select("replicates", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"), "se", "mean")
 
 
+def of_both(scored: DataFrame, a: int, b: int, flags: dict[str, Column]) -> DataFrame:
+    """question_id, condition and flags of two models side by side (name_a, name_b; null is false) where both answered.
+    One aggregation in place of a join, so the rows are scored once."""
+    of = lambda m, flag: F.coalesce(F.bool_or(F.when(F.col("model") == m, flag)), F.lit(False))
+    here = [F.count_if(F.col("model") == m) > 0 for m in (a, b)]
+    g = scored.where(F.col("model").isin(a, b) & F.col("question_id").isNotNull()).groupBy("question_id", "condition")
+    return g.agg((here[0] & here[1]).alias("_both"), *[of(m, flag).alias(f"{name}_{side}") for name, flag in flags.items() for side, m in (("a", a), ("b", b))]).where("_both").drop("_both")
+
+
 def compare_models(scored: DataFrame, a: int, b: int) -> DataFrame:
-    """Per scope (all, and each condition): McNemar of two models' right answers. The join is done once; scopes are
-    rows, not passes."""
-    side = lambda m, name: scored.where(F.col("model") == m).select("question_id", "condition", F.col("correct").alias(name))
-    both = side(a, "a").join(side(b, "b"), ["question_id", "condition"])
-    return mcnemar(both.select(F.explode(F.array(F.lit("all"), "condition")).alias("scope"), "a", "b"), "scope")
+    """Per scope (all, and each condition): McNemar of two models' right answers. Scopes are rows, not passes."""
+    both = of_both(scored, a, b, {"right": F.col("correct")})
+    return mcnemar(both.select(F.explode(F.array(F.lit("all"), "condition")).alias("scope"), F.col("right_a").alias("a"), F.col("right_b").alias("b")), "scope")
 
 
-#: Draws that one row of a generator makes at a time.
-DRAWS = 100_000
+@F.pandas_udf(ArrayType(DoubleType()))
+def _resampled(n: pd.Series, a_only: pd.Series, b_only: pd.Series, replicates: pd.Series, seed: pd.Series) -> pd.Series:
+    out = []
+    for total, a, b, times, start in zip(n, a_only, b_only, replicates, seed, strict=True):
+        drawn = np.random.default_rng([start, total, a, b]).multinomial(total, [a / total, b / total, (total - a - b) / total], size=times) if total else None
+        out.append(None if drawn is None else (drawn[:, 1] - drawn[:, 0]) / total)
+    return pd.Series(out)
 
 
 def paired_bootstrap(counts: DataFrame, key: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Per row of counts (key, n, a_only, b_only): percentile interval, error and empirical p of the mean of b - a
-    when the n rows of paired right/wrong outcomes are drawn with replacement. Only the difference of a row counts,
-    so the rows are taken as b_only of +1, then a_only of -1, then 0. The i-th draw of replicate b is a mixing hash of
-    (seed, b, i) mod n. For other outcomes, `bootstrap` takes rows with w = 1."""
-    reps = counts.sparkSession.range(0, replicates, 1, 64).withColumnRenamed("id", "b")
-    starts = reps.join(F.broadcast(counts.where("n > 0")), how="cross").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))).alias("at"))
-    draws = starts.select("*", F.explode(F.sequence("at", F.least(F.col("at") + DRAWS, F.col("n")) - 1, F.lit(1).cast("long"))).alias("i"))
-    u = F.pmod(F.xxhash64(F.lit(seed).cast("long"), "b", "i"), F.col("n"))
-    diff = F.when(u < F.col("b_only"), 1).when(u < F.col("b_only") + F.col("a_only"), -1).otherwise(0)
-    per = draws.select(key, "b", "n", diff.alias("d")).groupBy(key, "b").agg((F.sum("d") / F.first("n")).alias("m"))
+    """counts (key, n, a_only, b_only and more, few rows) with percentile interval, error and empirical p of the mean of
+    b - a when the n rows of paired right/wrong outcomes are drawn with replacement. Only the three counts matter, and those
+    of a replicate are one multinomial draw, whatever n is. For other outcomes, `bootstrap` takes rows with w = 1."""
+    lit = lambda x: F.lit(x).cast("long")
+    each = counts.select(F.col(key), F.struct("*").alias("_row"), F.explode_outer(_resampled("n", "a_only", "b_only", lit(replicates), lit(seed))).alias("m"))
     q, share = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))), lambda c: F.avg(c.cast("double"))
-    per = per.groupBy(key).agg(F.count("*").alias("replicates"), q.alias("q"), F.stddev_pop("m").alias("std_error"), (2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p"))
+    per = each.groupBy(key).agg(F.first("_row").alias("_row"), F.count("m").alias("replicates"), q.alias("q"), F.stddev_pop("m").alias("std_error"), (2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p"))
     lo, hi = F.get("q", 0), F.get("q", 1)
-    return per.select(key, "replicates", lo.alias("ci_lower"), hi.alias("ci_upper"), "std_error", F.least(F.lit(1.0), F.greatest(1 / F.col("replicates"), "p")).alias("p_empirical"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
-
-
-def comparison_report(scored: DataFrame, paired: DataFrame, a: int, b: int) -> DataFrame:
-    """Per scope (adaptation success and failure, invariance, each condition): McNemar and bootstrap of two models."""
-    def outcomes(rows, *columns):
-        side = lambda m, name: rows.where(F.col("model") == m).select("question_id", "condition", F.struct(*columns).alias(name))
-        return side(a, "a").join(side(b, "b"), ["question_id", "condition"])
-
-    right = lambda scope: F.struct(scope.alias("scope"), F.col("a.correct").alias("a"), F.col("b.correct").alias("b"))
-    adapted = lambda name, test: F.struct(F.lit(name).alias("scope"), test(F.col("a.adaptation")).alias("a"), test(F.col("b.adaptation")).alias("b"))
-    each = outcomes(scored, "correct").select(F.array(right(F.col("condition"))).alias("x"))
-    kept = outcomes(paired, "correct", "adaptation")
-    invariant = kept.where(F.col("condition").isin(*INVARIANCE)).select(F.array(right(F.lit("invariance"))).alias("x"))
-    inverted = kept.where(F.col("condition").isin(*ADAPTATION)).select(F.array(adapted("adaptation_success", lambda c: c == "successful_adaptation"), adapted("adaptation_failure", lambda c: c.startswith("failure"))).alias("x"))
-    t = mcnemar(each.unionByName(invariant).unionByName(inverted).select(F.inline("x")), "scope")
+    p = F.when(F.col("replicates") > 0, F.least(F.lit(1.0), F.greatest(1 / F.col("replicates"), "p")))
+    return per.select("_row.*", "replicates", lo.alias("ci_lower"), hi.alias("ci_upper"), "std_error", p.alias("p_empirical"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
+
+
+def compared_outcomes(compared: DataFrame, a: int, b: int) -> DataFrame:
+    """Per scope (adaptation success and failure, invariance, each condition): McNemar, rates and their difference."""
+    flags = {"right": F.col("correct"), "success": F.col("adaptation") == "successful_adaptation", "failure": F.col("adaptation").startswith("failure"), "paired": F.col("paired")}
+    c = F.col("condition")
+    rows = of_both(compared, a, b, flags).withColumn("kept", F.col("paired_a") & F.col("paired_b"))
+    scope = lambda when, name, flag: F.when(when, F.struct(name.alias("scope"), F.col(f"{flag}_a").alias("a"), F.col(f"{flag}_b").alias("b")))
+    inverted = F.col("kept") & c.isin(*ADAPTATION)
+    each = F.array_compact(F.array(scope(F.lit(True), c, "right"), scope(F.col("kept") & c.isin(*INVARIANCE), F.lit("invariance"), "right"), scope(inverted, F.lit("adaptation_success"), "success"), scope(inverted, F.lit("adaptation_failure"), "failure")))
+    t = mcnemar(rows.select(F.inline(each)), "scope")
     rate = lambda only: (F.col("both") + F.col(only)) / F.col("n")
     t = t.withColumn("rate_a", rate("a_only")).withColumn("rate_b", rate("b_only")).withColumn("delta", (F.col("b_only") - F.col("a_only")) / F.col("n"))
-    t = t.withColumn("relative_reduction_pct", F.when(F.col("scope") == "adaptation_failure", (F.col("rate_a") - F.col("rate_b")) / (F.col("rate_a") + 1e-9) * 100))
-    return t.join(paired_bootstrap(t.select("scope", "n", "a_only", "b_only"), "scope"), "scope", "left")
+    return t.withColumn("relative_reduction_pct", F.when(F.col("scope") == "adaptation_failure", (F.col("rate_a") - F.col("rate_b")) / (F.col("rate_a") + 1e-9) * 100))
+
+
+def comparison_report(compared: DataFrame, a: int, b: int) -> DataFrame:
+    """`compared_outcomes` with bootstraps."""
+    return paired_bootstrap(compared_outcomes(compared, a, b), "scope")

@@ -57,12 +57,12 @@ s AS (SELECT model, question_id, source_dataset, condition, gold, sel,
         CASE WHEN sel<4 OR condition='no_symbols' THEN sel=gold END AS correct,
         CASE WHEN sel<4 THEN sel END AS answer,
         CASE sel WHEN 0 THEN 'alpha' WHEN 1 THEN 'bravo' WHEN 2 THEN 'charlie' WHEN 3 THEN 'delta' END AS answer_text FROM g),
-p AS (SELECT x.*, m.evaluable AND x.evaluable AS both_evaluable, m.correct AS mcq_correct, m.answer AS mcq_answer, m.gold AS mcq_gold,
+p AS (SELECT x.*, m.evaluable AND x.evaluable AS both_evaluable, m.evaluable AS mcq_evaluable, m.correct AS mcq_correct, m.answer AS mcq_answer, m.gold AS mcq_gold,
         CASE WHEN m.evaluable AND x.evaluable THEN (CASE WHEN m.correct THEN 'C' ELSE 'W' END) || '->' || (CASE WHEN x.correct THEN 'C' ELSE 'W' END) END AS transition,
         CASE WHEN x.condition<>'open' AND m.evaluable AND x.evaluable THEN x.answer<>m.answer END AS position_changed,
         CASE WHEN m.evaluable AND x.evaluable THEN x.answer_text<>m.answer_text END AS semantic_changed,
-        CASE WHEN NOT x.evaluable THEN NULL WHEN x.condition IN ('none_of_the_provided','incorrect') AND x.correct THEN 'successful_adaptation'
-             WHEN x.condition='none_of_the_provided' AND x.answer=m.answer AND m.answer<>m.gold THEN 'failure_to_adapt_kept_same_distractor'
+        CASE WHEN NOT (x.evaluable AND m.evaluable) THEN NULL WHEN x.condition IN ('none_of_the_provided','incorrect') AND x.correct THEN 'successful_adaptation'
+             WHEN x.condition='none_of_the_provided' AND x.answer=m.answer THEN 'failure_to_adapt_kept_same_distractor'
              WHEN x.condition='none_of_the_provided' THEN 'failure_to_adapt_chose_distractor'
              WHEN x.condition='incorrect' THEN 'failure_to_adapt_included_gold' END AS adaptation
       FROM s x JOIN s m ON x.model=m.model AND x.question_id=m.question_id AND m.condition='mcq' AND x.condition<>'mcq')
@@ -71,17 +71,35 @@ ONE = f"WITH {GRID}, s1 AS (SELECT * FROM s WHERE model=0), p1 AS (SELECT * FROM
 RATE = "CAST({0} AS DOUBLE) / nullif({1}, 0)".format
 
 
+# Usage of the calls, by the question and the place of the condition.
+_USAGE = {
+    "api_error": "(question_id * 3 + ci) % 89 = 0",
+    "truncated": "(question_id + ci) % 53 = 0",
+    "input_tokens": "100 + question_id % 37",
+    "output_tokens": "CASE WHEN question_id % 11 <> 0 THEN question_id % 7 + ci END",
+    "thinking_tokens": "CASE WHEN question_id % 3 = 0 THEN question_id % 5 END",
+    "latency_s": "(question_id % 13 + ci) / CAST(10 AS DOUBLE)",
+    "cost_usd": "CASE WHEN question_id % 11 <> 0 THEN ((100 + question_id % 37) * 3 + (question_id % 7 + ci) * 25) / CAST(10000000 AS DOUBLE) END",
+}
+
+
 @query(ONE + f"""
-, a AS (SELECT condition, count(*) AS n, count(*) FILTER (parsed) AS n_parsed, count(*) FILTER (evaluable) AS n_evaluable, count(*) FILTER (correct) AS n_correct FROM s1 GROUP BY condition),
+, w AS (SELECT s1.*, c.ci, {", ".join(f"{e.replace('ci', 'c.ci')} AS {k}" for k, e in _USAGE.items())} FROM s1 JOIN conds c USING (condition)),
+a AS (SELECT condition, count(*) AS n, count(*) FILTER (api_error) AS n_api_failures, count(*) FILTER (truncated) AS n_truncated, count(*) FILTER (parsed) AS n_parsed, count(*) FILTER (evaluable) AS n_evaluable,
+   count(*) FILTER (parsed AND NOT evaluable) AS n_ambiguous, count(*) FILTER (correct) AS n_correct, avg(input_tokens) AS mean_input_tokens, avg(output_tokens) AS mean_output_tokens,
+   avg(thinking_tokens) AS mean_thinking_tokens, max(thinking_tokens) AS max_thinking_tokens, avg(latency_s) AS mean_latency_s, coalesce(sum(cost_usd), 0) AS cost_usd FROM w GROUP BY condition),
 b AS (SELECT condition, count(*) FILTER (both_evaluable) AS n_pairs, count(*) FILTER (transition='C->C') AS cc, count(*) FILTER (transition='C->W') AS cw,
-   count(*) FILTER (transition='W->C') AS wc, count(*) FILTER (transition='W->W') AS ww,
-   {RATE("count(*) FILTER (position_changed)", "count(position_changed)")} AS position_change_rate, {RATE("count(*) FILTER (semantic_changed)", "count(semantic_changed)")} AS semantic_change_rate FROM p1 GROUP BY condition)
-SELECT a.condition, n, n_parsed, n_evaluable, n_correct, {RATE("n_parsed", "n")} AS parse_rate, {RATE("n_correct", "n_evaluable")} AS accuracy, {RATE("n_correct", "n_parsed")} AS lower_bound,
-  {RATE("(n_correct + n_parsed - n_evaluable)", "n_parsed")} AS upper_bound, n_pairs, cc, cw, wc, ww, position_change_rate, semantic_change_rate
+   count(*) FILTER (transition='W->C') AS wc, count(*) FILTER (transition='W->W') AS ww, condition IN ('roman_numeral','fixed_pos','no_symbols') AS recon_defined,
+   {RATE("count(*) FILTER (position_changed)", "count(position_changed)")} AS position_change_rate, {RATE("count(*) FILTER (semantic_changed)", "count(semantic_changed)")} AS semantic_change_rate,
+   {RATE("count(*) FILTER (both_evaluable AND mcq_correct AND correct)", "count(*) FILTER (both_evaluable)")} AS reacc, {RATE("count(*) FILTER (NOT semantic_changed)", "count(semantic_changed)")} AS recon FROM p1 GROUP BY condition)
+SELECT a.condition, n, n_api_failures, n_truncated, n_parsed, n_evaluable, n_ambiguous, n_correct, {RATE("n_parsed", "n")} AS parse_rate, {RATE("n_correct", "n_evaluable")} AS accuracy,
+  CASE WHEN a.condition='open' THEN {RATE("n_correct", "n_parsed")} END AS lower_bound, CASE WHEN a.condition='open' THEN {RATE("(n_correct + n_ambiguous)", "n_parsed")} END AS upper_bound,
+  mean_input_tokens, mean_output_tokens, mean_thinking_tokens, mean_latency_s, max_thinking_tokens, cost_usd, n_pairs, cc, cw, wc, ww, position_change_rate, semantic_change_rate,
+  CASE WHEN recon_defined THEN reacc END AS reacc, CASE WHEN recon_defined THEN recon END AS recon, recon_defined
 FROM a LEFT JOIN b USING (condition)""")
 def metrics_by_condition(spark, d):
-    s = scored(spark, d)
-    return metrics.by_condition(s, items.pair(s))
+    s = scored(spark, d).withColumns({k: F.expr(e) for k, e in _USAGE.items()})
+    return metrics.by_condition(items.compared(s))
 
 
 @query(ONE + """SELECT condition, kind, label, n FROM (
@@ -97,7 +115,7 @@ def transitions_wide(spark, d):
     return metrics.transitions_wide(items.pair(scored(spark, d)))
 
 
-@query(f"""WITH {GRID}, q AS (SELECT model, question_id, bool_and(coalesce(correct, FALSE)) AS ok, count(DISTINCT answer_text) AS a FROM s
+@query(f"""WITH {GRID}, q AS (SELECT model, question_id, bool_and(coalesce(correct, FALSE)) AS ok, count(DISTINCT coalesce(answer_text, '')) AS a FROM s
 WHERE condition IN ('mcq','roman_numeral','fixed_pos','no_symbols') GROUP BY ALL HAVING count(*) FILTER (evaluable) = 4)
 SELECT model, count(*) AS n_questions, {RATE("count(*) FILTER (ok)", "count(*)")} AS joint_reacc, {RATE("count(*) FILTER (a = 1)", "count(*)")} AS joint_recon FROM q GROUP BY model""")
 def group_consistency(spark, d):
@@ -122,8 +140,7 @@ b AS (SELECT model, {RATE("count(*) FILTER (adaptation LIKE 'failure%')", "count
 c AS (SELECT model, {RATE("count(*) FILTER (ok)", "count(*)")} AS joint_reacc FROM (SELECT model, question_id, bool_and(coalesce(correct, TRUE)) AS ok FROM s WHERE condition IN ('mcq','roman_numeral','fixed_pos','no_symbols') GROUP BY ALL) GROUP BY model)
 SELECT * FROM a JOIN b USING (model) JOIN c USING (model)""")
 def main_results_table(spark, d):
-    s = scored(spark, d, (31, 37))
-    return metrics.main_table(s, items.pair(s))
+    return metrics.main_table(items.compared(scored(spark, d, (31, 37))))
 
 
 @query(f"""WITH {GRID} SELECT x.condition, count(*) AS n, count(*) FILTER (NOT coalesce(x.correct,FALSE) AND coalesce(y.correct,FALSE)) AS rescues, count(*) FILTER (coalesce(x.correct,FALSE) AND NOT coalesce(y.correct,FALSE)) AS hurts,
@@ -283,11 +300,22 @@ def model_comparison(spark, d):
     return stats.compare_models(scored(spark, d, (31, 37)), 0, 1)
 
 
+@query(f"""WITH {GRID}, j AS (SELECT x.condition, x.correct AS ra, y.correct AS rb, x.adaptation AS fa, y.adaptation AS fb FROM p x JOIN p y ON x.question_id=y.question_id AND x.condition=y.condition AND x.model=0 AND y.model=1),
+o AS (SELECT x.condition AS scope, coalesce(x.correct,FALSE) AS a, coalesce(y.correct,FALSE) AS b FROM s x JOIN s y ON x.question_id=y.question_id AND x.condition=y.condition AND x.model=0 AND y.model=1
+ UNION ALL SELECT 'invariance', coalesce(ra,FALSE), coalesce(rb,FALSE) FROM j WHERE condition IN ('roman_numeral','fixed_pos','no_symbols')
+ UNION ALL SELECT 'adaptation_success', coalesce(fa='successful_adaptation',FALSE), coalesce(fb='successful_adaptation',FALSE) FROM j WHERE condition IN ('none_of_the_provided','incorrect')
+ UNION ALL SELECT 'adaptation_failure', coalesce(fa LIKE 'failure%',FALSE), coalesce(fb LIKE 'failure%',FALSE) FROM j WHERE condition IN ('none_of_the_provided','incorrect')),
+c AS (SELECT scope, count(*) AS n, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only, count(*) FILTER (NOT a AND NOT b) AS neither FROM o GROUP BY scope),
+r AS (SELECT scope, ("both" + a_only) / n AS rate_a, ("both" + b_only) / n AS rate_b, (b_only - a_only) / n AS delta FROM c)
+SELECT m.*, rate_a, rate_b, delta, CASE WHEN scope='adaptation_failure' THEN (rate_a - rate_b) / (rate_a + 1e-9) * 100 END AS relative_reduction_pct FROM ({"WITH z0 AS (SELECT 1) " + _MCNEMAR.replace(", d AS", ", d AS", 1)}) m JOIN r USING (scope)""")
+def compared_outcomes(spark, d):
+    return stats.compared_outcomes(items.compared(scored(spark, d, (31, 37))), 0, 1)
+
+
 @query()
 def comparison_report(spark, d):
-    """As model_comparison with p values, and the adaptation and invariance outcomes and paired bootstraps."""
-    s = scored(spark, d, (31, 37))
-    return stats.comparison_report(s, items.pair(s), 0, 1)
+    """compared_outcomes with bootstraps, whose draws SQL does not state."""
+    return stats.comparison_report(items.compared(scored(spark, d, (31, 37))), 0, 1)
 
 
 @query("""WITH c AS (SELECT n, k FROM (SELECT unnest(range(1, 25)) AS n), (SELECT unnest(range(0, 25)) AS k) WHERE k <= n)
@@ -298,19 +326,19 @@ def exact_binomial(spark, d):
 
 
 def _mixed(x: str) -> str:
-    """stats.scattered in SQL; the lambda gives its argument a name."""
+    """The mixing hash of stats.bootstrap in SQL; the lambda gives its argument a name."""
     for _ in range(2):
         x = f"list_extract(list_transform([{x}], lambda v: (xor(v, v >> 15) * {stats.MIXER}) % 2147483648), 1)"
     return f"list_extract(list_transform([{x}], lambda v: xor(v, v >> 15)), 1)"
 
 
-@query(f"""WITH u AS (SELECT user_id, sum(value) AS d, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY user_id) - 1 AS i FROM events GROUP BY user_id), n AS (SELECT count(*) AS n FROM u),
-dr AS (SELECT b, {_mixed("xor(" + _mixed("(b * 7919 + 42) % 2147483648") + ", " + _mixed("i % 2147483648") + ")")} % n AS i FROM u, n, (SELECT unnest(range(0, 2000)) AS b)),
-m AS (SELECT b, sum(d) / sum(w) AS m FROM dr JOIN u USING (i) GROUP BY b)
+@query(f"""WITH u AS (SELECT user_id AS i, sum(value) AS d, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY user_id),
+dr AS (SELECT b, d, w, len(list_filter({stats.POISSON}, lambda t: t <= {_mixed("xor(" + _mixed("xor(b * 7919 % 2147483648, 42)") + ", " + _mixed("i % 2147483648") + ")")})) AS k FROM u, (SELECT unnest(range(0, 2000)) AS b)),
+m AS (SELECT b, sum(k * d) / sum(k * w) AS m FROM dr GROUP BY b)
 SELECT count(*) AS replicates, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_pop(m) AS se, avg(m) AS mean FROM m""")
 def cluster_bootstrap(spark, d):
     u = t(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("d"), F.count("*").cast("double").alias("w"))
-    return stats.bootstrap(u.withColumn("i", F.row_number().over(Window.orderBy("user_id")).cast("long") - 1).drop("user_id"), "i")
+    return stats.bootstrap(u, "user_id")
 
 
 # ---- text --------------------------------------------------------------------------------------------------------

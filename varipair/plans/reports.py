@@ -173,6 +173,12 @@ def first_phase_metrics(spark, d):
     return phases.first_phase(_with_cost(scored(spark, d, (31, 37)).where(F.col("condition").isin("mcq", "roman_numeral"))))
 
 
+@query(f"""WITH {_TWO} SELECT model, CASE WHEN NOT (m_parsed AND r_parsed) THEN 'unparseable' WHEN m_correct AND r_correct THEN 'stable_correct' WHEN NOT m_correct AND NOT r_correct AND m_answer<>r_answer THEN 'incorrect_to_different_incorrect'
+ WHEN NOT m_correct AND NOT r_correct THEN 'stable_incorrect' WHEN m_correct THEN 'correct_to_incorrect' ELSE 'incorrect_to_correct' END AS category, count(*) AS n FROM w GROUP BY ALL""")
+def outcome_categories(spark, d):
+    return phases.outcome_categories(scored(spark, d, (31, 37)))
+
+
 @query(f"WITH {GRID} SELECT model, condition, count(*) AS n, {_MEAN('parsed')} AS parse_ok_rate, {_PART('correct AND parsed', 'parsed')} AS accuracy_parsed FROM s GROUP BY ALL")
 def call_summary(spark, d):
     return phases.call_summary(scored(spark, d, (31, 37)), "model", "condition")
