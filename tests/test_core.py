@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varipair.functions import parsing as P
 from varipair.functions import scoring as S
 from varipair.functions import text as T
-from varipair.operators import counterfactual, items, overlap, splits, stats
+from varipair.operators import counterfactual, graph, items, overlap, splits, stats
 from varipair.sources import io
 
 
@@ -201,7 +201,7 @@ def test_vignettes_are_sound(spark):
 
 def test_components_and_splits(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (9, 9)], "a long, b long")
-    assert {r["node"]: r["root"] for r in splits.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 9: 9}
+    assert {r["node"]: r["root"] for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 9: 9}
     shares = splits.largest_remainder(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "stratum string, n long"), 10)
     assert sorted(r["k"] for r in shares.collect()) == [3, 3, 4]
 

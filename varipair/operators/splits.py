@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def largest_remainder(counts: DataFrame, total: int) -> DataFrame:
     """Shares of `total` by (stratum, n): floors, and one more for the largest fractions, ties by name. Windows run
@@ -17,18 +19,17 @@ def largest_remainder(counts: DataFrame, total: int) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, shares: DataFrame, order) -> DataFrame:
-    """The first k rows of each stratum in a fixed pseudo-random order (`order`, then id)."""
-    w = Window.partitionBy("stratum").orderBy(order, "id")
-    ranked = rows.withColumn("rn", F.row_number().over(w))
-    return ranked.join(shares.select("stratum", "k"), "stratum").where("rn <= k").select("stratum", "id", "rn")
+    """The first k rows of each stratum in a fixed pseudo-random order (`order`, then id). No stratum is in one task."""
+    ranked = running(rows.select("stratum", "id"), ["stratum"], [order, "id"])
+    return ranked.join(shares.select("stratum", "k"), "stratum").where("rn <= k").select("stratum", "id", F.col("rn").cast("int").alias("rn"))
 
 
 def round_robin(rows: DataFrame) -> DataFrame:
     """(stratum, id) with `stage_order`: the i-th of each stratum, strata by name. What comes before a row's turn follows
-    from the sizes of the strata, one long each, so no window runs over all turns. A stratum is sorted by one task."""
-    per = rows.withColumn("rn", F.row_number().over(Window.partitionBy("stratum").orderBy("id")))
+    from the sizes of the strata, one long each. No stratum is in one task."""
+    per = running(rows.select("stratum", "id"), ["stratum"], ["id"]).drop("before")
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("n")).agg(F.collect_list("n")).scalar()
-    before = F.aggregate("_sizes", F.lit(0).cast("long"), lambda total, n: total + F.least(n, F.col("rn").cast("long") - 1))
+    before = F.aggregate("_sizes", F.lit(0).cast("long"), lambda total, n: total + F.least(n, F.col("rn") - 1))
     place = F.row_number().over(Window.partitionBy("rn").orderBy("stratum"))
     return per.withColumn("_place", place).withColumn("_sizes", sizes).select("stratum", "id", (before + F.col("_place")).alias("stage_order"))
 
@@ -42,14 +43,22 @@ def text_clusters(rows: DataFrame, key) -> DataFrame:
 
 def greedy_split(clusters: DataFrame, totals: DataFrame, order, train: float = 0.7, val: float = 0.1) -> DataFrame:
     """Whole clusters in a fixed order: train while fewer than round(total * train) rows are assigned before, then
-    val likewise, the rest final_test. totals: (stratum, total) of all rows."""
-    w = Window.partitionBy("stratum").orderBy(order, "cluster").rowsBetween(Window.unboundedPreceding, -1)
-    c = clusters.join(totals, "stratum").withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    val likewise, the rest final_test. Clusters with `has_pilot` (if there is such a column) are diagnostic and out of
+    the order. totals: (stratum, total) of all rows, pilots too. No stratum is in one task."""
+    pilot = F.coalesce("has_pilot", F.lit(False)) if "has_pilot" in clusters.columns else F.lit(False)
+    c = clusters.withColumn("_pilot", pilot).withColumn("_size", F.when(F.col("_pilot"), 0).otherwise(F.col("size")))
     goal = lambda share: F.bround(F.col("total") * share)
-    c = c.withColumn("is_train", F.col("before") < goal(train))
-    c = c.withColumn("in_train", F.sum(F.when(F.col("is_train"), F.col("size")).otherwise(0)).over(Window.partitionBy("stratum")))
-    split = F.when(F.col("is_train"), "train").when(F.col("before") - F.col("in_train") < goal(val), "val").otherwise("final_test")
-    return c.select("stratum", "cluster", "size", split.alias("split"))
+    c = running(c, ["stratum"], [order, "cluster"], "_size").drop("rn").join(totals, "stratum")
+    c = c.withColumn("is_train", ~F.col("_pilot") & (F.col("before") < goal(train)))
+    in_train = c.groupBy("stratum").agg(F.sum(F.when(F.col("is_train"), F.col("size")).otherwise(0)).alias("in_train"))
+    split = F.when(F.col("_pilot"), "diagnostic").when(F.col("is_train"), "train").when(F.col("before") - F.col("in_train") < goal(val), "val").otherwise("final_test")
+    return c.join(in_train, "stratum").select("stratum", "cluster", "size", split.alias("split"))
+
+
+def split_summary(assigned: DataFrame) -> DataFrame:
+    """Per split: clusters, rows and the share of all rows in percent, in the order of the splits."""
+    g = assigned.groupBy("split").agg(F.count("*").alias("n_clusters"), F.sum("size").alias("n_rows"))
+    return g.withColumn("pct", F.round(100 * F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy(F.lit(0))), 2))
 
 
 def leakage(assigned: DataFrame, key: str) -> DataFrame:
@@ -57,18 +66,3 @@ def leakage(assigned: DataFrame, key: str) -> DataFrame:
     k = assigned.select(key, "split").distinct()
     o = k.select(key, F.col("split").alias("other"))
     return k.join(o, key).where("split < other").groupBy("split", "other").agg(F.count("*").alias("n_shared"))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of an undirected graph (a, b): least labels pass along edges and jump to their labels' labels,
-    each round a checkpoint. Neighbours are never collected."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("low"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "low").alias("root"), F.col("root").alias("was"))
-        jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        after = step.join(jump, step["root"] == jump["_n"]).select("node", F.least("root", "_r").alias("root"), "was").checkpoint()
-        labels = after.select("node", "root")
-        if not after.where("root <> was").limit(1).count():
-            return labels

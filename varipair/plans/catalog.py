@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import counterfactual, items, metrics, overlap, splits, stats
+from ..operators import counterfactual, graph, items, metrics, overlap, splits, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -507,7 +507,36 @@ r(node, root) USING KEY (node) AS (SELECT a, a FROM bo GROUP BY a UNION SELECT x
 SELECT count(DISTINCT root) AS n_components, count(*) AS n_nodes FROM r""")
 def connected_components(spark, d):
     e = t(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.lit(-1) - F.col("o_orderkey") % 700).alias("b"))
-    return splits.connected_components(e).agg(F.count_distinct("root").alias("n_components"), F.count("*").alias("n_nodes"))
+    return graph.components(e).agg(F.count_distinct("root").alias("n_components"), F.count("*").alias("n_nodes"))
+
+
+_CLUSTERS = f"""kk AS (SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(lang, '') AS source, coalesce(lang, '') || ' ' || {_N1("text")} AS k, doc_id % 97 = 0 AS pilot FROM documents WHERE doc_id IS NOT NULL),
+cc AS (SELECT source, k, min(id) AS cluster, count(*) AS size, bool_or(pilot) AS has_pilot FROM kk GROUP BY source, k)"""
+
+
+def _clusters(spark, d):
+    lang, text = F.coalesce("lang", F.lit("")), T.norm_words(F.col("text"))
+    rows = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), lang.alias("source"), F.concat(lang, F.lit(" "), text).alias("key"), (F.col("doc_id") % 97 == 0).alias("pilot"))
+    return graph.question_clusters(rows)
+
+
+@query(f"""WITH {_CLUSTERS}, n AS (SELECT *, 'cluster_' || lpad(CAST(row_number() OVER (ORDER BY cluster) - 1 AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY cluster) - 1 AS VARCHAR))) AS INTEGER), '0') AS cluster_id FROM cc)
+SELECT id, n.source, pilot, cluster_id, size, has_pilot FROM kk JOIN n ON n.source = kk.source AND n.k = kk.k""")
+def question_clusters(spark, d):
+    return _clusters(spark, d)
+
+
+@query(f"""WITH {_CLUSTERS}, tot AS (SELECT source, count(*) AS total FROM kk GROUP BY 1),
+o AS (SELECT cc.source, cluster, size, total, has_pilot, coalesce(sum(CASE WHEN has_pilot THEN 0 ELSE size END) OVER (PARTITION BY cc.source ORDER BY md5(cluster), cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cc JOIN tot ON tot.source = cc.source),
+tr AS (SELECT *, NOT has_pilot AND before < round_even(total * 0.7, 0) AS is_train FROM o), x AS (SELECT *, sum(CASE WHEN is_train THEN size ELSE 0 END) OVER (PARTITION BY source) AS in_train FROM tr),
+sp AS (SELECT size, CASE WHEN has_pilot THEN 'diagnostic' WHEN is_train THEN 'train' WHEN before - in_train < round_even(total * 0.1, 0) THEN 'val' ELSE 'final_test' END AS split FROM x)
+SELECT split, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_rows, round(100 * sum(size) / CAST(sum(sum(size)) OVER () AS DOUBLE), 2) AS pct FROM sp GROUP BY split""")
+def four_way_split(spark, d):
+    """Clusters with a pilot id to diagnostic, the rest to train, val and final_test by source; the sizes and shares."""
+    ids = _clusters(spark, d)
+    clusters = ids.groupBy(F.col("source").alias("stratum"), "cluster_id").agg(F.min("id").alias("cluster"), F.count("*").alias("size"), F.first("has_pilot").alias("has_pilot")).drop("cluster_id")
+    totals = clusters.groupBy("stratum").agg(F.sum("size").alias("total"))
+    return splits.split_summary(splits.greedy_split(clusters, totals, F.md5("cluster")))
 
 
 @query("SELECT source, count(*) FILTER (quality=0) AS q0, count(*) FILTER (quality=1) AS q1 FROM labels JOIN documents USING (doc_id) GROUP BY source")
