@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import running
 
 
 def exact_overlap(a: DataFrame, b: DataFrame, key) -> DataFrame:
@@ -67,3 +68,67 @@ def group_diversity(pairs_of: DataFrame, limit: float = 0.8) -> DataFrame:
     o = d.select("grp", F.col("id").alias("id2"), F.col("w").alias("w2"))
     j = d.join(o, "grp").where("id < id2").select("grp", T.jaccard(F.col("w"), F.col("w2")).alias("j"))
     return j.groupBy("grp").agg(F.count("*").alias("n_pairs"), F.avg("j").alias("mean_j"), F.max("j").alias("max_j"), F.min("j").alias("min_j")).withColumn("flagged", F.col("mean_j") > limit)
+
+
+#: Texts of a block; a cell compares two blocks.
+BLOCK = 512
+
+
+def cross_similarity(texts: DataFrame, limit: float = 0.9, block: int | None = None) -> DataFrame:
+    """One row for (id, text): n_pairs, mean_j and max_j of the Jaccard similarities of all pairs of word sets, the first pair
+    (in the order of ids) that has the greatest, and whether it keeps to the limit. The mean needs every pair, so the
+    work is the square of the texts; but pairs are summed where they are made: texts are dealt to the upper triangle of blocks,
+    a cell multiplies its two blocks' incidence matrices and returns one row. Null texts are empty sets; two of those are equal."""
+    size = BLOCK if block is None else block
+    d = running(texts.select("id", T.words(F.col("text")).alias("w")), [], ["id"]).select("id", "rn", "w", F.expr(f"(rn - 1) div {size}").alias("k"))
+    n_blocks = -(-d.count() // size)
+    others = F.sequence(F.lit(0).cast("long"), F.lit(max(n_blocks - 1, 0)).cast("long"))
+    cells = d.select("*", F.explode(others).alias("o")).withColumn("cell", F.struct(F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")))
+
+    def compare(table):
+        import numpy as np
+        import pyarrow as pa
+
+        cell = table["cell"][0].as_py()
+        rows = sorted(zip(table["k"].to_pylist(), table["rn"].to_pylist(), table["id"].to_pylist(), table["w"].to_pylist(), strict=True), key=lambda r: r[1])
+        a, b = ([r for r in rows if r[0] == cell[x]] for x in "ij")
+        code: dict = {}
+        for r in rows:
+            for w in r[3]:
+                code.setdefault(w, len(code))
+
+        def matrix(side):
+            m = np.zeros((len(side), max(len(code), 1)), np.float32)
+            for n, r in enumerate(side):
+                m[n, [code[w] for w in r[3]]] = 1
+            return m
+
+        x, y = matrix(a), matrix(b)
+        both, sizes = x @ y.T, x.sum(1)[:, None] + y.sum(1)[None, :]
+        union = sizes - both
+        j = np.where(union == 0, 1.0, both.astype(float) / np.maximum(union, 1))
+        right = np.array([r[1] for r in a])[:, None] < np.array([r[1] for r in b])[None, :]
+        if not right.any():
+            return pa.table({"n": pa.array([0], pa.int64()), "s": [0.0], "m": [-1.0], "p": pa.array([0], pa.int64()), "q": pa.array([0], pa.int64()), "a": pa.array([None], pa.string()), "b": pa.array([None], pa.string())})
+        at = np.unravel_index(np.argmax(np.where(right, j, -1.0)), j.shape)
+        return pa.table({"n": pa.array([int(right.sum())], pa.int64()), "s": [float(j[right].sum())], "m": [float(j[at])], "p": pa.array([a[at[0]][1]], pa.int64()), "q": pa.array([b[at[1]][1]], pa.int64()), "a": [str(a[at[0]][2])], "b": [str(b[at[1]][2])]})
+
+    found = cells.groupBy("cell").applyInArrow(compare, "n long, s double, m double, p long, q long, a string, b string")
+    best = F.max(F.when(F.col("n") > 0, F.struct("m", (-F.col("p")).alias("p"), (-F.col("q")).alias("q"), "a", "b")))
+    one = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.sum("s").alias("s"), best.alias("best"))
+    return one.select("n_pairs", F.coalesce(F.try_divide("s", "n_pairs"), F.lit(0.0)).alias("mean_j"), F.coalesce("best.m", F.lit(0.0)).alias("max_j"), F.col("best.a").alias("first_id"), F.col("best.b").alias("second_id"), (F.coalesce("best.m", F.lit(0.0)) <= limit).alias("passes"))
+
+
+def manifest(rows: DataFrame, split: str, columns: list[str], slots: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per split and column, and over all splits (split null): n, n_null, n_blank, n_unique and n_repeated, the values that
+    stand in several rows. `slots` are struct or map columns whose named parts count as columns of their own (options.A). All
+    come from one scan: cells are rows of (split, column, digest), counted once, then in grouping sets."""
+    text = lambda c: F.col(c).cast("string")
+    cells = [F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns]
+    cells += [F.struct(F.lit(f"{c}.{part}").alias("column"), F.col(c)[part].cast("string").alias("value")) for c, parts in (slots or {}).items() for part in parts]
+    each = rows.select(F.coalesce(text(split), F.lit("")).alias("split"), F.explode(F.array(*cells)).alias("x")).select("split", "x.column", F.md5("x.value").alias("value"), F.col("x.value").isNull().alias("none"), (F.trim("x.value") == "").alias("blank"))
+    once = each.groupBy("split", "column", "value", "none", "blank").agg(F.count("*").alias("n"))
+    # Values of the two kinds of groups are counted apart, so that no distinct count runs over all cells again.
+    sets = once.select(F.explode(F.array(F.struct(F.col("split").alias("s")), F.struct(F.lit(None).cast("string").alias("s")))).alias("g"), "column", "value", "none", "blank", "n")
+    values = sets.groupBy(F.col("g.s").alias("split"), "column", "value", "none", "blank").agg(F.sum("n").alias("n"))
+    return values.groupBy("split", "column").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("none"), F.col("n"))), F.lit(0)).alias("n_null"), F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).alias("n_blank"), F.count("value").alias("n_unique"), F.count_if(F.col("value").isNotNull() & (F.col("n") > 1)).alias("n_repeated"))
