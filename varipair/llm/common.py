@@ -56,13 +56,28 @@ def written(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | N
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of buckets; a bucket number is a group of its own, several to a folder beyond that.
+MOST_BUCKETS = 20_000
+
+
 def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """df as a table in the shared folder in n buckets of key, read again. Later groupings and cogroups on key read
-    it where it lies, so its rows move in no shuffle. A task writes one file for each bucket that its rows are in."""
+    """df as a table in the shared folder in buckets of key, n or MOST_BUCKETS, read again. Later groupings and cogroups on
+    key read it where it lies, so its rows move in no shuffle; how many keys share a bucket changes no group. A task writes one
+    file for each bucket that its rows are in. The catalog entry goes at once; the files are the caller's to clear."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     table = os.path.basename(path).replace("-", "_")
-    df.write.option("compression", "uncompressed").option("path", path).bucketBy(n, key).saveAsTable(table)
-    return spark.table(table)
+    df.write.option("compression", "uncompressed").option("path", path).bucketBy(min(n, MOST_BUCKETS), key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def stretches(ascending: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each stretch of equal values."""
+    if not len(ascending):
+        return []
+    at = np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1], True])
+    return list(zip(ascending[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -78,14 +78,11 @@ def _postings(batches, n_buckets: int):
             owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
-            cuts = np.searchsorted(C.bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
             node_names, node_sizes = np.array(nodes, np.uint64), np.array(sizes, np.uint32)
-            for b in range(n_buckets):
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo < hi:
-                    here, local = np.unique(owner[lo:hi], return_inverse=True)
-                    local = local.astype(np.uint16 if len(here) < 1 << 16 else np.uint32)
-                    rows.append(("posts", b, C.pack(np.frombuffer(C.pack_sorted(keys[lo:hi]), np.uint8), local, node_names[here], node_sizes[here])))
+            for b, lo, hi in C.stretches(C.bucket_of(keys, n_buckets)):
+                here, local = np.unique(owner[lo:hi], return_inverse=True)
+                local = local.astype(np.uint16 if len(here) < 1 << 16 else np.uint32)
+                rows.append(("posts", b, C.pack(np.frombuffer(C.pack_sorted(keys[lo:hi]), np.uint8), local, node_names[here], node_sizes[here])))
         yield C.batch_of(_POSTS, list(map(list, zip(*rows, strict=True))))
 
 
@@ -115,11 +112,8 @@ def _share(group: pa.Table, n_buckets: int) -> pa.Table:
         node, size, df, token = node[keep], size[keep], df[keep], (np.uint64(bucket) << np.uint64(32)) | rank[keep]
         order = np.argsort(node, kind="stable")
         node, size, df, token = node[order], size[order], df[order], token[order]
-        cuts = np.searchsorted(C.bucket_of(node, n_buckets), np.arange(n_buckets + 1))
-        for b in range(n_buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if lo < hi:
-                rows.append(("shared", b, C.pack(C.gaps(node[lo:hi]), size[lo:hi], df[lo:hi], token[lo:hi])))
+        for b, lo, hi in C.stretches(C.bucket_of(node, n_buckets)):
+            rows.append(("shared", b, C.pack(C.gaps(node[lo:hi]), size[lo:hi], df[lo:hi], token[lo:hi])))
     return pa.table(C.batch_of(_SHARED, list(map(list, zip(*rows, strict=True)))).columns, schema=_SHARED) if rows else _SHARED.empty_table()
 
 

@@ -153,27 +153,26 @@ class Level:
         self.own_low = self.low.any(axis=1)
 
     def dealt(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The histories that are sent, by bucket, and where each bucket's begin."""
+        """The histories that are sent, by bucket, and their buckets."""
         bucket = (C.mix(self.key[self.sent].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        return self.sent[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        return self.sent[order], bucket[order]
 
     def children(self, which: np.ndarray) -> np.ndarray:
         n = self.start[which + 1] - self.start[which]
         return np.repeat(self.start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
     def questions(self, block: int, level: int, n_buckets: int) -> list[tuple]:
-        histories, cuts = self.dealt(n_buckets)
+        histories, bucket = self.dealt(n_buckets)
         rows = []
-        for b, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if lo < hi:
-                h = histories[lo:hi]
-                c, key = self.children(h), self.key[h]
-                data = C.pack(
-                    planes(C.gaps(key >> np.uint64(32))), planes(key & _LOW32), planes(self.start[h + 1] - self.start[h]), planes(self.low_size[h]), self.asks[h].astype(np.uint8),
-                    planes(self.word[c]), planes(self.own[c]), planes(self.low_count[c]), planes(self.held[c]),
-                )
-                rows.append(("ask", b, block, level, data, None))
+        for b, lo, hi in C.stretches(bucket):
+            h = histories[lo:hi]
+            c, key = self.children(h), self.key[h]
+            data = C.pack(
+                planes(C.gaps(key >> np.uint64(32))), planes(key & _LOW32), planes(self.start[h + 1] - self.start[h]), planes(self.low_size[h]), self.asks[h].astype(np.uint8),
+                planes(self.word[c]), planes(self.own[c]), planes(self.low_count[c]), planes(self.held[c]),
+            )
+            rows.append(("ask", b, block, level, data, None))
         done = np.ones(len(self.key), bool)
         done[self.sent] = False
         return [*rows, ("stats", block % n_buckets, None, level, None, counts_of_counts(self.own[done[self.by]]))]
@@ -276,8 +275,8 @@ def _ask_words(batches, n_buckets: int):
     for batch in batches:
         for name, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
             block = Block(data, [], [], n_buckets, 1)
-            (own, held), cuts = block.counts(block.tokens, block.train, len(block.words)), np.searchsorted(C.bucket_of(block.words, n_buckets), np.arange(n_buckets + 1))
-            yield _rows([("ask", b, name, 1, C.pack(np.frombuffer(C.pack_sorted(block.words[lo:hi]), np.uint8), planes(own[lo:hi]), planes(held[lo:hi])), None) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi])
+            own, held = block.counts(block.tokens, block.train, len(block.words))
+            yield _rows([("ask", b, name, 1, C.pack(np.frombuffer(C.pack_sorted(block.words[lo:hi]), np.uint8), planes(own[lo:hi]), planes(held[lo:hi])), None) for b, lo, hi in C.stretches(C.bucket_of(block.words, n_buckets))])
 
 
 def _answer_words(group: pa.Table, n_buckets: int) -> pa.Table:
