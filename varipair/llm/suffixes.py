@@ -12,11 +12,14 @@ are in one bucket, the buckets' arrays together decide as one array would.
 
 Texts lie in blocks, a bucketed table of the shared folder, and are read there by every step, so only names, verdicts,
 spans and the bytes to be sorted move. A run's bytes travel from one block each, however many copies there are, so
-a passage that a third of all texts share is one run in its bucket.
+a passage that a third of all texts share is one run in its bucket. Where its surroundings differ, the runs around it
+share a name and are all distinct. Such a hot name (more than HOT_IN_BLOCK distinct runs in a block, which then sends one
+entry for it, or HOT_IN_BUCKET in all) is not sorted: each block sends the hash of each of its windows once, to buckets
+of the hash, so neither its runs nor an equal window of theirs meets in one task.
 
 Cases: null text is empty; texts below WIDTH bytes have no window; repeated rows cover each other; matches never
 cross documents; an empty table gives no rows; extra columns are kept by `dedupe`, whatever their names. Names and bytes
-of runs are compared by 64-bit hashes each. Memory: a block of 8 MB or the longest text, some 100 bytes for each byte of a
+of runs, and windows of hot names, are compared by 64-bit hashes each. Memory: a block of 8 MB or the longest text, some 100 bytes for each byte of a
 piece of 128 KB, and some 100 for each byte of a bucket's runs.
 """
 
@@ -40,7 +43,10 @@ _VALUES = C.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD9
 _BLOCK = pa.schema([("block", pa.int64()), ("data", pa.binary())])
 _ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
 _ROW_DDL = "kind string, bucket int, block long, data binary"
-UNIQUE, REPEATED, SORT, REPEATED_SORT = 0, 1, 2, 3
+UNIQUE, REPEATED, SORT, REPEATED_SORT, HASH = 0, 1, 2, 3, 4
+#: A name with more distinct runs than this in a block, or in its bucket, is decided by hashes of its windows.
+HOT_IN_BLOCK, HOT_IN_BUCKET = 64, 2_000
+_HOT = 3
 
 
 # ---- the difference-cover suffix sort ----------------------------------------------------------------------------
@@ -228,29 +234,40 @@ def _distinct(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), number
 
 
-def _ask(batches, n_buckets: int, text: str):
+class Entries:
+    """What a block says of its distinct runs: one entry for each, or one for all of a name that is hot in the block; the
+    order of the runs, each run's distinct number, the first run of each, and the entry of each distinct run."""
+
+    def __init__(self, runs: Runs, hot: int):
+        self.order, self.first, self.number = _distinct(runs)
+        names, contents = runs.name[self.order][self.first], runs.bytes[self.order][self.first]
+        times = np.minimum(np.diff(np.r_[self.first, len(self.order)]), 2).astype(np.uint8)
+        start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.empty(0, np.int64)
+        many = np.diff(np.r_[start, len(names)]) > hot
+        times[start[many]] = _HOT
+        own = np.ones(len(names), bool)
+        own[np.repeat(many, np.diff(np.r_[start, len(names)]))] = False
+        own[start] = True
+        self.entry = np.cumsum(own) - 1
+        self.names, self.contents, self.times = names[own], contents[own], times[own]
+
+
+def _ask(batches, n_buckets: int, text: str, hot: int):
     for batch in batches:
         for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            runs, rows = Runs(_open(data, text)[1]), []
-            order, first, _ = _distinct(runs)
-            if not len(order):
-                continue
-            names, contents = runs.name[order][first], runs.bytes[order][first]
-            times = np.minimum(np.diff(np.r_[first, len(order)]), 2).astype(np.uint8)
-            cuts = np.searchsorted(C.bucket_of(names, n_buckets), np.arange(n_buckets + 1))
-            for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if lo < hi:
-                    rows.append(("ask", b, block, C.pack(np.frombuffer(C.pack_sorted(names[lo:hi]), np.uint8), contents[lo:hi], times[lo:hi])))
-            yield C.batch_of(_ROW, list(map(list, zip(*rows, strict=True))))
+            e = Entries(Runs(_open(data, text)[1]), hot)
+            rows = [("ask", b, block, C.pack(np.frombuffer(C.pack_sorted(e.names[lo:hi]), np.uint8), e.contents[lo:hi], e.times[lo:hi])) for b, lo, hi in C.stretches(C.bucket_of(e.names, n_buckets))]
+            if rows:
+                yield C.batch_of(_ROW, list(map(list, zip(*rows, strict=True))))
 
 
 def _table(rows: list[tuple]) -> pa.Table:
     return pa.table(C.batch_of(_ROW, list(map(list, zip(*rows, strict=True)))).columns, schema=_ROW) if rows else _ROW.empty_table()
 
 
-def _judge(group: pa.Table) -> pa.Table:
-    """For each distinct run of each block: unique, repeated, to be sorted, or repeated and to be sorted by this
-    block for all."""
+def _judge(group: pa.Table, most: int) -> pa.Table:
+    """For each entry of each block: unique, repeated, to be sorted, repeated and to be sorted by this block for all,
+    or, for all entries of a hot name, to be decided by window hashes."""
     blocks, parts = group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
     names = [C.unpack_sorted(p[0].tobytes()) for p in parts]
     name, content = np.concatenate(names), np.concatenate([p[1] for p in parts])
@@ -266,7 +283,9 @@ def _judge(group: pa.Table) -> pa.Table:
     variants = np.diff(np.r_[first_of_name, len(starts)])
     single = np.add.reduceat((count == 1).astype(np.int64), first_of_name) > 0
     mixed = np.repeat((variants > 1) & single, variants)
+    hot = np.repeat(((variants > most) & single) | (np.maximum.reduceat(np.maximum.reduceat(times[order], starts), first_of_name) == _HOT), variants)
     verdict = np.where(count > 1, np.where(mixed, REPEATED_SORT, REPEATED), np.where(mixed, SORT, UNIQUE)).astype(np.uint8)
+    verdict[hot] = HASH
     spread = np.repeat(verdict, np.diff(np.r_[starts, len(order)]))
     later = np.ones(len(order), bool)
     later[starts] = False
@@ -280,38 +299,88 @@ def _judge(group: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def _ship(blocks: pa.Table, verdicts: pa.Table, n_buckets: int, text: str) -> pa.Table:
-    """The repeated runs of a block as spans, and the bytes of those to be sorted, to their buckets."""
+def _window_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every window of the runs."""
+    size = last + WIDTH - first
+    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE_BYTES, side="right")))
+        k = size[lo:hi]
+        at = np.repeat(first[lo:hi] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        sums = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(_VALUES[data[at]] * _UP[: len(at)], out=sums[1:])
+        inside = np.flatnonzero(at <= np.repeat(last[lo:hi], k))
+        hashes.append(C.mix((sums[inside + WIDTH] - sums[inside]) * _DOWN[inside]))
+        places.append(at[inside])
+        lo = hi
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _ship(blocks: pa.Table, verdicts: pa.Table, n_buckets: int, text: str, hot: int) -> pa.Table:
+    """The repeated runs of a block as spans; the bytes of those to be sorted, to their buckets; and of hot names the window
+    hashes, to buckets of the hash. A window that stands twice in the block is a span already; its hash goes as a witness."""
     if not blocks.num_rows:
         return _ROW.empty_table()
     block = blocks.column("block")[0].as_py()
     texts = _open(blocks.column("data")[0].as_py(), text)[1]
     runs, data = Runs(texts), np.frombuffer(b"".join(texts), np.uint8)
-    order, first, number = _distinct(runs)
+    e = Entries(runs, hot)
     got = sorted(zip(verdicts.column("bucket").to_pylist(), verdicts.column("data").to_pylist(), strict=True))
     verdict = np.concatenate([C.unpack(d)[0] for _, d in got]) if got else np.empty(0, np.uint8)
-    if len(verdict) != len(first):
+    if len(verdict) != len(e.names):
         raise ValueError("a block did not get all of its verdicts")
-    whole = (verdict == REPEATED) | (verdict == REPEATED_SORT)
-    hit = whole[number] if len(number) else np.empty(0, bool)
-    rows = [("spans", block % n_buckets, block, C.pack(runs.first[hit], runs.last[hit] + WIDTH))]
-    chosen = order[first[verdict >= SORT]]
-    where = C.bucket_of(runs.name[chosen], n_buckets).astype(np.int64)
-    cuts = np.searchsorted(where, np.arange(n_buckets + 1))
+    verdict = verdict[e.entry] if len(verdict) else verdict
+    of_run = verdict[e.number] if len(e.number) else np.empty(0, np.uint8)
+    hit = (of_run == REPEATED) | (of_run == REPEATED_SORT)
+    spans = [(runs.first[hit], runs.last[hit] + WIDTH)]
+    rows = []
+    windows = np.flatnonzero(of_run == HASH)
+    if len(windows):
+        hashes, places = _window_hashes(data, runs.first[windows], runs.last[windows])
+        order = np.argsort(hashes, kind="stable")
+        hashes, places = hashes[order], places[order]
+        new = np.r_[True, hashes[1:] != hashes[:-1]]
+        start = np.flatnonzero(new)
+        times = np.diff(np.r_[start, len(hashes)])
+        twice = places[np.repeat(times > 1, times)]
+        spans.append((twice, twice + WIDTH))
+        hashes, places = hashes[start], np.where(times > 1, -1, places[start])
+        for b, lo, hi in C.stretches(C.bucket_of(hashes, n_buckets)):
+            rows.append(("windows", b, block, C.pack(np.frombuffer(C.pack_sorted(hashes[lo:hi]), np.uint8), places[lo:hi].astype(np.int32 if len(data) < 1 << 31 else np.int64))))
+    rows.append(("spans", block % n_buckets, block, C.pack(*map(np.concatenate, zip(*spans, strict=True)))))
+    chosen = e.order[e.first[(verdict == SORT) | (verdict == REPEATED_SORT)]]
     size = runs.last[chosen] + WIDTH - runs.first[chosen]
-    for b in np.unique(where).tolist():
-        r, k = chosen[cuts[b] : cuts[b + 1]], size[cuts[b] : cuts[b + 1]]
+    for b, lo, hi in C.stretches(C.bucket_of(runs.name[chosen], n_buckets)):
+        r, k = chosen[lo:hi], size[lo:hi]
         at = np.repeat(runs.first[r] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
         rows.append(("sort", b, block, C.pack(runs.first[r], k, data[at])))
     return _table(rows)
 
 
+def _same_windows(group: pa.Table) -> list[tuple]:
+    """Spans of the windows whose hash other blocks have too."""
+    blocks, parts = group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
+    hashes, places = np.concatenate([C.unpack_sorted(p[0].tobytes()) for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts])
+    owner = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+    order = np.argsort(hashes, kind="stable")
+    alike = hashes[order][1:] == hashes[order][:-1]
+    hit = np.zeros(len(order), bool)
+    hit[1:] |= alike
+    hit[:-1] |= alike
+    chosen = np.sort(order[hit & (places[order] >= 0)])
+    return [("spans", 0, blocks[i], C.pack(places[chosen[lo:hi]], places[chosen[lo:hi]] + WIDTH)) for i, lo, hi in C.stretches(owner[chosen])]
+
+
 def _sort(group: pa.Table) -> pa.Table:
     """Suffix array of a bucket's runs; the windows whose neighbours in it begin with the same WIDTH bytes. Spans that
     are known already pass."""
     kinds = np.array(group.column("kind").to_pylist())
-    known = group.filter(pa.array(kinds == "spans"))
+    known, hashed = group.filter(pa.array(kinds == "spans")), group.filter(pa.array(kinds == "windows"))
     group = group.filter(pa.array(kinds == "sort"))
+    if hashed.num_rows:
+        known = pa.concat_tables([known, _table(_same_windows(hashed))])
     if not group.num_rows:
         return known
     blocks, parts = group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
@@ -386,8 +455,8 @@ def _run(docs: DataFrame, mode: str, names: list[str], text: str = "text") -> Da
     total = C.text_bytes(docs)
     n = C.parts_of(spark, total, BUCKET_BYTES)
     blocks = C.bucketed(C.arrow_map(docs, _pack, "block long, data binary", text), "suffix-blocks", "block", C.parts_of(spark, total, 2 * BLOCK_BYTES))
-    verdicts = C.arrow_groups(C.arrow_map(blocks, _ask, _ROW_DDL, n, text), "bucket", _judge, _ROW_DDL)
-    shipped = C.arrow_pairs(blocks, verdicts, "block", _ship, _ROW_DDL, n, text)
+    verdicts = C.arrow_groups(C.arrow_map(blocks, _ask, _ROW_DDL, n, text, HOT_IN_BLOCK), "bucket", _judge, _ROW_DDL, HOT_IN_BUCKET)
+    shipped = C.arrow_pairs(blocks, verdicts, "block", _ship, _ROW_DDL, n, text, HOT_IN_BLOCK)
     spans = C.arrow_groups(shipped, "bucket", _sort, _ROW_DDL)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{names[0]} long, {names[1]} long, {names[2]} long, {names[3]} string"]
     return C.arrow_pairs(blocks, spans, "block", _finish, ", ".join(fields), mode, names, text)
