@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varipair.llm import common, katz, suffixes
+from varipair.llm import common, decontaminate, katz, suffixes
 
 
 def test_buckets_for_a_hundred_terabytes(spark):
@@ -109,3 +109,16 @@ def test_long_texts_and_several_blocks_of_one_task(spark):
     # A task packs rows into blocks by their bytes; a long text is a block of its own.
     batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
     assert [b.num_rows for b in common.steps(iter([batch]), most=50_000)] == [1, 1, 10]
+
+
+def test_size_classes_cut_what_no_sketch_can_meet(spark):
+    rnd = random.Random(4)
+    prose = lambda k: " ".join("w%d" % rnd.randrange(5000) for _ in range(k))
+    items = spark.createDataFrame([(i, prose(k)) for i, k in enumerate([40, 60, 90, 120, 200, 210] * 5)], "item_id long, text string")
+    sketch = decontaminate.sketches(decontaminate._items(items))
+    classes = decontaminate.size_classes(sketch)
+    assert 2 <= len(classes) <= 4 and all(a[0] < b[0] for a, b in zip(classes, classes[1:], strict=False))
+    docs = spark.createDataFrame([(0, prose(3000)), (1, prose(20)), (2, None)], "doc_id long, text string")
+    kept = {r["doc_id"]: (r["n"], r["k"]) for r in docs.select("doc_id", decontaminate.hashes(F.col("text")).alias("hs")).select("doc_id", F.size("hs").alias("n"), F.size(decontaminate.sketched(F.col("hs"), classes)).alias("k")).collect()}
+    assert kept[0][1] < 0.75 * kept[0][0] and kept[1] == (16, 0) and kept[2] == (0, 0)
+    assert decontaminate.sketched(F.col("x"), []) is not None

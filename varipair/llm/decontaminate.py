@@ -2,9 +2,11 @@
 
 An item of q distinct five-word shingles leaks into a document that holds at least need = ceil(0.75 q) of them.
 A document that does misses at most q - need of the item's shingles, so it holds one of any q - need + 1 of them:
-of the bottom-k MinHash sketch with k = q - need + 1 smallest hashes. k follows from the item's size, so items
-are sketched by size, and documents with fewer shingles than `need` cannot match. A shared sketch value makes a
-candidate pair, with recall 1; exact containment on the shingles themselves then decides.
+of the bottom-k MinHash sketch with k = q - need + 1 smallest hashes. Items are partitioned by size (powers of two of q).
+A class has a bound, the greatest hash in its items' sketches: about the k-th of q parts of the hash range. A document is
+sketched for the classes whose items may be in it (its shingles reach their least need): the hashes up to a class's bound,
+cut in the row, so that only they become rows. A shared sketch value of an item that is not too large makes a candidate
+pair, with recall 1; exact containment on the shingles themselves then decides.
 
 Words are runs of other than space and 0x09-0x0D, A-Z lower-cased; with fewer than five words the whole sequence
 is the one shingle; without words there is none and nothing matches.
@@ -65,6 +67,20 @@ def sketches(items: DataFrame, threshold: float = 0.75) -> DataFrame:
     return sized.select("item", "item_text", "q", "need", F.explode(F.slice(F.array_sort("h"), F.lit(1), (F.col("q") - F.col("need") + 1).cast("int"))).alias("h"))
 
 
+def size_classes(sketch: DataFrame) -> list[tuple[int, int]]:
+    """(least need, bound) of each class of items by size; at most 64 rows come to the driver."""
+    rows = sketch.groupBy(F.floor(F.log2("q")).alias("size")).agg(F.min("need").alias("need"), F.max("h").alias("bound")).collect()
+    return sorted((r["need"], r["bound"]) for r in rows)
+
+
+def sketched(hs: Column, classes: list[tuple[int, int]]) -> Column:
+    """The hashes of a document that may meet a sketch of some class."""
+    n = F.size(hs)
+    # The greatest bound of the classes that the document can hold; null, and so nothing, if there are none.
+    bound = F.greatest(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), *[F.when(n >= need, F.lit(top).cast("bigint")) for need, top in classes])
+    return F.filter(hs, lambda h: h <= bound)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Pairs with containment >= threshold: doc_id, text_hash, item_id, n_item_shingles, n_shared, containment.
     Items of one item_id (null too) with several texts are searched one by one and have a row each."""
@@ -73,7 +89,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> Da
     small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = texts.select("doc_id", "text_hash", hashes(F.col("text")).alias("hs")).select("doc_id", "text_hash", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    classes = size_classes(sketch)
+    rows = texts.select("doc_id", "text_hash", hashes(F.col("text")).alias("hs")).select("doc_id", "text_hash", F.size("hs").alias("n"), F.explode(_bound(F.col("hs"), lambda hs: sketched(hs, classes))).alias("h"))
     found = rows.join(sized(sketch.select("item", "need", "h")), "h").where("n >= need")
     pairs = found.groupBy("doc_id", "text_hash", "item").agg(F.lit(1).alias("one")).drop("one")
     return verified(texts, items, pairs, threshold)
