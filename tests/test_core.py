@@ -194,11 +194,6 @@ def test_polarity_conflicts_reads_all_rows(spark, tmp_path):
     assert sorted(r["drug"] for r in catalog.QUERIES["polarity_conflicts"](spark, str(tmp_path)).collect()) == ["a", "c", "e"]
 
 
-def test_vignettes_are_sound(spark):
-    v = counterfactual.vignettes(spark)
-    assert v.count() == len(counterfactual.RULES) * 30 * 4 and counterfactual.violations(v).count() == 0
-
-
 def test_components_and_splits(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (9, 9)], "a long, b long")
     assert {r["node"]: r["root"] for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 9: 9}

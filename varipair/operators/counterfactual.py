@@ -1,42 +1,12 @@
-"""Counterfactual vignettes: generation, a rule verifier, and tie-band metrics of their scores."""
+"""Counterfactual vignettes: tie-band metrics of their scores, polarity conflicts, and text baselines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 
-ITEM_TYPES = ["base", "edited", "near_miss", "null_edit"]
-#: Rules as (name, split, field, the least value that fires, the near miss).
-RULES = [("renal_01", "train", "egfr", 30, 31), ("renal_02", "train", "egfr", 45, 46), ("renal_03", "near_ood", "crcl", 50, 52), ("age_01", "train", "age", 65, 64), ("age_02", "far_ood", "age", 75, 74)]
-
-
-def vignettes(spark: SparkSession, per_rule: int = 30) -> DataFrame:
-    """RULES x per_rule templates x 4 items, by modular arithmetic."""
-    rules = F.array(*[F.struct(F.lit(i).alias("ri"), F.lit(n).alias("rule_id"), F.lit(s).alias("split"), F.lit(f).alias("field"), F.lit(at).alias("at"), F.lit(miss).alias("miss")) for i, (n, s, f, at, miss) in enumerate(RULES)])
-    rows = spark.range(per_rule).select(F.col("id").alias("i"), F.explode(rules).alias("r")).select("i", "r.*")
-    rows = rows.withColumn("template_id", F.col("ri") * per_rule + F.col("i")).withColumn("age0", 25 + F.bround(F.col("i") * 55 / F.lit(per_rule - 1)).cast("long")).withColumn("sex", F.get(F.array(F.lit("female"), F.lit("male")), F.pmod("i", F.lit(2)).cast("int")))
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, ITEM_TYPES))).alias("item_type"))
-    lab = F.col("field") != "age"
-    value = (
-        F.when(F.col("item_type") == "edited", F.when(lab, F.col("at") - 1 - F.pmod("i", F.lit(5))).otherwise(F.col("at") + F.pmod("i", F.lit(5))))
-        .when(F.col("item_type") == "near_miss", F.col("miss").cast("long"))
-        .otherwise(F.when(lab, F.lit(80) + F.pmod("i", F.lit(10))).otherwise(F.least(F.col("age0"), F.col("at") - 5)))
-    )
-    return rows.select("template_id", "rule_id", "split", "field", "at", "item_type", "sex", value.cast("long").alias("value"))
-
-
-def fires(field: Column, value: Column, at: Column) -> Column:
-    """A rule on a lab fires below its bound, one on age from its bound; a null value never does."""
-    return F.coalesce(F.when(field == "age", value >= at).otherwise(value < at), F.lit(False))
-
-
-def violations(items: DataFrame) -> DataFrame:
-    """Items whose rule fires though it must not, or the other way round; empty for a sound set."""
-    return items.where(fires(F.col("field"), F.col("value"), F.col("at")) != (F.col("item_type") == "edited"))
-
-
 def tieband_accuracy(scores: DataFrame, epsilon: float) -> DataFrame:
     k = S.tie_band(F.col("margin"), epsilon)
     return scores.groupBy("item_type").agg(F.count("*").alias("n"), *[F.count_if(k == x).alias(f"n_{x}") for x in ("correct", "incorrect", "tie")], F.avg("margin").alias("mean_margin"))
@@ -80,3 +50,13 @@ def bag_of_words_accuracy(train: DataFrame, test: DataFrame) -> DataFrame:
     stages += [VectorAssembler(inputCols=["w_x", "w2_x"], outputCol="raw"), Normalizer(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=20, regParam=0.01)]
     out = Pipeline(stages=stages).fit(train).transform(test)
     return out.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+def response_only(items: DataFrame) -> DataFrame:
+    """What the responses alone give away: a template's base and edited item bring the chosen (1) and the rejected (0)
+    action each, so a text stands for both labels as often and the accuracy of a sound set is one half."""
+    paired = items.where(F.col("item_type").isin("base", "edited"))
+    whole = paired.groupBy("template_id").agg(F.count_distinct("item_type").alias("n")).where("n = 2").select("template_id")
+    sides = F.array(F.struct(F.col("chosen").alias("text"), F.lit(1.0).alias("label")), F.struct(F.col("rejected").alias("text"), F.lit(0.0).alias("label")))
+    texts = paired.join(whole, "template_id").select(F.explode(sides).alias("s")).select("s.*", F.lit("balanced").alias("grp"))
+    return bag_of_words_accuracy(texts, texts)

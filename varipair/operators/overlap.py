@@ -16,21 +16,24 @@ def exact_overlap(a: DataFrame, b: DataFrame, key) -> DataFrame:
     return j.agg(F.count("*").alias("shared_keys"), F.coalesce(F.sum("na"), F.lit(0)).alias("rows_a"), F.coalesce(F.sum("nb"), F.lit(0)).alias("rows_b"))
 
 
-def _run(n: int):
-    return lambda i: F.array_join(F.slice("w", i, n), " ")
-
-
 def contained_phrases(docs: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, item_id) where the item's normalised text stands in the document's. An equi-join on the item's first
-    `width` words finds places; only those are compared. Shorter items use all of their words."""
+    """(doc_id, item_id) where the item's normalised text stands in the document's. An equi-join on a hash of the item's
+    first `width` words finds places; only those are compared. Shorter items use all of their words."""
     it = items.select("item_id", T.norm_words(F.col("text")).alias("needle")).where("needle <> ''").withColumn("w", F.split("needle", " "))
-    it = it.withColumn("len", F.least(F.size("w"), F.lit(width))).withColumn("head", F.array_join(F.slice("w", F.lit(1), F.col("len")), " "))
+    it = it.withColumn("len", F.least(F.size("w"), F.lit(width))).withColumn("head", F.xxhash64(F.slice("w", F.lit(1), F.col("len"))))
     lens = [r[0] for r in it.select("len").distinct().collect()]  # at most `width` numbers
-    d = docs.select("doc_id", T.norm_words(F.col("text")).alias("hay")).withColumn("w", F.split("hay", " "))
-    grams = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), _run(n))).otherwise(F.array().cast("array<string>")) for n in lens] or [F.array().cast("array<string>")]
-    heads = d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("head"))
-    pairs = heads.join(it.select("item_id", "needle", "head"), "head").select("doc_id", "item_id", "needle").distinct()
-    return pairs.join(d.select("doc_id", "hay"), "doc_id").where(T.contains_words(F.col("hay"), F.col("needle"))).select("doc_id", "item_id")
+    d = docs.select("doc_id", T.norm_words(F.col("text")).alias("hay"))
+
+    def runs(w, n):
+        return F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i + n - 1 <= F.size(w)), lambda i: F.xxhash64(F.slice(w, i, n)))
+
+    def heads(w):
+        return F.array_distinct(F.concat(*[runs(w, n) for n in lens])) if lens else F.array().cast("array<bigint>")
+
+    # The words are a lambda's variable, so that they are cut once.
+    found = d.select("doc_id", F.explode(F.transform(F.array(F.split("hay", " ")), heads)[0]).alias("head"))
+    pairs = found.join(it.select("item_id", "needle", "head"), "head").select("doc_id", "item_id", "needle").distinct()
+    return pairs.join(d, "doc_id").where(T.contains_words(F.col("hay"), F.col("needle"))).select("doc_id", "item_id")
 
 
 def near_duplicates(a: DataFrame, threshold: float = 0.85, rare: int = 8, least_chars: int = 5) -> DataFrame:
@@ -46,6 +49,21 @@ def near_duplicates(a: DataFrame, threshold: float = 0.85, rare: int = 8, least_
     return pairs.join(x, "id").join(y, "id2").withColumn("jaccard", T.jaccard(F.col("w1"), F.col("w2"))).where(F.col("jaccard") >= threshold).select("grp", "id", "id2", "jaccard")
 
 
+def near_overlap(a: DataFrame, b: DataFrame, threshold: float = 0.85, rare: int = 8, least_chars: int = 5) -> DataFrame:
+    """(a_id, b_id, jaccard) of texts of a and b whose word sets reach the threshold and share a rare word (in at most `rare`
+    texts of b). Texts of a that b has too are exact matches and left out. A candidate is a word of a that meets at most
+    `rare` texts, so candidates grow with a's words; a pair that shares no rare word is not found."""
+    sets = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), T.norm_words(F.col("text")).alias(f"{name}_k")).where(f"{name}_k <> ''").withColumn(f"{name}_w", F.array_distinct(F.split(f"{name}_k", " ")))
+    x, y = sets(a, "a"), sets(b, "b")
+    x = x.join(y.select(F.col("b_k").alias("a_k")).distinct(), "a_k", "left_anti")
+    words = lambda df, name: df.select(f"{name}_id", F.explode(f"{name}_w").alias("t")).where(F.length("t") >= least_chars)
+    of_b = words(y, "b")
+    few = of_b.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") <= rare).select("t")
+    pairs = words(x, "a").join(of_b.join(few, "t"), "t").select("a_id", "b_id").distinct()
+    j = pairs.join(x, "a_id").join(y, "b_id").withColumn("jaccard", T.jaccard(F.col("a_w"), F.col("b_w")))
+    return j.where(F.col("jaccard") >= threshold).select("a_id", "b_id", "jaccard")
+
+
 def duplicate_profile(df: DataFrame, group: str, key) -> DataFrame:
     """Per group: rows, distinct texts, groups of equals, rows in them, and rows beyond the first."""
     k = df.select(F.col(group).alias("grp"), key(F.col("text")).alias("k")).groupBy("grp", "k").agg(F.count("*").alias("n"))

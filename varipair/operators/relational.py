@@ -53,3 +53,14 @@ def most_common(rows: DataFrame, column: str, k: int) -> DataFrame:
 def gate(accuracy: DataFrame, split: Column, value: str, limit: float = 0.70) -> DataFrame:
     """STOP if the accuracy of the named split reaches the limit, else PASS."""
     return accuracy.where(split).withColumn("decision", F.when(F.col(value) >= limit, "STOP").otherwise("PASS"))
+
+
+def id_digest(rows: DataFrame, group: str, key: str, width: int = 1000, levels: int = 3) -> DataFrame:
+    """Per group: n_ids and one digest of its integer ids in order, as a tree: ids are digested by `width` neighbours (the
+    id divided by it), then digests by `width`, and so on; what the last level leaves is digested as one. A group's ids are
+    never in one row: a node has at most `width` parts, the top its ids' range over width ** levels. Null ids are left out."""
+    parts = rows.where(F.col(key).isNotNull()).select(F.col(group), F.col(key).cast("long").alias("_k"), F.col(key).cast("string").alias("_h"), F.lit(1).cast("long").alias("_n"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda x: x["_h"]), "\n"), 256)
+    for _ in range(levels):
+        parts = parts.groupBy(group, F.expr(f"_k div {width}").alias("_up")).agg(joined.alias("_h"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_k")
+    return parts.groupBy(group).agg(F.sum("_n").alias("n_ids"), joined.alias("id_sha256"))

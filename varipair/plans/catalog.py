@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import counterfactual, graph, items, metrics, overlap, splits, stats
+from ..operators import counterfactual, graph, items, metrics, overlap, recompute, relational, splits, stats
+from ..operators import descriptives as enriching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -318,11 +319,12 @@ def comparison_report(spark, d):
     return stats.comparison_report(items.compared(scored(spark, d, (31, 37))), 0, 1)
 
 
-@query("""WITH c AS (SELECT n, k FROM (SELECT unnest(range(1, 25)) AS n), (SELECT unnest(range(0, 25)) AS k) WHERE k <= n)
-SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * 0.5 ** n))), 9) AS p FROM c""")
+@query("""WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS k FROM conversations GROUP BY conv_id)
+SELECT conv_id, n, k, round(least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * 0.5 ** n))), 9) AS p FROM c""")
 def exact_binomial(spark, d):
-    nk = spark.range(1, 25).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
-    return nk.select("n", "k", stats.binomial_two_sided(F.col("k"), F.col("n") - F.col("k")).alias("p")).withColumn("p", F.round("p", 9))
+    """Whether a conversation's turns are the user's as often as not."""
+    nk = t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("k"))
+    return nk.select("conv_id", "n", "k", F.round(stats.binomial_two_sided(F.col("k").cast("int"), (F.col("n") - F.col("k")).cast("int")), 9).alias("p"))
 
 
 def _mixed(x: str) -> str:
@@ -582,18 +584,6 @@ def dfr_metrics(spark, d):
     return counterfactual.dfr(_wide(spark, d), 0.125)
 
 
-_RULES = ", ".join(f"({i}, '{n}', '{s}', '{f}', {at}, {miss})" for i, (n, s, f, at, miss) in enumerate(counterfactual.RULES))
-
-
-@query(f"""WITH r(ri, rule_id, split, field, lim, miss) AS (VALUES {_RULES}), v AS (SELECT r.*, i, ty AS item_type, CASE ty WHEN 'edited' THEN CASE WHEN field='age' THEN lim + i % 5 ELSE lim - 1 - i % 5 END WHEN 'near_miss' THEN miss ELSE CASE WHEN field='age' THEN least(25 + round_even(i * 55 / 29, 0), lim - 5) ELSE 80 + i % 10 END END AS value
- FROM r, (SELECT unnest(range(0, 30)) AS i), (SELECT unnest(['base','edited','near_miss','null_edit']) AS ty))
-SELECT rule_id, split, item_type, count(*) AS n, CAST(sum(value) AS BIGINT) AS sum_value, count(*) FILTER ((CASE WHEN field='age' THEN value >= lim ELSE value < lim END) = (item_type='edited')) AS n_sound FROM v GROUP BY ALL""")
-def vignette_verifier(spark, d):
-    v = counterfactual.vignettes(spark)
-    sound = counterfactual.fires(F.col("field"), F.col("value"), F.col("at")) == (F.col("item_type") == "edited")
-    return v.groupBy("rule_id", "split", "item_type").agg(F.count("*").alias("n"), F.sum("value").alias("sum_value"), F.count_if(sound).alias("n_sound"))
-
-
 @query("SELECT l_returnflag = 'N' AS chosen_is_default, sum(l_quantity) AS weight, count(*) AS n FROM lineitem GROUP BY 1")
 def class_balance(spark, d):
     return t(spark, d, "lineitem").groupBy((F.col("l_returnflag") == "N").alias("chosen_is_default")).agg(F.sum("l_quantity").alias("weight"), F.count("*").alias("n"))
@@ -608,8 +598,9 @@ def polarity_conflicts(spark, d):
 
 @query()
 def bow_logreg_accuracy(spark, d):
-    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("text", F.col("toxic").cast("double").alias("label"), F.col("lang").alias("grp"))
-    return counterfactual.bag_of_words_accuracy(j, j)
+    """Learnt from four fifths of the labelled documents, by the id, and tested on the rest."""
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("text", F.col("toxic").cast("double").alias("label"), F.col("lang").alias("grp"), (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1).alias("held_out"))
+    return counterfactual.bag_of_words_accuracy(j.where("NOT held_out"), j.where("held_out"))
 
 
 @query("""SELECT event_type, avg(value) AS mean, stddev_pop(value) / sqrt(count(*)) AS sem, count(*) AS n FROM events GROUP BY event_type""")
@@ -622,7 +613,68 @@ def value_histogram(spark, d):
     return t(spark, d, "events").groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS id_sha256 FROM documents GROUP BY source")
+@query("""WITH a AS (SELECT source, doc_id // 1000 AS k, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL),
+b AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n) AS n FROM a GROUP BY source, a.k // 1000), c AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n) AS n FROM b GROUP BY source, b.k // 1000)
+SELECT source, CAST(sum(n) AS BIGINT) AS n_ids, sha256(string_agg(h, chr(10) ORDER BY k)) AS id_sha256 FROM c GROUP BY source""")
 def id_digest(spark, d):
-    g = t(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return g.select("source", T.sha256(F.array_join(F.transform("ids", lambda x: x.cast("string")), "\n")).alias("id_sha256"))
+    return relational.id_digest(t(spark, d, "documents"), "source", "doc_id")
+
+
+@query(f"""WITH a AS (SELECT doc_id AS id, {_N1("text")} AS k FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS id, {_N1("text")} AS k FROM documents WHERE doc_id % 2 = 1),
+x AS (SELECT id, list_distinct(string_split(k, ' ')) AS w FROM a WHERE k <> '' AND k NOT IN (SELECT k FROM b)), y AS (SELECT id, list_distinct(string_split(k, ' ')) AS w FROM b WHERE k <> ''),
+tx AS (SELECT id, unnest(w) AS t FROM x), ty AS (SELECT id, unnest(w) AS t FROM y), f AS (SELECT t FROM ty WHERE length(t) >= 5 GROUP BY t HAVING count(*) <= 8),
+p AS (SELECT DISTINCT tx.id AS a_id, ty.id AS b_id FROM tx JOIN ty ON tx.t = ty.t JOIN f ON f.t = tx.t)
+SELECT a_id, b_id, j AS jaccard FROM (SELECT a_id, b_id, len(list_intersect(x.w, y.w)) / CAST(len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)) AS DOUBLE) AS j FROM p JOIN x ON x.id = a_id JOIN y ON y.id = b_id) WHERE j >= 0.85""")
+def near_overlap(spark, d):
+    """The two halves are the operator's two sides, not a sample."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return overlap.near_overlap(docs.where("id % 2 = 0"), docs.where("id % 2 = 1"))
+
+
+_PERTURBED = """WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS t, length(coalesce(text, '')) AS k FROM conversations),
+p AS (SELECT *, CASE k % 4 WHEN 0 THEN 'roman_numeral' WHEN 1 THEN 'fixed_pos' WHEN 2 THEN 'incorrect' ELSE 'open' END AS perturbation_type FROM r),
+e AS (SELECT conv_id, turn, perturbation_type, len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS orig_word_count, len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS pert_word_count,
+ CAST(1.5 AS DOUBLE) AS orig_options_avg_wc, CASE WHEN k % 7 <> 0 THEN CASE WHEN k % 2 = 0 THEN 1.5 ELSE 2.0 END END::DOUBLE AS pert_options_avg_wc,
+ CASE WHEN k % 4 < 2 THEN 0 END::INTEGER AS orig_answer_position, CASE WHEN k % 4 < 2 AND k % 7 <> 0 THEN CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END END::INTEGER AS pert_answer_position,
+ CASE WHEN k % 4 < 2 THEN k % 5 <> 0 END AS raw_answer_token_changed, CASE WHEN k % 4 = 2 THEN 'list_of_letters' WHEN k % 4 = 3 THEN 'free_text' ELSE 'letter' END AS answer_format,
+ k % 3 = 0 AS question_text_changed, k % 4 = 2 AS is_task_inverted FROM p),
+d AS (SELECT *, pert_word_count - orig_word_count AS question_length_diff, pert_options_avg_wc - orig_options_avg_wc AS options_length_diff, CASE WHEN raw_answer_token_changed IS NOT NULL THEN coalesce(orig_answer_position <> pert_answer_position, TRUE) END AS answer_position_changed FROM e)"""
+
+
+def _perturbed(spark, d):
+    """Pairs of a turn and what a perturbation made of it."""
+    k, text = F.length(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit(""))
+    old = F.lit('{"A": "one", "B": "two words"}')
+    new = F.when(k % 7 == 0, F.lit("none")).when(k % 2 == 0, old).otherwise(F.lit('{"A": "one two", "B": "three four"}'))
+    kind = F.when(k % 4 == 0, "roman_numeral").when(k % 4 == 1, "fixed_pos").when(k % 4 == 2, "incorrect").otherwise("open")
+    answer = F.when(k % 4 == 2, F.lit("['B', 'C']")).when(k % 4 == 3, F.lit("free words")).when(k % 5 == 0, F.lit("A")).otherwise(F.lit("B"))
+    columns = [kind.alias("perturbation_type"), text.alias("original_question"), F.when(k % 3 == 0, F.concat(text, F.lit(" two more"))).otherwise(text).alias("perturbed_question"), old.alias("original_options"), new.alias("perturbed_options")]
+    return t(spark, d, "conversations").select("conv_id", "turn", *columns, F.lit("A").alias("original_answer_letter"), answer.alias("perturbed_answer_raw"), (k % 3 == 0).alias("question_text_changed"), (k % 4 == 2).alias("is_task_inverted"))
+
+
+_TWELVE = ["orig_word_count", "pert_word_count", "question_length_diff", "orig_options_avg_wc", "pert_options_avg_wc", "options_length_diff", "orig_answer_position", "pert_answer_position", "answer_position_changed", "raw_answer_token_changed", "answer_format"]
+
+
+@query(_PERTURBED + f" SELECT conv_id, turn, perturbation_type, {', '.join(_TWELVE)} FROM d")
+def enriched_pairs(spark, d):
+    return enriching.enrich(_perturbed(spark, d), similarity=False).select("conv_id", "turn", "perturbation_type", *_TWELVE)
+
+
+_SPREAD = "avg({1}) AS {0}_mean, median({1}) AS {0}_median, stddev_samp({1}) AS {0}_std".format
+
+
+@query(_PERTURBED + f""" SELECT perturbation_type, count(*) AS n_pairs, avg(question_text_changed::INT::DOUBLE) AS question_text_changed_rate, {_SPREAD("question_length_diff_words", "question_length_diff")}, {_SPREAD("options_length_diff_words", "options_length_diff")},
+ avg(answer_position_changed::INT::DOUBLE) AS answer_position_change_rate, avg(raw_answer_token_changed::INT::DOUBLE) AS raw_answer_token_change_rate, bool_or(is_task_inverted) AS is_task_inverted,
+ {", ".join(f"avg((answer_format = '{f}')::INT::DOUBLE) AS share_{f}" for f in ("list_of_letters", "roman_numeral", "letter", "free_text", "unknown"))} FROM d GROUP BY perturbation_type""")
+def pair_descriptives(spark, d):
+    return enriching.descriptives(enriching.enrich(_perturbed(spark, d), similarity=False))
+
+
+@query(ONE + f""", v AS (SELECT condition, unnest(['n_parsed', 'n_correct']) AS metric, unnest([count(*) FILTER (parsed), count(*) FILTER (correct)]) AS independent FROM s1 GROUP BY condition)
+SELECT condition, metric, CAST(independent AS DOUBLE) AS independent, CAST(independent + 1 AS DOUBLE) AS reported FROM v WHERE (condition = 'mcq' AND metric = 'n_correct') OR (condition = 'open' AND metric = 'n_parsed')""")
+def recompute_differences(spark, d):
+    """A report with two wrong figures against its second computation, which finds them and no others."""
+    s = scored(spark, d)
+    told = metrics.by_condition(items.compared(s))
+    wrong = lambda name, condition: (F.col(name) + F.when(F.col("condition") == condition, 1).otherwise(0)).alias(name)
+    return recompute.differences(s, told.select(*[wrong(c, "mcq") if c == "n_correct" else wrong(c, "open") if c == "n_parsed" else F.col(c) for c in told.columns]))

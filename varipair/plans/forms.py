@@ -39,12 +39,16 @@ def prompts(spark, d):
     return p.select("question_id", "condition", T.sha256(F.col("prompt")).alias("prompt_sha256"), F.length("prompt").cast("long").alias("n_chars"), H.observed_display(F.col("prompt")).alias("display"))
 
 
-@query("""SELECT * FROM (VALUES ('label', '{"type": "object", "properties": {"answer": {"type": "string", "enum": ["A", "B"]}}, "required": ["answer"]}'),
- ('label_set', '{"type": "object", "properties": {"answer": {"type": "array", "items": {"type": "string", "enum": ["A", "B"]}}}, "required": ["answer"]}'),
- ('free_text', '{"type": "object", "properties": {"answer": {"type": "string"}}, "required": ["answer"]}')) v(kind, answer_schema)""")
+_ENUM = """'{"type": "string", "enum": ["' || array_to_string(o, '", "') || '"]}'"""
+
+
+@query(f"""WITH k AS (SELECT doc_id, n_chars % 3 AS kind, list_slice(['A', 'B', 'C', 'D', 'E'], 1, CAST(n_chars % 4 + 2 AS INTEGER)) AS o FROM documents)
+SELECT doc_id, '{{"type": "object", "properties": {{"answer": ' || CASE kind WHEN 0 THEN {_ENUM} WHEN 1 THEN '{{"type": "array", "items": ' || {_ENUM} || '}}' ELSE '{{"type": "string"}}' END || '}}, "required": ["answer"]}}' AS answer_schema FROM k""")
 def answer_schemas(spark, d):
-    kinds = spark.range(1).select(F.explode(_arr(list(P.PARSERS))).alias("kind"))
-    return kinds.select("kind", H.answer_schema(F.col("kind"), _arr(["A", "B"])).alias("answer_schema"))
+    """The schema of each document's answer, its kind and number of options by its length."""
+    kind = F.get(_arr(["label", "label_set", "free_text"]), (F.col("n_chars") % 3).cast("int"))
+    labels = F.slice(_arr(["A", "B", "C", "D", "E"]), F.lit(1), (F.col("n_chars") % 4 + 2).cast("int"))
+    return t(spark, d, "documents").select("doc_id", H.answer_schema(kind, labels).alias("answer_schema"))
 
 
 @query("""SELECT p_partkey AS question_id, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'A,B,C' END AS labels, CASE WHEN p_size % 5 <> 0 THEN p_name END AS first_text,
@@ -59,11 +63,12 @@ def option_shapes(spark, d):
 _GOLDS = ["[A, B]", " IV ", "VII", "C", "K", "zinc oxide", "é", "É"]
 
 
-@query("""SELECT * FROM (VALUES ('[A, B]','list_of_letters','label_set'), (' IV ','roman_numeral','roman_label'), ('VII','roman_numeral','text'), ('C','letter','letter_label'),
- ('K','letter','text'), ('zinc oxide','free_text','text'), ('é','free_text','text'), ('É','letter','text'), (NULL,'unknown','text')) v(gold, answer_format, observed_format)""")
+@query("""SELECT doc_id, answer_format, observed_format FROM documents JOIN (VALUES (0,'list_of_letters','label_set'), (1,'roman_numeral','roman_label'), (2,'roman_numeral','text'), (3,'letter','letter_label'),
+ (4,'letter','text'), (5,'free_text','text'), (6,'free_text','text'), (7,'letter','text'), (8,'unknown','text')) v(k, answer_format, observed_format) ON k = n_chars % 9""")
 def answer_formats(spark, d):
-    g = spark.range(1).select(F.explode(F.array(*map(F.lit, [*_GOLDS, None]))).alias("gold"))
-    return g.select("gold", H.answer_format(F.col("gold")).alias("answer_format"), H.observed_format(F.col("gold")).alias("observed_format"))
+    """The format of each document's gold answer, which is chosen by its length."""
+    gold = F.get(F.array(*map(F.lit, [*_GOLDS, None])), (F.col("n_chars") % 9).cast("int"))
+    return t(spark, d, "documents").where("n_chars IS NOT NULL").select("doc_id", H.answer_format(gold).alias("answer_format"), H.observed_format(gold).alias("observed_format"))
 
 
 @query(f"""SELECT cause, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN '{H.CUT_EMPTY}' ELSE '{H.CUT_SHORT}' END

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import counterfactual
 from ..operators import rules as R
 from .catalog import query, t
 
@@ -96,3 +97,15 @@ def action_lengths(spark, d):
     n = lambda c: F.size(F.split(F.col(f"rule.{c}"), " "))
     j = R.with_rule(_templates(spark, d), R.rule_table(spark))
     return j.groupBy("rule.family", "rule.split").agg(F.count("*").alias("n_templates"), F.avg(F.abs(n("default_action") - n("rule_action"))).alias("mean_word_difference"))
+
+
+@query(f"WITH {VIGNETTES} SELECT rule_id, split, item_type, count(*) AS n, count(*) FILTER (fired) AS n_fired, count(*) FILTER (fired = (item_type = 'edited')) AS n_sound FROM vi GROUP BY rule_id, split, item_type")
+def vignette_verifier(spark, d):
+    rules = R.rule_table(spark)
+    v = R.verify(R.vignettes(_templates(spark, d), rules), rules)
+    return v.groupBy("rule_id", "split", "item_type").agg(F.count("*").alias("n"), F.count_if("fired").alias("n_fired"), F.count_if(F.col("fired") == (F.col("item_type") == "edited")).alias("n_sound"))
+
+
+@query()
+def response_only_accuracy(spark, d):
+    return counterfactual.response_only(R.vignettes(_templates(spark, d), R.rule_table(spark)))
