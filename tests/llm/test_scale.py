@@ -122,3 +122,20 @@ def test_size_classes_cut_what_no_sketch_can_meet(spark):
     kept = {r["doc_id"]: (r["n"], r["k"]) for r in docs.select("doc_id", decontaminate.hashes(F.col("text")).alias("hs")).select("doc_id", F.size("hs").alias("n"), F.size(decontaminate.sketched(F.col("hs"), classes)).alias("k")).collect()}
     assert kept[0][1] < 0.75 * kept[0][0] and kept[1] == (16, 0) and kept[2] == (0, 0)
     assert decontaminate.sketched(F.col("x"), []) is not None
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_stored_katz_tables_score_other_texts(spark, order):
+    rnd = random.Random(order)
+    words = ["v%d" % min(int(rnd.paretovariate(0.7)), 150) for _ in range(4000)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))) for i in range(120)] + [(500, None), (501, "never seen words"), (502, "v1 v1 v1 v2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: r for r in katz.score_documents(docs, order).collect()}
+    train = [r for r in rows if not katz.held_out(r[0])]
+    model = katz.learn(spark.createDataFrame(train, "doc_id long, text string"), order)
+    got = {r["doc_id"]: r for r in katz.score_with(model, docs).collect()}
+    assert set(got) == set(want) and len(model.tables) == order
+    for i, r in want.items():
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
+        assert abs(got[i]["score"] - r["score"]) < 1e-9 and abs(got[i]["base_score"] - r["base_score"]) < 1e-9
+    assert katz.score_with(model, docs.limit(0)).count() == 0

@@ -16,6 +16,7 @@ How: texts are packed into blocks, a bucketed table that every round reads where
 bucket of histories its distinct n-grams of k words with its own training counts; a bucket adds them up and answers with
 the totals, and with what alpha needs of a history: the sum of the lower P and how many words were seen 1 .. CUTOFF times.
 The answers of all rounds are partitioned tables in the shared folder, from which each block is scored, order by order.
+`learn` keeps the buckets' n-grams and counts too, as partitioned tables that score any other texts (`score_with`).
 Round 1 also numbers the words, frequent ones low, so n-grams are exact from there on and take few bytes. A history that
 stands in one block only (the counts of the round before say so) is finished there and not sent. A count travels once a
 block, however often it occurs there, so a frequent word or pair is no hot key. Discounts come from counts of counts, added
@@ -29,6 +30,7 @@ blocks. Words are numbered by 64-bit hashes; two of n meet with a chance of n *
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,9 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def _tokens(batches):
-    """Blocks: ids, nulls, held-out marks, tokens of each text, the sorted hashes of distinct tokens, and the tokens."""
+def _tokens(batches, learns: bool | None):
+    """Blocks: ids, nulls, held-out marks, tokens of each text, the sorted hashes of distinct tokens, and the tokens.
+    learns: whether the texts are learnt from; None: those that are not held out."""
     from pyspark import TaskContext
 
     task, n = TaskContext.get().partitionId(), 0
@@ -64,7 +67,7 @@ def _tokens(batches):
             hashes += [C.hash_words(words), np.array([_END])]
         vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         data = C.pack(
-            np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([held_out(i) for i in ids], np.uint8),
+            np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([held_out(i) if learns is None else not learns for i in ids], np.uint8),
             np.array(sizes, np.uint32), vocabulary, planes(tokens),
         )
         yield C.batch_of(_BLOCK, [[(task << 32) + n], [data]])
@@ -139,13 +142,13 @@ class Level:
     all training and in all held-out texts; per n-gram its history `by`, its word, the block's two counts, the count of the
     n-gram without its first word, and the size D of the history without its first word."""
 
-    def __init__(self, key, count, by, word, own, low_count, low_size, lower: Discounted):
+    def __init__(self, key, count, by, word, own, low_count, low_size, lower: Discounted, whole: bool):
         self.key, (self.count, self.count_held), self.by, self.word, (self.own, self.held) = key, count, by, word, own
         self.low_count, self.low_size = low_count, low_size
         n, (own, held) = len(key), own
         self.start = np.searchsorted(by, np.arange(n + 1))
         inside = lambda w: np.bincount(by, weights=w, minlength=n).astype(np.int64)
-        self.sent = np.flatnonzero((self.count != inside(own)) | (self.count_held != inside(held)))
+        self.sent = np.arange(n) if whole else np.flatnonzero((self.count != inside(own)) | (self.count_held != inside(held)))
         self.asks = np.zeros(n, bool)
         self.asks[by[own == 0]] = True
         self.total, self.total_held = own.copy(), held.copy()
@@ -199,7 +202,8 @@ class Level:
 class Block:
     """A block, its words as numbers, and its n-grams as far as answers have come."""
 
-    def __init__(self, data: bytes, answers: list[tuple], numbers: list[list[int]], n_buckets: int, order: int):
+    def __init__(self, data: bytes, answers: list[tuple], numbers: list[list[int]], n_buckets: int, order: int, whole: bool = False):
+        self.whole = whole
         self.ids, self.null, self.held, self.sizes, self.words, tokens = C.unpack(data)
         self.tokens = unplaned(tokens)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -244,7 +248,7 @@ class Block:
         end, at = np.searchsorted(self.words, _END), place(np.maximum(key.astype(np.int64), self.number.min()))
         seen = tuple(np.where(key == _START, count[end], count[at]) for count in (self.count, self.count_held))
         self.word_of = place(word)
-        return Level(key, seen, by, word, own, self.count[self.word_of], np.full(len(key), self.discounts[0].size, np.int64), self.discounts[0])
+        return Level(key, seen, by, word, own, self.count[self.word_of], np.full(len(key), self.discounts[0].size, np.int64), self.discounts[0], self.whole)
 
     def _third(self) -> Level:
         two, of_token = self.levels[0], self.of_token[0]
@@ -257,7 +261,7 @@ class Block:
         history, key = history.astype(np.int64), self.grams[history.astype(np.int64)]
         last = key & _LOW32
         self.shorter = np.searchsorted(self.grams, (last[by] << np.uint64(32)) | (grams & _LOW32))
-        return Level(key, (two.total[history], two.total_held[history]), by, (grams & _LOW32).astype(np.int64), own, two.total[self.shorter], two.sizes()[np.searchsorted(two.key, last)], self.discounts[1])
+        return Level(key, (two.total[history], two.total_held[history]), by, (grams & _LOW32).astype(np.int64), own, two.total[self.shorter], two.sizes()[np.searchsorted(two.key, last)], self.discounts[1], self.whole)
 
     def probabilities(self) -> list[np.ndarray]:
         """P of each distinct word, pair and triple of the block, each order from the one below."""
@@ -279,37 +283,50 @@ def _ask_words(batches, n_buckets: int):
             yield _rows([("ask", b, name, 1, C.pack(np.frombuffer(C.pack_sorted(block.words[lo:hi]), np.uint8), planes(own[lo:hi]), planes(held[lo:hi])), None) for b, lo, hi in C.stretches(C.bucket_of(block.words, n_buckets))])
 
 
-def _answer_words(group: pa.Table, n_buckets: int) -> pa.Table:
-    """To each block: numbers of its words, from 1, and their counts. A bucket numbers its words by falling counts."""
-    blocks, parts = group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
+def _answer_words(group: pa.Table, n_buckets: int, keep: bool = False) -> pa.Table:
+    """To each block: numbers of its words, from 1, and their counts. A bucket numbers its words by falling counts, those
+    that a stored model does not have after those that it has. keep: also the bucket's part of a model."""
+    kinds, blocks, parts = group.column("kind").to_pylist(), group.column("block").to_pylist(), [C.unpack(d) for d in group.column("data").to_pylist()]
     bucket = group.column("bucket")[0].as_py()
     keys = [C.unpack_sorted(p[0].tobytes()) for p in parts]
     word, at = np.unique(np.concatenate(keys), return_inverse=True)
     total, held = (np.bincount(at, weights=np.concatenate([unplaned(p[i]) for p in parts]), minlength=len(word)).astype(np.int64) for i in (1, 2))
-    number = np.empty(len(word), np.int64)
-    number[np.lexsort((word, -total))] = 1 + np.arange(len(word)) * n_buckets + bucket
+    number = np.zeros(len(word), np.int64)
+    for kind, p, key in zip(kinds, parts, keys, strict=True):
+        if kind == "model":
+            number[np.searchsorted(word, key)] = unplaned(p[3])
+    new = np.flatnonzero(number == 0)
+    number[new[np.lexsort((word[new], -total[new]))]] = 1 + (-(-int(number.max(initial=0)) // n_buckets) + np.arange(len(new))) * n_buckets + bucket
     if len(word) and int(number.max()) >= 1 << 32:
         raise ValueError("more than 2**32 words")
     rows, lo = [("stats", bucket, None, 1, None, counts_of_counts(total))], 0
-    for block, n in zip(blocks, map(len, keys), strict=True):
+    for kind, block, n in zip(kinds, blocks, map(len, keys), strict=True):
         which = at[lo : lo + n]
-        rows.append(("answer", bucket, block, 1, C.pack(planes(number[which]), planes(total[which]), planes(held[which])), None))
+        if kind == "ask":
+            rows.append(("answer", bucket, block, 1, C.pack(planes(number[which]), planes(total[which]), planes(held[which])), None))
         lo += n
+    if keep:
+        seen = total > 0
+        rows.append(("model", bucket, None, 1, C.pack(np.frombuffer(C.pack_sorted(word[seen]), np.uint8), planes(total[seen]), planes(np.zeros(int(seen.sum()), np.int64)), planes(number[seen])), None))
     return _table(rows)
 
 
-def _ask(blocks: pa.Table, answers: pa.Table, n_buckets: int, level: int, numbers: list[list[int]]) -> pa.Table:
+def _ask(blocks: pa.Table, answers: pa.Table, n_buckets: int, level: int, numbers: list[list[int]], whole: bool = False) -> pa.Table:
+    if not blocks.num_rows:
+        return _ROW.empty_table()
     name = blocks.column("block")[0].as_py()
     heard = list(zip(*(answers.column(c).to_pylist() for c in ("bucket", "level", "data")), strict=True))
-    return _table(Block(blocks.column("data")[0].as_py(), heard, numbers, n_buckets, level).levels[-1].questions(name, level, n_buckets))
+    return _table(Block(blocks.column("data")[0].as_py(), heard, numbers, n_buckets, level, whole).levels[-1].questions(name, level, n_buckets))
 
 
-def _answer(group: pa.Table, level: int, numbers: list[list[int]]) -> pa.Table:
+def _answer(group: pa.Table, level: int, numbers: list[list[int]], keep: bool = False) -> pa.Table:
+    """To each block: totals of its n-grams, and what alpha needs of its histories. keep: also the bucket's part of a
+    model, which has the form of a question with the training counts."""
     kinds, blocks, data, stats = (group.column(c).to_pylist() for c in ("kind", "block", "data", "numbers"))
     bucket = group.column("bucket")[0].as_py()
     rows = [("stats", bucket, None, level, None, [sum(x) for x in zip(*(s for s in stats if s is not None), strict=True)])] if "stats" in kinds else []
-    blocks = [b for k, b in zip(kinds, blocks, strict=True) if k == "ask"]
-    parts = [C.unpack(d) for k, d in zip(kinds, data, strict=True) if k == "ask"]
+    asked = [(k, b, d) for k, b, d in zip(kinds, blocks, data, strict=True) if k in ("ask", "model")]
+    parts = [C.unpack(d) for _, _, d in asked]
     if not parts:
         return _table(rows)
     keys = [(np.cumsum(unplaned(p[0])).astype(np.uint64) << np.uint64(32)) | unplaned(p[1]).astype(np.uint64) for p in parts]
@@ -326,21 +343,33 @@ def _answer(group: pa.Table, level: int, numbers: list[list[int]]) -> pa.Table:
     lower_sum, low = _summed(by, len(key), total, lower)
     rows.append(("stats", bucket, None, level, None, counts_of_counts(total)))
     h = c = 0
-    for block, p, n in zip(blocks, parts, n_words, strict=True):
+    for (kind, block, _), p, n in zip(asked, parts, n_words, strict=True):
         mine = place[h : h + len(n)]
         asks = mine[p[4].astype(bool)]
         which = at[c : c + int(n.sum())]
-        rows.append(("answer", bucket, block, level, C.pack(planes(total[which]), low[mine].any(axis=1).astype(np.uint8), lower_sum[asks], planes(low[asks].ravel()), planes(held[which])), None))
+        if kind == "ask":
+            rows.append(("answer", bucket, block, level, C.pack(planes(total[which]), low[mine].any(axis=1).astype(np.uint8), lower_sum[asks], planes(low[asks].ravel()), planes(held[which])), None))
         h, c = h + len(n), c + int(n.sum())
+    if keep:
+        seen = np.flatnonzero(total > 0)
+        has, n = np.unique(by[seen], return_counts=True)
+        nothing = np.zeros(len(seen), np.int64)
+        stored = C.pack(
+            planes(C.gaps(key[has] >> np.uint64(32))), planes(key[has] & _LOW32), planes(n), planes(low_size[has]), np.zeros(len(has), np.uint8),
+            planes((grams[seen] & _LOW32).astype(np.int64)), planes(total[seen]), planes(low_count[first][seen]), planes(nothing),
+        )
+        rows.append(("model", bucket, None, level, stored, None))
     return _table(rows)
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(blocks: pa.Table, answers: pa.Table, n_buckets: int, order: int, numbers: list[list[int]]) -> pa.Table:
+def _score(blocks: pa.Table, answers: pa.Table, n_buckets: int, order: int, numbers: list[list[int]], whole: bool = False) -> pa.Table:
+    if not blocks.num_rows:
+        return _SCORES.empty_table()
     heard = list(zip(*(answers.column(c).to_pylist() for c in ("bucket", "level", "data")), strict=True))
-    b = Block(blocks.column("data")[0].as_py(), heard, numbers, n_buckets, order)
+    b = Block(blocks.column("data")[0].as_py(), heard, numbers, n_buckets, order, whole)
     one, per = b.discounts[0], lambda w: np.bincount(b.doc, weights=w, minlength=len(b.sizes))
     base = np.log10((b.count + 0.5) / (one.total + 0.5 * (one.distinct + 1)))
     p = b.probabilities()
@@ -352,21 +381,68 @@ def _score(blocks: pa.Table, answers: pa.Table, n_buckets: int, order: int, numb
     return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=_SCORES)
 
 
+_SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _blocks(docs: DataFrame, total: int, learns: bool | None) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return C.bucketed(C.arrow_map(rows, _tokens, "block long, data binary", learns), "katz-blocks", "block", C.parts_of(docs.sparkSession, total, 2 * BLOCK_BYTES))
+
+
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs, learnt from those
+    that are not held out."""
     if not 1 <= order <= 3:
         raise ValueError("n-grams have one to three words")
-    spark, total = docs.sparkSession, C.text_bytes(docs)
-    n = C.parts_of(spark, total, BUCKET_BYTES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = C.bucketed(C.arrow_map(rows, _tokens, "block long, data binary"), "katz-blocks", "block", C.parts_of(spark, total, 2 * BLOCK_BYTES))
+    total = C.text_bytes(docs)
+    n, blocks = C.parts_of(docs.sparkSession, total, BUCKET_BYTES), _blocks(docs, total, None)
     table = C.written(C.arrow_groups(C.arrow_map(blocks, _ask_words, _ROW_DDL, n), "bucket", _answer_words, _ROW_DDL, n), "katz-1", codec="uncompressed", partition_by="kind")
     answers, numbers = table.where("kind = 'answer'"), [_numbers(table)]
     for level in range(2, order + 1):
         asked = C.arrow_pairs(blocks, answers, "block", _ask, _ROW_DDL, n, level, numbers)
         table = C.written(C.arrow_groups(asked, "bucket", _answer, _ROW_DDL, level, numbers), f"katz-{level}", codec="uncompressed", partition_by="kind")
         answers, numbers = answers.unionByName(table.where("kind = 'answer'")), [*numbers, _numbers(table)]
-    return C.arrow_pairs(blocks, answers, "block", _score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", n, order, numbers)
+    return C.arrow_pairs(blocks, answers, "block", _score, _SCORES_DDL, n, order, numbers)
+
+
+class Model(NamedTuple):
+    """A stored model: tables of n-grams by order and bucket of the history, with their counts and what the order below
+    gives them; the counts of counts of each order; the number of buckets."""
+
+    tables: list[DataFrame]
+    numbers: list[list[int]]
+    n_buckets: int
+
+
+def learn(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of all rows of docs, its tables in the shared folder."""
+    total = C.text_bytes(docs)
+    n, blocks = C.parts_of(docs.sparkSession, total, BUCKET_BYTES), _blocks(docs, total, True)
+    table = C.written(C.arrow_groups(C.arrow_map(blocks, _ask_words, _ROW_DDL, n), "bucket", _answer_words, _ROW_DDL, n, True), "katz-learn-1", partition_by="kind")
+    tables, answers, numbers = [table.where("kind = 'model'")], table.where("kind = 'answer'"), [_numbers(table)]
+    for level in range(2, order + 1):
+        asked = C.arrow_pairs(blocks, answers, "block", _ask, _ROW_DDL, n, level, numbers, True)
+        table = C.written(C.arrow_groups(asked, "bucket", _answer, _ROW_DDL, level, numbers, True), f"katz-learn-{level}", partition_by="kind")
+        tables, answers, numbers = [*tables, table.where("kind = 'model'")], answers.unionByName(table.where("kind = 'answer'")), [*numbers, _numbers(table)]
+    return Model(tables, numbers, n)
+
+
+def score_with(model: Model, docs: DataFrame) -> DataFrame:
+    """As score_documents, of any rows under a stored model. Blocks ask the buckets of its tables, order by order; what
+    they hold themselves counts for nothing, so held_out is true."""
+    n, numbers = model.n_buckets, model.numbers
+    blocks = _blocks(docs, C.text_bytes(docs), False)
+    columns = [f.name for f in _ROW]
+    asked = C.arrow_map(blocks, _ask_words, _ROW_DDL, n)
+    answers = None
+    for level, stored in enumerate(model.tables, 1):
+        if level > 1:
+            asked = C.arrow_pairs(blocks, answers, "block", _ask, _ROW_DDL, n, level, numbers[: level - 1], True)
+        both = asked.where("kind = 'ask'").unionByName(stored.select(*columns))
+        groups = C.arrow_groups(both, "bucket", _answer_words, _ROW_DDL, n) if level == 1 else C.arrow_groups(both, "bucket", _answer, _ROW_DDL, level, numbers[: level - 1])
+        table = C.written(groups, f"katz-score-{level}", codec="uncompressed", partition_by="kind").where("kind = 'answer'")
+        answers = table if answers is None else answers.unionByName(table)
+    return C.arrow_pairs(blocks, answers, "block", _score, _SCORES_DDL, n, len(model.tables), numbers, True)
 
 
 def _numbers(table: DataFrame) -> list[int]:
