@@ -88,6 +88,11 @@ class CountTree:
         if len(region) > 64 * LEAF and len(self.leaves[first]) > self.chars[1] // 2 > 64 * LEAF:
             self.split()
 
+    def state(self) -> tuple[bytes, bytes]:
+        """Characters and tokens of the leaves that hold text: all that a later batch needs beside the text."""
+        held = np.array(self.chars[self.size :], "<u4")
+        return held[held > 0].tobytes(), np.array(self.tokens[self.size :], "<u4")[held > 0].tobytes()
+
     def split(self) -> None:
         """Leaves anew, after edits that left most of the text in one."""
         done = self.encoded
@@ -145,23 +150,28 @@ def _apply(batches, path: str):
     from . import bytebpe
 
     bpe = bytebpe.load(path, ordinary=True)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_tokens_after", pa.int64()), ("n_chars_after", pa.int64()), ("n_chars_encoded", pa.int64()), ("text_after", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_tokens_after", pa.int64()), ("n_chars_after", pa.int64()), ("n_chars_encoded", pa.int64()), ("text_after", pa.string()), ("leaf_chars_after", pa.binary()), ("leaf_tokens_after", pa.binary())])
     for part in C.steps(batches):
         rows = []
         for text, n, chars, tokens, edits in zip(*(part.column(c).to_pylist() for c in ("text", "n_tokens", "leaf_chars", "leaf_tokens", "edits")), strict=True):
             tree = tree_of(bpe, text, chars, tokens)
             for e in edits or []:
                 tree.edit(e["start"], e["length"], e["text"])
-            rows.append((n, len(edits or []), tree.tokens[1], tree.chars[1], tree.encoded, "".join(tree.leaves)))
+            rows.append((n, len(edits or []), tree.tokens[1], tree.chars[1], tree.encoded, "".join(tree.leaves), *tree.state()))
         yield C.batch_of(schema, [part.column("doc_id"), *map(list, zip(*rows, strict=True))])
 
 
 def apply_edits(state: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
     """state after edits (doc_id, seq, start, length, text): doc_id, n_tokens before, n_edits, n_tokens_after,
-    n_chars_after, n_chars_encoded (the work done) and text_after. One shuffle of the states to their edits."""
+    n_chars_after, n_chars_encoded (the work done), text_after and its leaves. One shuffle of the states to their edits."""
     part = F.struct(F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.coalesce("start", F.lit(0)).cast("long").alias("start"), F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.coalesce("text", F.lit("")).alias("text"))
     by_doc = edits.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(part)).alias("edits"))
-    return C.arrow_map(state.join(by_doc, "doc_id", "left"), _apply, "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_chars_encoded long, text_after string", tokenizer)
+    return C.arrow_map(state.join(by_doc, "doc_id", "left"), _apply, "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_chars_encoded long, text_after string, leaf_chars_after binary, leaf_tokens_after binary", tokenizer)
+
+
+def state_after(edited: DataFrame) -> DataFrame:
+    """What apply_edits left, as the state for the next batch of edits; written, it is the store that batches go through."""
+    return edited.select("doc_id", F.col("text_after").alias("text"), F.col("n_tokens_after").alias("n_tokens"), F.col("leaf_chars_after").alias("leaf_chars"), F.col("leaf_tokens_after").alias("leaf_tokens"))
 
 
 def edit_log(docs: DataFrame) -> DataFrame:
@@ -182,4 +192,4 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = C.table(spark, sf_dir, "documents")
-    return apply_edits(count_tokens(docs, path), edit_log(docs), path).drop("text_after")
+    return apply_edits(count_tokens(docs, path), edit_log(docs), path).drop("text_after", "leaf_chars_after", "leaf_tokens_after")
