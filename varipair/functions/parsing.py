@@ -56,8 +56,16 @@ def literal_list(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def _pattern(labels: list[str]) -> str:
-    return r"\b(" + "|".join(sorted(labels, key=len, reverse=True)) + r")\b"
+def _pattern(labels: list[str] | Column) -> Column:
+    """Any of the labels as a word, longer ones first; the labels are a list, or a column for rows with their own."""
+    if isinstance(labels, Column):
+        longest = F.array_sort(labels, lambda a, b: F.length(b) - F.length(a))
+        return F.concat(F.lit(r"\b("), F.array_join(longest, "|"), F.lit(r")\b"))
+    return F.lit(r"\b(" + "|".join(sorted(labels, key=len, reverse=True)) + r")\b")
+
+
+def _among(x: Column, labels: list[str] | Column) -> Column:
+    return F.array_contains(labels, x) if isinstance(labels, Column) else x.isin(labels)
 
 
 def stripped(s: Column) -> Column:
@@ -72,11 +80,11 @@ def _blank(raw: Column) -> Column:
     return stripped(F.coalesce(raw, F.lit(""))) == ""
 
 
-def _found(text: Column, labels: list[str]) -> Column:
-    return F.regexp_extract_all(F.upper(text), F.lit(_pattern(labels)), F.lit(1))
+def _found(text: Column, labels: list[str] | Column) -> Column:
+    return F.regexp_extract_all(F.upper(text), _pattern(labels), F.lit(1))
 
 
-def parse_label(raw: Column, labels: list[str], answer: Column | None = None) -> Column:
+def parse_label(raw: Column, labels: list[str] | Column, answer: Column | None = None) -> Column:
     """(label, reason): the one label that the answer names, or why there is none. Without a JSON answer the whole
     response is read. `answer` is strict_answer(raw), if it is at hand."""
     a = strict_answer(raw) if answer is None else answer
@@ -88,19 +96,19 @@ def parse_label(raw: Column, labels: list[str], answer: Column | None = None) ->
     return (
         F.when(_blank(raw), result(none, F.lit(EMPTY)))
         .when(a["found"] & (a["kind"] != "string"), result(none, F.concat(F.lit("answer is "), a["type"], F.lit(", expected a single label"))))
-        .when(bare.isin(labels), result(bare, F.lit(None)))
+        .when(_among(bare, labels), result(bare, F.lit(None)))
         .when(F.size(found) == 1, result(F.get(found, 0), F.lit(None)))
         .when(F.size(found) > 1, result(none, F.concat(F.lit("ambiguous: multiple labels "), _quoted(found))))
         .otherwise(result(none, F.lit(NO_LABEL)))
     )
 
 
-def parse_label_set(raw: Column, labels: list[str], answer: Column | None = None) -> Column:
+def parse_label_set(raw: Column, labels: list[str] | Column, answer: Column | None = None) -> Column:
     """(labels, reason): the labels of a JSON answer that is a list or a text, once each, in the order of `labels`."""
     a = strict_answer(raw) if answer is None else answer
     found = F.when(a["kind"] == "list", F.transform(a["items"], lambda x: F.upper(stripped(x)))).when(a["kind"] == "string", _found(a["text"], labels))
-    known = F.array(*map(F.lit, labels))
-    bad = F.filter(found, lambda x: ~x.isin(labels))
+    known = labels if isinstance(labels, Column) else F.array(*map(F.lit, labels))
+    bad = F.filter(found, lambda x: ~_among(x, labels))
     none = F.lit(None).cast("array<string>")
     result = lambda ls, reason: F.struct(ls.alias("labels"), reason.cast("string").alias("reason"))
     return (
