@@ -111,9 +111,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def trim() -> None:
-    """Give memory that is free back to the system, where the C library can; a worker that waits holds none for others."""
+    """After a task: empty the memo of words, which a next task fills in a moment, and give memory that is free back to
+    the system, where the C library can; a worker that waits holds none for others."""
     import ctypes
 
+    WORD_HASH.clear()
+
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
