@@ -92,6 +92,27 @@ def keyword_hit(s: Column, keywords: list[str] = KEYWORDS) -> Column:
     return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k)).cast("int")
 
 
+def repeated_phrase(s: Column) -> Column:
+    """The first two words that stand twice in a row; null if none do."""
+    return F.nullif(F.regexp_extract(empty_if_null(s), r"(?i)\b(\w+\s+\w+)\s+\1\b", 1), F.lit(""))
+
+
+def article_problem(s: Column) -> Column:
+    """An `N-year-old` that begins a line with the wrong article, or has none; null if it is right. Ages that begin with 8
+    take An."""
+    pattern = r"(?m)^(An?)\s+(\d+)-year-old"
+    found, age = F.regexp_extract(empty_if_null(s), pattern, 1), F.regexp_extract(empty_if_null(s), pattern, 2)
+    want = F.when(age.startswith("8"), "An").otherwise("A")
+    return F.when(found == "", F.lit("missing age pattern")).when(found != want, F.concat(F.lit("article mismatch: "), found, F.lit(" "), age, F.lit("-year-old")))
+
+
+def changed_lines(a: Column, b: Column) -> Column:
+    """The numbers (from 1) of the non-blank lines in which two texts differ; one that the other lacks differs."""
+    lines = lambda s: F.filter(F.split(empty_if_null(s), "\n"), lambda x: F.trim(x) != "")
+    pairs = F.arrays_zip(lines(a).alias("a"), lines(b).alias("b"))
+    return F.filter(F.transform(pairs, lambda x, k: F.when(~x["a"].eqNullSafe(x["b"]), k + 1)), lambda k: k.isNotNull())
+
+
 def oxford_list(labels: Column) -> Column:
     """A; A or B; A, B, or C."""
     n = F.size(labels)

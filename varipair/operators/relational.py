@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def contained(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: whether the keys of a are all in b, and the other way, and how many are not. Null keys are keys."""
@@ -64,3 +66,25 @@ def id_digest(rows: DataFrame, group: str, key: str, width: int = 1000, levels:
     for _ in range(levels):
         parts = parts.groupBy(group, F.expr(f"_k div {width}").alias("_up")).agg(joined.alias("_h"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_k")
     return parts.groupBy(group).agg(F.sum("_n").alias("n_ids"), joined.alias("id_sha256"))
+
+
+def variants(rows: DataFrame, keys: list[str], name: str, fields: list[str], known: list[str]) -> DataFrame:
+    """One row for each key with a struct column for each known variant, null where there is none; of several, the last
+    by its fields. One aggregation, whose state is one struct for each variant."""
+    of = lambda v: F.max(F.when(F.col(name) == v, F.struct(*fields))).alias(v)
+    return rows.groupBy(*keys).agg(*map(of, known))
+
+
+def consistency_sample(rows: DataFrame, by: str, order: str, most: int = 200) -> DataFrame:
+    """Of the first `most` rows of each group in an order: how many were checked, and how many have the answer that their
+    options (a map) have under answer_idx."""
+    first = running(rows, [by], [order]).where(F.col("rn") <= most)
+    return first.groupBy(by).agg(F.count("*").alias("n_checked"), F.count_if(F.col("options")[F.col("answer_idx")] == F.col("answer")).alias("n_equal"))
+
+
+def compute_records(log: DataFrame, keys: list[str]) -> DataFrame:
+    """Per run: tokens a second, minutes, device hours and the greatest memory, from log rows (tokens, seconds, memory_gb)."""
+    seconds = F.sum("seconds")
+    return log.groupBy(*keys).agg(
+        F.round(F.sum("tokens") / F.greatest(seconds, F.lit(1e-6)), 2).alias("tokens_per_sec"), F.round(seconds / 60, 3).alias("wall_clock_min"), F.round(seconds / 3600, 5).alias("gpu_hours"), F.round(F.max("memory_gb"), 3).alias("peak_vram_gb"),
+    )

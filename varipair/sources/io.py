@@ -69,3 +69,58 @@ def latex(df: DataFrame) -> str:
     cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("_", r"\_")
     rows = [" & ".join(map(cell, r)) + r" \\" for r in df.collect()]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\", *rows, r"\end{tabular}"])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_optional_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """As read_csv; a file that is not there has no rows."""
+    return read_csv(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_settings(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """A small JSON object over defaults; a file that is not there changes nothing."""
+    import json
+
+    if not exists(spark, path):
+        return dict(defaults)
+    return defaults | json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def epsilon(spark: SparkSession, path: str) -> float:
+    """The width of the tie band: twice the greatest score difference of a padding report; 0.125 without a report."""
+    found = read_settings(spark, path, {})
+    return 2.0 * found.get("max_abs_score_diff", 0.0625) if found or exists(spark, path) else 0.125
+
+
+def from_list(spark: SparkSession, rows: list, schema: StructType | str, seed: int, key: str) -> DataFrame:
+    """Rows of a driver's list in an order that the seed and `key` fix."""
+    return shuffled(spark.createDataFrame(rows, schema), seed, key)
+
+
+def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
+    """The rows in a pseudo-random order that only the seed and the key decide."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A small nested report as one JSON document."""
+    import json
+
+    spark.createDataFrame([(json.dumps(report, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_splits(df: DataFrame, path: str, column: str) -> dict:
+    """JSON lines of each split, of all rows, and metadata: counts by split. Rows are computed once, for the combined lines,
+    from which the others are made."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").json(f"{path}/all")
+    rows = spark.read.schema(df.schema).json(f"{path}/all")
+    rows.withColumn("_split", F.col(column)).write.mode("overwrite").partitionBy("_split").json(f"{path}/by_split")
+    counts = {str(r[column]): r["count"] for r in rows.groupBy(column).count().collect()}
+    report = {"total_items": sum(counts.values()), "items": counts}
+    write_report(spark, report, f"{path}/metadata")
+    return report
