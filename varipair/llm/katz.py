@@ -133,7 +133,9 @@ class Discounted:
 
 def _summed(by: np.ndarray, n: int, total: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per history: the sum of the lower P of the words seen after it, and how many were seen 1 .. CUTOFF times."""
-    low = np.stack([np.bincount(by[total == r], minlength=n) for r in range(1, CUTOFF + 1)], 1)
+    low = np.zeros((n, CUTOFF), np.int32)
+    for r in range(1, CUTOFF + 1):
+        low[:, r - 1] = np.bincount(by[total == r], minlength=n)
     return np.bincount(by, weights=np.where(total > 0, lower, 0.0), minlength=n), low
 
 
@@ -151,7 +153,7 @@ class Level:
         self.sent = np.arange(n) if whole else np.flatnonzero((self.count != inside(own)) | (self.count_held != inside(held)))
         self.asks = np.zeros(n, bool)
         self.asks[by[own == 0]] = True
-        self.total, self.total_held = own.copy(), held.copy()
+        self.total, self.total_held = own.astype(np.int64), held.astype(np.int64)
         self.lower_sum, self.low = _summed(by, n, own, lower.left(low_count) / low_size[by])
         self.own_low = self.low.any(axis=1)
 
@@ -225,11 +227,11 @@ class Block:
 
     def counts(self, which: np.ndarray, train: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """How often each of n things stands in training and in held-out texts."""
-        return np.bincount(which[train], minlength=n), np.bincount(which[~train], minlength=n)
+        return np.bincount(which[train], minlength=n).astype(np.int32), np.bincount(which[~train], minlength=n).astype(np.int32)
 
     def _distinct(self, key: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         grams, of_token = np.unique(key, return_inverse=True)
-        at = np.full(len(self.tokens), -1, np.int64)
+        at = np.full(len(self.tokens), -1, np.int32)
         at[tokens] = of_token
         self.of_token.append(at)
         return grams, self.counts(of_token, self.train[tokens], len(grams))
@@ -269,7 +271,7 @@ class Block:
         for level, disc, shorter in zip(self.levels, self.discounts[1:], (lambda: self.word_of, lambda: self.shorter), strict=False):
             lower, size = out[-1][shorter()], level.sizes()
             with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = (~level.own_low + level.low @ disc.given) / size / (1 - level.lower_sum)
+                alpha = (~level.own_low + sum(level.low[:, r] * given for r, given in enumerate(disc.given))) / size / (1 - level.lower_sum)
             back = np.where(level.count > 0, alpha, 1.0)[level.by] * lower
             out.append(np.where(level.total > 0, disc.left(level.total) / size[level.by], back))
         return out
