@@ -89,3 +89,20 @@ def test_responses_alone_give_nothing_away(spark):
     t = spark.createDataFrame([(k, R.RULES[k % 10]["rule_id"], k // 10) for k in range(60)], "template_id long, rule_id string, i int")
     r = counterfactual.response_only(R.vignettes(t, R.rule_table(spark))).first()
     assert (r["n"], r["accuracy"]) == (240, 0.5)
+
+
+def test_first_phase_parser_reads_no_json(spark):
+    from varipair.functions import parsing as P
+
+    raw = ['{"answer": "B"}', "(c).", "A or B", "none", None, "", "b b", "IV"]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k int, s string").orderBy("k")
+    got = [tuple(r[0]) for r in df.select(P.parse_first_phase(F.col("s"), P.LETTERS)).collect()]
+    assert got == [("B", "ok"), ("C", "ok"), (None, "ambiguous"), (None, "unparseable"), (None, "unparseable"), (None, "unparseable"), ("B", "ok"), (None, "unparseable")]
+    assert tuple(df.where("k = 7").select(P.parse_first_phase(F.col("s"), F.array(F.lit("I"), F.lit("IV")))).first()[0]) == ("IV", "ok")
+
+
+def test_template_diversity(spark):
+    rows = [("g", 1, "a 45-year-old man with 3 pills"), ("g", 2, "a 50-year-old man with 4 pills"), ("g", 3, "another text"), ("one", 4, "alone")]
+    got = {r["grp"]: r for r in overlap.template_diversity(spark.createDataFrame(rows, "grp string, id int, text string")).collect()}
+    assert (got["g"]["n_items"], got["g"]["n_skeletons"], got["g"]["n_pairs"]) == (3, 2, 3)
+    assert (got["one"]["n_pairs"], got["one"]["mean_j"], got["one"]["flagged"]) == (0, 0.0, False)

@@ -103,6 +103,14 @@ def parse_label(raw: Column, labels: list[str] | Column, answer: Column | None =
     )
 
 
+def parse_first_phase(raw: Column, labels: list[str] | Column) -> Column:
+    """(label, status) of a plain response, which is not read as JSON: ok, unparseable or ambiguous."""
+    bare = F.upper(F.regexp_replace(F.regexp_replace(stripped(raw), BEFORE, ""), BEHIND, ""))
+    found = F.array_distinct(_found(raw, labels))
+    one = F.when(_among(bare, labels), bare).when(F.size(found) == 1, F.get(found, 0))
+    return F.struct(one.alias("label"), F.when(one.isNotNull(), "ok").when(F.size(found) > 1, "ambiguous").otherwise("unparseable").alias("status"))
+
+
 def parse_label_set(raw: Column, labels: list[str] | Column, answer: Column | None = None) -> Column:
     """(labels, reason): the labels of a JSON answer that is a list or a text, once each, in the order of `labels`."""
     a = strict_answer(raw) if answer is None else answer

@@ -88,6 +88,14 @@ def group_diversity(pairs_of: DataFrame, limit: float = 0.8) -> DataFrame:
     return j.groupBy("grp").agg(F.count("*").alias("n_pairs"), F.avg("j").alias("mean_j"), F.max("j").alias("max_j"), F.min("j").alias("min_j")).withColumn("flagged", F.col("mean_j") > limit)
 
 
+def template_diversity(texts: DataFrame, limit: float = 0.8) -> DataFrame:
+    """group_diversity with n_items and n_skeletons, the distinct texts once numbers, ages and sexes are marks. A group of
+    one has no pairs, and 0 for their figures."""
+    sizes = texts.groupBy("grp").agg(F.count("*").alias("n_items"), F.count_distinct(T.skeleton(F.col("text"))).alias("n_skeletons"))
+    j = sizes.join(group_diversity(texts, limit).withColumnRenamed("grp", "_g"), F.col("grp").eqNullSafe(F.col("_g")), "left").drop("_g")
+    return j.na.fill(0, ["n_pairs", "mean_j", "max_j", "min_j"]).na.fill(False, ["flagged"])
+
+
 #: Texts of a block; a cell compares two blocks.
 BLOCK = 512
 

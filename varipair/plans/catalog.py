@@ -414,6 +414,23 @@ def skeletons(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.md5(T.skeleton(F.col("text"))).alias("skeleton"))
 
 
+@query(f"""WITH r AS (SELECT conv_id AS grp, turn AS id, text FROM conversations WHERE text IS NOT NULL), z AS (SELECT grp, count(*) AS n_items, count(DISTINCT {_skeleton("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")}) AS n_skeletons FROM r GROUP BY grp),
+d AS (SELECT grp, id, {_TOK} AS w FROM r), j AS (SELECT a.grp, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0) AS j FROM d a JOIN d b ON a.grp=b.grp AND a.id<b.id),
+g AS (SELECT grp, count(*) AS n_pairs, avg(coalesce(j, 1)) AS mean_j, max(coalesce(j, 1)) AS max_j, min(coalesce(j, 1)) AS min_j FROM j GROUP BY grp)
+SELECT z.grp, n_items, n_skeletons, coalesce(n_pairs, 0) AS n_pairs, coalesce(mean_j, 0) AS mean_j, coalesce(max_j, 0) AS max_j, coalesce(min_j, 0) AS min_j, coalesce(mean_j > 0.8, FALSE) AS flagged FROM z LEFT JOIN g ON g.grp = z.grp""")
+def template_diversity(spark, d):
+    """Of each conversation's turns."""
+    return overlap.template_diversity(t(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("grp"), F.col("turn").alias("id"), "text"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, upper(text) AS u FROM conversations), f AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(u, '\\b(I|A|II|IV)\\b', 1)) AS f FROM r)
+SELECT conv_id, turn, CASE WHEN len(f) = 1 THEN f[1] END AS label, CASE WHEN len(f) = 1 THEN 'ok' WHEN len(f) > 1 THEN 'ambiguous' ELSE 'unparseable' END AS status FROM f""")
+def first_phase_parse(spark, d):
+    """Turns as plain responses with the labels A, I, II and IV."""
+    r = t(spark, d, "conversations").select("conv_id", "turn", P.parse_first_phase(F.col("text"), ["A", "I", "II", "IV"]).alias("p"))
+    return r.select("conv_id", "turn", "p.*")
+
+
 @query("""WITH p AS (SELECT l.toxic, CASE WHEN """ + " OR ".join(f"contains(lower(text), '{k}')" for k in T.KEYWORDS) + """ THEN 1 ELSE 0 END AS hit FROM documents JOIN labels l USING (doc_id))
 SELECT toxic, count(*) AS n, CAST(sum(hit) AS BIGINT) AS n_hit, avg(CASE WHEN hit = toxic THEN 1.0 ELSE 0.0 END) AS accuracy FROM p GROUP BY toxic""")
 def keyword_heuristic(spark, d):
