@@ -148,7 +148,7 @@ class Level:
         self.key, (self.count, self.count_held), self.by, self.word, (self.own, self.held) = key, count, by, word, own
         self.low_count, self.low_size = low_count, low_size
         n, (own, held) = len(key), own
-        self.start = np.searchsorted(by, np.arange(n + 1))
+        self.start = np.r_[0, np.cumsum(np.bincount(by, minlength=n))]
         inside = lambda w: np.bincount(by, weights=w, minlength=n).astype(np.int64)
         self.sent = np.arange(n) if whole else np.flatnonzero((self.count != inside(own)) | (self.count_held != inside(held)))
         self.asks = np.zeros(n, bool)
@@ -249,7 +249,9 @@ class Block:
         # A text begins as often as it ends.
         end, at = np.searchsorted(self.words, _END), place(np.maximum(key.astype(np.int64), self.number.min()))
         seen = tuple(np.where(key == _START, count[end], count[at]) for count in (self.count, self.count_held))
-        self.word_of = place(word)
+        # What a pair's word is among the block's words, any of its tokens knows.
+        self.word_of = np.empty(len(word), np.int64)
+        self.word_of[self.of_token[0]] = self.tokens
         return Level(key, seen, by, word, own, self.count[self.word_of], np.full(len(key), self.discounts[0].size, np.int64), self.discounts[0], self.whole)
 
     def _third(self) -> Level:
@@ -261,9 +263,13 @@ class Block:
         grams, own = self._distinct((of_token[at - 1].astype(np.uint64) << np.uint64(32)) | number, at)
         history, by = np.unique(grams >> np.uint64(32), return_inverse=True)
         history, key = history.astype(np.int64), self.grams[history.astype(np.int64)]
-        last = key & _LOW32
-        self.shorter = np.searchsorted(self.grams, (last[by] << np.uint64(32)) | (grams & _LOW32))
-        return Level(key, (two.total[history], two.total_held[history]), by, (grams & _LOW32).astype(np.int64), own, two.total[self.shorter], two.sizes()[np.searchsorted(two.key, last)], self.discounts[1], self.whole)
+        # The triple that ends at a token, without its first word, is the pair that ends there; the pair's history is what
+        # the triple's history has without its first word.
+        triple, pair = self.of_token[1][at], of_token[at]
+        self.shorter, low_history = np.empty(len(grams), np.int64), np.empty(len(key), np.int64)
+        self.shorter[triple] = pair
+        low_history[by[triple]] = two.by[pair]
+        return Level(key, (two.total[history], two.total_held[history]), by, (grams & _LOW32).astype(np.int64), own, two.total[self.shorter], two.sizes()[low_history], self.discounts[1], self.whole)
 
     def probabilities(self) -> list[np.ndarray]:
         """P of each distinct word, pair and triple of the block, each order from the one below."""
