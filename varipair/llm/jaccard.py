@@ -35,7 +35,7 @@ from . import common as C
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket of shingles or nodes.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Longest multi-match level that is considered, and the cost of verifying a shingle against reading a posting.
 LEVELS, VERIFY = 8, 0.05
 #: Parts of a posting list that give a hub each, by round.
