@@ -37,7 +37,7 @@ from . import common as C
 WIDTH, GRAM = 200, 100
 BLOCK_BYTES = 8 << 20
 #: Bytes that are hashed at once, and bytes of text for each bucket of names.
-PIECE_BYTES, BUCKET_BYTES = 128 << 10, 8 << 20
+PIECE_BYTES, BUCKET_BYTES = 128 << 10, 4 << 20
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _VALUES = C.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _BLOCK = pa.schema([("block", pa.int64()), ("data", pa.binary())])
