@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..session import scratch
 
 def tieband_accuracy(scores: DataFrame, epsilon: float) -> DataFrame:
     k = S.tie_band(F.col("margin"), epsilon)
@@ -39,7 +40,7 @@ def polarity_conflicts(items: DataFrame) -> DataFrame:
 def bag_of_words_accuracy(train: DataFrame, test: DataFrame) -> DataFrame:
     """TF-IDF over words and word pairs with logistic regression: accuracy by test group. Vocabulary: 5,000 terms of
     two texts or more. train and test: text, label; test also grp."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, VectorAssembler
 
@@ -48,7 +49,11 @@ def bag_of_words_accuracy(train: DataFrame, test: DataFrame) -> DataFrame:
     for c in ("w", "w2"):
         stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_tf", minDF=2, vocabSize=5000), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_x")]
     stages += [VectorAssembler(inputCols=["w_x", "w2_x"], outputCol="raw"), Normalizer(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=20, regParam=0.01)]
-    out = Pipeline(stages=stages).fit(train).transform(test)
+    # Stored and read again: a model just fitted holds its training summary, and with it the session, which cannot go to
+    # executors once a query of the session has used an Observation.
+    path = scratch(train.sparkSession, "bag-of-words")
+    Pipeline(stages=stages).fit(train).write().save(path)
+    out = PipelineModel.load(path).transform(test)
     return out.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 

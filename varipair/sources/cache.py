@@ -105,7 +105,7 @@ class Written(WriterCommitMessage):
 
 class CacheWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
-        self.options = options
+        self.options, self.write_id = options, uuid.uuid4().hex
         self.count = Store(options).buckets(make=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -120,7 +120,7 @@ class CacheWriter(DataSourceArrowWriter):
                 where = pa.array([bucket_of(x, self.count) for x in table.column("question_id").to_pylist()], pa.int32())
                 for b in pc.unique(where).to_pylist():
                     if b not in open_files:
-                        path = f"data/bucket={b:05d}/{uuid.uuid4().hex}.parquet"
+                        path = f"data/bucket={b:05d}/{self.write_id}-{uuid.uuid4().hex}.parquet"
                         store.fs.create_dir(f"{store.root}/{path}".rpartition("/")[0])
                         open_files[b] = path, pq.ParquetWriter(f"{store.root}/{path}", table.schema, filesystem=store.fs, compression="zstd")
                     open_files[b][1].write_table(table.filter(pc.equal(where, b)))
@@ -130,7 +130,8 @@ class CacheWriter(DataSourceArrowWriter):
         except BaseException:
             for path, writer in open_files.values():
                 writer.close()
-                store.fs.delete_file(f"{store.root}/{path}")
+                if store.fs.get_file_info(f"{store.root}/{path}").is_file:
+                    store.fs.delete_file(f"{store.root}/{path}")
             raise
         return Written([(b, path) for b, (path, _) in open_files.items()], rows)
 
@@ -149,9 +150,11 @@ class CacheWriter(DataSourceArrowWriter):
             Store(self.options).publish(f"commits/{time.time_ns():020d}-{uuid.uuid4().hex}.json", {"files": files})
 
     def abort(self, messages: list[Written | None]) -> None:
+        """Delete what this write's tasks have left, those that were killed too."""
         store = Store(self.options)
-        for _, path in (f for m in messages if m for f in m.files):
-            store.fs.delete_file(f"{store.root}/{path}")
+        for x in store.fs.get_file_info(pafs.FileSelector(f"{store.root}/data", recursive=True, allow_not_found=True)):
+            if x.is_file and x.base_name.startswith(self.write_id):
+                store.fs.delete_file(x.path)
 
 
 class Bucket(InputPartition):
