@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK_BYTES = 8 << 20
-#: Bytes of text for each bucket of shingles or nodes.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket of shingles or nodes: half as many take less memory of a task and more rows of blocks.
+BUCKET_BYTES = 16 << 20
 #: Longest multi-match level that is considered, and the cost of verifying a shingle against reading a posting.
 LEVELS, VERIFY = 8, 0.05
 #: Parts of a posting list that give a hub each, by round.
@@ -251,10 +251,10 @@ def _rooted(posts: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(split, "token", "left_semi")
 
 
-def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+def link_components(docs: DataFrame, percent: int = 75, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
-    n = C.parts_of(spark, C.text_bytes(docs), BUCKET_BYTES)
+    n = C.parts_of(spark, C.text_bytes(docs), bucket_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posts = C.arrow_map(rows, _postings, "kind string, bucket int, data binary", n)
     shared = C.written(C.arrow_groups(posts, "bucket", _share, "kind string, bucket int, data binary", n), "jaccard-shared", partition_by="kind")
@@ -290,7 +290,8 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     k, d, other, other_d, times = (C.free_name(docs.columns, x) for x in ("_key", "_doc", "_lesser", "_lesser_doc", "_times"))
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     rows = docs.select(key.alias(k), docs["doc_id"].cast("long").alias(d), docs["text"].cast("string").alias("text"))
-    linked = link_components(rows.select(F.col(k).alias("doc_id"), "text"), percent).where("n_shingles > 0")
+    # Beside the other stages of a pipeline memory is short, and what quality rules left is less to shuffle.
+    linked = link_components(rows.select(F.col(k).alias("doc_id"), "text"), percent, BUCKET_BYTES // 2).where("n_shingles > 0")
     of_key = linked.groupBy(F.col("doc_id").alias(k)).agg(F.min("component_id").alias("component"), F.count("*").alias(times))
     seen = C.written(of_key.join(rows.groupBy(k).agg(F.min(d).alias(d)), k), "jaccard-keys")
     first = seen.groupBy("component").agg(F.min(F.struct(F.col(d).isNull().alias("no_id"), d, k)).alias("t")).select(F.col(f"t.{k}").alias(k))
