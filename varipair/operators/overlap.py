@@ -53,14 +53,19 @@ def near_overlap(a: DataFrame, b: DataFrame, threshold: float = 0.85, rare: int
     """(a_id, b_id, jaccard) of texts of a and b whose word sets reach the threshold and share a rare word (in at most `rare`
     texts of b). Texts of a that b has too are exact matches and left out. A candidate is a word of a that meets at most
     `rare` texts, so candidates grow with a's words; a pair that shares no rare word is not found."""
-    sets = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), T.norm_words(F.col("text")).alias(f"{name}_k")).where(f"{name}_k <> ''").withColumn(f"{name}_w", F.array_distinct(F.split(f"{name}_k", " ")))
+    def sets(df: DataFrame, name: str) -> DataFrame:
+        """Each text with 64-bit hashes of its words, and of those that may be rare."""
+        d = df.select(F.col("id").alias(f"{name}_id"), T.norm_words(F.col("text")).alias("k")).where("k <> ''")
+        w, hashed = F.array_distinct(F.split("k", " ")), lambda ws: F.transform(ws, lambda x: F.xxhash64(x))
+        return d.select(f"{name}_id", F.sha2("k", 256).alias(f"{name}_k"), hashed(w).alias(f"{name}_w"), hashed(F.filter(w, lambda x: F.length(x) >= least_chars)).alias(f"{name}_t"))
+
     x, y = sets(a, "a"), sets(b, "b")
     x = x.join(y.select(F.col("b_k").alias("a_k")).distinct(), "a_k", "left_anti")
-    words = lambda df, name: df.select(f"{name}_id", F.explode(f"{name}_w").alias("t")).where(F.length("t") >= least_chars)
+    words = lambda df, name: df.select(f"{name}_id", F.explode(f"{name}_t").alias("t"))
     of_b = words(y, "b")
     few = of_b.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") <= rare).select("t")
     pairs = words(x, "a").join(of_b.join(few, "t"), "t").select("a_id", "b_id").distinct()
-    j = pairs.join(x, "a_id").join(y, "b_id").withColumn("jaccard", T.jaccard(F.col("a_w"), F.col("b_w")))
+    j = pairs.join(x.select("a_id", "a_w"), "a_id").join(y.select("b_id", "b_w"), "b_id").withColumn("jaccard", T.jaccard(F.col("a_w"), F.col("b_w")))
     return j.where(F.col("jaccard") >= threshold).select("a_id", "b_id", "jaccard")
 
 
