@@ -106,3 +106,18 @@ def test_template_diversity(spark):
     got = {r["grp"]: r for r in overlap.template_diversity(spark.createDataFrame(rows, "grp string, id int, text string")).collect()}
     assert (got["g"]["n_items"], got["g"]["n_skeletons"], got["g"]["n_pairs"]) == (3, 2, 3)
     assert (got["one"]["n_pairs"], got["one"]["mean_j"], got["one"]["flagged"]) == (0, 0.0, False)
+
+
+def test_rescues_by_one_aggregation(spark):
+    """Repeated and missing keys and null outcomes count as in a join, but no side of one can be broadcast."""
+    side = lambda rows: spark.createDataFrame(rows, "k long, correct boolean")
+    b = side([(1, False), (1, None), (1, True), (2, True), (3, False), (None, False)])
+    m = side([(1, False), (1, False), (2, None), (3, False), (4, True), (None, False)])
+    l = side([(1, True), (1, False), (2, False), (3, None), (4, False), (None, True)])
+    got = relational.rescues(b, m, l, ["k"])
+    j = b.withColumnRenamed("correct", "b").join(m.withColumnRenamed("correct", "m"), "k").join(l.withColumnRenamed("correct", "l"), "k").collect()
+    wins = sum(r["b"] is False and r["m"] is False and r["l"] is True for r in j)
+    hurts = sum(bool(r["b"] or r["m"]) and r["l"] is False for r in j)
+    assert tuple(got.first()) == (len(j), wins, hurts, wins - hurts) == (14, 2, 3, -1)
+    assert tuple(relational.rescues(b.limit(0), m, l, ["k"]).first()) == (0, 0, 0, 0)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
