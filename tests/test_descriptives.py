@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varipair.operators import counterfactual, descriptives, items, metrics, overlap, recompute, relational
 from varipair.operators import rules as R
-from varipair.plans import catalog
+from varipair.plans import catalog, forms, reports  # noqa: F401
 
 
 def test_near_overlap(spark):
@@ -121,3 +121,10 @@ def test_rescues_by_one_aggregation(spark):
     assert tuple(got.first()) == (len(j), wins, hurts, wins - hurts) == (14, 2, 3, -1)
     assert tuple(relational.rescues(b.limit(0), m, l, ["k"]).first()) == (0, 0, 0, 0)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expanded_rows_are_not_broadcast(spark, tmp_path):
+    """Rows that were expanded from a small file look small to Spark, but grow with it."""
+    spark.createDataFrame([(k, f"name {k}", "brand", f"type {k % 3}", k % 50, 1.0) for k in range(20)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("examples", "semantic_audit", "audit_summary", "structural_checks", "pairs_built", "unbuildable_questions", "observed_failures", "rescue_hurt_three"):
+        assert "Broadcast" not in catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString(), name

@@ -38,7 +38,8 @@ def pairs(rows: DataFrame) -> DataFrame:
     other = rows.where("condition <> 'mcq'").select(*key, F.col("condition").alias("perturbation_type"), *[F.col(c).alias(f"perturbed_{c}") for c in ("question", "options", "answer", "prompt")])
     kind, raw = F.col("perturbation_type"), F.col("perturbed_answer")
     meant = F.when(kind.isin(TEXT_ANSWERS), raw).when(kind.isin(KEY_ANSWERS), text_of(F.col("perturbed_options"), raw))
-    return base.join(other, key).select(
+    # Sorted and merged: rows that were expanded from a small file look small to Spark, and it would broadcast all baselines.
+    return base.join(other.hint("merge"), key).select(
         *key, "perturbation_type", "original_question", "original_options", F.col("original_answer").alias("original_answer_letter"),
         text_of(F.col("original_options"), F.col("original_answer")).alias("original_answer_text"), "original_prompt",
         "perturbed_question", "perturbed_options", raw.alias("perturbed_answer_raw"), meant.alias("perturbed_answer_interpretation"), "perturbed_prompt",
