@@ -107,7 +107,7 @@ def unpaired_questions(spark, d):
 def unbuildable_questions(spark, d):
     """Flaws 6 and 7: the open row is missing, or one row's baseline question is another."""
     rows = _sources(spark, d)
-    p = preparation.pairs(rows.where("flaw <> 6 OR condition <> 'open'")).join(rows.where("condition = 'mcq'").select("source_dataset", "source_id", "flaw"), ["source_dataset", "source_id"])
+    p = preparation.pairs(rows.where("flaw <> 6 OR condition <> 'open'")).join(rows.where("condition = 'mcq'").select("source_dataset", "source_id", "flaw").hint("merge"), ["source_dataset", "source_id"])
     other = (F.col("flaw") == 7) & (F.col("perturbation_type") == "fixed_pos")
     return preparation.unbuildable(p.withColumn("original_question", F.when(other, F.lit("?")).otherwise(F.col("original_question"))))
 
@@ -120,7 +120,7 @@ def structural_checks(spark, d):
     src = _sources(spark, d)
     e = preparation.examples(preparation.pairs(src))
     flaw = src.where("condition = 'mcq'").select(F.concat("source_dataset", F.lit("::"), "source_id").alias("question_id"), "flaw")
-    e = e.join(flaw, "question_id")
+    e = e.join(flaw.hint("merge"), "question_id")
     c, f = F.col("condition"), F.col("flaw")
     times = F.when((f == 8) & (c == "open"), 0).when((f == 9) & (c == "mcq"), 2).otherwise(1)
     extra = flaw.where("flaw = 1").select("question_id", F.lit("other").alias("condition"))
@@ -209,7 +209,7 @@ WHERE condition IN ('mcq','roman_numeral','none_of_the_provided') AND coalesce(N
 def observed_failures(spark, d):
     s = scored(spark, d, (31, 37)).where(F.col("condition").isin("mcq", "roman_numeral", "none_of_the_provided"))
     f = phases.observed_failure(F.col("condition"), F.col("parsed"), F.col("answer"), F.col("correct"), F.lit(4), F.col("category"))
-    rows = s.join(phases.adaptation_categories(s), ["model", "question_id"]).where(~S.is_true(F.col("correct")))
+    rows = s.join(phases.adaptation_categories(s).hint("merge"), ["model", "question_id"]).where(~S.is_true(F.col("correct")))
     return rows.groupBy("model", "condition", f.alias("failure")).agg(F.count("*").alias("n"))
 
 
