@@ -128,3 +128,34 @@ def test_expanded_rows_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([(k, f"name {k}", "brand", f"type {k % 3}", k % 50, 1.0) for k in range(20)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
     for name in ("examples", "semantic_audit", "audit_summary", "structural_checks", "pairs_built", "unbuildable_questions", "observed_failures", "rescue_hurt_three"):
         assert "Broadcast" not in catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_near_pairs_against_all_pairs(spark):
+    """Bitmaps leave out no pair, also of repeated ids, long texts and null groups; words meet only where bitmaps allow."""
+    draw = random.Random(5)
+    words = [f"word{k:04d}" for k in range(900)]
+    rows = []
+    for k in range(40):
+        base = draw.sample(words, draw.choice([3, 8, 40, 700])) + [f"seldom{k}"]
+        rows += [(draw.choice("gh"), 10 * k, " ".join(base)), (draw.choice("gh"), 10 * k + 1, " ".join([*base[1:], draw.choice(words)])), (None, 10 * k + 2, " ".join(base))]
+    rows += [("g", 1, rows[0][2]), ("g", 0, "seldom1 other"), ("g", None, rows[0][2]), ("g", 999, None)]
+    sets = [(g, i, frozenset(t.split())) for g, i, t in rows if t]
+
+    def expected(x, y, most, both):
+        """Pairs of ids with a rare word in common; of those, all texts of the ids that are alike."""
+        count = {}
+        for g, _, s in y:
+            for w in s:
+                count[g if both else 0, w] = count.get((g if both else 0, w), 0) + 1
+        found = {(g if both else 0, i, j) for g, i, s in x for h, j, t in y if i is not None and j is not None and (not both or (g is not None and g == h and i < j)) and any(count[g if both else 0, w] <= most and len(w) >= 5 for w in s & t)}
+        return sorted((g, i, j, round(len(s & t) / len(s | t), 9)) for g, i, j in found for _, a, s in x if a == i for _, b, t in y if b == j and len(s & t) / len(s | t) >= 0.8)
+
+    frame = spark.createDataFrame(rows, "grp string, id long, text string")
+    near = overlap.near_duplicates(frame, threshold=0.8)
+    assert sorted((*r[:3], round(r[3], 9)) for r in near.collect()) == expected(sets, sets, 8, True)
+    a, b = ([r for r in rows if r[2] and r[1] is not None and r[1] % 2 == k] for k in (0, 1))
+    a = [r for r in a if all(r[2] != t for _, _, t in b)]
+    a, b = ([(g, i, frozenset(t.split())) for g, i, t in side] for side in (a, b))
+    over = overlap.near_overlap(frame.where("id % 2 = 0"), frame.where("id % 2 = 1"), threshold=0.8)
+    assert sorted((0, *r[:2], round(r[2], 9)) for r in over.collect()) == expected(a, b, 8, False)
+    assert all("bit_count" in f._jdf.queryExecution().executedPlan().toString() for f in (near, over))
