@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varipair.llm import common, decontaminate, katz, suffixes
+from varipair.llm import common, decontaminate, jaccard, katz, suffixes
 
 
 def test_buckets_for_a_hundred_terabytes(spark):
@@ -139,3 +139,39 @@ def test_stored_katz_tables_score_other_texts(spark, order):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
         assert abs(got[i]["score"] - r["score"]) < 1e-9 and abs(got[i]["base_score"] - r["base_score"]) < 1e-9
     assert katz.score_with(model, docs.limit(0)).count() == 0
+
+
+def near_copies(n, seed=7):
+    """Copies of one text of 120 words with 0 to 5 words replaced by new ones; of e and f new words apart, two link up to e + f = 3."""
+    rnd = random.Random(seed)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(n):
+        words = list(base)
+        for at in rnd.sample(range(4, 116), 0 if i == n // 2 else rnd.choice([1, 2, 2, 3, 3, 3, 4, 5])):
+            words[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_near_copies_meet_the_least_edited_one(spark, monkeypatch):
+    rows, met = near_copies(300), []
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    least = {i: i for i in sets}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                least[y] = x
+    counted = jaccard._counted
+    monkeypatch.setattr(jaccard, "_counted", lambda pairs: (met.append(pairs.count()), counted(pairs))[1])
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in sets}
+    # The last join has what no hub has joined, and few of those can be a link.
+    assert met[0] < 1_000
