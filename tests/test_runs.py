@@ -149,6 +149,17 @@ def test_runner_batch_and_stream_agree(spark):
     assert sorted((tuple(r[f] for f in fields) for r in spark.table("runs").collect()), key=str) == want
 
 
+def test_a_batch_is_one_shuffle_and_keeps_no_store(spark):
+    rows = [("a", 1, "q", "mcq", "p", None), ("a", 1, "q", "mcq", "p", None), ("a", 2, None, "mcq", "p", None), ("a", 2, "", "mcq", "p", None), (None, 2, "q", "mcq", "p", None), ("a", None, "q", "mcq", "p", None)]
+    got = runner.run(spark.createDataFrame(rows, REQUEST).repartition(3), lambda request, attempt: ("r", 1.0), 9.0)
+    plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert "TransformWithState" not in plan and plan.count("hashpartitioning") == plan.count("hashpartitioning(run_id")
+    want = [("a", None, "called", 1.0), ("a", 1, "duplicate", 1.0), ("a", 1, "duplicate", 1.0), ("a", 2, "called", 2.0), ("a", 2, "duplicate", 2.0), (None, 2, "called", 1.0)]
+    assert sorted(((r["run_id"], r["seq"], r["status"], r["spent_usd"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    tied = runner.run(spark.createDataFrame(rows[:2], REQUEST), lambda request, attempt: ("r", 1.0), 9.0)
+    assert sorted((r["status"], r["spent_usd"]) for r in tied.collect()) == [("called", 1.0), ("duplicate", 1.0)]
+
+
 def test_runner_fails_where_asked(spark):
     one = lambda rows: runner.checked(runner.run(spark.createDataFrame(rows, REQUEST), flaky(), 1.0))
     assert one([("a", 0, "q0", "mcq", "p", None)]).first()["status"] == "called"
