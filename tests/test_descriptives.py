@@ -85,6 +85,19 @@ def test_bag_of_words_is_tested_on_what_it_has_not_seen(spark):
     assert counterfactual.bag_of_words_accuracy(noise.where("k < 200"), noise.where("k >= 200")).first()["accuracy"] < 0.7
 
 
+def test_vocabulary_is_that_of_count_vectorizer_and_ties_go_by_name(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    rnd = random.Random(5)
+    rows = [(k, [f"t{min(rnd.randrange(40), rnd.randrange(40))}" for _ in range(20)] + [f"once{k}"] * 90) for k in range(50)] + [(50, None), (51, [])]
+    df = spark.createDataFrame(rows, "_id long, w array<string>")
+    got = counterfactual.vocabulary(df.repartition(3), "w")
+    want = CountVectorizer(inputCol="w", outputCol="x", minDF=2, vocabSize=5000).fit(df.where("w IS NOT NULL")).vocabulary
+    assert sorted(got) == sorted(want) and not any(t.startswith("once") for t in got)
+    n = {t: sum(w.count(t) for _, w in rows if w) for t in got}
+    assert got == sorted(got, key=lambda t: (-n[t], t)) and counterfactual.vocabulary(df.repartition(5), "w", 7) == got[:7]
+
+
 def test_responses_alone_give_nothing_away(spark):
     t = spark.createDataFrame([(k, R.RULES[k % 10]["rule_id"], k // 10) for k in range(60)], "template_id long, rule_id string, i int")
     r = counterfactual.response_only(R.vignettes(t, R.rule_table(spark))).first()

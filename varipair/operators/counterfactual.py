@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..session import scratch
+from ..session import scratch, written
 
 def tieband_accuracy(scores: DataFrame, epsilon: float) -> DataFrame:
     k = S.tie_band(F.col("margin"), epsilon)
@@ -37,22 +37,33 @@ def polarity_conflicts(items: DataFrame) -> DataFrame:
     return g.where("(avoid_train AND correct_held) OR (correct_train AND avoid_held)").select("drug")
 
 
+def vocabulary(tokens: DataFrame, column: str, size: int = 5000) -> list[str]:
+    """The `size` most frequent terms of two rows or more; of equally frequent ones those first by name. tokens: _id, and column, a list of terms."""
+    terms = tokens.select("_id", F.explode(column).alias("term"))
+    known = terms.groupBy("term").agg(F.count("*").alias("n"), F.min("_id").alias("first"), F.max("_id").alias("last")).where("first <> last")
+    return [r["term"] for r in known.orderBy(F.desc("n"), "term").limit(size).select("term").collect()]
+
+
 def bag_of_words_accuracy(train: DataFrame, test: DataFrame) -> DataFrame:
     """TF-IDF over words and word pairs with logistic regression: accuracy by test group. Vocabulary: 5,000 terms of
-    two texts or more. train and test: text, label; test also grp."""
-    from pyspark.ml import Pipeline, PipelineModel
+    two texts or more. train and test: text, label; test also grp. Texts are split once and counted once: both tables are stored,
+    as each step of the fit would do it again."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, VectorAssembler
+    from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, VectorAssembler
 
-    words = RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\w\w+", gaps=False)
-    stages = [words, NGram(n=2, inputCol="w", outputCol="w2")]
-    for c in ("w", "w2"):
-        stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_tf", minDF=2, vocabSize=5000), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_x")]
-    stages += [VectorAssembler(inputCols=["w_x", "w2_x"], outputCol="raw"), Normalizer(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=20, regParam=0.01)]
+    stages = [RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\w\w+", gaps=False), NGram(n=2, inputCol="w", outputCol="w2")]
+    pairs = stages[1]
+    tokens = written(stages[0].transform(train).select(F.monotonically_increasing_id().alias("_id"), "w", "label"), "bag-of-words-tokens")
+    counters = [CountVectorizerModel.from_vocabulary(vocabulary(pairs.transform(tokens), c) or [""], inputCol=c, outputCol=f"{c}_tf") for c in ("w", "w2")]
+    counted = written(PipelineModel([pairs, *counters]).transform(tokens).select("w_tf", "w2_tf", "label"), "bag-of-words-counts")
+    stages += [*counters, *[IDF(inputCol=f"{c}_tf", outputCol=f"{c}_x").fit(counted) for c in ("w", "w2")]]
+    stages += [VectorAssembler(inputCols=["w_x", "w2_x"], outputCol="raw"), Normalizer(inputCol="raw", outputCol="features")]
+    stages.append(LogisticRegression(maxIter=20, regParam=0.01).fit(PipelineModel(stages[4:]).transform(counted)))
     # Stored and read again: a model just fitted holds its training summary, and with it the session, which cannot go to
     # executors once a query of the session has used an Observation.
     path = scratch(train.sparkSession, "bag-of-words")
-    Pipeline(stages=stages).fit(train).write().save(path)
+    PipelineModel(stages).write().save(path)
     out = PipelineModel.load(path).transform(test)
     return out.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
