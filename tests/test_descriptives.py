@@ -24,6 +24,42 @@ def test_near_overlap(spark):
     assert overlap.near_overlap(side([]), side(b)).count() == 0
 
 
+def test_near_overlap_finds_pairs_without_a_rare_word(spark, tmp_path):
+    """All words stand in more than eight texts, or are short; copies and near copies on both sides."""
+    base = [f"word{k}" for k in range(20)]
+    text = lambda k: " ".join([*base[: k % 20], *base[k % 20 + 1 :]] if k % 3 else base)
+    docs = [(k, text(k)) for k in range(60)] + [(100, "a bc de f g h i"), (101, "a bc de f g h"), (102, None), (103, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: frozenset((t or "").split()) for i, t in docs}
+    of_b = {t for i, t in docs if i % 2}
+    alike = {(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i, t in docs for j in sets if t and t not in of_b and i % 2 == 0 and j % 2 and sets[j]}
+    want = sorted(p for p in alike if p[2] >= 0.85)
+    assert len(want) > 100 and (100, 101, 6 / 7) in want
+    assert sorted(map(tuple, catalog.QUERIES["near_overlap"](spark, str(tmp_path)).collect())) == want
+
+
+def test_near_overlap_of_all_pairs(spark, monkeypatch):
+    """Against brute force: sets of all sizes, equal sets of other texts, repeated rows and ids, with few and many words held as frequent."""
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(90):
+        w = draw.sample(words, draw.choice([1, 2, 6, 20, 36])) + draw.choice([[], [f"only{k}"]])
+        rows += [(k // 2, " ".join(w)), (k, " ".join([*w[1:], draw.choice(words)])), (k, " ".join(reversed(w)))]
+    rows += [*rows[:6], (500, None), (501, "!"), (None, rows[0][1])]
+    of_x = [draw.random() < 0.5 for _ in rows]
+    x, y = ([r for r, here in zip(rows, of_x, strict=True) if here == z] for z in (True, False))
+    side = lambda r: spark.createDataFrame(r, "id long, text string")
+    have, key = {t for _, t in y}, lambda r: [(-1 if i is None else i, -1 if j is None else j, s) for i, j, s in r]
+    pairs = [(i, j, set(t.split()), set(u.split())) for i, t in x for j, u in y if t and u and t not in have and "!" not in (t, u)]
+    for frequent, threshold in ((1, 0.85), (7, 0.5), (4096, 0.8), (4096, 1.0)):
+        monkeypatch.setattr(overlap, "FREQUENT", frequent)
+        want = [(i, j, len(a & b) / len(a | b)) for i, j, a, b in pairs if len(a & b) / len(a | b) >= threshold]
+        got = overlap.near_overlap(side(x), side(y), threshold=threshold, rare=None).collect()
+        assert want and sorted(key(map(tuple, got))) == sorted(key(want))
+    assert overlap.near_overlap(side([]), side(y), rare=None).count() == overlap.near_overlap(side(x), side([]), threshold=2.0, rare=None).count() == 0
+
+
 def test_contained_phrases_of_all_lengths(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "Two, three!"), (3, None), (4, "four")], "doc_id long, text string")
     found = spark.createDataFrame([(1, "two THREE"), (2, "four"), (3, "one two three four five"), (4, "six seven"), (5, None)], "item_id long, text string")
